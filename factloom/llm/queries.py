@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import mixing, pieces, toxicity, url_filter, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_warc": warc.op8_warc,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
+    "op8_warc": warc.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
