@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, toxicity, url_filter, warc
+from . import extract, mixing, pieces, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_html_extraction": extract.op1_html_extraction,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op7_sentencepiece": pieces.op7_sentencepiece,
