@@ -28,7 +28,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import table
 
 #: Labelled rows that the model is fitted to, at most; features kept; rows that must hold a feature.
-SAMPLE, FEATURES, LEAST_ROWS = 10_000, 1_024, 3
+SAMPLE, FEATURES, LEAST_ROWS = 10_000, 512, 3
+#: Standard errors by which a feature's share of toxic rows must differ from its share of the others.
+LEAST_Z = 3.0
 #: Lengths of a word's beginnings.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -45,8 +47,8 @@ IDENTITY = (
     ("immigrant", "local", "refugee", "foreigner"),
     ("disabled", "deaf", "blind", "elderly", "young"),
 )
-#: Weight of the swap penalty and of the ridge.
-SWAP_PENALTY, RIDGE = 4.0, 0.02
+#: Weight of the swap penalty and of the ridge; steps of the descent.
+SWAP_PENALTY, RIDGE, ROUNDS = 4.0, 2e-5, 1_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -94,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most: int = FEAT
         seen = listed_rows.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).where(F.col("n") >= LEAST_ROWS)
         a, b = F.col("bad") / bad, (F.col("n") - F.col("bad")) / (n - bad)
         telling = F.abs(a - b) / F.sqrt((a * (1 - a) + 0.01) / bad + (b * (1 - b) + 0.01) / (n - bad))
-        vocabulary = [r.f for r in seen.orderBy(F.round(telling, 6).desc(), "f").limit(most).collect()]  # a top-k of features
+        vocabulary = [r.f for r in seen.where(telling >= LEAST_Z).orderBy(F.round(telling, 6).desc(), "f").limit(most).collect()]  # a top-k of features
         index = {f: k for k, f in enumerate(vocabulary)}
 
         def numbered(batches):
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most: int = FEAT
     return {"bias": bias, "weights": {f: float(w) for f, w in zip(vocabulary, weights)}}
 
 
-def _train(rows: list, width: int, rounds: int = 250) -> tuple[np.ndarray, float]:
+def _train(rows: list, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on log loss + RIDGE |w|^2 / 2 + SWAP_PENALTY * mean squared change of score by swaps."""
     x = np.zeros((len(rows), width + 1), np.float32)
     x[:, -1] = 1
@@ -135,7 +137,7 @@ def _train(rows: list, width: int, rounds: int = 250) -> tuple[np.ndarray, float
     step = 1 / (1.1 * size + RIDGE)
     for t in range(rounds):
         z = x @ v
-        g = x.T @ (1 / (1 + np.exp(-z)) - y) / len(rows) + ridge * v * 0.05
+        g = x.T @ (1 / (1 + np.exp(-z)) - y) / len(rows) + ridge * v
         if pairs:
             g += SWAP_PENALTY * 2 * change.T @ (change @ v) / len(pairs)
         new = v - step * g
