@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 #: Slots of the schedule: every source's words come within a few parts in SLOTS of its target.
 SLOTS = 1 << 16
 MOST_EPOCHS = 3
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 2_000
 #: 2**32 / golden ratio: j * STEP mod 2**32 is the j-th golden-ratio point.
 STEP = 2654435769
 
