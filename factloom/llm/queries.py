@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import extract, mixing, pieces, toxicity, url_filter, warc
+from . import ann, extract, mixing, near_vectors, pieces, shingle_join, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": extract.op1_html_extraction,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
+    "op4_nearest_neighbours": ann.op4_nearest_neighbours,
+    "op5_embedding_near_dedup": near_vectors.op5_embedding_near_dedup,
+    "op6_ngram_jaccard": shingle_join.op6_ngram_jaccard,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
     "op10_url_filter": url_filter.op10_url_filter,
