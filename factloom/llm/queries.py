@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, extract, mixing, near_vectors, pieces, shingle_join, toxicity, url_filter, warc
+from . import ann, extract, mixing, near_vectors, pieces, repeats, shingle_join, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": extract.op1_html_extraction,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ngram_jaccard": shingle_join.op6_ngram_jaccard,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_warc": warc.op8_warc,
+    "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
