@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,10 +31,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again."""
+def cut(df: DataFrame, name: str = "cut", tidy: bool = False) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it again.
+
+    tidy: let go of the shuffle files of what was cut, now that the table stands for them.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if tidy:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -60,24 +67,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if edges.schema["a"].dataType.simpleString() != "bigint":
         raise TypeError("a and b must be long")
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = _fingerprint(e)
+    mark = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = cut(large.union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct(), "large")
+        large = large.union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        drop(large)
+        new = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         drop(e)
-        e, was, mark = new, mark, _fingerprint(new)
+        e, was, mark = new, mark, tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if was == mark:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(e.select(F.col("v"), F.col("v")).distinct())
 
-
-def _fingerprint(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
