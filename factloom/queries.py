@@ -1,6 +1,356 @@
-"""Named queries over the driver's tables, and their DuckDB twins."""
+"""Named queries over the driver's tables, and their DuckDB twins.
+
+Each applies one operator of the fact layer to whole tables. Money is taken in whole cents, so that sums are exact and
+both engines agree.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import graph as G
+from .operators import relational as R
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def cents(c: str):
+    return F.round(F.col(c) * 100).cast("long")
+
+
+# ---- graph -------------------------------------------------------------------------------------------------------
+
+_EDGES = """
+trade AS (SELECT c.c_nationkey AS a, s.s_nationkey AS b, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2),
+edges AS (SELECT a, b, n FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM trade) WHERE k <= 2)"""
+
+
+def _edges(spark, d):
+    """Each nation's two main supplying nations: a call graph with cycles."""
+    o, c, s = t(spark, d, "orders").select("o_orderkey", "o_custkey"), t(spark, d, "customer").select("c_custkey", "c_nationkey"), t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    trade = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    trade = trade.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.count("*").alias("n"))
+    return trade.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))).where("k <= 2").select("a", "b", "n")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r(root, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.root, e.b FROM r JOIN edges e ON r.node = e.a) SELECT root, node FROM r")
+def reach_closure(spark, d):
+    return G.reach(_edges(spark, d), t(spark, d, "nation").select(F.col("n_nationkey").alias("root")))
+
+
+@query()
+def dfs_trace(spark, d):
+    e = _edges(spark, d).select("a", "b", F.col("n").alias("line"))
+    return G.trace(e, t(spark, d, "nation").select(F.col("n_nationkey").alias("root")))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, r(root, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.root, e.b FROM r JOIN edges e ON r.node = e.a),
+p AS (SELECT n_regionkey AS chunk, node FROM r JOIN nation ON root = n_nationkey GROUP BY 1, 2)
+SELECT chunk, count(*)::BIGINT AS suppliers, sum(s_suppkey)::BIGINT AS key_sum FROM p JOIN supplier ON s_nationkey = node GROUP BY chunk""")
+def scoped_subgraph(spark, d):
+    n = t(spark, d, "nation")
+    r = G.reach(_edges(spark, d), n.select(F.col("n_nationkey").alias("root")))
+    scope = r.join(n, F.col("root") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("chunk"), "node").distinct()
+    return scope.join(t(spark, d, "supplier"), F.col("node") == F.col("s_nationkey")).groupBy("chunk").agg(F.count("*").alias("suppliers"), F.sum("s_suppkey").alias("key_sum"))
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, url FROM pages), m AS (SELECT host, min(url) AS a, max(url) AS b, count(*) AS n FROM p GROUP BY host)
+SELECT host, n::BIGINT AS n, substr(a, 1, (SELECT max(i) FROM range(0, least(length(a), length(b)) + 1) r(i) WHERE substr(a, 1, i) = substr(b, 1, i))) AS prefix FROM m""")
+def prefix_lcp(spark, d):
+    m = t(spark, d, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), "url").groupBy("host").agg(F.min("url").alias("a"), F.max("url").alias("b"), F.count("*").alias("n"))
+    return m.select("host", "n", F.substring(F.col("a"), F.lit(1), S.common_prefix_length(F.col("a"), F.col("b")).cast("int")).alias("prefix"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+p(o_custkey, o_orderkey, k, chunk, total) AS (SELECT o_custkey, o_orderkey, k, 0::BIGINT, w FROM o WHERE k = 1
+ UNION ALL SELECT o.o_custkey, o.o_orderkey, o.k, CASE WHEN p.total > 0 AND p.total + o.w > 50000000 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.total > 0 AND p.total + o.w > 50000000 THEN o.w ELSE p.total + o.w END
+ FROM p JOIN o ON o.o_custkey = p.o_custkey AND o.k = p.k + 1) SELECT o_custkey, o_orderkey, chunk FROM p""")
+def greedy_pack(spark, d):
+    return R.greedy_pack(t(spark, d, "orders").withColumn("w", cents("o_totalprice")), "o_custkey", ["o_orderkey"], "w", 50_000_000).select("o_custkey", "o_orderkey", "chunk")
+
+
+# ---- joins and gates ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT json_extract_string(props, '$.k') AS k, event_type, user_id FROM events)
+SELECT k, coalesce(string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) FILTER (event_type = 'purchase'), '') AS producers,
+ coalesce(string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) FILTER (event_type = 'signup'), '') AS consumers
+FROM e WHERE event_type IN ('purchase', 'signup') GROUP BY k""")
+def choreography_full_outer(spark, d):
+    e = t(spark, d, "events").select(F.get_json_object("props", "$.k").alias("k"), "event_type", F.col("user_id").cast("string").alias("party"))
+    out = R.choreography(e.where("event_type = 'purchase'"), e.where("event_type = 'signup'"), "k")
+    return out.select("k", F.array_join("producers", ",").alias("producers"), F.array_join("consumers", ",").alias("consumers"))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars >= 200 AND d.lang = 'en')")
+def evidence_gate_semi(spark, d):
+    return t(spark, d, "labels").join(t(spark, d, "documents").where("n_chars >= 200 and lang = 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", "toxic")
+
+
+@query("""SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS kept, count(*)::BIGINT AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY l_orderkey""")
+def gate_array_members(spark, d):
+    out = R.gate_members(t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey", "l_partkey", "l_linenumber", t(spark, d, "part").where("p_size <= 25").select("p_partkey"))
+    return out.select("l_orderkey", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"), F.size("kept").cast("long").alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def uncovered_anti(spark, d):
+    return t(spark, d, "customer").join(t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'view'")
+def covered_union(spark, d):
+    e = t(spark, d, "events")
+    return e.where("event_type = 'click'").select("user_id").union(e.where("event_type = 'view'").select(F.get_json_object("props", "$.k").cast("long"))).distinct()
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN p.p_size <= 40 THEN p.p_name WHEN s.s_acctbal > 0 THEN 'external:' || s.s_name END AS target
+FROM lineitem LEFT JOIN part p ON l_partkey = p_partkey LEFT JOIN supplier s ON l_suppkey = s_suppkey WHERE p.p_size <= 40 OR s.s_acctbal > 0""")
+def collab_or_resolved(spark, d):
+    p, s = t(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"), "p_name"), t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(p, "l_partkey", "left").join(s, "l_suppkey", "left")
+    return x.select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.concat(F.lit("external:"), "s_name")).alias("target")).where("target is not null")
+
+
+@query("SELECT o_orderkey, coalesce(s.label, '—') AS label FROM orders LEFT JOIN (VALUES ('F', '200 FILLED'), ('O', '202 OPEN')) s(code, label) ON o_orderstatus = s.code")
+def status_lookup(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", F.coalesce(F.create_map(F.lit("F"), F.lit("200 FILLED"), F.lit("O"), F.lit("202 OPEN"))[F.col("o_orderstatus")], F.lit("—")).alias("label"))
+
+
+@query("SELECT d.doc_id, l.quality AS cached, l.quality IS NOT NULL AS hit FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def cache_lookup(spark, d):
+    return R.cached_or_missing(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels").select("doc_id", F.col("quality").alias("cached")), ["doc_id"], "cached").select("doc_id", "cached", "hit")
+
+
+@query("SELECT DISTINCT a.l_partkey AS p, b.l_partkey AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey JOIN part x ON a.l_partkey = x.p_partkey JOIN part y ON b.l_partkey = y.p_partkey WHERE a.l_partkey < b.l_partkey AND x.p_brand = y.p_brand")
+def er_within_module(spark, d):
+    li = t(spark, d, "lineitem").join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "l_partkey", "p_brand")
+    other = li.select("l_orderkey", "p_brand", F.col("l_partkey").alias("q"))
+    return li.join(other, ["l_orderkey", "p_brand"]).where("l_partkey < q").select(F.col("l_partkey").alias("p"), "q").distinct()
+
+
+@query("SELECT s_suppkey, s_name, EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_nationkey = s_nationkey) AS certain FROM supplier")
+def target_certain(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.lit(True).alias("known")).distinct()
+    return t(spark, d, "supplier").join(c, ["s_suppkey", "s_nationkey"], "left").select("s_suppkey", "s_name", F.coalesce("known", F.lit(False)).alias("certain"))
+
+
+@query("""WITH proposed AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders), ok AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM proposed p WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.o_custkey AND c.c_acctbal > 0))
+SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'O' END AS status, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE '3-MEDIUM' END AS priority,
+ NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS gap FROM ok WHERE k = 1""")
+def behaviour_gate(spark, d):
+    legal = t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    kept = R.first_wins(t(spark, d, "orders").join(legal, "o_custkey", "left_semi").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_custkey"], ["o_orderkey"])
+    seen = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("v")).distinct()
+    return kept.join(seen, "o_orderkey", "left").select("o_custkey", "o_orderkey", S.clamp(F.col("o_orderstatus"), ["F", "O"], "O").alias("status"), S.clamp(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"], "3-MEDIUM").alias("priority"), F.col("v").isNull().alias("gap"))
+
+
+# ---- ordered dedup -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY text")
+def first_wins_dedup(spark, d):
+    return t(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def last_wins(spark, d):
+    return R.first_wins(t(spark, d, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem) WHERE k = 1")
+def alt_flow_first(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("m")).select("l_suppkey", "l_returnflag", "m.l_orderkey", "m.l_linenumber")
+
+
+@query("SELECT l_suppkey, rk, part_qty, lines FROM (SELECT l_suppkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS part_qty, count(*)::BIGINT AS lines, row_number() OVER (ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC, count(*), l_suppkey)::BIGINT AS rk FROM lineitem GROUP BY l_suppkey)")
+def leaderboard(spark, d):
+    g = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("part_qty"), F.count("*").alias("lines"))
+    return g.select("l_suppkey", F.row_number().over(Window.orderBy(F.col("part_qty").desc(), "lines", "l_suppkey")).cast("long").alias("rk"), "part_qty", "lines")
+
+
+@query("SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderpriority = '5-LOW') AS initial, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states, count(*)::BIGINT AS sites FROM orders GROUP BY o_custkey")
+def state_values(spark, d):
+    low = F.when(F.col("o_orderpriority") == "5-LOW", F.struct("o_orderkey", "o_orderstatus"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.min(low)["o_orderstatus"].alias("initial"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"), F.count("*").alias("sites"))
+
+
+# ---- rollups -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority, o_orderstatus, coalesce(list_position(['2-HIGH', '1-URGENT', '5-LOW'], o_orderpriority), 0)::BIGINT AS rk, count(*)::BIGINT AS cards FROM orders GROUP BY 1, 2")
+def category_rank(spark, d):
+    return t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("cards")).select("o_orderpriority", "o_orderstatus", S.rank_in(F.col("o_orderpriority"), ["2-HIGH", "1-URGENT", "5-LOW"]).alias("rk"), "cards")
+
+
+@query("SELECT d.source, count(*)::BIGINT AS total, count(*) FILTER (quality = 0)::BIGINT AS gaps, count(*) FILTER (quality = 0 AND toxic = 1)::BIGINT AS critical, (count(*) - count(*) FILTER (quality = 0))::BIGINT AS verified FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.source")
+def coverage_hist(spark, d):
+    j = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return j.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 0).alias("gaps"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("critical"), F.count_if(F.col("quality") != 0).alias("verified"))
+
+
+@query("SELECT count(DISTINCT k)::BIGINT AS events, count(DISTINCT k) FILTER (event_type = 'purchase')::BIGINT AS produced, count(DISTINCT user_id) FILTER (event_type = 'signup')::BIGINT AS listeners FROM (SELECT json_extract_string(props, '$.k') AS k, event_type, user_id FROM events)")
+def event_stats(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return t(spark, d, "events").agg(F.count_distinct(k).alias("events"), F.count_distinct(F.when(F.col("event_type") == "purchase", k)).alias("produced"), F.count_distinct(F.when(F.col("event_type") == "signup", F.col("user_id"))).alias("listeners"))
+
+
+@query("SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS models FROM events WHERE event_type NOT IN ('error') GROUP BY user_id")
+def distinct_models(spark, d):
+    return t(spark, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("models"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT) * 100 + CAST(round(l_extendedprice * 100) AS BIGINT) * 5 + CAST(round(l_discount * 100) AS BIGINT) * 10)::BIGINT AS cost FROM lineitem GROUP BY 1, 2")
+def spend_sum(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long") * 100 + cents("l_extendedprice") * 5 + cents("l_discount") * 10).alias("cost"))
+
+
+@query("SELECT l_shipdate::DATE::VARCHAR AS chunk, count(*)::BIGINT AS raw, count(*) FILTER (p_size <= 25)::BIGINT AS kept FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def keep_rate(spark, d):
+    j = t(spark, d, "lineitem").select("l_partkey", F.to_date("l_shipdate").cast("string").alias("chunk")).join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    return j.groupBy("chunk").agg(F.count("*").alias("raw"), F.count_if(F.col("p_size") <= 25).alias("kept"))
+
+
+@query("SELECT n_name, count(*)::BIGINT AS n, string_agg(c_name, ';' ORDER BY c_name) AS fields FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def entity_with_fields(spark, d):
+    j = t(spark, d, "customer").select("c_name", F.col("c_nationkey").alias("n_nationkey")).join(t(spark, d, "nation"), "n_nationkey")
+    return j.groupBy("n_name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("c_name")), ";").alias("fields"))
+
+
+@query("SELECT p_brand, min(p_type) AS first_type, arg_min(p_type, p_partkey) AS role FROM part GROUP BY p_brand")
+def role_map(spark, d):
+    return t(spark, d, "part").groupBy("p_brand").agg(F.min("p_type").alias("first_type"), F.min_by("p_type", "p_partkey").alias("role"))
+
+
+@query("SELECT conv_id, sum(len(regexp_extract_all(lower(text), '\\b(the|of|and)\\b')))::BIGINT AS invented, count(*) FILTER (regexp_matches(text, '\\b(GET|POST|PUT|DELETE)\\b'))::BIGINT AS leaks, count(DISTINCT role)::BIGINT AS roles, count(DISTINCT turn) >= 4 AS covered FROM conversations GROUP BY conv_id")
+def keyword_score(spark, d):
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.sum(S.count_words(F.col("text"), ["the", "of", "and"])).alias("invented"), F.count_if(F.col("text").rlike(r"\b(GET|POST|PUT|DELETE)\b")).alias("leaks"), F.count_distinct("role").alias("roles"), (F.count_distinct("turn") >= 4).alias("covered"))
+
+
+@query("SELECT o_custkey, 'erDiagram ' || string_agg(o_orderstatus || '--' || o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey) AS diagram FROM orders GROUP BY o_custkey")
+def diagram_text(spark, d):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.concat(x["o_orderstatus"], F.lit("--"), x["o_orderkey"].cast("string")))
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.concat(F.lit("erDiagram "), F.array_join(lines, " ")).alias("diagram"))
+
+
+# ---- scalars -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN trim(p, '/') = '' THEN '/' ELSE '/' || trim(p, '/') END AS route, 'GET ' || p AS label FROM (SELECT page_id, regexp_extract(url, '://[^/]*([^?#]*)', 1) AS p FROM pages)")
+def route_normalize(spark, d):
+    p = F.regexp_extract("url", "://[^/]*([^?#]*)", 1)
+    return t(spark, d, "pages").select("page_id", S.join_path(F.lit(""), p).alias("route"), F.concat(F.lit("GET "), p).alias("label"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS hash, substr(sha256(text), 1, 8) AS version FROM documents")
+def content_hash(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.content_hash(F.col("text")).alias("hash"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 8).alias("version"))
+
+
+@query("""SELECT o_orderkey, 'sha256:' || sha256(json_object('custkey', o_custkey, 'priority', o_orderpriority, 'status', CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END)::VARCHAR) AS hash FROM orders""")
+def canonical_json_hash(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", S.content_hash(S.canonical_json(custkey=F.col("o_custkey"), priority=F.col("o_orderpriority"), status=F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))).alias("hash"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'happy-path' END AS kind, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN o_orderpriority ELSE 'medium' END AS priority FROM orders")
+def clamp_enums(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", S.clamp(F.col("o_orderstatus"), ["F", "O"], "happy-path").alias("kind"), S.clamp(F.col("o_orderpriority"), ["1-URGENT", "5-LOW"], "medium").alias("priority"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%widget' THEN 'controller' WHEN p_name LIKE '%ring' OR p_name LIKE '%bolt' THEN 'service' WHEN p_type = 'ECONOMY' THEN 'repository' WHEN p_size > 25 THEN 'domain' ELSE 'other' END AS role FROM part")
+def role_case(spark, d):
+    n = F.col("p_name")
+    return t(spark, d, "part").select("p_partkey", F.when(n.endswith("widget"), "controller").when(n.endswith("ring") | n.endswith("bolt"), "service").when(F.col("p_type") == "ECONOMY", "repository").when(F.col("p_size") > 25, "domain").otherwise("other").alias("role"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_name LIKE '_%00' THEN left(c_name, length(c_name) - 2) WHEN c_name LIKE '_%1' THEN left(c_name, length(c_name) - 1) END AS target, regexp_matches(c_name, '(3|5|77)$') AS event_like FROM customer")
+def strip_suffix(spark, d):
+    return t(spark, d, "customer").select("c_custkey", S.strip_suffix(F.col("c_name"), ["00", "1"]).alias("target"), S.ends_with_any(F.col("c_name"), ["3", "5", "77"]).alias("event_like"))
+
+
+@query("SELECT p_partkey, lower(trim(regexp_replace(replace(p_name || 'IsOf_' || p_brand, '_', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))) AS human FROM part")
+def humanize_name(spark, d):
+    return t(spark, d, "part").select("p_partkey", S.humanize(F.concat("p_name", F.lit("IsOf_"), "p_brand")).alias("human"))
+
+
+@query("SELECT s_suppkey, split_part(s_name, '#', -1) AS tail, split_part('a.b.' || s_name, '.', -1) AS simple, s_nationkey::VARCHAR || ':' || s_name AS argument FROM supplier")
+def last_segment(spark, d):
+    typed = F.concat(F.lit("Map<"), F.col("s_nationkey").cast("string"), F.lit(":"), F.col("s_name"), F.lit(", List<String>>"))
+    return t(spark, d, "supplier").select("s_suppkey", S.last_segment(F.col("s_name"), "#").alias("tail"), S.simple_type_name(F.concat(F.lit("a.b."), F.col("s_name"), F.lit("<X>[]"))).alias("simple"), S.first_generic_argument(typed).alias("argument"))
+
+
+@query("SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
+def html_escape(spark, d):
+    return t(spark, d, "pages").select("page_id", F.sha2(S.html_escape(F.col("html")).cast("binary"), 256).alias("escaped"))
+
+
+@query("SELECT doc_id, CASE WHEN length(s) > 40 THEN substr(s, 1, 40) || '…' ELSE s END AS label FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)")
+def label_sanitize(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.shortened(S.one_line(F.col("text")), 40).alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS first_k, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 THEN 0 ELSE 2 END::BIGINT AS n FROM events")
+def first_json_array(spark, d):
+    bad = F.get_json_object("props", "$.k").cast("long") % 3 == 0
+    text = F.concat(F.lit("Sure:\n```json\n"), F.when(bad, F.lit("{no array")).otherwise(F.concat(F.lit("["), F.col("props"), F.lit(",\n"), F.col("props"), F.lit("]"))), F.lit("\n```"))
+    a = S.first_json_array(text, "array<struct<k:bigint>>")
+    return t(spark, d, "events").select("event_id", F.get(a, F.lit(0))["k"].alias("first_k"), F.coalesce(F.when(F.size(a) > 0, F.size(a)), F.lit(0)).cast("long").alias("n"))
+
+
+@query("SELECT s_suppkey, 'supplier_' || s_suppkey::VARCHAR AS tbl, 'nation_key' AS col, 'nation_' || s_nationkey::VARCHAR AS ref_tbl, 'n_key' AS ref_col FROM supplier")
+def fk_regex(spark, d):
+    ddl = F.concat(F.lit("CREATE TABLE IF NOT EXISTS supplier_"), F.col("s_suppkey").cast("string"), F.lit(" (\n id int,\n nation_key int NOT NULL references nation_"), F.col("s_nationkey").cast("string"), F.lit("(n_key)\n);"))
+    inline = r"(?is)(\w+)\s+\w+[^,()]*?references\s+(\w+)\s*\(\s*(\w+)"
+    return t(spark, d, "supplier").select("s_suppkey", F.regexp_extract(ddl, r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?(\w+)", 1).alias("tbl"), F.regexp_extract(ddl, inline, 1).alias("col"), F.regexp_extract(ddl, inline, 2).alias("ref_tbl"), F.regexp_extract(ddl, inline, 3).alias("ref_col"))
+
+
+@query("SELECT event_id, least(1000 * CAST(pow(2, user_id % 8) AS BIGINT), 30000)::BIGINT AS wait_ms FROM events")
+def backoff(spark, d):
+    return t(spark, d, "events").select("event_id", S.backoff_ms(F.col("user_id") % 8 + 1).alias("wait_ms"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN true ELSE false END AS failed, event_type AS kind, user_id AS who FROM events")
+def log_scrape(spark, d):
+    line = F.concat(F.lit("[run] "), F.col("event_type"), F.lit(" by user="), F.col("user_id").cast("string"), F.lit(" ok"))
+    return t(spark, d, "events").select("event_id", line.contains("] error ").alias("failed"), F.regexp_extract(line, r"\] (\w+) by", 1).alias("kind"), F.regexp_extract(line, r"user=(\d+)", 1).cast("long").alias("who"))
+
+
+@query("SELECT c_custkey, 'acct=' || CAST(round(c_acctbal * 100) AS BIGINT)::VARCHAR || ', seg=' || c_mktsegment AS detail FROM customer")
+def annotation_detail(spark, d):
+    pairs = F.array(F.struct(F.lit("acct").alias("k"), cents("c_acctbal").cast("string").alias("v")), F.struct(F.lit("seg").alias("k"), F.col("c_mktsegment").alias("v")))
+    return t(spark, d, "customer").select("c_custkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), ", ").alias("detail"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'REST' WHEN event_type = 'purchase' THEN 'Events' WHEN event_type = 'signup' THEN 'Scheduled' ELSE 'Other' END AS category FROM events")
+def category_label(spark, d):
+    prefix = F.create_map(*[F.lit(x) for x in ("click", "REST", "view", "REST", "purchase", "Events", "signup", "Scheduled")])
+    return t(spark, d, "events").select("event_id", F.coalesce(prefix[F.substring_index(F.concat("event_type", F.lit(":x")), ":", 1)], F.lit("Other")).alias("category"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click')")
+def value_type_exclusion(spark, d):
+    return t(spark, d, "events").where(~F.col("event_type").isin("view", "click")).select("event_id", "event_type")
+
+
+@query("SELECT o_custkey, sha256('Describe:' || chr(10) || string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) || chr(10) || 'Reply with JSON.') AS prompt_hash FROM orders GROUP BY o_custkey")
+def prompt_material(spark, d):
+    keys = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",")
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.sha2(F.concat(F.lit("Describe:\n"), keys, F.lit("\nReply with JSON.")).cast("binary"), 256).alias("prompt_hash"))
