@@ -15,6 +15,8 @@ vec_id are separate vectors of one component if they link; other columns are ign
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,11 @@ from .vectors import USABLE, key, matrix, unit
 
 LEAST = 0.93
 TABLES, BITS = 24, 12
-BLOCK = 1024
+#: Rows of a block of a large bucket; rows of a task group of smaller ones; buckets compared row by row.
+BLOCK, GROUP, SMALL = 1024, 4096, 24
 
 
+@lru_cache(8)
 def _planes(width: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng(20240501 + width).standard_normal((width, tables * bits))
 
@@ -55,37 +59,55 @@ def _hashed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
     return classes.select(*names).mapInArrow(run, schema)
 
 
-def _blocks(hashed: DataFrame, block: int) -> DataFrame:
-    """Rows for each pair of blocks (i <= j) of each bucket (label, width, t, code)."""
+def _blocks(hashed: DataFrame, block: int, groups: int) -> DataFrame:
+    """Rows of the buckets (label, width, t, code) by task group (width, t, g, i, j).
+
+    Buckets of up to `block` rows share one of `groups` groups; a larger one has a group for each pair of its blocks (i <= j).
+    """
     bucket = ["label", "width", "t", "code"]
     spread = hashed.select("*", F.posexplode("codes").alias("t", "code"))
     sizes = spread.groupBy(bucket).agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.count("*").alias("members")).where("members > 1").drop("members")
-    own = spread.join(sizes, bucket).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(5)), "n").cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("cls", "copies", "embedding", *bucket, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"))
+    own = spread.join(sizes, bucket).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(5)), "n").cast("int")).withColumn("h", F.xxhash64("label", "code"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("cls", "copies", "embedding", *bucket, F.when(F.col("n") > 1, F.col("h")).otherwise(F.pmod("h", F.lit(groups))).alias("g"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), F.col("h"))
 
 
 def _compare(least: float, tables: int, bits: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         t, one = rows.column("t")[0].as_py(), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        ids, copies, second = (rows.column(c).to_numpy() for c in ("cls", "copies", "second"))
-        x = unit(matrix(rows.column("embedding").combine_chunks()))
+        ids, copies, second, bucket = (rows.column(c).to_numpy() for c in ("cls", "copies", "second", "h"))
+        order = np.argsort(bucket, kind="stable")
+        ids, copies, second, bucket = ids[order], copies[order], second[order], bucket[order]
+        x = unit(matrix(rows.column("embedding").combine_chunks()))[order]
         code = codes(x, tables, bits)[:, :t]
-        a = np.arange(len(ids)) if one else np.flatnonzero(~second)
-        b = a if one else np.flatnonzero(second)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(0, len(a), 128):
-            r, c = np.nonzero(x[a[k : k + 128]] @ x[b].T >= least)
-            p, q = a[k + r], b[c]
-            new = p < q if one else p >= 0
-            new[new] = ~(code[p[new]] == code[q[new]]).any(axis=1)  # not met in an earlier table
+
+        def met(p, q):
+            new = ~(code[p] == code[q]).any(axis=1)  # not met in an earlier table
             found.append((p[new], q[new]))
+
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(starts[1:], len(ids))
+        small = ends - starts <= SMALL if one else np.zeros(len(starts), bool)
+        for a, b in zip(starts[~small], ends[~small]):
+            left = np.arange(a, b) if one else a + np.flatnonzero(~second[a:b])
+            right = left if one else a + np.flatnonzero(second[a:b])
+            for k in range(0, len(left), 128):
+                r, c = np.nonzero(x[left[k : k + 128]] @ x[right].T >= least)
+                p, q = left[k + r], right[c]
+                met(*((p[p < q], q[p < q]) if one else (p, q)))
+        for step in range(1, SMALL):  # in small buckets, each row with the one `step` behind it
+            p = np.concatenate([np.arange(a, b - step) for a, b in zip(starts[small], ends[small]) if b - a > step] or [np.zeros(0, int)])
+            if not len(p):
+                break
+            p = p[np.einsum("ij,ij->i", x[p], x[p + step]) >= least]
+            met(p, p + step)
         p, q = (np.concatenate([f[k] for f in found]) for k in (0, 1)) if found else (np.zeros(0, int), np.zeros(0, int))
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, p, copies[q])
         np.add.at(links, q, copies[p])
         least_id, was = ids.copy(), None
-        while was is None or (was != least_id).any():  # the least id reached within these blocks
+        while was is None or (was != least_id).any():  # the least id reached within these rows
             was = least_id.copy()
             m = np.minimum(least_id[p], least_id[q])
             np.minimum.at(least_id, p, m)
@@ -102,7 +124,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TABL
     part = F.expr(f"coalesce({USABLE} and label is not null, false)")
     rows = vectors.where(part).withColumn("key", key())
     classes = cut(rows.groupBy("label", "key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.min("embedding").alias("embedding")), "classes")
-    pairs = _blocks(_hashed(classes, tables, bits), block).groupBy("label", "width", "t", "code", "i", "j").applyInArrow(_compare(least, tables, bits), "cls long, links long, to long")
+    count = max(1, classes.count() // GROUP)
+    pairs = _blocks(_hashed(classes, tables, bits), block, count).groupBy("width", "t", "g", "i", "j").applyInArrow(_compare(least, tables, bits), "cls long, links long, to long")
     pairs = cut(pairs, "links")
     links = pairs.groupBy("cls").agg(F.sum("links").alias("links"))
     comps = components(pairs.select(F.col("cls").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "cls")
