@@ -246,7 +246,8 @@ def _windows(length: int):
 def marks(keyed: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """key, a, b: stretches of bytes that occur elsewhere; they cover all of them and may overlap."""
     segs = cut(_cut_up(keyed, length), "segments")
-    seen = segs.groupBy("m").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", (F.col("lo") != F.col("hi")).alias("differ"))
+    # cut, so that the join's sides are both shuffled for it and a hot minimiser can be split
+    seen = cut(segs.groupBy("m").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", (F.col("lo") != F.col("hi")).alias("differ")), "seen")
     kept = cut(segs.join(seen, "m"), "kept", tidy=True)
     drop(segs)
     kinds = cut(kept.where("differ").groupBy("m", "h").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "size")).alias("r")).select("m", "h", "copies", "r.*"), "kinds")
