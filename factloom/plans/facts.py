@@ -24,6 +24,12 @@ PUBLISHERS = ("publishEvent", "publish", "send", "emit")
 VALUES = ("String", "Integer", "Long", "Short", "Byte", "Boolean", "Double", "Float", "Character", "BigDecimal", "BigInteger", "List", "Set", "Map", "Collection", "Optional", "UUID", "LocalDate", "LocalDateTime", "Instant", "Duration", "Object", "int", "long", "boolean", "double")
 TEST_SUFFIXES = ("ITCase", "Tests", "Test", "IT")
 
+#: Status labels, validation annotations, guard calls and what they demand.
+STATUS = {"OK": "200 OK", "CREATED": "201 CREATED", "NO_CONTENT": "204 NO_CONTENT", "BAD_REQUEST": "400 BAD_REQUEST", "UNAUTHORIZED": "401 UNAUTHORIZED", "FORBIDDEN": "403 FORBIDDEN", "NOT_FOUND": "404 NOT_FOUND", "CONFLICT": "409 CONFLICT", "UNPROCESSABLE_ENTITY": "422 UNPROCESSABLE_ENTITY", "INTERNAL_SERVER_ERROR": "500 INTERNAL_SERVER_ERROR"}
+CONSTRAINTS = ("NotNull", "NotBlank", "NotEmpty", "Size", "Min", "Max", "Positive", "PositiveOrZero", "Negative", "NegativeOrZero", "Email", "Pattern", "Past", "PastOrPresent", "Future", "FutureOrPresent", "DecimalMin", "DecimalMax", "Digits", "AssertTrue", "AssertFalse", "Valid")
+GUARD_HOLDERS = ("Guard", "Objects", "Assert", "Preconditions", "Validate")
+GUARDS = {"requireNonNull": "NotNull", "notNull": "NotNull", "checkNotNull": "NotNull", "hasText": "NotBlank", "hasLength": "NotEmpty", "notEmpty": "NotEmpty", "notBlank": "NotBlank", "isTrue": "AssertTrue", "checkArgument": "AssertTrue", "checkState": "AssertTrue", "state": "AssertTrue", "positive": "Positive"}
+
 _TYPE = r"(?:^|.*? )(class|interface|enum|record) (\w+).*$"
 _METHOD = r"^(.*? )?([\w.]+(?: < .* >)?(?: \[ \])*) (\w+) \( ?(.*?) ?\)(?: throws .*)?$"
 _FIELD = r"^(.*? )?([\w.]+(?: < [^=]* >)?(?: \[ \])*) (\w+)(?: = .*)?$"
@@ -198,6 +204,46 @@ class Facts:
         s = s.select("file", "start", "line", F.regexp_extract("text", pattern, 1).alias("exception_type"), F.nullif(F.regexp_extract(F.regexp_extract("text", pattern, 2), r'"([^"]*)"', 1), F.lit("")).alias("message"))
         return s.join(self.methods.select("file", "body", "body_end", F.col("id").alias("method_id")), "file").where("start > body and start < body_end").select("exception_type", "message", "method_id", "file", "line")
 
+    def exception_statuses(self) -> DataFrame:
+        """exception_type, status, source: from @ResponseStatus on exceptions and @ExceptionHandler methods of advice classes; first by source."""
+        label = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
+        code = lambda c: F.regexp_extract(F.get(annotation_text(F.col("annotations"), "ResponseStatus"), F.lit(0))["args"], r"HttpStatus \. (\w+)", 1)
+        shown = lambda c: F.coalesce(label[c], F.nullif(c, F.lit("")), F.lit("—"))
+        own = self.types.where("simple like '%Exception'").withColumn("code", code(0)).where("code <> ''").select(F.col("simple").alias("exception_type"), shown(F.col("code")).alias("status"), F.col("simple").alias("source"))
+        advice = self.types.where(F.exists("annotations", lambda a: a["name"].isin("ControllerAdvice", "RestControllerAdvice"))).select("type_id")
+        m = self.methods.join(advice, "type_id", "left_semi").withColumn("h", F.get(annotation_text(F.col("annotations"), "ExceptionHandler"), F.lit(0))).where("h is not null").withColumn("code", code(0))
+        named = F.regexp_extract_all(F.col("h.args"), F.lit(r"(\w+) \. class"), 1)
+        params = F.filter(F.transform("params", lambda p: p["type"]), lambda x: x.endswith("Exception"))
+        handled = m.select(F.explode(F.when(F.size(named) > 0, named).otherwise(params)).alias("exception_type"), shown(F.col("code")).alias("status"), F.concat("simple", F.lit("#"), "name").alias("source"))
+        return first_wins(own.unionByName(handled), ["exception_type"], ["source", "status"])
+
+    def input_constraints(self) -> DataFrame:
+        """entry_point, command_type, field, constraint, detail: validation of the types that HTTP methods take as bodies."""
+        body = F.regexp_extract("text", r"@ RequestBody (?:@ \w+ )*(?:final )?(\w+)", 1)
+        taken = self.statements.where("text like '%@ RequestBody %'").select("file", "start", body.alias("command_type"))
+        taken = taken.join(self.methods.select("file", "start", F.col("id").alias("method_id")), ["file", "start"]).join(self.entry_points().where("category = 'http'").select("method_id", F.col("id").alias("entry_point")), "method_id")
+        fields = self.fields.join(self.types.select("type_id", F.col("simple").alias("command_type")), "type_id").select("command_type", F.col("name").alias("field"), "annotations")
+        parts = self.statements.where((F.col("ends") == "{") & F.col("text").rlike(r"(^| )record \w+ \(")).select(F.regexp_extract("text", r"(?:^| )record (\w+) ", 1).alias("command_type"), F.regexp_extract("text", r"record \w+ \( (.*) \)", 1).alias("all"))
+        parts = parts.select("command_type", F.explode(F.split("all", r" , (?![^()]*\))")).alias("part")).select("command_type", S.last_segment(F.col("part"), " ").alias("field"), _annotated(F.col("part")).alias("annotations"))
+        a = fields.unionByName(parts).select("command_type", "field", F.explode("annotations").alias("a")).where(F.col("a.name").isin(*CONSTRAINTS))
+        return taken.join(a, "command_type").select("entry_point", "command_type", "field", F.col("a.name").alias("constraint"), F.nullif(F.replace(F.replace(F.col("a.args"), F.lit(" = "), F.lit("=")), F.lit(" ,"), F.lit(",")), F.lit("")).alias("detail"))
+
+    def guard_checks(self) -> DataFrame:
+        """field, constraint, detail, method_id, file, line of guard calls on a known holder with an argument."""
+        pattern = rf"(?:^|.* )({'|'.join(GUARD_HOLDERS)}) \. (\w+) \( (.+?)(?: , (.*))? \).*$"
+        s = self.statements.where(F.col("text").rlike(pattern)).join(self.files.where("source_set <> 'test'").select("file"), "file", "left_semi")
+        s = s.select("file", "start", "line", F.create_map(*[F.lit(x) for kv in GUARDS.items() for x in kv])[F.regexp_extract("text", pattern, 2)].alias("constraint"), S.shortened(F.regexp_replace(F.regexp_extract("text", pattern, 3), r"^this \. ", ""), 40).alias("field"), F.nullif(F.regexp_extract(F.regexp_extract("text", pattern, 4), r'"([^"]*)"', 1), F.lit("")).alias("detail")).where("constraint is not null")
+        return s.join(self.methods.select("file", "body", "body_end", F.col("id").alias("method_id")), "file").where("start > body and start < body_end").select("field", "constraint", "detail", "method_id", "file", "line")
+
+    def flows(self) -> tuple[DataFrame, DataFrame]:
+        """(alternative flows: entry_point, exception_type, status, message; guards: entry_point, field, constraint): facts in reach of each HTTP entry point, the first of a kind."""
+        eps = self.entry_points().where("category = 'http'").select(F.col("id").alias("entry_point"), F.col("method_id").alias("root"))
+        near = reach(self.call_edges(), eps.select("root").distinct()).join(eps, "root").select("entry_point", F.col("node").alias("method_id"))
+        thrown = first_wins(near.join(self.throw_sites(), "method_id"), ["entry_point", "exception_type"], ["method_id", "file", "line"])
+        alternatives = thrown.join(self.exception_statuses().select("exception_type", "status"), "exception_type", "left").select("entry_point", "exception_type", F.coalesce("status", F.lit("—")).alias("status"), "message")
+        guards = first_wins(near.join(self.guard_checks(), "method_id"), ["entry_point", "field", "constraint"], ["method_id", "file", "line"]).select("entry_point", "field", "constraint")
+        return alternatives, guards
+
     def event_flows(self) -> DataFrame:
         """event, producers, consumers (arrays of Class#method@line): a full outer join on the event's simple name."""
         from ..operators.relational import choreography
