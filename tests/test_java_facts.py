@@ -172,3 +172,24 @@ def test_hashes_and_cache(spark):
     known = asked.where("task = 'a'").select("source_hash", "prompt_version", F.lit("[]").alias("answer"))
     hits, misses = E.split_by_cache(asked, known)
     assert [r.task for r in hits.collect()] == ["a"] and [r.task for r in misses.collect()] == ["b"]
+
+
+def test_publishing_is_deterministic(spark, tmp_path):
+    from factloom.plans import publish
+
+    root = tmp_path / "service"
+    for name, text in SOURCES.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    first = publish.index(spark, str(root), str(tmp_path / "a"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = publish.index(spark, str(root), str(tmp_path / "b"))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert first["artifacts"] == again["artifacts"] and first["artifacts"]["entry_points"]["rows"] == 5
+    d = {r.entry_point: r.diagram for r in spark.read.parquet(str(tmp_path / "a" / "sequence_diagrams")).collect()}
+    assert d["http:POST /books"].split("\n") == ["sequenceDiagram", "BookController->>BookService: add", "BookService->>Bus: publishEvent", "BookService->>BookRepository: save"]
+    s = spark.read.parquet(str(tmp_path / "a" / "state_diagrams")).first()
+    assert s.diagram.split("\n")[1] == "[*] --> FREE"
+    assert publish.report(spark, str(tmp_path / "a")).where("html like '%<td>http:POST /books</td>%'").count() > 0
+    assert publish.unclassified(spark.read.parquet(str(tmp_path / "a" / "entry_points")), spark.createDataFrame([("http:POST /books",)], "entry_point string")).count() == 4
