@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from .common import cut, drop, table
 
 LENGTH, K = 200, 24
-BUCKET_BYTES, HOT_BYTES = 1 << 21, 1 << 23
+BUCKET_BYTES, HOT_BYTES = 1 << 20, 1 << 22
 #: Bytes of text that are hashed together, and the bits of a place among them.
 TOGETHER, _PLACE = 1 << 20, np.uint64((1 << 21) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -259,9 +259,11 @@ def marks(keyed: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES, bu
 
     def fetch(batches):
         for b in batches:
-            for key, raw, want in zip(*[b.column(c).to_pylist() for c in ("key", "raw", "wanted")]):
-                cols = [[w[c] for w in want] for c in ("m", "start", "size", "single", "hot")]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([key] * len(want), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.bool_()), pa.array([raw[a : a + n] for a, n in zip(cols[1], cols[2])], pa.binary())], ["m", "key", "start", "single", "hot", "piece"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                rows = [(w["m"], key, w["start"], w["single"], w["hot"], raw[w["start"] : w["start"] + w["size"]]) for key, raw, want in zip(*[part.column(c).to_pylist() for c in ("key", "raw", "wanted")]) for w in want]
+                kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds_of)], ["m", "key", "start", "single", "hot", "piece"])
 
     pieces = keyed.select("key", "raw").join(wanted, "key")
     pieces = cut(pieces.mapInArrow(fetch, "m long, key long, start int, single boolean, hot boolean, piece binary"), "pieces", tidy=True)
