@@ -91,7 +91,7 @@ class Facts:
         params = F.transform(F.filter(F.split(generic, " , "), lambda p: p.contains(" ")), lambda p: F.struct(S.last_segment(p, " ").alias("name"), S.simple_type_name(F.regexp_replace(F.regexp_replace(p, r" \w+$", ""), r"^final ", "")).alias("type")))
         ends = self.tokens.where("tok = '}'").select("file", (F.col("depth") - 1).alias("depth"), F.col("pos").alias("end"))
         close = m.where("ends = '{'").select("file", "start", "stop", "depth").join(ends, ["file", "depth"]).where("end > stop").groupBy("file", "start").agg(F.min("end").alias("body_end"))
-        m = m.join(close, ["file", "start"], "left").select("file", "type_id", "simple", "type_kind", "name", S.simple_type_name(F.col("return_type")).alias("return_type"), params.alias("params"), "line", F.col("stop").alias("body"), F.coalesce("body_end", "stop").alias("body_end"), "start", _annotated(F.col("text")).alias("annotations"))
+        m = m.join(close, ["file", "start"], "left").select("file", "type_id", "simple", "type_kind", "name", S.simple_type_name(F.col("return_type")).alias("return_type"), F.replace(F.col("return_type"), F.lit(" "), F.lit("")).alias("return_text"), params.alias("params"), "line", F.col("stop").alias("body"), F.coalesce("body_end", "stop").alias("body_end"), "start", _annotated(F.col("text")).alias("annotations"))
         w = Window.partitionBy("type_id", "name").orderBy("file", "start")
         return m.withColumn("k", F.row_number().over(w)).withColumn("id", F.concat("type_id", F.lit("#"), "name", F.when(F.col("k") > 1, F.concat(F.lit("~"), F.col("line").cast("string"))).otherwise(""))).drop("k")
 
@@ -122,7 +122,7 @@ class Facts:
         return e.join(per, "type_id", "left").drop("type_id")
 
     def entry_points(self) -> DataFrame:
-        """category, id, http_method, path, destination, class_name, method, file, line, method_id of HTTP, scheduled and event entry points."""
+        """category, id, http_method, path, destination, class_name, method, file, line, method_id of HTTP, scheduled, event (listeners and functional beans) and command-line entry points."""
         base = self.types.select("type_id", _named(F.get(annotation_text(F.col("annotations"), "RequestMapping"), F.lit(0))["args"], "path").alias("base"))
         main = self.files.where("source_set <> 'test'").select("file")
         m = self.methods.join(main, "file", "left_semi").join(base, "type_id").withColumn("a", F.explode("annotations")).withColumn("ann", F.col("a.name")).withColumn("args", F.col("a.args"))
@@ -134,7 +134,11 @@ class Facts:
         timed = m.where("ann = 'Scheduled'").select(F.lit("scheduled").alias("category"), F.concat(F.lit("scheduled:"), "simple", F.lit("#"), "name").alias("id"), none.alias("http_method"), none.alias("path"), _named(F.col("args"), "cron").alias("destination"), *common)
         payload = F.get("params", F.lit(0))["type"]
         events = m.where(F.col("ann").isin(*LISTENERS)).select(F.lit("event").alias("category"), F.concat(F.lit("event:"), "type_id", F.lit("#"), "name", F.lit("("), F.coalesce(payload, F.concat(F.lit("@"), F.col("line").cast("string"))), F.lit(")")).alias("id"), none.alias("http_method"), none.alias("path"), payload.alias("destination"), *common)
-        return http.unionByName(timed).unionByName(events)
+        trigger = S.first_generic_argument(F.col("return_text"))
+        functional = m.where("ann = 'Bean' and return_type in ('Consumer', 'Function')").select(F.lit("event").alias("category"), F.concat(F.lit("event:"), "type_id", F.lit("#"), "name", F.lit("("), F.coalesce(trigger, F.lit("?")), F.lit(")")).alias("id"), none.alias("http_method"), none.alias("path"), S.simple_type_name(trigger).alias("destination"), *common)
+        runners = self.types.where(F.col("head").rlike(r" implements .*\b(CommandLineRunner|ApplicationRunner)\b")).select("type_id")
+        cli = self.methods.join(main, "file", "left_semi").join(runners, "type_id", "left_semi").where("name = 'run'").select(F.lit("cli").alias("category"), F.concat(F.lit("cli:"), "simple").alias("id"), none.alias("http_method"), none.alias("path"), none.alias("destination"), *common)
+        return http.unionByName(timed).unionByName(events).unionByName(functional).unionByName(cli)
 
     def calls(self) -> DataFrame:
         """caller (method id), type_id, file, line, receiver (null: none), through_this, name, pos of each call in a method."""
@@ -189,8 +193,9 @@ class Facts:
         return s.join(m, (F.col("file") == F.col("f")) & (F.col("start") > F.col("body")) & (F.col("start") < F.col("body_end")), "left").select("enum_type", "field", "value", "class_name", "method", "file", "line")
 
     def state_machines(self) -> DataFrame:
-        """enum_type, states (sorted), sites (values with lines) of enums whose name tells of a status or state."""
-        e = self.types.where("kind = 'enum' and lower(simple) rlike 'status|state'")
+        """enum_type, states (sorted), sites (values with lines) of enums that are named, or held in a field named, status or state."""
+        held = self.fields.where("name in ('status', 'state')").select(S.simple_type_name(F.col("type")).alias("simple"), F.lit(True).alias("held")).distinct()
+        e = self.types.where("kind = 'enum'").join(held, "simple", "left").where("held or lower(simple) rlike 'status|state'")
         body = self.statements.join(e.select("file", "open", "close", "simple"), "file").where("start = open + 1 or (start > open and start < close)")
         body = first_wins(body, ["file", "simple"], ["start"])
         states = F.array_sort(F.filter(F.split(F.regexp_replace(_clean(F.col("text")), r" \( [^()]* \)", ""), r" ?, ?"), lambda x: x.rlike(r"^\w+$")))

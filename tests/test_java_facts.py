@@ -88,6 +88,16 @@ public class Book {
     void lend() { this.state = BookState.LENT; }
 }
 ''',
+    "app/src/main/java/shop/core/Jobs.java": '''package shop.core;
+@Configuration
+class Jobs implements CommandLineRunner {
+    private Phase state;
+    @Bean
+    Consumer<BookAdded> stock() { return x -> { }; }
+    public void run(String... args) { this.state = Phase.DONE; }
+}
+''',
+    "app/src/main/java/shop/core/Phase.java": "package shop.core;\nenum Phase { OPEN, DONE; Phase next() { return DONE; } }\n",
     "app/src/main/java/shop/core/BookState.java": "package shop.core;\nenum BookState { FREE, LENT, GONE }\n",
     "app/src/main/java/shop/core/MissingBookException.java": "package shop.core;\n@ResponseStatus(HttpStatus.NOT_FOUND)\nclass MissingBookException extends RuntimeException { }\n",
     "app/src/test/java/shop/core/BookServiceTest.java": '''package shop.core;
@@ -127,10 +137,10 @@ def test_relations(facts):
     assert (e["name"], e["kind"], e["table"], e["line"]) == ("Book", "ENTITY", "book", 2)
     assert [(f["name"], f["column"], f["id"]) for f in e["fields"]] == [("id", None, True), ("state", None, False), ("title", "book_title", False)]
     assert [tuple(r) for r in e["relations"]] == [("copies", "OneToMany", "Copy", False)]
-    assert {(r.id, r.line) for r in facts.entry_points().collect()} == {("http:GET /books/{id}", 11), ("http:POST /books", 14), ("http:PUT /books/loan", 19), ("event:shop.core.BookService#on(BookAdded)", 26), ("scheduled:BookService#sweep", 29)}
-    assert {(r.enum_type, r.value, r.method) for r in facts.assignment_sites().collect()} == {("BookState", "FREE", None), ("BookState", "LENT", "lend")}
-    assert [(r.enum_type, r.states, len(r.sites)) for r in facts.state_machines().collect()] == [("BookState", ["FREE", "GONE", "LENT"], 2)]
-    assert [(r.event, r.producers, r.consumers) for r in facts.event_flows().collect()] == [("BookAdded", ["BookService#add@19"], ["BookService#on@26"])]
+    assert {(r.id, r.line) for r in facts.entry_points().collect()} == {("http:GET /books/{id}", 11), ("http:POST /books", 14), ("http:PUT /books/loan", 19), ("event:shop.core.BookService#on(BookAdded)", 26), ("scheduled:BookService#sweep", 29), ("event:shop.core.Jobs#stock(BookAdded)", 5), ("cli:Jobs", 7)}
+    assert {(r.enum_type, r.value, r.method) for r in facts.assignment_sites().collect()} == {("BookState", "FREE", None), ("BookState", "LENT", "lend"), ("Phase", "DONE", "run")}
+    assert sorted((r.enum_type, r.states, len(r.sites)) for r in facts.state_machines().collect()) == [("BookState", ["FREE", "GONE", "LENT"], 2), ("Phase", ["DONE", "OPEN"], 1)]
+    assert [(r.event, r.producers, r.consumers) for r in facts.event_flows().collect()] == [("BookAdded", ["BookService#add@19"], ["BookService#on@26", "Jobs#stock@5"])]
     assert {(r.test_class, r.target, r.certain, r.description) for r in facts.test_scenarios().collect()} == {("BookServiceTest", "BookService", True, "finds a book"), ("BookServiceTest", "BookService", True, "adds a new book")}
     assert {(r.entry_point, r.command_type, r.field, r.constraint, r.detail) for r in facts.input_constraints().collect()} == {("http:POST /books", "AddBook", "title", "NotBlank", None), ("http:POST /books", "AddBook", "code", "Size", "min=1, max=9"), ("http:PUT /books/loan", "Loan", "id", "NotNull", None)}
 
@@ -139,7 +149,7 @@ def test_graph_and_flows(facts):
     nodes, edges = facts.call_graph()
     s, c = "shop.core.BookService#", "shop.web.BookController#"
     assert {(r.a, r.b) for r in edges.collect()} == {(c + "find", s + "find"), (c + "add", s + "add"), (c + "loan", s + "find"), (c + "loan", "shop.core.Book#lend"), (c + "loan", "shop.web.Loan#id"), (c + "loan", "external:Clock#now"), (s + "find", "shop.core.BookRepository#findOne"), (s + "find", s + "check"), (s + "check", s + "find"), (s + "add", "external:Bus#publishEvent"), (s + "add", "external:BookRepository#save"), (s + "sweep", s + "check")}
-    assert nodes.count() == 14
+    assert nodes.count() == 16
     alternatives, guards = facts.flows()
     assert {tuple(r) for r in alternatives.collect()} == {("http:GET /books/{id}", "MissingBookException", "404 NOT_FOUND", "no such book"), ("http:PUT /books/loan", "MissingBookException", "404 NOT_FOUND", "no such book")}
     assert {tuple(r) for r in guards.collect()} == {("http:GET /books/{id}", "id", "NotNull"), ("http:PUT /books/loan", "id", "NotNull")}
@@ -186,10 +196,10 @@ def test_publishing_is_deterministic(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     again = publish.index(spark, str(root), str(tmp_path / "b"))
     spark.conf.set("spark.sql.shuffle.partitions", was)
-    assert first["artifacts"] == again["artifacts"] and first["artifacts"]["entry_points"]["rows"] == 5
+    assert first["artifacts"] == again["artifacts"] and first["artifacts"]["entry_points"]["rows"] == 7
     d = {r.entry_point: r.diagram for r in spark.read.parquet(str(tmp_path / "a" / "sequence_diagrams")).collect()}
     assert d["http:POST /books"].split("\n") == ["sequenceDiagram", "BookController->>BookService: add", "BookService->>Bus: publishEvent", "BookService->>BookRepository: save"]
-    s = spark.read.parquet(str(tmp_path / "a" / "state_diagrams")).first()
+    s = spark.read.parquet(str(tmp_path / "a" / "state_diagrams")).where("enum_type = 'BookState'").first()
     assert s.diagram.split("\n")[1] == "[*] --> FREE"
     assert publish.report(spark, str(tmp_path / "a")).where("html like '%<td>http:POST /books</td>%'").count() > 0
-    assert publish.unclassified(spark.read.parquet(str(tmp_path / "a" / "entry_points")), spark.createDataFrame([("http:POST /books",)], "entry_point string")).count() == 4
+    assert publish.unclassified(spark.read.parquet(str(tmp_path / "a" / "entry_points")), spark.createDataFrame([("http:POST /books",)], "entry_point string")).count() == 6
