@@ -67,6 +67,21 @@ class Facts:
         self.types = self._types().persist()
         self.methods = self._methods().persist()
         self.fields = self._fields().persist()
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        """A relation that others build on is made once and kept."""
+        if name not in self._kept:
+            self._kept[name] = make().persist()
+        return self._kept[name]
+
+    def entry_points(self) -> DataFrame:
+        """category, id, http_method, path, destination, class_name, method, file, line, method_id of HTTP, scheduled, event (listeners and functional beans) and command-line entry points."""
+        return self._once("entry_points", self._entry_points)
+
+    def call_edges(self) -> DataFrame:
+        """a (caller), b (callee or external:Type#name), file, line: every call that resolves."""
+        return self._once("call_edges", self._call_edges)
 
     def _types(self) -> DataFrame:
         """file, type_id, simple, kind, line, depth, open, close, annotations, head."""
@@ -121,8 +136,7 @@ class Facts:
         )
         return e.join(per, "type_id", "left").drop("type_id")
 
-    def entry_points(self) -> DataFrame:
-        """category, id, http_method, path, destination, class_name, method, file, line, method_id of HTTP, scheduled, event (listeners and functional beans) and command-line entry points."""
+    def _entry_points(self) -> DataFrame:
         base = self.types.select("type_id", _named(F.get(annotation_text(F.col("annotations"), "RequestMapping"), F.lit(0))["args"], "path").alias("base"))
         main = self.files.where("source_set <> 'test'").select("file")
         m = self.methods.join(main, "file", "left_semi").join(base, "type_id").withColumn("a", F.explode("annotations")).withColumn("ann", F.col("a.name")).withColumn("args", F.col("a.args"))
@@ -161,8 +175,7 @@ class Facts:
         own = self.methods.select(F.col("id").alias("caller"), "type_id").join(self.fields, "type_id").select("caller", F.col("name").alias("receiver"), S.simple_type_name(F.col("type")).alias("type"), F.lit(2).alias("rank"))
         return first_wins(params.unionByName(locals_).unionByName(own), ["caller", "receiver"], ["rank", "type"])
 
-    def call_edges(self) -> DataFrame:
-        """a (caller), b (callee or external:Type#name), file, line: every call that resolves."""
+    def _call_edges(self) -> DataFrame:
         first = first_wins(self.methods.select("type_id", "simple", "name", "id", "file", "start"), ["type_id", "name"], ["file", "start"])
         by_simple = first_wins(first, ["simple", "name"], ["file", "start"])
         c = self.calls()
