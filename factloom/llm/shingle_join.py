@@ -5,7 +5,9 @@ order: first the tokens whose hash is below ZONE, rarest first by their exact do
 the rest by hash. Tokens of the zone in at most RARE documents are indexed singly; frequent ones, and those outside the
 zone, fall into CLASSES classes by hash and are indexed by pairs of one class. A set's prefix is extended - one token
 for each such class that it meets - until two sets that are similar enough must share a signature: the tokens that may
-differ can't break up every single token and every pair. A token of one document fills its place in the prefix without
+differ can't break up every single token and every pair. A set that runs out first (100 * CLASSES / percent tokens at
+most) also has the first tokens of an ordinary prefix as single signatures: two such sets share one of these, and with a
+set that doesn't run out it shares a pair or a rare token. A token of one document fills its place in the prefix without
 any signature, so most documents have none and leave early.
 
 Candidates are verified exactly, without listing all pairs of a bucket: every set of a bucket is compared with the
@@ -103,11 +105,12 @@ def prefix_signatures(head: np.ndarray, n: int, shared: dict[int, int], percent:
     """
     need, zone = base(n, percent), int(np.searchsorted(head, np.uint64(ZONE)))
     inside, beyond = _long(head[:zone]).tolist(), _long(head[zone:])
-    at = got = len(inside) - len(shared)  # tokens of this document alone come first and match nothing
+    at = got = own = len(inside) - len(shared)  # tokens of this document alone come first and match nothing
     if got >= need:
         return []
     out, members = [], {}
-    for token, count in sorted(((t, shared[t]) for t in inside if t in shared), key=lambda x: (x[1], x[0])):
+    ranked = sorted(((t, shared[t]) for t in inside if t in shared), key=lambda x: (x[1], x[0]))
+    for token, count in ranked:
         if got >= need:
             return out
         if count <= RARE:
@@ -120,7 +123,11 @@ def prefix_signatures(head: np.ndarray, n: int, shared: dict[int, int], percent:
         if got >= need:
             return out
         got += _pairs(token, members, out)
-    return out  # the whole set is its prefix
+    if got >= need or percent * (n + 1) > 100 * n:  # to the smallest sets only equal ones are similar
+        return out
+    # the whole set is its prefix, but its pairs may be too few: two such sets meet in one of their first tokens
+    first = ([t for t, _ in ranked] + beyond.tolist())[: need - own]
+    return out + [(t, own + k) for k, t in enumerate(first) if shared.get(t, RARE + 1) > RARE]
 
 
 def _pairs(token: int, members: dict, out: list) -> int:

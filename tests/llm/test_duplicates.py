@@ -91,6 +91,46 @@ def test_prefixes_always_share_a_signature(monkeypatch):
         assert any(fits(len(a), sig[0][x], len(b), sig[1][x]) for x in sig[0].keys() & sig[1].keys())
 
 
+def test_small_sets_share_a_signature():
+    rng = np.random.default_rng(2)
+    for percent in (85, 80):
+        for n in range(4, 26):
+            for more in (1, 2):
+                if 100 * n < percent * (n + more):
+                    continue
+                for _ in range(100):
+                    b = np.unique(rng.integers(0, 1 << 63, n + more, dtype=np.uint64) << np.uint64(1))
+                    a = np.sort(rng.permutation(b)[:n])
+                    common = set(a.view(np.int64).tolist())
+                    df = {t: int(rng.choice([2, 400, 600, 5000])) for t in b[b < np.uint64(shingle_join.ZONE)].view(np.int64).tolist() if t in common or rng.random() < 0.5}
+                    sig = [dict(shingle_join.prefix_signatures(s, len(s), {t: c for t, c in df.items() if t in s.view(np.int64)}, percent)) for s in (a, b)]
+                    assert any((100 + percent) * min(n - sig[0][x], n + more - sig[1][x]) >= percent * (2 * n + more) for x in sig[0].keys() & sig[1].keys()), (percent, n, more)
+
+
+def test_short_texts_with_words_appended(spark):
+    random.seed(12)
+    rows, families = [], []
+    for size in range(4, 26):
+        for k in range(12):
+            base = [f"s{size}k{k}w{j}" for j in range(size + 3)]
+            families.append([base, base + ["more"], base + ["more", "still"]])
+    for k in range(3):  # shingles in more than RARE sets
+        base = [f"hot{k}w{j}" for j in range(9)]
+        families.append([base] + [base + [f"end{j}"] for j in range(shingle_join.RARE + 40)])
+    texts = [[" ".join(t) for t in f] for f in families]
+    rows = [(i, t) for i, t in enumerate(t for f in texts for t in f)]
+    ids = iter(range(len(rows)))
+    families = [[(next(ids), t) for t in f] for f in texts]
+    docs = spark.createDataFrame(random.sample(rows, len(rows)), "doc_id long, text string")
+    for n, percent in ((4, 85), (5, 80)):
+        links = []
+        for f in families:
+            sets = [(i, shingles(t, n)) for i, t in f]
+            links += [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if 100 * len(x & y) >= percent * len(x | y)]
+        got = {r.doc_id: r.component_id for r in shingle_join.groups(docs, n, percent).collect()}
+        assert got == closure([i for i, _ in rows], links)
+
+
 def left_over(texts, length):
     count = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
     out = []
