@@ -1,13 +1,15 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each of SLOTS slots of the mix is a golden-ratio point; the cumulative weights of the sources map it to one source, so
-that every stretch of the mix holds each source in proportion. A source's slots are ranked; its documents, shuffled by
-a hash and laid end to end as often as its target asks (at most three times), are cut into blocks of equal words, and
-its k-th slot takes its k-th block. A block is a piece of a document or runs over several.
+Each slot of the mix is a golden-ratio point; the cumulative weights of the sources map it to one source, so that every
+stretch of the mix holds each source in proportion. A source's slots are ranked; its documents, shuffled by a hash and
+laid end to end as often as its target asks (at most three times), are cut at its target, rounded to words, and into as
+many equal blocks as it has slots; its k-th slot takes its k-th block. So each source is taken to its target exactly. A
+source with a target but too small for a slot has one block, in a slot that it shares. A block is a piece of a document
+or runs over several.
 
 Scale: word counts are summed per source before any shuffle; the shuffled order is a prefix sum over hash buckets of
-a bounded number of documents, so a source of any share is spread over tasks; the schedule has SLOTS rows at every
-size, and a document meets as many blocks as it covers.
+a bounded number of documents, so a source of any share is spread over tasks; the schedule has a slot for each BLOCK
+words, ranked by stretches of STRETCH slots, and a document meets as many blocks as it covers.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all words; a target stops at three times its
 source's size and the excess is shared again by weight. That fixed point is a water level, found over the list of
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, table
 
 WEIGHTS = (5, 2, 1)
-#: Slots of the schedule: every source's words come within a few parts in SLOTS of its target.
-SLOTS = 1 << 16
+#: Slots of the schedule at least, words to a slot at most, and slots of a source that are ranked together at most.
+SLOTS, BLOCK, STRETCH = 1 << 16, 1_000, 1 << 12
 MOST_EPOCHS = 3
 DOCS_PER_BUCKET = 2_000
 #: 2**32 / golden ratio: j * STEP mod 2**32 is the j-th golden-ratio point.
@@ -52,12 +54,24 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataF
     return s.select("sid", "source", "source_size", "docs", "total", "target", "lo", "hi")
 
 
+def slots_for(sources: DataFrame) -> int:
+    """The number of slots for the words of all sources."""
+    total = sources.agg(F.max("total")).first()[0] or 0
+    return max(SLOTS, -(-total // BLOCK))
+
+
 def schedule(spark: SparkSession, sources: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """sid, rank (from 0), slot: each slot's source, and which of that source's slots it is."""
+    """sid, rank (from 0), slot: each slot's source, and which of that source's slots it is; sources that no slot falls to but have a target share one."""
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * STEP, F.lit(1 << 32)).alias("u"))
     bins = sources.where("hi > lo").select("sid", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright(F.col("hi") - 1, 16))).alias("bin"))
     mine = points.withColumn("bin", F.shiftright("u", 16)).join(bins, "bin").where("u >= lo and u < hi")
-    return mine.select("sid", (F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1).cast("long").alias("rank"), "slot")
+    mine = mine.select("sid", "slot", F.expr(f"slot div {STRETCH}").alias("stretch"))
+    counts = mine.groupBy("sid", "stretch").agg(F.count("*").alias("k"))
+    counts = counts.select("sid", "stretch", (F.sum("k").over(Window.partitionBy("sid").orderBy("stretch")) - F.col("k")).alias("base"))
+    inside = Window.partitionBy("sid", "stretch").orderBy("slot")
+    ranked = mine.withColumn("k", F.row_number().over(inside) - 1).join(counts, ["sid", "stretch"]).select("sid", (F.col("base") + F.col("k")).alias("rank"), "slot")
+    small = sources.where("round(target) > 0").join(counts, "sid", "left_anti")
+    return ranked.union(small.select("sid", F.lit(0).cast("long"), F.shiftright(F.pmod(F.col("sid") * F.lit(STEP), F.lit(1 << 32)) * slots, 32)))
 
 
 def laid_out(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -73,22 +87,22 @@ def laid_out(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     return out.select("doc_id", "size", "sid", (F.col("base") + F.col("upto") - F.col("size")).alias("at")), sources
 
 
-def mix(docs: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places, sources, pieces). pieces: sid, at, doc_id, slot, epoch, from_word, to_word - the mix in order of slot."""
+def mix(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places, sources, pieces). pieces: sid, at, doc_id, slot, epoch, from_word, to_word - the mix in order of slot, then sid."""
     places, sources = laid_out(docs)
     places = cut(places, "places")
-    plan = schedule(docs.sparkSession, sources, slots)
-    last = plan.groupBy("sid").agg((F.max("rank") + 1).alias("blocks"))
-    span = sources.join(last, "sid").select("sid", "source_size", "total", F.least(F.expr(f"blocks * total div {slots}"), MOST_EPOCHS * F.col("source_size")).alias("end"))
+    plan = cut(schedule(docs.sparkSession, sources, slots or slots_for(sources)), "plan")
+    blocks = plan.groupBy("sid").agg(F.count("*").alias("blocks"))
+    span = sources.join(blocks, "sid").select("sid", "source_size", "blocks", F.round("target").cast("long").alias("end"))
     p = places.where("size > 0").join(span, "sid").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1))))
     p = p.withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("hi", F.least(F.col("lo") + F.col("size"), "end")).where("hi > lo")
-    p = p.withColumn("rank", F.explode(F.expr(f"sequence(((lo + 1) * {slots} - 1) div total, (hi * {slots} - 1) div total)")))
-    p = p.withColumn("a", F.greatest("lo", F.expr(f"rank * total div {slots}"))).withColumn("b", F.least("hi", F.expr(f"(rank + 1) * total div {slots}"))).where("b > a")
+    p = p.withColumn("rank", F.explode(F.expr("sequence(((lo + 1) * blocks - 1) div end, (hi * blocks - 1) div end)")))
+    p = p.withColumn("a", F.greatest("lo", F.expr("rank * end div blocks"))).withColumn("b", F.least("hi", F.expr("(rank + 1) * end div blocks"))).where("b > a")
     pieces = p.join(plan, ["sid", "rank"]).select("sid", "at", "doc_id", "slot", "epoch", (F.col("a") - F.col("lo")).alias("from_word"), (F.col("b") - F.col("lo")).alias("to_word"))
     return places, sources, pieces
 
 
-def mixed_words(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+def mixed_words(docs: DataFrame, slots: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
     places, sources, pieces = mix(docs, slots)
     taken = pieces.groupBy("sid", "at").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))

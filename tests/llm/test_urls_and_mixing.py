@@ -1,5 +1,6 @@
 """URL filter and source mixing against plain Python, with the odd cases."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -80,6 +81,43 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(key, mixing.mixed_words(again).collect())) == sorted(map(key, got))
 
 
+def test_small_sources_meet_their_targets(spark):
+    """3 million words in a large source, and sources far below a 65,536th of that."""
+    many = spark.range(600).select("id", F.repeat(F.lit("w "), 5_000).alias("text"), F.lit("a").alias("source"))
+    few = [(1000 + k, "v " * (k % 5 + 4), f"b{k // 5:02}") for k in range(200)]  # 30 words each
+    docs = many.union(spark.createDataFrame(few, "id long, text string, source string")).withColumnRenamed("id", "doc_id")
+    docs = docs.union(spark.createDataFrame([(5000, "x " * 20, "c"), (5001, "y", "d")], docs.schema))
+    words = mixing.mixed_words(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(words) == 43
+    for r in words:
+        assert r.taken == math.floor(r.target + 0.5) > 0, r
+
+
+def test_slots_follow_the_words(spark, monkeypatch):
+    rows = [(k, "w " * 30, "ab"[k % 3 > 0]) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    monkeypatch.setattr(mixing, "BLOCK", 10)
+    monkeypatch.setattr(mixing, "STRETCH", 64)
+    sources = mixing.laid_out(docs)[1]
+    assert mixing.slots_for(sources) == 2_700
+    plan = mixing.schedule(spark, sources, 2_700).collect()
+    assert sorted(r.slot for r in plan) == list(range(2_700))
+    for sid in (1, 2):
+        assert [r.rank for r in sorted(plan, key=lambda r: r.slot) if r.sid == sid] == list(range(sum(r.sid == sid for r in plan)))
+    pieces = mixing.mix(docs)[2].collect()
+    by_slot = defaultdict(int)
+    for r in pieces:
+        by_slot[r.slot] += r.to_word - r.from_word
+    assert sum(by_slot.values()) == 27_000 and set(by_slot.values()) <= {9, 10, 11}
+    places = defaultdict(list)
+    for r in pieces:
+        places[r.sid, r.at, r.epoch].append((r.from_word, r.to_word))
+    for p in places.values():
+        p.sort()
+        assert p[0][0] == 0 and all(x[1] == y[0] for x, y in zip(p, p[1:]))
+
+
 def test_mix_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixed_words(docs).count() == 0
