@@ -20,7 +20,8 @@ from ..sources.java import statements, tokens
 VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
 RELATIONS = ("OneToOne", "OneToMany", "ManyToOne", "ManyToMany")
 LISTENERS = ("EventListener", "TransactionalEventListener", "ApplicationModuleListener", "KafkaListener", "RabbitListener", "JmsListener", "SqsListener")
-PUBLISHERS = ("publishEvent", "publish", "send", "emit")
+PUBLISHERS = ("publishEvent", "registerEvent", "register", "publish", "send", "convertAndSend", "emit")
+EVENT_SUFFIXES = ("Event", "Created", "Updated", "Deleted", "Removed", "Added", "Changed", "Confirmed", "Cancelled", "Canceled", "Closed", "Opened", "Issued", "Returned", "Recorded", "Consumed", "Placed", "Shipped", "Delivered", "Paid", "Completed", "Started", "Registered")
 VALUES = ("String", "Integer", "Long", "Short", "Byte", "Boolean", "Double", "Float", "Character", "BigDecimal", "BigInteger", "List", "Set", "Map", "Collection", "Optional", "UUID", "LocalDate", "LocalDateTime", "Instant", "Duration", "Object", "int", "long", "boolean", "double")
 TEST_SUFFIXES = ("ITCase", "Tests", "Test", "IT")
 
@@ -28,7 +29,7 @@ TEST_SUFFIXES = ("ITCase", "Tests", "Test", "IT")
 STATUS = {"OK": "200 OK", "CREATED": "201 CREATED", "NO_CONTENT": "204 NO_CONTENT", "BAD_REQUEST": "400 BAD_REQUEST", "UNAUTHORIZED": "401 UNAUTHORIZED", "FORBIDDEN": "403 FORBIDDEN", "NOT_FOUND": "404 NOT_FOUND", "CONFLICT": "409 CONFLICT", "UNPROCESSABLE_ENTITY": "422 UNPROCESSABLE_ENTITY", "INTERNAL_SERVER_ERROR": "500 INTERNAL_SERVER_ERROR"}
 CONSTRAINTS = ("NotNull", "NotBlank", "NotEmpty", "Size", "Min", "Max", "Positive", "PositiveOrZero", "Negative", "NegativeOrZero", "Email", "Pattern", "Past", "PastOrPresent", "Future", "FutureOrPresent", "DecimalMin", "DecimalMax", "Digits", "AssertTrue", "AssertFalse", "Valid")
 GUARD_HOLDERS = ("Guard", "Objects", "Assert", "Preconditions", "Validate")
-GUARDS = {"requireNonNull": "NotNull", "notNull": "NotNull", "checkNotNull": "NotNull", "hasText": "NotBlank", "hasLength": "NotEmpty", "notEmpty": "NotEmpty", "notBlank": "NotBlank", "isTrue": "AssertTrue", "checkArgument": "AssertTrue", "checkState": "AssertTrue", "state": "AssertTrue", "positive": "Positive"}
+GUARDS = {"requireNonNull": "NotNull", "requireText": "NotBlank", "requireNonBlank": "NotBlank", "requirePositive": "Positive", "requireNonNegative": "PositiveOrZero", "notNull": "NotNull", "checkNotNull": "NotNull", "hasText": "NotBlank", "hasLength": "NotEmpty", "notEmpty": "NotEmpty", "notBlank": "NotBlank", "isTrue": "AssertTrue", "checkArgument": "AssertTrue", "checkState": "AssertTrue", "state": "AssertTrue", "positive": "Positive"}
 
 _TYPE = r"(?:^|.*? )(class|interface|enum|record) (\w+).*$"
 _METHOD = r"^(.*? )?([\w.]+(?: < .* >)?(?: \[ \])*) (\w+) \( ?(.*?) ?\)(?: throws .*)?$"
@@ -267,8 +268,16 @@ class Facts:
         from ..operators.relational import choreography
 
         consumed = self.entry_points().where("category = 'event'").select(F.col("destination").alias("event"), F.concat("class_name", F.lit("#"), "method", F.lit("@"), F.col("line").cast("string")).alias("party"))
-        pattern = rf"(?:^|.* )(?:{'|'.join(PUBLISHERS)}) \( new (\w+) \(.*$"
-        s = self.statements.where(F.col("text").rlike(pattern)).select("file", "start", "line", F.regexp_extract("text", pattern, 1).alias("event"))
+        # the arguments of each publish call, cut at its own commas: what is nested in parentheses goes first
+        nested, call = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)", rf"(?:^|\W)(?:{'|'.join(PUBLISHERS)}) (?=\()"
+        s = self.statements.withColumn("text", F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""')).where(F.col("text").rlike(call)).join(self.files.where("source_set <> 'test'").select("file"), "file", "left_semi")
+        s = s.select("file", "start", "line", F.posexplode(F.regexp_extract_all("text", F.lit(rf"{call}({nested})"), 1)).alias("nth", "args"))
+        inner = F.regexp_replace(F.expr("substring(args, 2, length(args) - 2)"), nested, "()")
+        inner = F.regexp_replace(inner, r"(new [\w. ]+)<[^()]*>( ?\()", "$1$2")
+        s = s.select("file", "start", "line", "nth", F.posexplode(F.split(inner, ",")).alias("place", "arg"))
+        s = s.withColumn("event", F.regexp_extract("arg", r"^ *new (?:\w+ \. |\w+\.)*(\w+) *(?:<.*)?\(\) *$", 1)).where("event <> ''")
+        s = s.join(consumed.select("event", F.lit(True).alias("known")).distinct(), "event", "left").where(F.col("known") | F.col("event").rlike(f"(?:{'|'.join(EVENT_SUFFIXES)})$"))
+        s = s.groupBy("file", "start", "line", "nth").agg(F.min(F.struct("place", "event"))["event"].alias("event"))  # one event per call
         made = s.join(self.methods.select("file", "body", "body_end", "simple", "name"), "file").where("start > body and start < body_end").select("event", F.concat("simple", F.lit("#"), "name", F.lit("@"), F.col("line").cast("string")).alias("party"))
         return choreography(made, consumed, "event")
 

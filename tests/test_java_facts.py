@@ -203,3 +203,25 @@ def test_publishing_is_deterministic(spark, tmp_path):
     assert s.diagram.split("\n")[1] == "[*] --> FREE"
     assert publish.report(spark, str(tmp_path / "a")).where("html like '%<td>http:POST /books</td>%'").count() > 0
     assert publish.unclassified(spark.read.parquet(str(tmp_path / "a" / "entry_points")), spark.createDataFrame([("http:POST /books",)], "entry_point string")).count() == 6
+
+
+def test_publish_calls_and_guards_of_every_form(spark):
+    body = """package a;
+class Shop {
+    void go(int n) {
+        bus.send("topic", new Order(n, f(1, 2)));
+        queue.convertAndSend("q", g(new Wrong()), new shop.ItemPaid(n));
+        this.registerEvent(new ThingCreated());
+        send(new Message());
+        emit("a (, b", new PairEvent<A, B>(n));
+        Guard.requireText(name, "no name");
+        Guard.requireNonNegative(n);
+    }
+}
+"""
+    heard = "package a;\nclass Ear {\n    @EventListener\n    void on(Order o) { }\n}\n"
+    files = spark.createDataFrame([("Shop.java", "main", body), ("Ear.java", "main", heard), ("ShopTest.java", "test", body.replace("Shop", "ShopTest"))], "file string, source_set string, text string")
+    facts = Facts(files)
+    flows = {r.event: len(r.producers or []) for r in facts.event_flows().collect()}
+    assert flows == {"Order": 1, "ItemPaid": 1, "ThingCreated": 1, "PairEvent": 1}
+    assert {(r.field, r.constraint) for r in facts.guard_checks().collect()} == {("name", "NotBlank"), ("n", "PositiveOrZero")}
