@@ -11,12 +11,16 @@ set that doesn't run out it shares a pair or a rare token. A token of one docume
 any signature, so most documents have none and leave early.
 
 Candidates are verified exactly, without listing all pairs of a bucket: every set of a bucket is compared with the
-bucket's centre (at first the one with the fewest tokens of its own, then the least by a hash), which connects groups of copies of any size at one
-comparison per member and round; sets known to be connected aren't compared again. After STARS rounds, the sets that
-are outside their bucket's largest component are compared with the bucket's sets in other components, pair by pair. A
-pair only counts in a bucket if it could still be similar enough were this the first token that the two share: the
-tokens before it in either set are then lost, and so are those that no other candidate has, which are counted over the
-candidates' whole sets. So sets that share a common passage and little else drop out.
+bucket's centre (the one with the fewest tokens of its own), then the sets outside the bucket's largest component with a
+centre from among themselves; so groups of copies of any size are connected at one comparison per member and round, and
+sets known to be connected aren't compared again. What is still outside the largest component then meets the bucket's
+sets in other components, but a pair is only kept if the two sketches allow it: the sketch of a set has the parity of
+its tokens in each of 64 * SKETCH bits, so two sets differ in as many tokens at least as their sketches do in bits. That
+bound drops the pairs that are somewhat less similar than asked for, which is what large buckets are full of, within the
+join, before any set is read; for sets of thousands of tokens it gets weaker, never wrong. A pair also counts in a
+bucket only if it could still be similar enough were this the first token that the two share: the tokens before it in
+either set are then lost, and so are those that no other candidate has, which are counted over the candidates' whole
+sets. So sets that share a common passage and little else drop out.
 
 Scale: document counts are combined before the shuffle; hot tokens are split by AQE's skew join; shingles are taken where
 the text lies, and whole sets are made for candidates only.
@@ -40,8 +44,8 @@ WORDS, PERCENT = 4, 85
 #: Tokens with a hash below are counted over the corpus.
 ZONE = 1 << 62
 RARE, CLASSES = 500, 16
-#: Rounds of comparing buckets with their centres; after the first, buckets of more than SMALL sets.
-STARS, SMALL = 2, 32
+#: Bits of a set's parity sketch, in numbers of 64.
+SKETCH = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -156,6 +160,17 @@ def signatures(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     return reps.select("doc_id", "n", "head").join(mine, "doc_id", "left").mapInArrow(run, "sig long, doc_id long, n long, at long, own long")
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the tokens that fall to each of 64 * SKETCH bits: two sets differ in as many tokens at least as their sketches in bits."""
+    odd = np.bincount((grams % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _bits_apart(own: str, other: str) -> str:
+    """SQL for the bits in which two sketches differ."""
+    return " + ".join(f"bit_count({own}[{k}] ^ {other}[{k}])" for k in range(SKETCH))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
@@ -192,13 +207,24 @@ def _without_hopeless(buckets: DataFrame, sets: DataFrame, percent: int) -> Data
     known = buckets.join(shared, "doc_id").withColumn("own", F.greatest(F.lit(0), F.col("n") - F.col("shared"))).where(f"100 * (n - own) >= {percent} * n")
     known = cut(known.select("sig", "doc_id", "n", F.greatest("at", "own").alias("at"), "own"), "known", tidy=True)
     busy = known.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
-    return cut(known.join(busy, "sig"), "hopeful").withColumn("comp", F.col("doc_id"))
+    return cut(known.join(busy, "sig"), "hopeful")
+
+
+def _apart(buckets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The buckets of more than one component of edges, with comp, and main: the bucket's largest."""
+    comps = components(edges).withColumnRenamed("node", "doc_id").withColumnRenamed("component_id", "comp")
+    now = cut(buckets.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "open")
+    sizes = now.groupBy("sig", "comp").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    return now.join(most.select("sig", F.col("top.comp").alias("main")), "sig")
 
 
 def linked(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that connect all similar sets of reps (doc_id, n, head), a table of cut() that is used up; the sets are made from docs' texts again."""
     # what two sets may have in common if this is the first token they share: all but the tokens before it
     close = lambda n, at, m, to: f"{100 + percent} * least({n} - {at}, {m} - {to}) >= {percent} * ({n} + {m})"
+    # what two sets may differ in, and do at least by their sketches
+    alike = lambda n, x, m, y: f"{100 + percent} * ({_bits_apart(x, y)}) <= {100 - percent} * ({n} + {m})"
     signed = cut(signatures(reps, percent), "signatures", tidy=True)
     drop(reps)
     busy = signed.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
@@ -207,25 +233,25 @@ def linked(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int =
 
     def whole(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([grams(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "grams"])
+            sets = [grams(t, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "grams", "bits"])
 
-    sets = cut(docs.select("doc_id", "text").join(buckets.select("doc_id").distinct(), "doc_id").mapInArrow(whole, "doc_id long, grams binary"), "sets", tidy=True)
+    sets = cut(docs.select("doc_id", "text").join(buckets.select("doc_id").distinct(), "doc_id").mapInArrow(whole, "doc_id long, grams binary, bits array<long>"), "sets", tidy=True)
     buckets = _without_hopeless(buckets, sets, percent)
-    edges = None
-    for turn in range(STARS):  # every member of a bucket with its centre
-        facts = buckets.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct(F.col("own") if not turn else F.lit(0), F.xxhash64(F.lit(turn), "doc_id"), F.col("doc_id"), F.col("n"), F.col("at"), F.col("comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(f"lo <> hi and (m > {SMALL} or {turn} = 0)")
-        rest = buckets.join(facts.select("sig", F.col("c.doc_id").alias("cd"), F.col("c.n").alias("cn"), F.col("c.at").alias("ca"), F.col("c.comp").alias("cc")), "sig")
-        star = rest.where(f"comp <> cc and {close('n', 'at', 'cn', 'ca')}").select(F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b"))
-        found = cut(_verified(star.distinct(), sets, percent), "verified")
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges).withColumnRenamed("node", "doc_id")
-        buckets = cut(buckets.drop("comp").join(comps, "doc_id", "left").select("sig", "doc_id", "n", "at", "own", F.coalesce("component_id", "doc_id").alias("comp")), "open")
+    # every member of a bucket with its centre
+    facts = buckets.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("own", F.xxhash64("doc_id"), "doc_id", "n", "at")).alias("c")).select("sig", F.col("c.doc_id").alias("cd"), F.col("c.n").alias("cn"), F.col("c.at").alias("ca"))
+    star = buckets.join(facts, "sig").where(f"doc_id <> cd and {close('n', 'at', 'cn', 'ca')}").select(F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b"))
+    edges = cut(_verified(star.distinct(), sets, percent), "verified")
+    apart = _apart(buckets, edges)
+    apart = cut(apart.join(sets.select("doc_id", "bits"), "doc_id"), "apart")
+    # those outside their bucket's largest component, with a centre from among them
+    facts = apart.where("comp <> main").groupBy("sig").agg(F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "n", "at", "comp", "bits")).alias("c")).select("sig", F.col("c.doc_id").alias("cd"), F.col("c.n").alias("cn"), F.col("c.at").alias("ca"), F.col("c.comp").alias("cc"), F.col("c.bits").alias("other"))
+    star = apart.join(facts, "sig").where(f"comp <> cc and {close('n', 'at', 'cn', 'ca')} and {alike('n', 'bits', 'cn', 'other')}").select(F.least("doc_id", "cd").alias("a"), F.greatest("doc_id", "cd").alias("b"))
+    edges = edges.union(cut(_verified(star.distinct(), sets, percent), "verified"))
     # what is still apart: those outside their bucket's largest component, with all others of the bucket
-    sizes = buckets.groupBy("sig", "comp").agg(F.count("*").alias("k"))
-    most = sizes.groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("sig", F.col("top.comp").alias("main"))
-    apart = buckets.join(most, "sig")
-    few = apart.where("comp <> main").select("sig", F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("at").alias("da"), F.col("comp").alias("dc"))
-    pairs = few.join(apart, "sig").where(f"comp <> dc and {close('n', 'at', 'dn', 'da')} and (comp = main or d < doc_id)").select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b"))
+    apart = cut(_apart(apart.drop("comp", "main"), edges), "apart")
+    few = apart.where("comp <> main").select("sig", F.col("doc_id").alias("d"), F.col("n").alias("dn"), F.col("at").alias("da"), F.col("comp").alias("dc"), F.col("bits").alias("other"))
+    pairs = few.join(apart, "sig").where(f"comp <> dc and {close('n', 'at', 'dn', 'da')} and (comp = main or d < doc_id) and {alike('n', 'bits', 'dn', 'other')}").select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b"))
     edges = edges.union(cut(_verified(pairs.distinct(), sets, percent), "verified"))
     drop(sets)
     return edges
