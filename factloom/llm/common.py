@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -19,12 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (in tests) a new temporary one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.factloom.shared.dir", None)
+    """This application's part of the folder that all executors share (spark.checkpoint.dir); where that is unset and everything runs in one process, as in tests, a new temporary one."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.factloom.shared.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.factloom.shared.dir", at)
-    return f"{at.rstrip('/')}/factloom"
+    return f"{at.rstrip('/')}/factloom/{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this application has cut; for long-lived clusters, once the results are written."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -48,8 +70,14 @@ def cut(df: DataFrame, name: str = "cut", tidy: bool = False) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete the table that cut() wrote, once nothing reads it any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(df.sparkSession, df.cut_path)
+
+
+def in_parts(batches, rows: int = 256):
+    """Arrow batches in parts of so many rows, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def ascii_lower(column):

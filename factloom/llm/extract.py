@@ -9,8 +9,12 @@ Scale: pages are parsed where they lie, one page in memory at a time; what is sh
 before the shuffle. The winners are one row per host; they are kept as a table, so that Spark sees its true size and
 broadcasts it only below its threshold, joining by host (splitting skewed hosts) beyond it.
 
+What is boilerplate is judged by element, role, and whole class or id tokens (`sidebar`, `site-footer`, `adSlot`, but not
+`has-sidebar` or `overflow-hidden`); a container judged by its class or a form isn't boilerplate if it holds the page's
+article or main element, and inline elements are judged as blocks are.
+
 Defined cases: null or empty html gives ''; pages without tags are one block; unclosed elements end with their parent;
-an unclosed comment, script or style runs to the end; null urls, or urls without host, vote as one host; ties of votes
+a head without end tag ends at the first element or text that a head can't hold; an unclosed comment, script or style runs to the end; null urls, or urls without host, vote as one host; ties of votes
 go to the higher score, then the lesser path; repeated rows are each returned; other columns are ignored.
 """
 
@@ -18,65 +22,118 @@ from __future__ import annotations
 
 import html as markup
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, in_parts, table
 
 #: Element and name lists.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select title canvas audio video".split())
-NEVER = frozenset("nav footer aside form button dialog menu head".split())
-WHOLE = frozenset("html body main article".split())
+RAW = frozenset("script style noscript iframe textarea title noframes xmp".split())
+NEVER = frozenset("nav footer aside button dialog menu head svg math template object select canvas audio video".split())
+WHOLE = frozenset("html body main".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
 #: A start tag that ends an open element of these kinds before it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SHUNNED = frozenset("ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies respond discussion cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations widget toolbar skip pagination pager login signup alert legal copyright masthead hidden".split())
+#: What a class or id token stands for is its last part, less the parts that say where, how or which.
+STRONG = frozenset("ad ads adbox adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored promo promos promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing related recommended recommendations pager pagination".split())
+SHUNNED = STRONG | frozenset("banner discussion notice notices overlay social widget widgets toolbar skip login signup alert legal copyright".split())
 HEADS = frozenset("header masthead topbar".split())
+PLACES = frozenset("left right top bottom center fixed sticky inner outer wrapper wrap container box block area section group list item items link links slot unit bar panel row col column zone button buttons icon icons form iframe thread holder placeholder primary secondary".split())
+INSIDE = frozenset("content body text title main posts articles stories news post article".split())
+STATES = frozenset("has no not with without is".split())
+UNSEEN = frozenset("hidden d-none is-hidden visually-hidden visuallyhidden sr-only screen-reader-text".split())
 SHUNNED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 LIKELY = frozenset("article content main post entry story body text page".split())
 
-_TAG = re.compile(r"""<!--|<[a-zA-Z/!?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|<[a-zA-Z/!?][^<>]*+>""")
+_TAG = re.compile(r"""<!--|<[a-zA-Z/!?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|"[^"\n]{0,300}+"|'[^'\n]{0,300}+')*+>|<[a-zA-Z/!?][^<>]*+>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _NAMES = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_SIZES = re.compile(r"\d+(?:x\d+)?")
+_ENDS_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 ROOT = "html"
 #: A page leaves its host's path if its own best container scores this many times more.
 LEAVE = 4.0
+#: How surely an element is boilerplate: even around the main element, around the article, or unless it holds one of them.
+NEVER_KEPT, UNLESS_MAIN, UNLESS_ARTICLE = 3, 2, 1
+_ARTICLE, _MAIN = 1, 2
 
 
 def _attributes(tag: str, at: int) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(tag, at, len(tag) - 1)}
 
 
-def _shunned(name: str, own: dict[str, str], in_article: bool) -> bool:
+@lru_cache(1 << 14)
+def _judged(token: str) -> tuple[int, bool]:
+    """(how surely a class or id token means boilerplate, whether it means a page's head)."""
+    if token.lower() in UNSEEN:
+        return NEVER_KEPT, False
+    parts = [p.lower() for p in _PARTS.findall(_SIZES.sub("", token))]
+    if not parts or parts[0] in STATES:
+        return 0, False
+    head = bool(HEADS & set(parts)) and not LIKELY & set(parts)
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    if parts[-1] in SHUNNED:
+        return UNLESS_MAIN if parts[-1] in STRONG else UNLESS_ARTICLE, head
+    while len(parts) > 1 and parts[-1] in INSIDE | PLACES:
+        parts.pop()
+    return UNLESS_MAIN if parts[-1] in STRONG else 0, head
+
+
+def _boilerplate(name: str, own: dict[str, str], in_article: bool) -> int:
+    """How surely an element is boilerplate (0: it isn't)."""
     if name in NEVER or name == "header" and not in_article:
-        return True
-    if name in WHOLE:
-        return False
-    names = set(_NAMES.findall(f"{own.get('class', '')} {own.get('id', '')}".lower()))
-    return bool(names & SHUNNED) or bool(names & HEADS) and not in_article or own.get("role", "").lower() in SHUNNED_ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+        return NEVER_KEPT
+    if not own or name in WHOLE:
+        return UNLESS_ARTICLE if name == "form" else 0
+    style = own.get("style", "").replace(" ", "").lower()
+    if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
+        return NEVER_KEPT
+    judged = [_judged(t) for t in f"{own.get('class', '')} {own.get('id', '')}".split()]
+    level = max([UNLESS_ARTICLE * (name == "form"), *(j[0] for j in judged)])
+    if name == "article":
+        return level if level >= UNLESS_MAIN else 0
+    if own.get("role", "").lower() in SHUNNED_ROLES or not in_article and any(j[1] for j in judged):
+        level = max(level, UNLESS_ARTICLE)
+    return level
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(paths of its containers, outermost first; text; letters in links) of each block that isn't boilerplate, in order."""
-    out, stack = [], [("", ROOT, False, False)]  # (tag, path, shunned, inside an article)
-    parts: list[str] = []
-    linked = at = in_link = 0
+    parents, chains, levels, holds = [0], [(ROOT,)], [0], [0]  # of each element: its parent, paths down to it, _boilerplate(), what it holds
+    stack = [("", 0, False)]  # (tag, element, inside an article)
+    found: list[tuple[int, str, int]] = []
+    texts: list[str] = []
+    linked = at = in_link = mute = 0  # mute: open inline elements, from the first one that is boilerplate
 
     def flush():
         nonlocal linked
-        if parts and (text := " ".join("".join(parts).split())):
-            out.append((tuple(dict.fromkeys(s[1] for s in stack)), text, linked))
-        parts.clear()
+        if texts and (text := " ".join("".join(texts).split())):
+            found.append((stack[-1][1], text, linked))
+        texts.clear()
         linked = 0
 
+    def close_to(depth: int):
+        nonlocal mute, in_link
+        flush()
+        del stack[depth:]
+        mute = in_link = 0
+
     while at < len(page):
         m = _TAG.search(page, at)
-        if not stack[-1][2]:
-            plain = markup.unescape(page[at : m.start() if m else len(page)])
-            parts.append(plain)
+        plain = page[at : m.start() if m else len(page)]
+        if plain and not mute:
+            if stack[-1][0] == "head" and not plain.isspace():
+                close_to(len(stack) - 1)
+            plain = markup.unescape(plain)
+            texts.append(plain)
             linked += len(plain) if in_link else 0
         if not m:
             break
@@ -86,42 +143,63 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             at = len(page) if end < 0 else end + 3
             continue
         closing = tag[1] == "/"
-        if not (word := re.match(r"[a-zA-Z][a-zA-Z0-9:-]*", tag[1 + closing :])):
+        if not (word := _NAME.match(tag, 1 + closing)):
             continue
         name = word[0].lower()
+        if name in VOID:
+            if name in ("br", "hr") and not mute:
+                texts.append(" ")
+            continue
+        own = _attributes(tag, 1 + len(name)) if not closing and len(tag) > len(name) + 2 else {}
         if name in INLINE:
-            if name == "a":
+            if mute:
+                mute += -1 if closing else 1
+            elif not closing and own and _boilerplate(name, own, stack[-1][2]):
+                mute = 1
+            elif name == "a":
                 in_link = 0 if closing else 1
             continue
-        if name in VOID:
-            if name in ("br", "hr"):
-                parts.append(" ")
-            continue
         if closing:
-            if any(s[0] == name for s in stack):
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            if depth:
+                close_to(depth)
+            elif name == "p":
                 flush()
-                in_link = 0
-                while stack.pop()[0] != name:
-                    pass
             continue
         if name in RAW:
-            if not tag.endswith("/>"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            end = _ENDS_OF[name].search(page, at)
+            at = end.end() if end else at if tag.endswith("/>") else len(page)
             continue
-        flush()
-        in_link = 0
-        while stack[-1][0] == "p" or stack[-1][0] in ENDS.get(name, ()):
-            stack.pop()
+        depth = len(stack)
+        if name not in IN_HEAD and stack[-1][0] == "head":
+            depth -= 1
+        while depth > 1 and (stack[depth - 1][0] == "p" or stack[depth - 1][0] in ENDS.get(name, ())):
+            depth -= 1
+        close_to(depth)
         if tag.endswith("/>"):
             continue
-        own = _attributes(tag, 1 + len(name)) if len(tag) > len(name) + 2 else {}
-        _, path, shunned, in_article = stack[-1]
-        classes = sorted(re.sub(r"\d+", "#", c) for c in own.get("class", "").lower().split())
-        step = ".".join([name, *classes])
-        stack.append((name, path if name == "html" else f"{path}/{step}", shunned or _shunned(name, own, in_article), in_article or name in ("article", "main") or own.get("role") == "main"))
+        _, parent, in_article = stack[-1]
+        level = _boilerplate(name, own, in_article)
+        step = ".".join([name, *sorted(re.sub(r"\d+", "#", c) for c in own.get("class", "").lower().split())])
+        chain = chains[parent]
+        here = len(parents)
+        parents.append(parent)
+        chains.append(chain if name == "html" else (*chain, f"{chain[-1]}/{step}"))
+        levels.append(level)
+        holds.append(0)
+        kind = _MAIN if name == "main" or own.get("role") == "main" else _ARTICLE if name == "article" else 0
+        if kind and not level:
+            up = here
+            while up and not holds[up] & kind:
+                holds[up] |= kind
+                up = parents[up]
+        stack.append((name, here, in_article or bool(kind)))
     flush()
-    return out
+    shunned = [False] * len(parents)
+    for k in range(1, len(parents)):
+        excused = levels[k] == UNLESS_ARTICLE and holds[k] or levels[k] == UNLESS_MAIN and holds[k] & _MAIN
+        shunned[k] = shunned[parents[k]] or bool(levels[k]) and not excused
+    return [(chains[k], text, n) for k, text, n in found if not shunned[k]]
 
 
 def _weight(path: str) -> float:
@@ -161,7 +239,7 @@ def extract(pages: DataFrame) -> DataFrame:
     hosted = page.withColumn("host", F.coalesce(ascii_lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit("")))
 
     def vote(batches):
-        for b in batches:
+        for b in in_parts(batches):
             won = [best(blocks(h or "")) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([w[0] for w in won]), pa.array([w[1] for w in won], pa.float64())], ["host", "path", "score"])
 
@@ -170,7 +248,7 @@ def extract(pages: DataFrame) -> DataFrame:
     winners = cut(counted.groupBy("host").agg(F.min(F.struct(-F.col("n"), -F.col("score"), F.col("path"))).alias("w")).select("host", F.col("w.path").alias("path")), "winners")
 
     def again(batches):
-        for b in batches:
+        for b in in_parts(batches):
             got = [text_under(blocks(h or ""), p) for h, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), b.column("path")], ["page_id", "url", "text", "path"])
 

@@ -41,9 +41,9 @@ def labelled(spark):
 def test_toxicity_holds_out_and_ignores_groups(spark):
     rows = labelled(spark)
     model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
-    got = toxicity.scored(rows.withColumnRenamed("toxic", "score"), model).collect()
-    right = [(r.toxic_score__ >= 0.3) == bool(r.score) for r in got]
-    assert sum(right) / len(right) > 0.98 and all(0 <= r.toxic_score__ <= 1 for r in got)
+    got = toxicity.scored(rows, model).collect()
+    right = [(r.score >= 0.3) == bool(r.toxic) for r in got]
+    assert sum(right) / len(right) > 0.98 and all(0 <= r.score <= 1 for r in got)
     one, other = (toxicity.score_text(model, f"we met some {g} in town") for g in ("muslims", "christians"))
     free = dict(toxicity.__dict__)
     toxicity.SWAP_PENALTY = 0.0
@@ -58,7 +58,7 @@ def test_toxicity_holds_out_and_ignores_groups(spark):
 def test_toxicity_without_labels_or_text(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x" * 50000), (2, "word")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.toxic_score__ for r in toxicity.scored(docs, toxicity.fit(docs, none)).collect()} == {0.0}
+    assert {r.score for r in toxicity.scored(docs, toxicity.fit(docs, none)).collect()} == {0.0}
     some = toxicity.fit(labelled(spark).select("doc_id", "text"), labelled(spark).select("doc_id", "toxic"))
     assert toxicity.scored(docs, some).count() == 4
     assert toxicity.scored(docs.where("false"), some).count() == 0
@@ -84,3 +84,58 @@ def test_a_host_outvotes_a_page(spark):
     odd = "<body><div class='x2'><p>a story</div><div class='y'><p>a tail that is longer here</div>"
     pages = spark.createDataFrame([(k, "http://h.org/", usual) for k in range(5)] + [(9, "http://h.org/", odd)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extract.extract(pages).collect()}[9] == "a story"
+
+
+STORY = "<h1>The head line</h1><p>First part of the story, which is long enough &amp; plain.<p>Second <i>part</i> of it."
+TEXT = "The head line First part of the story, which is long enough & plain. Second part of it."
+LAYOUTS = [
+    "{}",
+    "<html><head><title>x</title></head><body><nav>Home</nav><article>{}</article><footer>end</footer></body></html>",
+    "<html><head><title>x</title><meta a=b><body><div>{}</div></html>",  # a head without end tag
+    "<head><link rel=x><script>s</script><article>{}</article>",
+    "<div class='overflow-hidden'><article>{}</article></div>",
+    "<div class='content has-sidebar'>{}</div><div class='more'><p>Short words.</p></div>",
+    "<div class='layout no-ads with-menu'><div class='main-text'>{}</div></div>",
+    "<div class='legal-article'>{}</div>",
+    "<section id='social-policy'>{}</section>",
+    "<div class='overlay'><main>{}</main></div>",
+    "<div class='sidebar'><p>About us and more</p></div><div class='post'>{}</div>",
+    "<div class='page__sidebar--left'>Aside words</div><div class='post'>{}</div>",
+    "<div class='siteFooter'>Our firm</div><div id=content>{}</div><div class='footer-content'>more firm</div>",
+    "<div class='adSlot'>Buy now</div><div id=content>{}<div class='ad-300x250'>Buy</div></div>",
+    "<article>{} <span class='ad'>Buy <span>this</span> now</span></article>",
+    "<article>{}<section class='reader-comments'><article class='comment'><p>I disagree with all that was said above</article></section></article>",
+    "<main>{}<div id='disqus_thread'>Loading</div><ol class=commentlist><li>First!</ol></main>",
+    "<article>{}<svg><title>icon</title><svg><text>t</text></svg><text>leak</text></svg></article>",
+    "<article>{}<form><label>Mail</label><input><button>Send</button></form></article>",
+    "<form action=/><div class='x'><article>{}</article></div></form>",
+    "<header class='site-header'><h2>The Site</h2></header><div class='entry'>{}</div>",
+    "<div class='cookie-banner'><p>We use cookies</p><button>Yes</button></div><article>{}</article>",
+    "<div role='navigation'>menu</div><div role='main'>{}</div><div role='contentinfo'>firm</div>",
+    "<article>{}<div hidden>unseen</div><div style='display: none'>unseen</div><p aria-hidden='true'>unseen</p></article>",
+    "<article>{}<aside>pulled</aside><div class='related-posts'><p>Other tale</p></div><div class='share-buttons'>Tweet</div></article>",
+    "<body><article>{}</article><noscript>Turn scripts on</noscript><template><p>t</p></template><select><option>o</select>",
+    "<article title='a < b' data-x='>'>{}</article>",
+    "<!-- <article>old</article> --><article>{}<!-- note --></article><script>var a='</p>';</script><style>p{{}}</style>",
+    "<article>{}</article><div class='newsletter'>Sign up</div><div class='pagination'><a href=2>2</a></div>",
+    "<ul class='breadcrumbs'><li>a<li>b</ul><article><header>{}</header><footer>tags</footer></article>",
+    "<div class='entry-header'></div><div class='entry-content'>{}</div><div id='comments-area'><p>A reader wrote much more than this</div>",
+    "<table><tr><td class='nav-bar'>Home</td><td class='text'>{}</td></tr></table>",
+]
+
+
+def test_layouts():
+    for layout in LAYOUTS:
+        page = layout.format(STORY)
+        assert extract.text_under(extract.blocks(page), None) == TEXT, layout
+    whole = "<div class='wrap'><div class='entry-header'><h1>The head line</h1></div><div class='entry-content'><p>" + "words of the story " * 9 + "</div></div>"
+    found = extract.blocks(whole)
+    assert extract.text_under(found, "html/div.wrap").startswith("The head line words") and found[0][1] == "The head line"
+    for broken in ("<", "<a", "</", "<p class='x", "<!--", "<script>", "<svg>", "</p></div>x", "<div " + "a" * 100_000, "<" * 5000, "&#0;&#x110000;&amp", "<p" * 3000):
+        extract.blocks(broken)
+
+
+def test_pages_of_one_host_agree_on_layouts(spark):
+    rows = [(k, f"http://h{k}.org/", layout.format(STORY)) for k, layout in enumerate(LAYOUTS)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: TEXT for k, _, _ in rows}
