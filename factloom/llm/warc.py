@@ -1,9 +1,10 @@
 """WARC records in ZIP packages: written by tasks, read back by ranges.
 
-A package is a ZIP file (ZIP64 throughout) with stored members archive/data.warc.gz - one gzip member per record - and
-indexes/index.cdx with each record's offset and length. The reader parses the end record, the ZIP64 locator and the
-central directory, finds the stored members' data behind their local headers, reads the index, and then fetches
-records by ranges of the package file; nothing is extracted.
+A package is a ZIP file (ZIP64 throughout) with stored members below archive/ - WARC files, one gzip member per record -
+and below indexes/ - CDXJ lines with each record's file, offset and length. The reader parses the end record, the ZIP64
+locator and the central directory, finds the stored members' data behind their local headers, reads every index (CDXJ
+or CDX with a header line, plain or gzipped) and then fetches records by ranges of the package file; nothing is
+extracted. Archive members that no index names are read from end to end, one range each.
 
 Records with equal payloads of at least LEAST_BYTES bytes are written once: the one with the largest page_id is a
 response, the others revisit it. The target of each digest is a grouped maximum; hot payloads are combined before the
@@ -12,7 +13,8 @@ never listed, because the list of packages is what the finished tasks returned,
 
 Defined cases: null html is an empty payload; null url: no target header; equal rows with the largest page_id are all responses;
 null page_ids are never the target unless all are null, and then all are responses; empty table: no package, no rows;
-other columns are ignored.
+other columns are ignored. Of packages made elsewhere: members that are compressed in the ZIP are left out; records other
+than responses and revisits have their type, no payload and no page_id; missing digests are taken from the payload.
 """
 
 from __future__ import annotations
@@ -22,23 +24,27 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
+from itertools import islice
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, table
+from .common import cut, in_parts, new_path, table
 
 LEAST_BYTES = 1000
 ROLL_BYTES = 64 << 20
 #: Adjacent records fetched by one read.
 RANGE_BYTES = 1 << 20
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
 def with_targets(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -71,21 +77,27 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _sort_key(url: str | None) -> str:
+    """The host's labels in reverse order and the rest of the url, without blanks."""
+    host, _, rest = (url or "").partition("://")[2].partition("/")
+    return "".join(quote(f"{','.join(reversed(host.lower().split('.')))})/{rest}", safe=",)/?&=;:@!$*+%-._~").split()) or "-"
+
+
 class _Package:
     """One ZIP package being written; data is kept in memory until it is rolled (ROLL_BYTES at most, or one record)."""
 
     def __init__(self):
         self.data, self.index = io.BytesIO(), []
 
-    def add(self, raw: bytes) -> None:
+    def add(self, raw: bytes, url: str | None, digest: str) -> None:
         packed, at = gzip.compress(raw, 6, mtime=0), self.data.tell()
         self.data.write(packed)
-        self.index.append(f"{at} {len(packed)}\n")
+        self.index.append(f"{_sort_key(url)} 20000101000000 {json.dumps({'url': url, 'digest': f'sha1:{digest}', 'length': str(len(packed)), 'offset': str(at), 'filename': DATA.rpartition('/')[2]})}\n")
 
     def write(self, folder: str) -> tuple[str, int]:
         name, out = f"{folder}/{uuid.uuid4().hex}.wacz", io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for member, content in ((DATA, self.data.getbuffer()), (INDEX, "".join(self.index).encode()), ("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1"}).encode())):
+            for member, content in ((DATA, self.data.getbuffer()), (INDEX, "".join(sorted(self.index)).encode()), ("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1"}).encode())):
                 with z.open(zipfile.ZipInfo(member), "w", force_zip64=True) as m:
                     m.write(content)
         store, path = _store(name)
@@ -101,9 +113,9 @@ def write_packages(records: DataFrame, folder: str, roll: int = ROLL_BYTES) -> D
         store, path = _store(folder)
         store.create_dir(path, recursive=True)
         box, done = _Package(), []
-        for b in batches:
+        for b in in_parts(batches):
             for row in zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]):
-                box.add(record(*row))
+                box.add(record(*row), row[1], row[3])
                 if box.data.tell() >= roll:
                     done.append(box.write(folder))
                     box = _Package()
@@ -158,8 +170,26 @@ def directory(f, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
+def index_lines(raw: bytes) -> list[tuple[str, int, int]]:
+    """(file, offset, length) of each line of an index: CDXJ, or CDX by its header's letters."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    out, places = [], None
+    for line in raw.decode("utf-8", "replace").splitlines():
+        if line.lstrip().startswith("CDX "):
+            letters = line.split()[1:]
+            places = [letters.index(x) for x in "gVS"] if {"g", "V", "S"} <= set(letters) else None
+        elif "{" in line:
+            fields = json.loads(line[line.index("{") :])
+            if {"filename", "offset", "length"} <= fields.keys():
+                out.append((str(fields["filename"]), int(fields["offset"]), int(fields["length"])))
+        elif places and len(parts := line.split()) > max(places):
+            out.append((parts[places[0]], int(parts[places[1]]), int(parts[places[2]])))
+    return out
+
+
 def ranges(packages: DataFrame, most: int = RANGE_BYTES) -> DataFrame:
-    """package, at, lengths: runs of adjacent records, from the packages' own indexes."""
+    """package, at, length, lengths: runs of adjacent records, from the packages' own indexes; lengths is empty where there is none."""
 
     def run(batches):
         for b in batches:
@@ -167,54 +197,84 @@ def ranges(packages: DataFrame, most: int = RANGE_BYTES) -> DataFrame:
                 store, path = _store(name)
                 with store.open_input_file(path) as f:
                     members = directory(f, f.size())
-                    base = members[DATA][0]
-                    f.seek(members[INDEX][0])
-                    lines = [tuple(map(int, x.split())) for x in f.read(members[INDEX][1]).decode().splitlines()]
+                    archives = {m.removeprefix("archive/"): x for m, x in members.items() if m.startswith("archive/") and not m.endswith("/")}
+                    lines = set()
+                    for m in sorted(m for m in members if m.startswith("indexes/")):
+                        f.seek(members[m][0])
+                        lines.update((file.removeprefix("archive/"), at, n) for file, at, n in index_lines(f.read(members[m][1])))
+                known = {file for file, _, _ in lines}
                 out: list[tuple[int, list[int]]] = []
-                for at, n in lines:
-                    if not out or out[-1][0] + sum(out[-1][1]) != base + at or sum(out[-1][1]) + n > most or len(out[-1][1]) >= 500:
-                        out.append((base + at, []))
+                for at, n in sorted((archives[file][0] + at, n) for file, at, n in lines if file in archives):
+                    if not out or out[-1][0] + sum(out[-1][1]) != at or sum(out[-1][1]) + n > most or len(out[-1][1]) >= 500:
+                        out.append((at, []))
                     out[-1][1].append(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["package", "at", "lengths"])
+                whole = [(at, n, []) for file, (at, n) in archives.items() if file not in known]
+                out = [(at, sum(ns), ns) for at, ns in out] + whole
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["package", "at", "length", "lengths"])
+
+    return packages.select("package").mapInArrow(run, "package string, at long, length long, lengths array<long>")
+
+
+def split_records(raw: bytes):
+    """The records of a WARC file, gzipped one by one or plain."""
+    while raw:
+        if raw[:2] == b"\x1f\x8b":
+            unpack = zlib.decompressobj(31)
+            yield unpack.decompress(raw) + unpack.flush()
+            raw = unpack.unused_data
+        else:
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            n = int(_fields(head).get("content-length", 0))
+            yield head + b"\r\n\r\n" + rest[:n]
+            raw = rest[n:].lstrip(b"\r\n")
+
 
-    return packages.select("package").mapInArrow(run, "package string, at long, lengths array<long>")
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by their names in lower case."""
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
 def parse(raw: bytes) -> dict:
-    """Fields of one record: page_id, type, refers_to, digest (hex), payload (None for revisits), payload_bytes, url."""
+    """Fields of one record: page_id, record_id, url, record_type, refers_to, payload_digest (hex), payload_bytes, payload (of responses only)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
+    fields = _fields(head)
+    kind, block = fields.get("warc-type"), rest[: int(fields.get("content-length", len(rest)))]
+    page = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
+    out = {"page_id": page(fields.get("warc-record-id")), "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": page(fields.get("warc-refers-to")), "payload_digest": None, "payload_bytes": None, "payload": None}
+    if kind not in ("response", "revisit"):
+        return out
     http, _, payload = block.partition(b"\r\n\r\n")
-    n = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-    page = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
-    digest = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
-    whole = fields["WARC-Type"] == "response"
-    if whole and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
-    return {"page_id": page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": page(fields.get("WARC-Refers-To")), "payload_digest": digest, "payload_bytes": n, "payload": payload if whole else None}
+    said, digest = _fields(http).get("content-length"), fields.get("warc-payload-digest", "")
+    if digest.lower().startswith("sha1:"):
+        text = digest[5:]
+        out["payload_digest"] = text.lower() if len(text) == 40 else base64.b32decode(text.upper()).hex()
+    if kind == "revisit":
+        return out | {"payload_bytes": int(said) if said else None}
+    real = hashlib.sha1(payload).hexdigest()
+    if out["payload_digest"] not in (None, real) or said and int(said) != len(payload):
+        raise ValueError(f"payload of {out['record_id']} doesn't match its digest or length")
+    return out | {"payload_digest": real, "payload_bytes": len(payload), "payload": payload}
 
 
 def read_records(packages: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row per record of the packages: page_id, url, payload_bytes, payload_digest, record_type, refers_to(, payload)."""
-    names = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads
+    """One row per record of the packages (package): page_id, record_id, url, payload_bytes, payload_digest, record_type, refers_to(, payload)."""
+    names = [("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payloads
 
     def run(batches):
         for b in batches:
-            for name, at, lengths in zip(*[b.column(c).to_pylist() for c in ("package", "at", "lengths")]):
+            for name, at, length, lengths in zip(*[b.column(c).to_pylist() for c in ("package", "at", "length", "lengths")]):
                 store, path = _store(name)
                 with store.open_input_file(path) as f:
                     f.seek(at)
-                    got = f.read(sum(lengths))
-                rows, k = [], 0
-                for n in lengths:
-                    rows.append(parse(gzip.decompress(got[k : k + n])))
-                    k += n
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in names], [c for c, _ in names])
+                    got = f.read(length)
+                edges = np.cumsum([0, *lengths]).tolist()
+                found = (r for a, z in zip(edges, edges[1:]) for r in split_records(got[a:z])) if lengths else split_records(got)
+                while rows := [parse(r) for r in islice(found, 500)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in names], [c for c, _ in names])
 
     found = ranges(packages)
     tasks = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return found.repartition(tasks, "package", "at").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
+    return found.repartition(tasks, "package", "at").mapInArrow(run, "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """WARC packages by round trip, and the pipeline by brute force on its parts."""
 
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 
 import corpus_pipeline
@@ -41,6 +43,37 @@ def test_directory_reads_zip_and_zip64():
         assert f.getvalue()[at : at + n] == b"12345" and found["indexes/b"][1] == 1000
 
 
+def warc_record(kind, block, **more):
+    fields = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in more.items())
+    return f"WARC/1.0\r\nwarc-type: {kind}\r\n{fields}content-length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_packages_made_elsewhere(spark, tmp_path):
+    ok = lambda body: b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    records = {
+        "a.warc.gz": [warc_record("warcinfo", b"software: x"), warc_record("response", ok(b"one"), WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="http://h/1"), warc_record("request", b"GET / HTTP/1.1\r\n\r\n")],
+        "b.warc.gz": [warc_record("response", ok(b"two"), WARC_Payload_Digest="sha1:" + hashlib.sha1(b"two").hexdigest()), warc_record("response", ok(b""))],
+        "c.warc": [warc_record("response", ok(b"three")), warc_record("revisit", ok(b""), WARC_Refers_To="<urn:page:7>", WARC_Record_ID="<urn:page:9>")],
+        "d.warc.gz": [warc_record("response", ok(b"four"))],
+    }
+    packed = {m: [gzip.compress(r) if m.endswith("gz") else r for r in rs] for m, rs in records.items()}
+    at = lambda m, k: (sum(map(len, packed[m][:k])), len(packed[m][k]))
+    cdxj = "!meta 0 {}\n" + "".join("com,h)/ 2020 " + json.dumps({"filename": f, "offset": at(m, k)[0], "length": str(at(m, k)[1]), "mime": "{"}) + "\n" for m, k, f in (("a.warc.gz", 1, "a.warc.gz"), ("b.warc.gz", 0, "archive/b.warc.gz"), ("b.warc.gz", 1, "b.warc.gz"), ("a.warc.gz", 1, "elsewhere.warc.gz")))
+    cdx = " CDX N b a m s k r M S V g\n" + f"com,h)/ 2020 http://h/ text/html 200 X - - {at('d.warc.gz', 0)[1]} 0 d.warc.gz\n"
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("pages/pages.jsonl", "{}")
+        for m, rs in packed.items():
+            z.writestr(f"archive/{m}", b"".join(rs))
+        z.writestr("archive/packed.warc", b"x" * 999, zipfile.ZIP_DEFLATED)
+        z.writestr("indexes/one.cdxj", cdxj)
+        z.writestr("indexes/two.cdx.gz", gzip.compress(cdx.encode()))
+    got = warc.read_records(spark.createDataFrame([(f"file://{tmp_path}/p.wacz",)], "package string")).collect()
+    assert {(bytes(r.payload), r.payload_bytes, r.record_id, r.url) for r in got if r.record_type == "response"} == {(b"one", 3, "<urn:uuid:1>", "http://h/1"), *((b, len(b), None, None) for b in (b"two", b"", b"three", b"four"))}
+    assert sorted(r.record_type for r in got) == ["response"] * 5 + ["revisit"]
+    assert {bytes(r.payload): r.payload_digest for r in got if r.payload is not None} == {b: hashlib.sha1(b).hexdigest() for b in (b"one", b"two", b"", b"three", b"four")}
+    assert [(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"] == [(9, 7)]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 900), (900, 7), (7, 7), (5, 900)] + [(1000, k) for k in range(1001, 1050)]
     got = {r.node: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
