@@ -2,17 +2,22 @@
 
 The coarse centroids and the codebooks of the residuals' parts are fitted on the driver to a bounded sample (SAMPLE
 rows, the least by a hash of vec_id); every row is then indexed: its nearest centroid is its list, its residual a few
-bytes of code. A query visits the lists of its PROBES nearest centroids; in each it builds its table of distances from
-its own residual to the codewords (asymmetric: the query isn't quantised), sums the table over the codes, keeps the
-RERANK best by that estimate, and computes their cosines exactly from the original vectors.
+bytes of code. A query visits the lists of its nearest centroids; in each it builds its table of distances from its own
+residual to the codewords (asymmetric: the query isn't quantised), sums the table over the codes, keeps the best by that
+estimate, and computes their cosines exactly from the original vectors.
 
-Vectors are scaled to length 1 first, so distance orders like cosine. Lists are dealt out in parts of at most PART rows
+How many lists are visited, and what share of them is reranked, is fitted too: TRIAL rows of the sample are searched in
+the sample by brute force, and the least share of lists and then of candidates is taken that finds FOUND of their
+neighbours. Clustered vectors need few lists; vectors without clusters need most of them.
+
+Vectors are scaled to length 1 first, so distance orders like cosine; each length of vectors has an index of its own. Lists are dealt out in parts of at most PART rows
 and a list's queries in parts of QUERIES, so a list of any size is spread over tasks. Each part returns K rows per
 query; their best K are the result. Queries whose lists hold fewer than K candidates visit all lists.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite parts, or of another length than the
-sample's, take no part; a row isn't its own candidate, but another row with its vec_id is none either; equal scores go to the smaller vec_id; fewer candidates than K: all of
-them; other columns are ignored; an empty table gives no rows.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite parts take no part; vectors are compared
+with those of their own length only; a row isn't its own candidate, but another row with its vec_id is; rows with one
+vec_id are queries of their own, each with ranks from 1; equal scores go to the smaller vec_id; fewer candidates than K:
+all of them; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +34,16 @@ from .vectors import USABLE, matrix, unit
 K = 5
 #: Rows that centroids and codebooks are fitted to, at most.
 SAMPLE = 8_192
-#: Rows a list should hold on average; lists, at least and at most.
-LIST_ROWS, LEAST_LISTS, MOST_LISTS = 500, 4, 4_096
-#: Share of the lists that a query visits (measured: these vectors have hardly any clusters), and the least number.
-PROBE_SHARE, LEAST_PROBES = 0.75, 8
+#: Rows a list should hold on average; lists, at least and at most (centroids are fitted to SAMPLE rows).
+LIST_ROWS, LEAST_LISTS, MOST_LISTS = 500, 4, 2_048
+#: Rows of the sample that the shares are fitted with, and the share of their neighbours to be found by each of the two.
+TRIAL, FOUND = 256, 0.98
+#: The least number of lists that a query visits.
+LEAST_PROBES = 8
 #: Parts of a residual, codewords of each.
-PARTS, WORDS = 16, 64
-#: Candidates of a part of a list that are reranked, as a share and at least.
-RERANK_SHARE, RERANK = 0.2, 128
+PARTS, WORDS = 16, 256
+#: Candidates of a part of a list that are reranked at least.
+RERANK = 64
 PART, QUERIES = 4_096, 1_024
 
 
@@ -90,29 +97,57 @@ class Index:
             out[:, p, : len(book)] = _distances(rest[:, a:b], book) + (rest[:, a:b] ** 2).sum(axis=1, keepdims=True)
         return out
 
-
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Index, int, int] | None:
-    """(index, rows, lists) of usable vectors; None if there are none. The sample is a bounded, documented number of rows."""
+    def tune(self, x: np.ndarray, k: int, trial: int = TRIAL, found: float = FOUND) -> None:
+        """Fit probe_share and rerank_share to the sample x of rows of length 1."""
+        lists = len(self.centroids)
+        place, codes = self.place(x)
+        q = x[:trial]
+        sim = q @ x.T
+        sim[np.arange(len(q)), np.arange(len(q))] = -2
+        near = np.argsort(-sim, axis=1)[:, : min(k, len(x) - 1)]
+        order = np.argsort(self.probes(q, lists), axis=1)  # rank of each list for each query
+        need = np.sort(order[np.arange(len(q))[:, None], place[near]].ravel()) + 1
+        least = lambda ranks: float(ranks[max(0, int(np.ceil(found * len(ranks))) - 1)]) if len(ranks) else 1.0
+        self.probe_share = least(need) / lists
+        at = []  # of each neighbour, the share of its list that the estimate puts before it
+        for r in range(len(q)):
+            for n in set(place[near[r]].tolist()):
+                mine = np.flatnonzero(place == n)
+                guess = self.tables(q[r : r + 1], n)[0, np.arange(codes.shape[1])[None, :], codes[mine]].sum(axis=1)
+                ahead = np.argsort(np.argsort(guess, kind="stable"), kind="stable")
+                at += [(ahead[mine == m][0] + 1) / len(mine) for m in near[r] if place[m] == n]
+        self.rerank_share = min(1.0, least(np.sort(np.array(at))))
+
+
+def fit(vectors: DataFrame, sample: int = SAMPLE, k: int = K) -> tuple[Index, int] | None:
+    """(index, lists) of usable vectors of one length; None if there are none. The sample is a bounded, documented number of rows."""
     n = vectors.count()
     if not n:
         return None
     rows = [r.embedding for r in vectors.orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id").select("embedding").limit(sample).collect()]
-    widths = [len(r) for r in rows]
-    width = max(set(widths), key=lambda w: (widths.count(w), -w))
     lists = int(min(MOST_LISTS, max(LEAST_LISTS, n / LIST_ROWS)))
-    return Index(np.array([r for r in rows if len(r) == width], np.float64), lists), n, lists
+    x = np.array(rows, np.float64)
+    index = Index(x, lists)
+    index.tune(unit(x), k)
+    return index, len(index.centroids)
 
 
-def search(vectors: DataFrame, query: str, k: int = K, sample: int = SAMPLE, probe_share: float = PROBE_SHARE) -> DataFrame:
+def search(vectors: DataFrame, query: str, k: int = K, sample: int = SAMPLE, probe_share: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of vectors (vec_id, embedding) that the SQL condition query picks."""
     usable = vectors.select("vec_id", "embedding").where(USABLE)
-    schema = usable.schema
-    fitted = fit(usable, sample)
-    if not fitted:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, _, lists = fitted
-    usable = usable.where(F.size("embedding") == index.width)
-    probes = min(lists, max(LEAST_PROBES, round(probe_share * lists)))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in sorted(r.width for r in usable.select(F.size("embedding").alias("width")).distinct().collect()):
+        out = out.unionByName(_search(usable.where(F.size("embedding") == width), query, k, sample, probe_share))
+    return out
+
+
+def _search(usable: DataFrame, query: str, k: int, sample: int, probe_share: float | None) -> DataFrame:
+    """search() of vectors of one length."""
+    index, lists = fit(usable, sample, k)
+    probes = min(lists, max(LEAST_PROBES, int(np.ceil((probe_share or index.probe_share) * lists))))
+    # rows are told apart by numbers of their own, fixed by being written
+    numbered = usable.withColumn("row", F.monotonically_increasing_id())
+    schema = numbered.schema
 
     def place(batches):
         for b in batches:
@@ -120,7 +155,7 @@ def search(vectors: DataFrame, query: str, k: int = K, sample: int = SAMPLE, pro
                 at, codes = index.place(unit(matrix(b.column("embedding"))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], [*b.schema.names, "list", "codes"])
 
-    placed = cut(usable.mapInArrow(place, StructType([*schema.fields, StructField("list", IntegerType())]).add("codes", "binary")), "index")
+    placed = cut(numbered.mapInArrow(place, StructType([*schema.fields, StructField("list", IntegerType())]).add("codes", "binary")), "index")
 
     def visit(n: int):
         def run(batches):
@@ -133,50 +168,53 @@ def search(vectors: DataFrame, query: str, k: int = K, sample: int = SAMPLE, pro
         return run
 
     def found(queries: DataFrame, n: int) -> DataFrame:
-        asked = queries.select("vec_id", "embedding").mapInArrow(visit(n), StructType([*schema.fields, StructField("list", IntegerType())]))
+        """query (its row), query_id, rank, vec_id, score."""
+        asked = queries.select(*schema.names).mapInArrow(visit(n), StructType([*schema.fields, StructField("list", IntegerType())]))
         parts = placed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
         waves = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("waves"))
         sizes = cut(parts.join(waves, "list"), "sizes")
-        left = placed.join(sizes, "list").select("vec_id", "embedding", "codes", "list", F.pmod(F.xxhash64("vec_id", F.lit(1)), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"))
-        right = asked.join(sizes, "list").select("vec_id", "embedding", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("vec_id", F.lit(2)), "waves").cast("int").alias("wave"))
-        near = left.groupBy("list", "part", "wave").cogroup(right.groupBy("list", "part", "wave")).applyInArrow(_nearest_of(index, k), "query_id long, vec_id long, score double")
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        left = placed.join(sizes, "list").select(*schema.names, "codes", "list", F.pmod(F.xxhash64("row", F.lit(1)), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"))
+        right = asked.join(sizes, "list").select(*schema.names, "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("row", F.lit(2)), "waves").cast("int").alias("wave"))
+        near = left.groupBy("list", "part", "wave").cogroup(right.groupBy("list", "part", "wave")).applyInArrow(_nearest_of(index, k), "query long, query_id long, row long, vec_id long, score double")
+        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row")
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "query_id", "rank", "vec_id", "score")
 
-    queries = placed.where(query).select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    queries = placed.where(query).select(*schema.names)
     first = found(queries, probes)
-    if probes == lists:
-        return first
-    first = cut(first, "found")
-    short = queries.join(first.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    rest = found(short, lists)
-    return first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    if probes < lists:
+        first = cut(first, "found")
+        short = queries.join(first.groupBy("query").count().where(F.col("count") >= k).select(F.col("query").alias("row")), "row", "left_anti")
+        rest = found(short, lists)
+        first = first.join(short.select(F.col("row").alias("query")), "query", "left_anti").unionByName(rest)
+    return first.drop("query")
 
 
 def _nearest_of(index: Index, k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        names = ["query", "query_id", "row", "vec_id", "score"]
         if not rows.num_rows or not queries.num_rows:
-            return none
+            return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())], names=names)
         rows, queries = rows.combine_chunks(), queries.combine_chunks()
-        ids, asked, at = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy(), rows.column("list")[0].as_py()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+        ids, own, at = rows.column("vec_id").to_numpy(), rows.column("row").to_numpy(), rows.column("list")[0].as_py()
+        asked, asked_ids = queries.column("row").to_numpy(), queries.column("vec_id").to_numpy()
+        order = np.lexsort((own, ids))
+        ids, own = ids[order], own[order]
         x = matrix(rows.column("embedding").combine_chunks())[order]
         q = matrix(queries.column("embedding").combine_chunks())
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        most = min(len(ids), max(RERANK, k + 1, int(RERANK_SHARE * len(ids))))
+        most = min(len(ids), max(RERANK, k + 1, int(np.ceil(index.rerank_share * len(ids)))))
         tables = index.tables(unit(q), at)
         xn, qn = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         out = []
         for r in range(len(asked)):
             guess = tables[r, np.arange(codes.shape[1])[None, :], codes].sum(axis=1)
             keep = np.argsort(guess, kind="stable")[:most]  # ids are in order: equal codes go by id
-            keep = keep[ids[keep] != asked[r]]
-            score = (x[keep] @ q[r]) / (xn[keep] * qn[r])
-            top = np.lexsort((ids[keep], -score))[:k]
-            out.append((np.full(len(top), asked[r]), ids[keep][top], score[top]))
-        return pa.table({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+            keep = keep[own[keep] != asked[r]]
+            score = (x[keep] * q[r]).sum(axis=1) / (xn[keep] * qn[r])  # summed row by row, so that equal vectors have equal scores
+            top = np.lexsort((own[keep], ids[keep], -score))[:k]
+            keep = keep[top]
+            out.append((np.full(len(keep), asked[r]), np.full(len(keep), asked_ids[r]), own[keep], ids[keep], score[top]))
+        return pa.table([np.concatenate([o[c] for o in out]) for c in range(5)], names=names)
 
     return run
 

@@ -6,15 +6,17 @@ pair counts only in the first table in which it meets, so links are counted once
 sees two blocks of about BLOCK rows and returns, for each of its rows, a count and at most one edge; no list of pairs
 leaves it. A bucket of any size is split into blocks: every pair of its blocks is compared, no cap.
 
-With TABLES tables of BITS bits, a pair at cosine 0.93 meets in some table with probability over 0.995.
+A table's bits follow the number of rows, so that a bucket holds about BLOCK of them on average, and the number of
+tables follows the bits, so that a pair at cosine `least` misses all tables with a chance below MISS (0.003).
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite parts, and rows with a null label, have no links and are their
-own component; vectors are compared with those of their own length only; rows with equal
-vec_id are separate vectors of one component if they link; other columns are ignored; an empty table gives no rows.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite parts, and rows with a null label, have no
+links and are their own component; vectors are compared with those of their own length only; rows with equal vec_id are
+separate vectors, with links and a component of their own each; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +29,8 @@ from .common import components, cut, table
 from .vectors import USABLE, key, matrix, unit
 
 LEAST = 0.93
-TABLES, BITS = 24, 12
+#: Bits of a table, at least and at most; the chance that a pair at the least cosine meets in no table.
+LEAST_BITS, MOST_BITS, MISS = 12, 28, 0.003
 #: Rows of a block of a large bucket; rows of a task group of smaller ones; buckets compared row by row.
 BLOCK, GROUP, SMALL = 1024, 4096, 24
 
@@ -37,7 +40,14 @@ def _planes(width: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng(20240501 + width).standard_normal((width, tables * bits))
 
 
-def codes(x: np.ndarray, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
+def shape(rows: int, least: float = LEAST) -> tuple[int, int]:
+    """(tables, bits) for so many rows."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, rows / BLOCK)))))
+    meets = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits  # in one table
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-meets))) if meets < 1 else 1, bits
+
+
+def codes(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """One bucket number per row and table."""
     signs = (x @ _planes(x.shape[1], tables, bits) > 0).reshape(len(x), tables, bits)
     return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
@@ -118,18 +128,24 @@ def _compare(least: float, tables: int, bits: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST, tables: int | None = None, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
     vectors = vectors.select("vec_id", "embedding", "label")
     part = F.expr(f"coalesce({USABLE} and label is not null, false)")
     rows = vectors.where(part).withColumn("key", key())
-    classes = cut(rows.groupBy("label", "key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.min("embedding").alias("embedding")), "classes")
-    count = max(1, classes.count() // GROUP)
-    pairs = _blocks(_hashed(classes, tables, bits), block, count).groupBy("width", "t", "g", "i", "j").applyInArrow(_compare(least, tables, bits), "cls long, links long, to long")
+    # a class has a number of its own, fixed by being written: its least vec_id may be another class's too
+    classes = rows.groupBy("label", "key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.min("embedding").alias("embedding"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    count = classes.count()
+    wide = shape(count, least)
+    tables, bits = tables or wide[0], bits or wide[1]
+    pairs = _blocks(_hashed(classes, tables, bits), block, max(1, count // GROUP)).groupBy("width", "t", "g", "i", "j").applyInArrow(_compare(least, tables, bits), "cls long, links long, to long")
     pairs = cut(pairs, "links")
     links = pairs.groupBy("cls").agg(F.sum("links").alias("links"))
-    comps = components(pairs.select(F.col("cls").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "cls")
-    counted = classes.join(links, "cls", "left").join(comps, "cls", "left").select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "cls").alias("component_id"))
+    comps = cut(components(pairs.select(F.col("cls").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "cls"), "components")
+    firsts = comps.join(classes.select("cls", "first"), "cls").groupBy("component_id").agg(F.min("first").alias("least_id"))
+    named = comps.join(firsts, "component_id").select("cls", "least_id")
+    counted = classes.join(links, "cls", "left").join(named, "cls", "left").select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least_id", "first").alias("component_id"))
     linked = rows.select("vec_id", "label", "key").join(counted, ["label", "key"]).select("vec_id", "n_links", "component_id")
     idle = vectors.where(~part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(idle).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
