@@ -6,23 +6,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def reach(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(root, node): all nodes reachable from each root, roots included.
+    """(root, node): all nodes reachable from each root, roots included. edges: (a, b); roots: (root)."""
+    return _grown(edges, roots.select("root", F.col("root").alias("node")), ["root"], most_rounds)
 
-    Semi-naive: only the pairs found last are joined to the edges, and pairs already known leave by an anti join. The
-    frontier is checkpointed each round, so the plan stays flat and cycles end. edges: (a, b); roots: (root).
-    """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-    edges = edges.select("a", "b").distinct().checkpoint()
-    known = frontier = roots.select("root", F.col("root").alias("node")).distinct().checkpoint()
+def reached(edges: DataFrame, seeds: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(node): all nodes reachable from any of the seeds (node), seeds included."""
+    return _grown(edges, seeds.select("node"), [], most_rounds)
+
+
+def _grown(edges: DataFrame, start: DataFrame, keys: list[str], most_rounds: int) -> DataFrame:
+    """start (keys, node) and what its nodes reach.
+
+    Semi-naive: only the rows found last are joined to the edges, and rows already known leave by an anti join. The
+    frontier is written each round, so the plan stays flat, nothing is computed twice, and cycles end.
+    """
+    edges = cut(edges.select("a", "b").distinct(), "edges")
+    known = frontier = cut(start.distinct(), "reached")
     for _ in range(most_rounds):
-        new = frontier.join(edges, frontier["node"] == edges["a"]).select("root", F.col("b").alias("node")).distinct()
-        frontier = new.join(known, ["root", "node"], "left_anti").checkpoint()
+        new = frontier.join(edges, frontier["node"] == edges["a"]).select(*keys, F.col("b").alias("node")).distinct()
+        frontier = cut(new.join(known, [*keys, "node"], "left_anti"), "reached")
         if frontier.isEmpty():
             return known
         known = known.union(frontier)

@@ -12,17 +12,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.graph import reach
+from ..operators.graph import reach, reached
 from ..operators.relational import first_wins
 from ..sources.java import statements, tokens
 
 #: frameworks' names.
 VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
 RELATIONS = ("OneToOne", "OneToMany", "ManyToOne", "ManyToMany")
-LISTENERS = ("EventListener", "TransactionalEventListener", "ApplicationModuleListener", "KafkaListener", "RabbitListener", "JmsListener", "SqsListener")
+LISTENERS = ("ApplicationModuleListener", "TransactionalEventListener", "EventListener")
+BROKERS = {"KafkaListener": "topics", "RabbitListener": "queues", "JmsListener": "destination", "SqsListener": "value", "ServiceActivator": "inputChannel"}
 PUBLISHERS = ("publishEvent", "registerEvent", "register", "publish", "send", "convertAndSend", "emit")
 EVENT_SUFFIXES = ("Event", "Created", "Updated", "Deleted", "Removed", "Added", "Changed", "Confirmed", "Cancelled", "Canceled", "Closed", "Opened", "Issued", "Returned", "Recorded", "Consumed", "Placed", "Shipped", "Delivered", "Paid", "Completed", "Started", "Registered")
-VALUES = ("String", "Integer", "Long", "Short", "Byte", "Boolean", "Double", "Float", "Character", "BigDecimal", "BigInteger", "List", "Set", "Map", "Collection", "Optional", "UUID", "LocalDate", "LocalDateTime", "Instant", "Duration", "Object", "int", "long", "boolean", "double")
+VALUES = (
+    "String", "CharSequence", "Integer", "Long", "Short", "Byte", "Boolean", "Double", "Float", "Character", "BigDecimal", "BigInteger", "Number", "List", "Set", "Map", "Collection", "Optional", "Stream", "UUID", "LocalDate", "LocalDateTime", "LocalTime", "Instant", "Duration", "Object",
+    "ArrayList", "LinkedList", "ArrayDeque", "Vector", "Stack", "Queue", "Deque", "HashMap", "LinkedHashMap", "TreeMap", "ConcurrentHashMap", "HashSet", "LinkedHashSet", "TreeSet", "CopyOnWriteArrayList", "CopyOnWriteArraySet", "AtomicInteger", "AtomicLong", "AtomicReference", "AtomicBoolean",
+    "int", "long", "short", "byte", "boolean", "double", "float", "char",
+)
+#: Roles of classes, by annotation or else by the end of the name; the first that fits.
+ROLES = (("controller", ("RestController", "Controller"), ("Controller",)), ("service", ("Service",), ("Service", "Factory")), ("repository", ("Repository",), ("Repository",)), ("domain", ("Entity", "Embeddable"), ()))
 TEST_SUFFIXES = ("ITCase", "Tests", "Test", "IT")
 
 #: Status labels, validation annotations, guard calls and what they demand.
@@ -32,8 +39,9 @@ GUARD_HOLDERS = ("Guard", "Objects", "Assert", "Preconditions", "Validate")
 GUARDS = {"requireNonNull": "NotNull", "requireText": "NotBlank", "requireNonBlank": "NotBlank", "requirePositive": "Positive", "requireNonNegative": "PositiveOrZero", "notNull": "NotNull", "checkNotNull": "NotNull", "hasText": "NotBlank", "hasLength": "NotEmpty", "notEmpty": "NotEmpty", "notBlank": "NotBlank", "isTrue": "AssertTrue", "checkArgument": "AssertTrue", "checkState": "AssertTrue", "state": "AssertTrue", "positive": "Positive"}
 
 _TYPE = r"(?:^|.*? )(class|interface|enum|record) (\w+).*$"
-_METHOD = r"^(.*? )?([\w.]+(?: < .* >)?(?: \[ \])*) (\w+) \( ?(.*?) ?\)(?: throws .*)?$"
-_FIELD = r"^(.*? )?([\w.]+(?: < [^=]* >)?(?: \[ \])*) (\w+)(?: = .*)?$"
+_MODIFIERS = r"((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|transient|volatile) |< [^()]*? > (?=[\w.]+(?: < .* >)?(?: \[ \])* \w+ \())*)"
+_METHOD = rf"^{_MODIFIERS}([\w.]+(?: < .* >)?(?: \[ \])*) (\w+) \( ?(.*?) ?\)(?: throws .*)?$"
+_FIELD = rf"^{_MODIFIERS}([\w.]+(?: < [^=]* >)?(?: \[ \])*) (\w+)(?: = .*)?$"
 _ANNOTATION = r"@ (\w+)(?: \( ((?:[^()]|\( [^()]* \))*) \))?"
 
 
@@ -58,6 +66,38 @@ def _named(args, key: str):
     return F.when(named != "", named).otherwise(bare)
 
 
+_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def argument(args, key, alone: bool = True):
+    """An annotation's argument as text - the named one or (alone) the only one: strings unwrapped, X.class as X, the first of an array, else the source.
+
+    key: a name, or a column of names.
+    """
+    key = F.lit(key) if isinstance(key, str) else key
+    only = rf"|^(?!\w+ = )(.*)$" if alone else "|^(?!)()"
+    found = F.call_function("regexp_extract_all", args, F.concat(F.lit("(?:^|, )(?:"), key, F.lit(rf") = (\{{[^}}]*\}}|{_STRING}[^,]*|[^,]*){only}")), F.lit(0))
+    raw = F.regexp_replace(F.get(found, F.lit(0)), r"^(?:, )?\w+ = ", "")
+    first = F.trim(F.regexp_extract(F.trim(raw), rf"^(?:\{{ ?)?({_STRING}(?! \+)|(?<=\{{ )[^,}}]*|(?<!\{{ ).*)", 1))
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.when(first.rlike(f"^{_STRING}$"), first).otherwise(source(first)), r'^"(.*)"$', "$1"), r"\.class$", ""), F.lit(""))
+
+
+def source(text):
+    """Tokens joined by blanks, written as source again."""
+    for a, b in ((r"([=!<>]) =", "$1="), ("& &", "&&"), (r"\| \|", "||"), (r" ?\. ?", "."), (r"(\w) \(", "$1("), (r"\( ", "("), (r" \)", ")"), (r"! ", "!"), (r" ,", ",")):
+        text = F.regexp_replace(text, a, b)
+    return text
+
+
+def role(simple, annotations):
+    """The architectural role of a class."""
+    names, out = F.transform(annotations, lambda a: a["name"]), F.lit("other")
+    for what, marks, ends in reversed(ROLES):
+        fits = F.arrays_overlap(names, F.array(*map(F.lit, marks)))
+        out = F.when(fits | S.ends_with_any(simple, list(ends)) if ends else fits, what).otherwise(out)
+    return out
+
+
 class Facts:
     """Fact tables of files (file, source_set, text)."""
 
@@ -77,7 +117,7 @@ class Facts:
         return self._kept[name]
 
     def entry_points(self) -> DataFrame:
-        """category, id, http_method, path, destination, class_name, method, file, line, method_id of HTTP, scheduled, event (listeners and functional beans) and command-line entry points."""
+        """category, id, http_method, path, destination, async, class_name, method, file, line, method_id of HTTP, scheduled, event (listeners and functional beans) and command-line entry points."""
         return self._once("entry_points", self._entry_points)
 
     def call_edges(self) -> DataFrame:
@@ -85,15 +125,15 @@ class Facts:
         return self._once("call_edges", self._call_edges)
 
     def _types(self) -> DataFrame:
-        """file, type_id, simple, kind, line, depth, open, close, annotations, head."""
-        package = self.statements.where("startswith(text, 'package ')").select("file", F.replace(F.substring(F.col("text"), 9, 500), F.lit(" "), F.lit("")).alias("package"))
+        """file, type_id, simple, kind, role, line, depth, open, close, annotations, head."""
+        package = self.statements.where("startswith(text, 'package ')").select("file", F.replace(F.substring("text", 9, 1 << 30), F.lit(" "), F.lit("")).alias("package"))
         t = self.statements.where((F.col("ends") == "{") & _clean(F.col("text")).rlike(_TYPE) & ~_clean(F.col("text")).contains(" = "))
         t = t.select("file", "line", "depth", F.col("stop").alias("open"), _annotated(F.col("text")).alias("annotations"), _clean(F.col("text")).alias("head"))
         t = t.withColumn("kind", F.regexp_extract("head", _TYPE, 1)).withColumn("simple", F.regexp_extract("head", _TYPE, 2))
         ends = self.tokens.where("tok = '}'").select("file", (F.col("depth") - 1).alias("depth"), F.col("pos").alias("end"))
         close = t.join(ends, ["file", "depth"]).where("end > open").groupBy("file", "open").agg(F.min("end").alias("close"))
         t = t.join(close, ["file", "open"]).join(package, "file", "left")
-        return t.withColumn("type_id", F.concat_ws(".", "package", "simple"))
+        return t.withColumn("type_id", F.concat_ws(".", "package", "simple")).withColumn("role", role(F.col("simple"), F.col("annotations")))
 
     def _members(self) -> DataFrame:
         """Statements directly inside a type."""
@@ -119,7 +159,7 @@ class Facts:
     # ---- relations -----------------------------------------------------------------------------------------------
 
     def entities(self) -> DataFrame:
-        """name, kind, table, file, line, fields (name, type, column, id), relations (field, kind, target, owning)."""
+        """name, kind, table, file, line, fields (name, type, column, id, generated, nullable, unique, length, converter), relations (field, kind, target, mapped_by, join_column, owning)."""
         names = F.transform("annotations", lambda a: a["name"])
         kind = F.when(F.array_contains(names, "Entity"), "ENTITY").when(F.array_contains(names, "Embeddable"), "EMBEDDABLE").when(F.array_contains(names, "MappedSuperclass"), "MAPPED_SUPERCLASS")
         e = self.types.where("kind = 'class'").withColumn("entity", kind).where("entity is not null")
@@ -127,32 +167,46 @@ class Facts:
         e = e.select("type_id", F.col("simple").alias("name"), F.col("entity").alias("kind"), F.when(tab != "", tab).otherwise(F.col("simple")).alias("table"), "file", "line")
         f = self.fields.where("not is_static").withColumn("names", F.transform("annotations", lambda a: a["name"]))
         relation = F.get(F.filter(F.array(*map(F.lit, RELATIONS)), lambda r: F.array_contains(F.col("names"), r)), F.lit(0))
-        argument = F.coalesce(F.get(F.filter("annotations", lambda a: a["name"] == relation), F.lit(0))["args"], F.lit(""))
-        column = _named(F.get(annotation_text(F.col("annotations"), "Column"), F.lit(0))["args"], "name")
+        of = lambda name: F.get(annotation_text(F.col("annotations"), name), F.lit(0))["args"]
+        own = F.get(F.filter("annotations", lambda a: a["name"] == relation), F.lit(0))["args"]
+        column, mapped = _named(of("Column"), "name"), argument(own, "mappedBy", alone=False)
         target = S.simple_type_name(F.regexp_replace("type", r"^.*[<,]([\w.]+)>+$", "$1"))
-        f = f.withColumn("relation", relation).withColumn("target", target).withColumn("owning", ~argument.contains("mappedBy")).withColumn("column", F.when(column != "", column)).withColumn("is_id", F.array_contains("names", "Id"))
+        said = lambda key: F.nullif(F.regexp_extract(of("Column"), rf"(?:^|, ){key} = (true|false|\d+)(?: ,|$)", 1), F.lit(""))
+        f = f.withColumns({"relation": relation, "target": target, "mapped_by": mapped, "join_column": F.nullif(_named(of("JoinColumn"), "name"), F.lit("")), "column": F.when(column != "", column), "id": F.array_contains("names", "Id"), "generated": F.array_contains("names", "GeneratedValue"), "nullable": said("nullable").cast("boolean"), "unique": said("unique").cast("boolean"), "length": said("length").try_cast("int"), "converter": argument(of("Convert"), "converter", alone=False)})
         per = f.groupBy("type_id").agg(
-            F.array_sort(F.collect_list(F.when(F.col("relation").isNull(), F.struct("name", "type", "column", F.col("is_id").alias("id"))))).alias("fields"),
-            F.array_sort(F.collect_list(F.when(F.col("relation").isNotNull(), F.struct(F.col("name").alias("field"), F.col("relation").alias("kind"), "target", "owning")))).alias("relations"),
+            F.array_sort(F.collect_list(F.when(F.col("relation").isNull(), F.struct("name", "type", "column", "id", "generated", "nullable", "unique", "length", "converter")))).alias("fields"),
+            F.array_sort(F.collect_list(F.when(F.col("relation").isNotNull(), F.struct(F.col("name").alias("field"), F.col("relation").alias("kind"), "target", "mapped_by", "join_column", F.coalesce(F.trim("mapped_by") == "", F.lit(True)).alias("owning"))))).alias("relations"),
         )
         return e.join(per, "type_id", "left").drop("type_id")
 
     def _entry_points(self) -> DataFrame:
-        base = self.types.select("type_id", _named(F.get(annotation_text(F.col("annotations"), "RequestMapping"), F.lit(0))["args"], "path").alias("base"))
+        web = F.exists("annotations", lambda a: a["name"].isin("RestController", "Controller"))
+        base = self.types.select("type_id", web.alias("web"), F.when(web, _named(F.get(annotation_text(F.col("annotations"), "RequestMapping"), F.lit(0))["args"], "path")).alias("base"))
         main = self.files.where("source_set <> 'test'").select("file")
-        m = self.methods.join(main, "file", "left_semi").join(base, "type_id").withColumn("a", F.explode("annotations")).withColumn("ann", F.col("a.name")).withColumn("args", F.col("a.args"))
+        owned = self.methods.join(main, "file", "left_semi")
+        m = owned.join(base, "type_id").withColumn("names", F.transform("annotations", lambda a: a["name"])).withColumn("a", F.explode("annotations")).withColumn("ann", F.col("a.name")).withColumn("args", F.col("a.args"))
         verb = F.coalesce(F.create_map(*[F.lit(x) for kv in VERBS.items() for x in kv])[F.col("ann")], F.when(F.col("ann") == "RequestMapping", F.coalesce(F.nullif(F.regexp_extract("args", r"RequestMethod \. (\w+)", 1), F.lit("")), F.lit("ANY"))))
         path = S.join_path(F.col("base"), _named(F.col("args"), "path"))
-        common = ["file", "line", F.col("simple").alias("class_name"), F.col("name").alias("method"), F.col("id").alias("method_id")]
         none = F.lit(None).cast("string")
-        http = m.withColumn("verb", verb).where("verb is not null").select(F.lit("http").alias("category"), F.concat(F.lit("http:"), "verb", F.lit(" "), path).alias("id"), F.col("verb").alias("http_method"), path.alias("path"), none.alias("destination"), *common)
-        timed = m.where("ann = 'Scheduled'").select(F.lit("scheduled").alias("category"), F.concat(F.lit("scheduled:"), "simple", F.lit("#"), "name").alias("id"), none.alias("http_method"), none.alias("path"), _named(F.col("args"), "cron").alias("destination"), *common)
-        payload = F.get("params", F.lit(0))["type"]
-        events = m.where(F.col("ann").isin(*LISTENERS)).select(F.lit("event").alias("category"), F.concat(F.lit("event:"), "type_id", F.lit("#"), "name", F.lit("("), F.coalesce(payload, F.concat(F.lit("@"), F.col("line").cast("string"))), F.lit(")")).alias("id"), none.alias("http_method"), none.alias("path"), payload.alias("destination"), *common)
-        trigger = S.first_generic_argument(F.col("return_text"))
-        functional = m.where("ann = 'Bean' and return_type in ('Consumer', 'Function')").select(F.lit("event").alias("category"), F.concat(F.lit("event:"), "type_id", F.lit("#"), "name", F.lit("("), F.coalesce(trigger, F.lit("?")), F.lit(")")).alias("id"), none.alias("http_method"), none.alias("path"), S.simple_type_name(trigger).alias("destination"), *common)
+
+        def entry(df, category, id_, http_method=none, path_=none, destination=none, later=F.lit(False)):
+            return df.select(F.lit(category).alias("category"), id_.alias("id"), http_method.alias("http_method"), path_.alias("path"), destination.alias("destination"), later.alias("async"), "file", "line", F.col("simple").alias("class_name"), F.col("name").alias("method"), F.col("id").alias("method_id"))
+
+        http = entry(m.withColumn("verb", verb).where("web and verb is not null"), "http", F.concat(F.lit("http:"), "verb", F.lit(" "), path), F.col("verb"), path)
+        rate = argument(F.col("args"), "fixedRate", alone=False)
+        timed = entry(m.where("ann = 'Scheduled'"), "scheduled", F.concat(F.lit("scheduled:"), "simple", F.lit("#"), "name"), destination=F.coalesce(argument(F.col("args"), "cron", alone=False), F.concat(F.lit("fixedRate="), rate), F.lit("fixedDelay")))
+        heard = lambda d: F.concat(F.lit("event:"), "type_id", F.lit("#"), "name", F.when(d.isNotNull(), F.concat(F.lit("("), d, F.lit(")"))).otherwise(F.concat(F.lit("@"), F.col("line").cast("string"))))
+        payload = F.nullif(F.get("params", F.lit(0))["type"], F.lit(""))
+        order = [*LISTENERS, *BROKERS]  # a method has one trigger, by the first of these
+        e = first_wins(m.where(F.col("ann").isin(*order)).withColumn("nth", S.rank_in(F.col("ann"), order)), ["id"], ["nth"])
+        inside = F.col("ann").isin(*LISTENERS)
+        e = e.withColumn("told", argument(F.col("args"), F.coalesce(F.create_map(*[F.lit(x) for kv in BROKERS.items() for x in kv])[F.col("ann")], F.lit("classes"))))
+        e = e.withColumn("trigger", F.when(inside, F.coalesce(payload, "told")).otherwise(F.coalesce("told", payload)))
+        events = entry(e, "event", heard(F.col("trigger")), destination=F.col("trigger"), later=~inside | (F.col("ann") == LISTENERS[0]) | F.array_contains("names", "Async"))
+        taken = S.simple_type_name(S.first_generic_argument(F.col("return_text")))
+        functional = entry(m.where("ann = 'Bean' and return_type in ('Consumer', 'Function')"), "event", heard(taken), destination=taken, later=F.lit(True))
         runners = self.types.where(F.col("head").rlike(r" implements .*\b(CommandLineRunner|ApplicationRunner)\b")).select("type_id")
-        cli = self.methods.join(main, "file", "left_semi").join(runners, "type_id", "left_semi").where("name = 'run'").select(F.lit("cli").alias("category"), F.concat(F.lit("cli:"), "simple").alias("id"), none.alias("http_method"), none.alias("path"), none.alias("destination"), *common)
+        cli = entry(owned.join(runners, "type_id", "left_semi").where("name = 'run'"), "cli", F.concat(F.lit("cli:"), "simple"))
         return http.unionByName(timed).unionByName(events).unionByName(functional).unionByName(cli)
 
     def calls(self) -> DataFrame:
@@ -190,21 +244,36 @@ class Facts:
         return own.select(*pick).unionByName(resolved.select(*pick)).distinct()
 
     def call_graph(self) -> tuple[DataFrame, DataFrame]:
-        """(nodes: id, edges: a, b, file, line) reachable from the entry points."""
+        """(nodes: id, class_name, method, file, line, role, return_type; edges: a, b, file, line) reachable from the entry points; nodes outside the sources have no file, line 0 and the role external."""
         edges = self.call_edges()
-        roots = self.entry_points().select(F.col("method_id").alias("root")).distinct()
-        nodes = reach(edges, roots).select(F.col("node").alias("id")).distinct()
-        return nodes, edges.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi")
+        near = reached(edges, self.entry_points().select(F.col("method_id").alias("node")))
+        nodes = near.withColumnRenamed("node", "id").join(self.methods.select("id", "type_id", "simple", "name", "file", "line", "return_type"), "id", "left").join(self.types.select("type_id", "role").dropDuplicates(["type_id"]), "type_id", "left")
+        outside = F.col("file").isNull()
+        nodes = nodes.select("id", F.when(outside, F.regexp_extract("id", "^external:(.*)#", 1)).otherwise(F.col("simple")).alias("class_name"), F.when(outside, F.substring_index("id", "#", -1)).otherwise(F.col("name")).alias("method"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), F.when(outside, "external").otherwise(F.coalesce("role", F.lit("other"))).alias("role"), F.coalesce("return_type", F.lit("")).alias("return_type"))
+        return nodes, edges.join(near.withColumnRenamed("node", "a"), "a", "left_semi")
+
+    def classes_by_role(self) -> DataFrame:
+        """role, class_name, node: the classes of the graph; a class has the role of its first node, in order of id."""
+        nodes, _ = self.call_graph()
+        return nodes.groupBy("class_name").agg(F.min_by("role", "id").alias("role"), F.min("id").alias("node")).select("role", "class_name", "node")
 
     def assignment_sites(self) -> DataFrame:
-        """enum_type, field, value, class_name, method (null in constructors), file, line of assignments of an enum's constants."""
-        pattern = r"^(?:this \. )?(\w+) = (\w+) \. (\w+)$"
-        s = self.statements.where(F.col("text").rlike(pattern) & (F.col("ends") == ";")).select("file", "start", "line", *(F.regexp_extract("text", pattern, k).alias(c) for k, c in ((1, "field"), (2, "enum_type"), (3, "value"))))
-        s = s.join(self.types.where("kind = 'enum'").select(F.col("simple").alias("enum_type")).distinct(), "enum_type", "left_semi")
-        s = s.join(self.types.where("kind <> 'enum'").select("file", "open", "close", F.col("simple").alias("class_name")), "file").where("start > open and start < close")
+        """enum_type, field, value, class_name, method (null in constructors), file, line of assignments to what has an enum's type; a constant is named alone, other values by their source."""
+        pattern = r"^(?:(?:if|while|for) \(.*\) |else )?(?:(\w+) \. )?(\w+) = (?!=)(.*)$"
+        s = self.statements.where(F.col("text").rlike(pattern) & (F.col("ends") == ";")).select("file", "start", "line", *(F.regexp_extract("text", pattern, k).alias(c) for k, c in ((1, "owner"), (2, "field"), (3, "given"))))
+        s = s.join(self.types.where("kind <> 'enum'").select("file", "type_id", "open", "close", F.col("simple").alias("class_name")), "file").where("start > open and start < close")
         s = first_wins(s, ["file", "start"], [F.col("open").desc()])
-        m = self.methods.select(F.col("file").alias("f"), "body", "body_end", F.col("name").alias("method"))
-        return s.join(m, (F.col("file") == F.col("f")) & (F.col("start") > F.col("body")) & (F.col("start") < F.col("body_end")), "left").select("enum_type", "field", "value", "class_name", "method", "file", "line")
+        m = self.methods.select(F.col("file").alias("f"), "body", "body_end", F.col("name").alias("method"), F.col("id").alias("caller"))
+        s = s.join(m, (F.col("file") == F.col("f")) & (F.col("start") > F.col("body")) & (F.col("start") < F.col("body_end")), "left").drop("f", "body", "body_end")
+        held = self.fields.select("type_id", F.col("name").alias("field"), S.simple_type_name(F.col("type")).alias("of_field"))
+        known = self._receivers().select("caller", F.col("receiver"), F.col("type").alias("of_name"))
+        by_class = held.join(self.types.select("type_id", F.col("simple").alias("of_owner")), "type_id").select("of_owner", "field", F.col("of_field").alias("of_far"))
+        s = s.join(held, ["type_id", "field"], "left").join(known.withColumnRenamed("receiver", "field"), ["caller", "field"], "left")
+        s = s.join(known.select("caller", F.col("receiver").alias("owner"), F.col("of_name").alias("of_owner")), ["caller", "owner"], "left").join(by_class.dropDuplicates(["of_owner", "field"]), ["of_owner", "field"], "left")
+        kind = F.when(F.col("owner") == "this", F.col("of_field")).when(F.col("owner") == "", F.coalesce("of_name", "of_field")).otherwise(F.col("of_far"))
+        s = s.withColumn("enum_type", kind).join(self.types.where("kind = 'enum'").select(F.col("simple").alias("enum_type")).distinct(), "enum_type", "left_semi")
+        value = F.when(F.col("given").rlike(r"^[\w. ]+$"), S.last_segment(F.replace("given", F.lit(" "), F.lit("")))).otherwise(source(F.col("given")))
+        return s.select("enum_type", "field", value.alias("value"), "class_name", "method", "file", "line")
 
     def state_machines(self) -> DataFrame:
         """enum_type, states (sorted), sites (values with lines) of enums that are named, or held in a field named, status or state."""
@@ -216,12 +285,33 @@ class Facts:
         sites = self.assignment_sites().groupBy(F.col("enum_type").alias("simple")).agg(F.array_sort(F.collect_list(F.struct("file", "line", "value"))).alias("sites"))
         return body.select("simple", states.alias("states")).join(sites, "simple", "left").select(F.col("simple").alias("enum_type"), "states", F.coalesce("sites", F.array().cast(sites.schema["sites"].dataType)).alias("sites"))
 
+    def _conditions(self) -> DataFrame:
+        """file, from, to, condition of each block of an if; that of an else has the condition of its if."""
+        test = r"^(?:else )?if \( (.*) \)$"
+        b = self.statements.where((F.col("ends") == "{") & (F.col("text").rlike(test) | (F.col("text") == "else"))).select("file", "start", "stop", "depth", F.nullif(F.regexp_extract("text", test, 1), F.lit("")).alias("test"))
+        ends = self.tokens.where("tok = '}'").select("file", (F.col("depth") - 1).alias("depth"), F.col("pos").alias("end"))
+        b = b.join(ends, ["file", "depth"]).where("end > stop").groupBy("file", "depth", "start", "stop", "test").agg(F.min("end").alias("end"))
+        before = b.select("file", (F.col("end") + 1).alias("start"), F.col("test").alias("other")).where("other is not null")
+        return b.join(before, ["file", "start"], "left").select("file", F.col("stop").alias("from"), F.col("end").alias("to"), source(F.coalesce("test", "other")).alias("condition"))
+
     def throw_sites(self) -> DataFrame:
-        """exception_type, message, method_id, file, line of exceptions thrown in methods outside tests."""
-        pattern = r"(?:^|.* )throw new (\w+Exception) \((.*)$"
-        s = self.statements.where(F.col("text").rlike(pattern)).join(self.files.where("source_set <> 'test'").select("file"), "file", "left_semi")
-        s = s.select("file", "start", "line", F.regexp_extract("text", pattern, 1).alias("exception_type"), F.nullif(F.regexp_extract(F.regexp_extract("text", pattern, 2), r'"([^"]*)"', 1), F.lit("")).alias("message"))
-        return s.join(self.methods.select("file", "body", "body_end", F.col("id").alias("method_id")), "file").where("start > body and start < body_end").select("exception_type", "message", "method_id", "file", "line")
+        """exception_type, message, condition, method_id, file, line of the exceptions made in methods outside tests, thrown at once or by a supplier.
+
+        condition is that of the nearest if around it, message the first string of the first argument.
+        """
+        w = Window.partitionBy("file").orderBy("pos")
+        t = self.tokens.select("file", "pos", "tok", "line", F.lead("tok").over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"))
+        t = t.where((F.col("tok") == "new") & F.col("n1").rlike(r"^\w*Exception$") & (F.col("n2") == "(")).join(self.files.where("source_set <> 'test'").select("file"), "file", "left_semi")
+        t = t.join(self.statements.select("file", "start", "stop", "text"), "file").where("pos >= start and pos <= stop")
+        t = t.withColumn("nth", F.row_number().over(Window.partitionBy("file", "start").orderBy("pos")))
+        flat = rf"(?:[^()\"]|{_STRING}|\((?:[^()\"]|{_STRING}|\((?:[^()\"]|{_STRING}|\([^()]*\))*\))*\))*"
+        given = F.get(F.regexp_extract_all("text", F.lit(rf"new \w*Exception \(({flat})\)"), 1), F.col("nth") - 1)
+        first = F.regexp_extract(F.regexp_replace(given, rf"(\w) \((?:[^()\"]|{_STRING}|\([^()]*\))*\)", "$1()"), rf"^(?:[^,\"]|{_STRING})*", 0)
+        t = t.select("file", "pos", "line", F.col("n1").alias("exception_type"), "text", F.nullif(F.regexp_extract(first, r'"((?:[^"\\]|\\.)*)"', 1), F.lit("")).alias("message"))
+        inline = source(F.nullif(F.regexp_extract("text", rf"(?:^|\) |else )if \( ({flat}) \) [^|&]*new \w*Exception", 1), F.lit("")))
+        around = first_wins(t.select("file", "pos").join(self._conditions(), "file").where("pos > from and pos < to"), ["file", "pos"], [F.col("from").desc()]).select("file", "pos", "condition")
+        t = t.join(around, ["file", "pos"], "left").withColumn("condition", F.coalesce(inline, "condition"))
+        return t.join(self.methods.select("file", "body", "body_end", F.col("id").alias("method_id")), "file").where("pos > body and pos < body_end").select("exception_type", "message", "condition", "method_id", "file", "line")
 
     def exception_statuses(self) -> DataFrame:
         """exception_type, status, source: from @ResponseStatus on exceptions and @ExceptionHandler methods of advice classes; first by source."""
@@ -255,11 +345,11 @@ class Facts:
         return s.join(self.methods.select("file", "body", "body_end", F.col("id").alias("method_id")), "file").where("start > body and start < body_end").select("field", "constraint", "detail", "method_id", "file", "line")
 
     def flows(self) -> tuple[DataFrame, DataFrame]:
-        """(alternative flows: entry_point, exception_type, status, message; guards: entry_point, field, constraint): facts in reach of each HTTP entry point, the first of a kind."""
+        """(alternative flows: entry_point, exception_type, status, message, condition; guards: entry_point, field, constraint): facts in reach of each HTTP entry point, the first of a kind."""
         eps = self.entry_points().where("category = 'http'").select(F.col("id").alias("entry_point"), F.col("method_id").alias("root"))
         near = reach(self.call_edges(), eps.select("root").distinct()).join(eps, "root").select("entry_point", F.col("node").alias("method_id"))
         thrown = first_wins(near.join(self.throw_sites(), "method_id"), ["entry_point", "exception_type"], ["method_id", "file", "line"])
-        alternatives = thrown.join(self.exception_statuses().select("exception_type", "status"), "exception_type", "left").select("entry_point", "exception_type", F.coalesce("status", F.lit("—")).alias("status"), "message")
+        alternatives = thrown.join(self.exception_statuses().select("exception_type", "status"), "exception_type", "left").select("entry_point", "exception_type", F.coalesce("status", F.lit("—")).alias("status"), "message", "condition")
         guards = first_wins(near.join(self.guard_checks(), "method_id"), ["entry_point", "field", "constraint"], ["method_id", "file", "line"]).select("entry_point", "field", "constraint")
         return alternatives, guards
 

@@ -135,8 +135,8 @@ def test_declarations(facts):
 def test_relations(facts):
     e = facts.entities().first()
     assert (e["name"], e["kind"], e["table"], e["line"]) == ("Book", "ENTITY", "book", 2)
-    assert [(f["name"], f["column"], f["id"]) for f in e["fields"]] == [("id", None, True), ("state", None, False), ("title", "book_title", False)]
-    assert [tuple(r) for r in e["relations"]] == [("copies", "OneToMany", "Copy", False)]
+    assert [(f["name"], f["column"], f["id"], f["nullable"]) for f in e["fields"]] == [("id", None, True, None), ("state", None, False, None), ("title", "book_title", False, False)]
+    assert [tuple(r) for r in e["relations"]] == [("copies", "OneToMany", "Copy", "book", None, False)]
     assert {(r.id, r.line) for r in facts.entry_points().collect()} == {("http:GET /books/{id}", 11), ("http:POST /books", 14), ("http:PUT /books/loan", 19), ("event:shop.core.BookService#on(BookAdded)", 26), ("scheduled:BookService#sweep", 29), ("event:shop.core.Jobs#stock(BookAdded)", 5), ("cli:Jobs", 7)}
     assert {(r.enum_type, r.value, r.method) for r in facts.assignment_sites().collect()} == {("BookState", "FREE", None), ("BookState", "LENT", "lend"), ("Phase", "DONE", "run")}
     assert sorted((r.enum_type, r.states, len(r.sites)) for r in facts.state_machines().collect()) == [("BookState", ["FREE", "GONE", "LENT"], 2), ("Phase", ["DONE", "OPEN"], 1)]
@@ -150,8 +150,10 @@ def test_graph_and_flows(facts):
     s, c = "shop.core.BookService#", "shop.web.BookController#"
     assert {(r.a, r.b) for r in edges.collect()} == {(c + "find", s + "find"), (c + "add", s + "add"), (c + "loan", s + "find"), (c + "loan", "shop.core.Book#lend"), (c + "loan", "shop.web.Loan#id"), (c + "loan", "external:Clock#now"), (s + "find", "shop.core.BookRepository#findOne"), (s + "find", s + "check"), (s + "check", s + "find"), (s + "add", "external:Bus#publishEvent"), (s + "add", "external:BookRepository#save"), (s + "sweep", s + "check")}
     assert nodes.count() == 16
+    assert {(r.class_name, r.role) for r in nodes.collect()} >= {("BookController", "controller"), ("BookService", "service"), ("BookRepository", "repository"), ("Book", "domain"), ("Clock", "external"), ("Loan", "other")}
+    assert {(r.class_name, r.role, r.node) for r in facts.classes_by_role().where("class_name in ('Book', 'BookRepository')").collect()} == {("Book", "domain", "shop.core.Book#lend"), ("BookRepository", "external", "external:BookRepository#save")}
     alternatives, guards = facts.flows()
-    assert {tuple(r) for r in alternatives.collect()} == {("http:GET /books/{id}", "MissingBookException", "404 NOT_FOUND", "no such book"), ("http:PUT /books/loan", "MissingBookException", "404 NOT_FOUND", "no such book")}
+    assert {tuple(r) for r in alternatives.collect()} == {("http:GET /books/{id}", "MissingBookException", "404 NOT_FOUND", "no such book", "book == null"), ("http:PUT /books/loan", "MissingBookException", "404 NOT_FOUND", "no such book", "book == null")}
     assert {tuple(r) for r in guards.collect()} == {("http:GET /books/{id}", "id", "NotNull"), ("http:PUT /books/loan", "id", "NotNull")}
 
 
@@ -225,3 +227,87 @@ class Shop {
     flows = {r.event: len(r.producers or []) for r in facts.event_flows().collect()}
     assert flows == {"Order": 1, "ItemPaid": 1, "ThingCreated": 1, "PairEvent": 1}
     assert {(r.field, r.constraint) for r in facts.guard_checks().collect()} == {("name", "NotBlank"), ("n", "PositiveOrZero")}
+
+
+def test_entities_in_full(spark):
+    body = """package a;
+@Entity
+class Order {
+    @Id @GeneratedValue(strategy = GenerationType.IDENTITY) Long id;
+    @Column(name = "code_", unique = true, length = 12, nullable = true) String code;
+    @Convert(converter = MoneyConverter.class) Money total;
+    @ManyToOne @JoinColumn(name = "buyer_id", nullable = false) Buyer buyer;
+    @OneToMany(cascade = CascadeType.ALL, mappedBy = "order") Map<String, List<Line>> lines;
+}
+"""
+    e = Facts(spark.createDataFrame([("Order.java", "main", body)], "file string, source_set string, text string")).entities().first()
+    assert [tuple(f) for f in e.fields] == [("code", "String", "code_", False, False, True, True, 12, None), ("id", "Long", None, True, True, None, None, None, None), ("total", "Money", None, False, False, None, None, None, "MoneyConverter")]
+    assert [tuple(r) for r in e.relations] == [("buyer", "ManyToOne", "Buyer", None, "buyer_id", True), ("lines", "OneToMany", "Line", "order", None, False)]
+
+
+def test_triggers_of_every_form(spark):
+    body = """package a;
+@Component
+class Ears {
+    @KafkaListener(topics = "orders", groupId = "g") void one(Order o) { }
+    @RabbitListener(queues = {"q1", "q2"}) void two(String s) { }
+    @JmsListener(destination = Names.QUEUE) void three() { }
+    @SqsListener("sq") void four() { }
+    @ServiceActivator(inputChannel = "in") void five(Order o) { }
+    @KafkaListener(groupId = "g") void six(Order o) { }
+    @Async @EventListener(classes = Paid.class) void seven() { }
+    @ApplicationModuleListener void eight(a.b.Paid p) { }
+    @EventListener void nine() { }
+    @Scheduled(fixedRate = 5000) void ten() { }
+    @Scheduled(fixedDelay = 7) void eleven() { }
+    @Scheduled(cron = "${a, b}") void twelve() { }
+    @Bean Function<List<X>, Y> thirteen() { return null; }
+}
+@FeignClient
+interface Remote { @GetMapping("/far") String far(); }
+"""
+    got = {r.method: (r.category, r.destination, r["async"], r.id.rpartition("#")[2]) for r in Facts(spark.createDataFrame([("Ears.java", "main", body)], "file string, source_set string, text string")).entry_points().collect()}
+    assert got == {
+        "one": ("event", "orders", True, "one(orders)"), "two": ("event", "q1", True, "two(q1)"), "three": ("event", "Names.QUEUE", True, "three(Names.QUEUE)"), "four": ("event", "sq", True, "four(sq)"), "five": ("event", "in", True, "five(in)"), "six": ("event", "Order", True, "six(Order)"),
+        "seven": ("event", "Paid", True, "seven(Paid)"), "eight": ("event", "Paid", True, "eight(Paid)"), "nine": ("event", None, False, "nine@12"), "ten": ("scheduled", "fixedRate=5000", False, "ten"), "eleven": ("scheduled", "fixedDelay", False, "eleven"), "twelve": ("scheduled", "${a, b}", False, "twelve"), "thirteen": ("event", "List", True, "thirteen(List)"),
+    }
+
+
+def test_exceptions_and_assignments_of_every_form(spark):
+    body = """package a;
+class Desk {
+    private Phase phase;
+    Loan find(Long id) {
+        Loan loan = loans.byId(id).orElseThrow(() -> new MissingException("no loan, " + id));
+        if (loan.isOver() && !(id >= 3)) throw new OverException(String.format("late %s", id), "x");
+        if (id == null) {
+            for (;;) { throw new NullException(); }
+        } else if (id.equals(1L)) {
+            loans.each(l -> { throw new EachException("a \\"b\\" (c"); });
+        } else {
+            fail(new FirstException(id, "not me"), new SecondException(
+                "me"));
+        }
+        return loan;
+    }
+    void move(Loan loan, Phase next) {
+        phase = OPEN;
+        this.phase = (Phase.DONE);
+        if (next == null) phase = Phase.OPEN;
+        loan.phase = next;
+        next = pick(1, 2);
+        int n = 1;
+        n = 2;
+    }
+}
+class Loan { Phase phase; }
+enum Phase { OPEN, DONE }
+"""
+    facts = Facts(spark.createDataFrame([("Desk.java", "main", body), ("DeskTest.java", "test", body)], "file string, source_set string, text string"))
+    got = {r.exception_type: (r.message, r.condition, r.line) for r in facts.throw_sites().collect()}
+    assert got == {
+        "MissingException": ("no loan, ", None, 5), "OverException": (None, "loan.isOver() && !(id >= 3)", 6), "NullException": (None, "id == null", 8),
+        "EachException": ('a \\"b\\" (c', "id.equals(1L)", 10), "FirstException": (None, "id.equals(1L)", 12), "SecondException": ("me", "id.equals(1L)", 12),
+    }
+    sites = {(r.line, r.enum_type, r.field, r.value, r.class_name, r.method) for r in facts.assignment_sites().where("file = 'Desk.java'").collect()}
+    assert sites == {(18, "Phase", "phase", "OPEN", "Desk", "move"), (19, "Phase", "phase", "(Phase.DONE)", "Desk", "move"), (20, "Phase", "phase", "OPEN", "Desk", "move"), (21, "Phase", "phase", "next", "Desk", "move"), (22, "Phase", "next", "pick(1, 2)", "Desk", "move")}
