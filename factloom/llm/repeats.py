@@ -5,22 +5,29 @@ hash among its K-byte pieces; equal windows have equal minimisers, so a document
 of one minimiser - and only segments of one minimiser need meet. Minimisers are counted over the whole corpus:
 
 * one that occurs once has no repeats;
-* segments that occur twice or more with equal bytes are repeats from end to end, and one of them stands for all;
+* segments that occur twice or more with equal bytes are repeats from end to end, and one of them stands for all: what
+  is sorted and indexed is the dictionary of different segments, so memory follows what differs, not what repeats;
 * different segments of one minimiser go to a run-length index.
 
 The index of a bucket of minimisers (about BUCKET_BYTES) sorts the suffixes of its segments, keeps the Burrows-Wheeler
-transform as runs with the suffixes sampled at the run ends, and takes matching statistics from the samples: at the
+transform as runs with the suffixes sampled at the run ends, and streams matching statistics from the samples: at the
 head of a run the match with the suffix before is measured; along the text it falls by one per byte until the next
-sampled position. Repetitive buckets have few runs. Stretches that match LENGTH bytes or more are marked on both sides.
+sampled position. Stretches whose statistics reach LENGTH are marked, and so are the sampled suffixes they match.
+
+A minimiser with more different bytes than a bucket takes is dealt out by content, on the same path: equal windows hold
+their minimiser at equal places, so its windows fall into slices of WIDTHS[0] neighbouring places, and the bytes that all
+windows of a slice share - its core - must be equal too. (Minimiser, slice, core) is then what the minimiser was, with
+its own counts, copies and index; a core that is still too large is sliced again, at last into single windows, which are
+equal or not. So a passage that is a little shorter than LENGTH, with other bytes around it in every document, is spread
+as far as it needs.
 
 Scale: what is shuffled per window run is a pair of hashes and a position; counts are combined before the shuffle and
-equal segments collapse, so a passage that a third of the corpus shares costs one count per task. A minimiser whose
-different segments alone exceed HOT_BYTES isn't indexed but has its windows hashed and counted one by one, spread over
-all tasks. Texts are read again for candidates only and to apply the marks.
+equal segments collapse, so a passage that a third of the corpus shares costs one count per task. A bucket's index takes
+about 80 bytes per byte. Texts are read again for candidates only and to apply the marks.
 
 Defined cases: null text is empty; texts under LENGTH bytes keep everything; strings are judged on the input; equal
-rows are repeats of each other; rows are told apart by a 64-bit hash of doc_id and text; other columns are ignored; an
-empty table gives no rows.
+rows are repeats of each other; rows are told apart by a 64-bit hash of doc_id and text, segments of one minimiser by a
+64-bit hash of their bytes; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import cut, drop, table
+from .common import cut, drop, in_parts, table
 
 LENGTH, K = 200, 24
-BUCKET_BYTES, HOT_BYTES = 1 << 20, 1 << 22
+BUCKET_BYTES = 1 << 19
+#: Places of the minimiser that a slice of a large minimiser spans, then those of a slice of a large core.
+WIDTHS = (16, 1)
 #: Bytes of text that are hashed together, and the bits of a place among them.
 TOGETHER, _PLACE = 1 << 20, np.uint64((1 << 21) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -128,7 +137,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _cut_up(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches, 1024):
             keys, raw = b.column("key").to_numpy(), b.column("raw").to_pylist()
             for parts, own, offset in _together(raw, length):
                 m, h, of, start, size = segments(parts, length)
@@ -138,91 +147,94 @@ def _cut_up(keyed: DataFrame, length: int) -> DataFrame:
 
 
 class RunLengthIndex:
-    """The run-compressed transform of some texts, with the suffixes at the runs' heads and the ones before them."""
+    """The run-compressed transform of some texts: the suffixes at the runs' heads, those before them, and their matches."""
 
     def __init__(self, texts: list[bytes]):
-        n = len(texts)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.ends = np.cumsum(sizes)  # behind each text's own end mark
-        sym = np.zeros(int(self.ends[-1]) + 8, np.int64)
-        body = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        sym[: len(body)] = body.astype(np.int64) + 1
-        sym[self.ends - 1] = 0
-        N = len(body)
-        self.sym = sym
-        of = np.repeat(np.arange(n), sizes)
-        left = (self.ends[of] - 1) - np.arange(N)  # bytes before the end mark
-        word = np.zeros(N, np.int64)
-        for k in range(7):
-            word = word << 9 | np.where(left >= k, sym[k : k + N], 0)
-        self.levels: list[tuple[int, np.ndarray]] = []
-        tie = np.where(left < 7, of, n)  # end marks differ from each other
-        order = np.lexsort((tie, word))
+        N = self.size = int(self.ends[-1])
+        self.sym = np.zeros(N + 8, np.int16)
+        self.sym[:N] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        self.sym[:N] += 1
+        self.sym[self.ends - 1] = 0
+        word, whole = np.zeros(N, np.int64), np.ones(N, bool)
+        for k in range(7):  # the first seven letters, up to the end mark
+            word <<= 9
+            word |= np.where(whole, self.sym[k : k + N], 0)
+            whole &= self.sym[k : k + N] > 0
+        tie = np.where(whole, len(texts), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)).astype(np.int32)  # end marks differ
+        order = np.lexsort((tie, word)).astype(np.int32)
         rank, reach = self._ranks(order, word, tie), 7
+        del word, whole, tie
+        self.levels: list[tuple[int, np.ndarray]] = []
         while True:
-            self.levels.append((reach, rank.astype(np.int32)))
-            ahead = np.minimum(np.arange(N) + reach, N - 1)
-            pair = rank * (N + 1) + rank[ahead]
-            order = np.argsort(pair, kind="stable")
+            self.levels.append((reach, rank))
+            pair = rank * np.int64(N + 1)
+            ahead = min(reach, N)
+            pair[: N - ahead] += rank[ahead:]
+            pair[N - ahead :] += rank[N - 1]
+            order = np.argsort(pair, kind="stable").astype(np.int32)
             rank, reach = self._ranks(order, pair), reach * 2
             if int(rank.max()) == N - 1:
                 break
-        before = np.where(order > 0, sym[order - 1], 0)  # the transform; end marks differ from each other
+        before = np.where(order > 0, self.sym[order - 1], 0)  # the transform
         head = np.ones(N, bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
         heads = np.flatnonzero(head)
         self.runs = len(heads)
         heads = heads[heads > 0]
-        self.at, self.near = order[heads], order[heads - 1]
+        heads = heads[np.argsort(order[heads])]  # in the order of the texts
+        self.at, self.near = order[heads].astype(np.int64), order[heads - 1].astype(np.int64)
         self.match = self._extend(self.at, self.near)
+        self.levels.clear()
 
     @staticmethod
     def _ranks(order: np.ndarray, *values: np.ndarray) -> np.ndarray:
         step = np.zeros(len(order), bool)
         for v in values:
-            step[1:] |= v[order[1:]] != v[order[:-1]]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(step)
+            sorted_ = v[order]
+            step[1:] |= sorted_[1:] != sorted_[:-1]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.cumsum(step, dtype=np.int32)
         return rank
 
     def _extend(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the texts from a and from b have in common."""
         out = np.zeros(len(a), np.int64)
         for reach, rank in reversed(self.levels):
-            same = rank[a + out] == rank[b + out]
-            out += np.where(same, reach, 0)
-        going = np.flatnonzero(out >= 0)
+            out += np.where(rank[a + out] == rank[b + out], reach, 0)
+        going = np.arange(len(a))
         while len(going):  # fewer than the first reach are left
             going = going[(self.sym[a[going] + out[going]] == self.sym[b[going] + out[going]]) & (self.sym[a[going] + out[going]] > 0)]
             out[going] += 1
         return out
 
-    def statistics(self, text: int) -> np.ndarray:
-        """Matching statistics of one text against what sorts before: streamed from the samples, one less per byte."""
-        a, b = (self.ends[text - 1] if text else 0), self.ends[text] - 1
-        mine = np.flatnonzero((self.at >= a) & (self.at < b))
-        mine = mine[np.argsort(self.at[mine])]
-        out = np.zeros(b - a, np.int64)
-        for k, s in enumerate(mine):
-            stop = self.at[mine[k + 1]] if k + 1 < len(mine) else b
-            out[self.at[s] - a : stop - a] = np.maximum(0, self.match[s] - np.arange(stop - self.at[s]))
+    def statistics(self) -> np.ndarray:
+        """Matching statistics of each place against what sorts before: streamed from the samples, one less per byte."""
+        sample = np.zeros(self.size, np.int32)
+        sample[self.at] = 1
+        sample = np.cumsum(sample, dtype=np.int32) - 1  # the last one at or before each place; a match ends with its text
+        out = np.zeros(self.size, np.int32)
+        led = np.flatnonzero(sample >= 0)
+        out[led] = np.maximum(0, self.match[sample[led]] - (led - self.at[sample[led]]))
         return out
 
     def repeats(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end) of the stretches that match length bytes or more elsewhere in the index."""
-        long = self.match >= length  # the statistics fall by one per byte, so a sample's own match covers all it leads
-        a, n = np.concatenate([self.at[long], self.near[long]]), np.concatenate([self.match[long]] * 2)
+        found = np.concatenate([[False], self.statistics() >= length, [False]])
+        a, b = np.flatnonzero(found[1:] & ~found[:-1]), np.flatnonzero(found[:-1] & ~found[1:]) - 1 + length
+        met = self.match >= length  # the partners of those stretches
+        a, b = np.concatenate([a, self.near[met]]), np.concatenate([b, self.near[met] + self.match[met]])
         of = np.searchsorted(self.ends, a, side="right")
-        start = a - np.where(of > 0, self.ends[of - 1], 0)
-        return of, start, start + n
+        base = np.where(of > 0, self.ends[of - 1], 0)
+        return of, a - base, b - base
 
 
 def _index(length: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("m", "ascending"), ("key", "ascending"), ("start", "ascending")])
-        index = RunLengthIndex(rows.column("piece").to_pylist())
-        of, a, b = index.repeats(length)
-        keep = rows.column("single").to_numpy(zero_copy_only=False)[of]
+        of, a, b = RunLengthIndex(rows.column("piece").to_pylist()).repeats(length)
+        keep = rows.column("mark").to_numpy(zero_copy_only=False)[of]
         of, a, b = of[keep], a[keep], b[keep]
         base = rows.column("start").to_numpy()[of]
         return pa.table({"key": rows.column("key").to_numpy()[of], "a": (base + a).astype(np.int32), "b": (base + b).astype(np.int32)})
@@ -230,72 +242,91 @@ def _index(length: int):
     return run
 
 
-def _windows(length: int):
-    """m, w (hash of a window), key, start of every window of the pieces."""
+def slices(m: int, piece: bytes, length: int, width: int) -> list[tuple[int, int, bytes]]:
+    """(hash of minimiser, slice and core; offset; bytes) of each slice of a segment: its windows with the minimiser at `width` neighbouring places."""
+    p = int(np.argmin(_piece_hashes(np.frombuffer(piece, np.uint8)) & ~_PLACE))
+    first, out = p - (len(piece) - length), []  # windows hold the minimiser at first..p
+    for k in range(first // width, p // width + 1):
+        least, most = max(k * width, first), min(k * width + width - 1, p)
+        core = piece[p - k * width : p - k * width - width + 1 + length]
+        out.append((xxhash.xxh3_64_intdigest(core, seed=(m + k * int(_M[0])) & 0xFFFFFFFFFFFFFFFF), p - most, piece[p - most : p - least + length]))
+    return out
+
 
+def _sliced(length: int, width: int):
     def run(batches):
-        for b in batches:
-            for m, key, start, piece in zip(*[b.column(c).to_pylist() for c in ("m", "key", "start", "piece")]):
-                n = len(piece) - length + 1
-                w = np.array([xxhash.xxh3_64_intdigest(piece[k : k + length]) for k in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, m)), pa.array(w), pa.array(np.full(n, key)), pa.array(np.arange(start, start + n, dtype=np.int32))], ["m", "w", "key", "start"])
+        for part in in_parts(batches):
+            rows = [(c, s, key, start + at, start, mark) for m, key, start, mark, piece in zip(*[part.column(x).to_pylist() for x in ("m", "key", "start", "mark", "piece")]) for c, at, s in slices(m, piece, length, width)]
+            hashes = [np.array([r[0] for r in rows], np.uint64), np.array([xxhash.xxh3_64_intdigest(r[1]) for r in rows], np.uint64)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([len(r[1]) for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.bool_())], ["m", "h", "key", "start", "size", "origin", "mark"])
 
     return run
 
 
-def marks(keyed: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """key, a, b: stretches of bytes that occur elsewhere; they cover all of them and may overlap."""
-    segs = cut(_cut_up(keyed, length), "segments")
+def _fetch(batches):
+    for part in in_parts(batches):
+        rows = [(w["m"], key, w["start"], w["mark"], w["hot"], raw[w["start"] - origin : w["start"] - origin + w["size"]]) for key, origin, raw, want in zip(*[part.column(c).to_pylist() for c in ("key", "origin", "raw", "wanted")]) for w in want]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["m", "key", "start", "mark", "hot", "piece"])
+
+
+def _level(segs: DataFrame, source: DataFrame, length: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, a, b marked; the pieces of what is too large for a bucket, or None) of segments (m, h, key, start, size, origin, mark), whose bytes are in source (key, origin, raw).
+
+    A segment with mark is to be marked; the others are there to be met. segs is a table of cut() that is used up.
+    """
     # cut, so that the join's sides are both shuffled for it and a hot minimiser can be split
     seen = cut(segs.groupBy("m").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", (F.col("lo") != F.col("hi")).alias("differ")), "seen")
     kept = cut(segs.join(seen, "m"), "kept", tidy=True)
     drop(segs)
-    kinds = cut(kept.where("differ").groupBy("m", "h").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "size")).alias("r")).select("m", "h", "copies", "r.*"), "kinds")
+    drop(seen)
+    kinds = cut(kept.where("differ").groupBy("m", "h").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "size", "origin", "mark")).alias("r")).select("m", "h", "copies", "r.*"), "kinds")
     span = lambda df: df.select("key", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    whole = span(kept.where("not differ")).union(span(kept.where("differ").join(kinds.where("copies > 1").select("m", "h"), ["m", "h"], "left_semi")))
-    per_m = kinds.groupBy("m").agg(F.sum("size").alias("bytes"))
-    buckets = max(1, -(-(kinds.agg(F.sum("size")).first()[0] or 0) // bucket_bytes))
-    wanted = kinds.join(per_m, "m").select("key", F.struct("m", "start", "size", (F.col("copies") == 1).alias("single"), (F.col("bytes") > hot_bytes).alias("hot")).alias("s")).groupBy("key").agg(F.collect_list("s").alias("wanted"))  # a document's own segments
-
-    def fetch(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                rows = [(w["m"], key, w["start"], w["single"], w["hot"], raw[w["start"] : w["start"] + w["size"]]) for key, raw, want in zip(*[part.column(c).to_pylist() for c in ("key", "raw", "wanted")]) for w in want]
-                kinds_of = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds_of)], ["m", "key", "start", "single", "hot", "piece"])
-
-    pieces = keyed.select("key", "raw").join(wanted, "key")
-    pieces = cut(pieces.mapInArrow(fetch, "m long, key long, start int, single boolean, hot boolean, piece binary"), "pieces", tidy=True)
+    whole = span(kept.where("mark and not differ")).union(span(kept.where("mark and differ").join(kinds.where("copies > 1").select("m", "h"), ["m", "h"], "left_semi")))
+    per_m = cut(kinds.groupBy("m").agg(F.sum("size").alias("bytes")), "per-m")
+    total, hot = per_m.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes") > bucket_bytes, F.lit(False))).first()
+    buckets = max(int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    one = F.struct("m", "start", "size", (F.col("mark") & (F.col("copies") == 1)).alias("mark"), (F.col("bytes") > bucket_bytes).alias("hot"))
+    wanted = kinds.join(per_m, "m").groupBy("key", "origin").agg(F.collect_list(one).alias("wanted"))  # a document's own segments
+    pieces = source.join(wanted, ["key", "origin"]).select("key", "origin", "raw", "wanted")
+    pieces = cut(pieces.mapInArrow(_fetch, "m long, key long, start int, mark boolean, hot boolean, piece binary"), "pieces", tidy=True)
     found = pieces.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets))).groupBy("bucket").applyInArrow(_index(length), "key long, a int, b int")
-    windows = pieces.where("hot").select("m", "key", "start", "piece").mapInArrow(_windows(length), "m long, w long, key long, start int")
-    twice = windows.groupBy("m", "w").agg(F.count("*").alias("n")).where("n > 1").select("m", "w")
-    hot = windows.join(twice, ["m", "w"]).select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-    return whole.union(found).union(hot)
+    return whole.union(found), pieces.where("hot") if hot else None
+
+
+def marks(keyed: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """key, a, b: stretches of bytes that occur elsewhere; they cover all of them and may overlap."""
+    segs = cut(_cut_up(keyed, length).select("m", "h", "key", "start", "size", F.lit(0).alias("origin"), F.lit(True).alias("mark")), "segments")
+    out, hot = _level(segs, keyed.select("key", F.lit(0).alias("origin"), "raw"), length, bucket_bytes)
+    for width in widths:
+        if hot is None:
+            return out
+        segs = cut(hot.mapInArrow(_sliced(length, width), segs.schema), "slices")
+        found, hot = _level(segs, hot.select("key", F.col("start").alias("origin"), F.col("piece").alias("raw")), length, bucket_bytes)
+        out = out.union(found)
+    return out
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None, as_text: bool = False, **more) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), and the columns of carry, for every row of docs (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), and carried (a struct c0, c1, .. of the columns of carry) for every row of docs (doc_id, text).
 
     as_text: kept is a string, without the letters that were cut through.
     """
-    carry = carry or []
     found = cut(marks(_keyed(docs), length, **more).distinct(), "marks", tidy=True)
     by_doc = found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("marks"))  # a document's own marks
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.struct(F.lit(0).alias("_"), *carry).alias("carried")).withColumn("key", F.xxhash64("doc_id", "raw"))
+    carried = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), carried.alias("carried")).withColumn("key", F.xxhash64("doc_id", "raw"))
     joined = keyed.join(by_doc, "key", "left").select("doc_id", "raw", "marks", "carried")
     schema = StructType([joined.schema["doc_id"], *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType()), joined.schema["carried"]])
 
     def apply(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                rows = [_removed(raw, [(m["a"], m["b"]) for m in found or ()]) for raw, found in zip(part.column("raw").to_pylist(), part.column("marks").to_pylist())]
-                if as_text:
-                    rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))), part.column("carried")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"])
-
-    return joined.mapInArrow(apply, schema).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(F.col("carried")[c].alias(c) for c in carry))
+        for part in in_parts(batches):
+            rows = [_removed(raw, [(m["a"], m["b"]) for m in found or ()]) for raw, found in zip(part.column("raw").to_pylist(), part.column("marks").to_pylist())]
+            if as_text:
+                rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))), part.column("carried")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"])
+
+    return joined.mapInArrow(apply, schema)
 
 
 def _removed(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:
