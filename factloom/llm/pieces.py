@@ -7,7 +7,7 @@ the end backwards. The cost is linear in the text, whatever its length.
 
 Texts are cut where no token of the vocabulary reaches across (before a run of blanks, before marks that never follow a
 letter inside a token, around line breaks), and the pieces of text between are encoded once per worker and remembered,
-within a bound. The model file is read by the driver and sent as bytes (half a megabyte, whatever the corpus).
+within a bound in bytes; long stretches (unspaced texts) aren't remembered. The model file is read by the driver and sent as bytes (half a megabyte, whatever the corpus).
 
 Defined cases: null or empty text has the end id only and decodes to ''; characters that the vocabulary lacks become
 their UTF-8 bytes; a literal U+2581 counts as a blank, as in the library; repeated rows and doc_ids are kept; other
@@ -17,7 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -31,8 +31,11 @@ from .common import table
 
 BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Remembered texts and pairs per worker.
-REMEMBERED, PAIRS = 300_000, 1_000_000
+#: Bytes of remembered stretches per worker (twice that for a moment's sake: a newer and an older half), letters of a
+#: stretch that is remembered, remembered pairs of tokens.
+REMEMBERED, LONGEST, PAIRS = 24 << 20, 48, 250_000
+#: What a remembered stretch takes besides its letters and ids.
+OVERHEAD = 180
 ROWS_OUT = 256
 
 
@@ -42,9 +45,11 @@ class Pieces:
     def __init__(self, proto: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         ids = range(sp.get_piece_size())
-        self.rank = {sp.id_to_piece(i): sp.get_score(i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-        self.id_of = {p: sp.piece_to_id(p) for p in self.rank}
+        # blanks are written as plain blanks here, which keeps most texts at a byte a letter
+        self.rank = {sp.id_to_piece(i).replace(BLANK, " "): sp.get_score(i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+        self.id_of = {p: sp.piece_to_id(p.replace(" ", BLANK)) for p in self.rank}
         self.end = sp.eos_id()
+        self.kind = "H" if len(ids) <= 1 << 16 else "I"
         self.byte = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.as_byte = {i: b for b, i in self.byte.items()}
         self.tokens = [p for p in self.rank if self.merged(list(p)) == [p]]  # the others can't come out of merging
@@ -53,7 +58,7 @@ class Pieces:
         for k, p in enumerate(self.tokens):
             self.automaton.add_word(p, (k, len(p)))
         self.automaton.make_automaton()
-        self.text_of = {i: p.replace(BLANK, " ") for p, i in self.id_of.items()}
+        self.text_of = {i: p for p, i in self.id_of.items()} | {self.end: ""}
         self.fits: dict[int, bool] = {}
         self.cut = re.compile(self._cut())
 
@@ -72,15 +77,15 @@ class Pieces:
     def _cut(self) -> str:
         """A pattern for stretches that no token reaches beyond."""
         marks = set(".,;:!?")
-        while bad := {b for p in self.tokens for a, b in zip(p, p[1:]) if b in marks and a not in marks and a != BLANK}:
+        while bad := {b for p in self.tokens for a, b in zip(p, p[1:]) if b in marks and a not in marks and a != " "}:
             marks -= bad
-        blanks = not any(b == BLANK and a != BLANK for p in self.tokens for a, b in zip(p, p[1:]))
+        blanks = not any(b == " " and a != " " for p in self.tokens for a, b in zip(p, p[1:]))
         m = re.escape("".join(sorted(marks)))
         out = "\n" if not any("\n" in p for p in self.tokens) else ""
         if not blanks:
             return rf"[^{out}]+|\n" if out else r"(?s).+"
-        head = rf"(?:{BLANK}+[{m}]*|[{m}]+)[^{BLANK}{m}{out}]*" if m else rf"{BLANK}+[^{BLANK}{out}]*"
-        return rf"{head}|[^{BLANK}{m}{out}]+" + ("|\n" if out else "")
+        head = rf"(?: +[{m}]*|[{m}]+)[^ {m}{out}]*" if m else rf" +[^ {out}]*"
+        return rf"{head}|[^ {m}{out}]+" + ("|\n" if out else "")
 
     def compatible(self, a: int, b: int) -> bool:
         x, y = self.tokens[a], self.tokens[b]
@@ -90,7 +95,7 @@ class Pieces:
         return ok
 
     def ids(self, text: str) -> list[int]:
-        """Ids of one stretch, blanks already written as U+2581."""
+        """Ids of one stretch."""
         last, fits = [-1] * (len(text) + 1), self.fits
         for at, (k, n) in self.automaton.iter(text):
             at += 1
@@ -113,26 +118,35 @@ class Pieces:
         out.reverse()
         return out
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes are joined to letters, an end id is nothing. The leading blank stays."""
-        if all(i in self.text_of for i in ids):
-            return "".join([self.text_of[i] for i in ids])
-        return b"".join([bytes([self.as_byte[i]]) if i in self.as_byte else self.text_of.get(i, "").encode() for i in ids]).decode("utf-8", "replace")
+        try:
+            return "".join(map(self.text_of.__getitem__, ids))
+        except KeyError:
+            return b"".join([bytes([self.as_byte[i]]) if i in self.as_byte else self.text_of.get(i, "").encode() for i in ids]).decode("utf-8", "replace")
 
 
 class Remembered(dict):
-    """stretch -> (ids, text); the older half is dropped when it is full."""
+    """stretch -> its ids, packed; what is met twice is remembered, the older half is dropped when REMEMBERED bytes are full."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.old = pieces, {}
+        self.pieces, self.old, self.held = pieces, {}, 0
+        self.met, self.new = bytearray(1 << 20), 0
 
-    def __missing__(self, stretch: str):
+    def __missing__(self, stretch: str) -> bytes:
         got = self.old.get(stretch)
         if got is None:
-            ids = tuple(self.pieces.ids(stretch))
-            got = ids, self.pieces.decode(ids)
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
+            got = array(self.pieces.kind, self.pieces.ids(stretch)).tobytes()
+            at = hash(stretch) & 0xFFFFF
+            if not self.met[at] or len(stretch) > LONGEST:
+                self.met[at] = 1
+                self.new += 1
+                if self.new > 1 << 19:
+                    self.met, self.new = bytearray(1 << 20), 0
+                return got
+        self.held += OVERHEAD + len(stretch) * (1 if stretch.isascii() else 4) + len(got)
+        if self.held > REMEMBERED:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[stretch] = got
         return got
@@ -147,14 +161,14 @@ def _loaded(proto: bytes) -> Remembered:
     return _LOADED[key]
 
 
-def encode_text(memory: Remembered, text: str | None) -> tuple[list[int], str]:
+def encode_text(memory: Remembered, text: str | None) -> tuple[array, str]:
     """(ids with the end id, decoded text)."""
-    if not text:
-        return [memory.pieces.end], ""
-    found = [memory[s] for s in memory.pieces.cut.findall(BLANK + text.replace(" ", BLANK))]
-    ids = list(chain.from_iterable([f[0] for f in found]))
+    ids = array(memory.pieces.kind)
+    if text:
+        ids.frombytes(b"".join(map(memory.__getitem__, memory.pieces.cut.findall(" " + text.replace(BLANK, " ")))))
+    decoded = memory.pieces.decode(ids)[1:]
     ids.append(memory.pieces.end)
-    return ids, "".join([f[1] for f in found])[1:]
+    return ids, decoded
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -170,7 +184,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 part = batch.slice(k, ROWS_OUT)
                 rows = [encode_text(memory, t) for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0] + [len(r[0]) for r in rows], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable([r[0] for r in rows]), np.int32, int(ends[-1]))
+                flat = np.concatenate([np.frombuffer(r[0], r[0].typecode) for r in rows]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
