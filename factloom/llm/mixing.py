@@ -75,16 +75,16 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int = SLOTS) -> Dat
 
 
 def laid_out(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in their source's shuffled line of words: doc_id, size, sid, at; and the sources."""
-    sized = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.shiftright(F.xxhash64(F.lit(seed), "doc_id"), 33).alias("h")).withColumn("h", F.pmod("h", F.lit(1 << 31))), "sized")
+    """Documents with their place in their source's shuffled line of words: doc_id, key, size, sid, at; and the sources."""
+    sized = cut(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 31)).alias("h")), "sized")
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))), "sources")
     own = sized.join(sources.select(F.col("source").alias("s"), "sid", "docs"), F.col("source").eqNullSafe(F.col("s")))
     own = own.withColumn("bucket", F.floor(F.col("h") * F.ceil(F.col("docs") / DOCS_PER_BUCKET) / F.lit(1 << 31)))
     sums = own.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = own.withColumn("upto", F.sum("size").over(inside)).join(sums, ["sid", "bucket"])
-    return out.select("doc_id", "size", "sid", (F.col("base") + F.col("upto") - F.col("size")).alias("at")), sources
+    return out.select("doc_id", "key", "size", "sid", (F.col("base") + F.col("upto") - F.col("size")).alias("at")), sources
 
 
 def mix(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,13 +103,13 @@ def mix(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, DataFrame
 
 
 def mixed_words(docs: DataFrame, slots: int | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
+    """doc_id, key (a hash of doc_id and text), size, source_size, target, taken for every row of docs (doc_id, text, source)."""
     places, sources, pieces = mix(docs, slots)
     taken = pieces.groupBy("sid", "at").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     sized = F.when(F.col("size") > 0, F.col("at"))  # empty documents share their neighbour's place
     out = places.withColumn("at", sized).join(taken, ["sid", "at"], "left").join(sources.select("sid", "source_size", "target"), "sid")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("key")

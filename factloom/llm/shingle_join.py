@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, table
+from .common import components, cut, drop, in_parts, table
 
 WORDS, PERCENT = 4, 85
 #: Tokens with a hash below are counted over the corpus.
@@ -81,7 +81,7 @@ def heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     """doc_id, n, key (of the whole set), head (the first tokens by hash: the zone, and enough beyond it)."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             sets = [grams(t, words) for t in b.column("text").to_pylist()]
             keep = [max(int(np.searchsorted(s, np.uint64(ZONE))), min(len(s), base(len(s), percent) + CLASSES)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s[:k].tobytes() for s, k in zip(sets, keep)], pa.binary())], ["doc_id", "n", "key", "head"])
@@ -93,7 +93,7 @@ def _zone_tokens(reps: DataFrame) -> DataFrame:
     """doc_id, token: the tokens of each head that lie in the zone."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             rows = [np.frombuffer(h, np.uint64) for h in b.column("head").to_pylist()]
             rows = [r[: np.searchsorted(r, np.uint64(ZONE))] for r in rows]
             ids = np.repeat(b.column("doc_id").to_numpy(), [len(r) for r in rows])
@@ -149,7 +149,7 @@ def signatures(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     mine = tokens.join(counts, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "df")).alias("shared"))  # a document's own tokens
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             rows = []
             for doc, n, head, shared in zip(*[b.column(c).to_pylist() for c in ("doc_id", "n", "head", "shared")]):
                 head = np.frombuffer(head, np.uint64)
@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             keep = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _set_tokens(sets: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in in_parts(batches):
             rows = [np.frombuffer(g, np.int64) for g in b.column("grams").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), [len(r) for r in rows])), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], ["doc_id", "token"])
 
@@ -232,7 +232,7 @@ def linked(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int =
     drop(signed)
 
     def whole(batches):
-        for b in batches:
+        for b in in_parts(batches):
             sets = [grams(t, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "grams", "bits"])
 
