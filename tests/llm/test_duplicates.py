@@ -163,7 +163,7 @@ def test_repeats_equal_brute_force(spark):
     texts = corpus()
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, key string")
     want = left_over([(t or "").encode() for t in texts], 200)
-    for more in ({}, {"bucket_bytes": 5000}, {"hot_bytes": 500}):
+    for more in ({}, {"bucket_bytes": 5000}, {"bucket_bytes": 500}):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeats.without_repeats(docs, **more).collect()}
         assert [got[k] for k in range(len(texts))] == want
     assert repeats.without_repeats(docs.where("false")).count() == 0
@@ -177,16 +177,36 @@ def test_equal_rows_repeat_each_other_and_long_texts_are_cut(spark, monkeypatch)
     assert got == sorted(left_over([(t or "").encode() for t in [*texts, texts[-1]]], 200))
 
 
+def test_a_minimiser_that_all_documents_share(spark):
+    random.seed(16)
+    noise = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = noise(190)  # shorter than the strings that count: every document's windows differ, but for the few with equal neighbours
+    texts = [noise(120) + random.choice("xyz") + passage + random.choice("pq") * random.choice([1, 12]) + noise(120) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = left_over([t.encode() for t in texts], 200)
+    for more in ({}, {"bucket_bytes": 2000}, {"bucket_bytes": 2000, "widths": (40, 7, 1)}):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeats.without_repeats(docs, **more).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    assert 0 < sum(w[1] for w in want)
+
+
 def test_index_statistics():
     random.seed(3)
     for _ in range(20):
         texts = [bytes(random.choice(b"ab") for _ in range(random.randint(1, 60))) for _ in range(6)]
         index = repeats.RunLengthIndex(texts)
         assert index.runs <= sum(map(len, texts)) + len(texts)
+        stream = index.statistics()
         for k, t in enumerate(texts):
-            for at, n in enumerate(index.statistics(k).tolist()):  # a real match elsewhere, of that length
+            base = index.ends[k] - len(t) - 1
+            for at, n in enumerate(stream[base : base + len(t)].tolist()):  # a real match elsewhere, of that length
                 places = [(j, o) for j, x in enumerate(texts) for o in range(len(x)) if x[o : o + n] == t[at : at + n]]
                 assert n <= len(t) - at and (n == 0 or len(places) > 1)
+        for length in (3, 6, 12):  # and nothing is missed
+            got = [bytearray(len(t)) for t in texts]
+            for of, a, b in zip(*index.repeats(length)):
+                got[of][a:b] = b"\1" * (b - a)
+            assert [(len(t), sum(g)) for t, g in zip(texts, got)] == [x[:2] for x in left_over(texts, length)]
 
 
 def vectors(n=400, width=16):

@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 from factloom.llm import extract, pieces, toxicity
 
@@ -55,6 +56,35 @@ def test_toxicity_holds_out_and_ignores_groups(spark):
     assert abs(one - other) < abs(a - b) and one < 0.3
 
 
+def test_swaps_are_drawn_from_the_sample(spark):
+    rows = labelled(spark)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), groups=())
+    assert model["swaps"] >= 0
+    index = {"vermin": 0, "verm*": 1, "muslims": 2, "musl*": 3}
+    assert toxicity.changes({"muslims", "x"}, index, [("muslims", "hindus")], []) == [[-4, -3]]
+    assert toxicity.changes({"plain", "x"}, index, [], [["plain", "vermouth"]]) == [[2]]
+    assert toxicity.changes({"plain"}, index, [], [["plain", "other"]]) == []
+
+
+def test_query_learns_nothing_from_held_out_rows(spark, tmp_path):
+    at = "/root/testdata/sf0.1"
+    held = F.expr("crc32(cast(doc_id as string)) % 4 = 2")
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    for name, kept in (("as-given", labels), ("flipped", labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))))):
+        spark.read.parquet(f"{at}/documents.parquet").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        kept.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = toxicity.op2_toxicity(spark, f"{tmp_path}/as-given").collect()
+    assert sorted(map(str, got)) == sorted(map(str, toxicity.op2_toxicity(spark, f"{tmp_path}/flipped").collect()))
+    assert len(got) == spark.read.parquet(f"{at}/documents.parquet").count()
+    toxic = {r.doc_id: r.toxic for r in labels.where(held).collect()}
+    judged = [(r.score, r.predicted, toxic[r.doc_id]) for r in got if r.doc_id in toxic]
+    assert all(r.held_out for r in got if r.doc_id in toxic)
+    caught = [p for _, p, t in judged if t]
+    clean = [p for _, p, t in judged if not t]
+    assert sum(caught) >= 0.8 * len(caught) > 0 and sum(clean) <= 0.02 * len(clean)
+    assert toxicity.fit(spark.read.parquet(f"{at}/documents.parquet"), labels)["swaps"] > 0
+
+
 def test_toxicity_without_labels_or_text(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x" * 50000), (2, "word")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
