@@ -63,11 +63,37 @@ def canonical_json(**fields: Column) -> Column:
 
 
 def html_escape(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
+def diagram_id(text: Column) -> Column:
+    """A token of letters, digits and underscores that doesn't start with a digit."""
+    plain = F.regexp_replace(text, "[^A-Za-z0-9_]", "_")
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "unknown").otherwise(F.when(plain.rlike("^[A-Za-z_]"), plain).otherwise(F.concat(F.lit("n_"), plain)))
+
+
+def diagram_type(text: Column) -> Column:
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "Object").otherwise(F.regexp_replace(text, "[^A-Za-z0-9_]", "_"))
+
+
+def diagram_label(text: Column) -> Column:
+    """A quoted label: no quotes, braces or bars, on one line."""
+    return one_line(F.translate(F.coalesce(text, F.lit("")), '"{}|', "'()/"))
+
+
+def annotation_detail(args: Column) -> Column:
+    """The arguments of an annotation as in source, from their tokens; null for none."""
+    return F.nullif(F.replace(F.replace(args, F.lit(" = "), F.lit("=")), F.lit(" ,"), F.lit(",")), F.lit(""))
+
+
+def category_label(category: Column) -> Column:
+    """The heading of a category of entry points."""
+    known = {"http": "REST", "event": "Events", "scheduled": "Scheduled", "cli": "CLI"}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[category], F.lit("Other"))
+
+
 def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -85,12 +111,18 @@ def count_words(text: Column, words: list[str]) -> Column:
 
 
 def first_json_array(text: Column, schema: str) -> Column:
-    """The outermost [...] of messy text, parsed; null if it doesn't parse."""
-    return F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), schema)
+    """The outermost [...] of the first fenced block of messy text, or of all of it without fences, parsed; null if it doesn't parse."""
+    plain = F.replace(text, F.lit("```json"), F.lit("```"))
+    fenced = F.coalesce(F.nullif(F.regexp_extract(plain, "(?s)```(.*?)```", 1), F.lit("")), plain)
+    return F.from_json(F.regexp_extract(fenced, r"(?s)\[.*\]", 0), schema)
+
+
+def common_items(a: Column, b: Column) -> Column:
+    """How many items two arrays share from the start."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(first > 0, first - 1).otherwise(F.size(a)).cast("long")
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
     """Letters that two texts share from the start."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), n), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))
-    return F.array_max(same).cast("long")
+    return common_items(F.regexp_extract_all(a, F.lit("(?s)."), 0), F.regexp_extract_all(b, F.lit("(?s)."), 0))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -36,18 +38,44 @@ def gate_members(df: DataFrame, owner: str, member: str, order: str, legal: Data
 def greedy_pack(df: DataFrame, owner: str, order: list[str], weight: str, cap: int) -> DataFrame:
     """Adds chunk (from 0): items of an owner in order, a new chunk where the cap would be passed; an item over the cap has its own.
 
-    Sequential by nature within an owner, parallel over owners.
+    Sequential by nature within an owner: rows are sorted within partitions and streamed past one sum and one count.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(weight).cast("long").alias("w__"))))
-    packed = df.groupBy(owner).agg(items.alias("items"))
-    start = F.expr("named_struct('chunk', 0L, 'sum', 0L, 'out', cast(array() as array<bigint>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["sum"] > 0) & (acc["sum"] + x["w__"] > cap)
-        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(new, x["w__"]).otherwise(acc["sum"] + x["w__"]).alias("sum"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-
-    return packed.select(owner, F.explode(F.arrays_zip(F.col("items"), F.aggregate("items", start, step, lambda a: a["out"]).alias("chunks"))).alias("z")).select(owner, "z.items.*", F.col("z.chunks").alias("chunk")).drop("w__")
+    schema = StructType([*df.schema.fields, StructField("chunk", LongType())])
+    columns = df.columns
+
+    def run(batches):
+        now, total, chunk = object(), 0, 0
+        for b in batches:
+            chunks = []
+            for o, w in zip(b.column(columns.index(owner)).to_pylist(), b.column(columns.index(weight)).to_pylist()):
+                w = w or 0
+                if o != now:
+                    now, total, chunk = o, w, 0
+                elif total > 0 and total + w > cap:
+                    total, chunk = w, chunk + 1
+                else:
+                    total += w
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int64())], [*columns, "chunk"])
+
+    return df.repartition(owner).sortWithinPartitions(owner, *order).mapInArrow(run, schema)
+
+
+def ranked(df: DataFrame, by: str, then: list, cuts: int = 64) -> DataFrame:
+    """Adds rank (from 1) in the order of the number `by`, largest first, nulls last, then of `then`.
+
+    Rows are dealt into ranges of `by` at its percentiles (a bounded list), ranked within, and shifted by the sizes of the
+    ranges before: no task sees all rows, unless they are equal in `by`.
+    """
+    edges = sorted(set(df.agg(F.percentile_approx(by, [k / cuts for k in range(1, cuts)])).first()[0] or []))
+    place = F.when(F.col(by).isNull(), len(edges) + 1)
+    for k, edge in enumerate(reversed(edges)):
+        place = place.when(F.col(by) >= edge, k)
+    dealt = df.withColumn("range__", place.otherwise(len(edges)))
+    sizes = dealt.groupBy("range__").agg(F.count("*").alias("n__"))
+    base = sizes.select("range__", (F.sum("n__").over(Window.orderBy("range__")) - F.col("n__")).alias("base__"))  # one row per range
+    inside = Window.partitionBy("range__").orderBy(F.col(by).desc_nulls_last(), *then)
+    return dealt.withColumn("rank", F.row_number().over(inside)).join(base, "range__").withColumn("rank", F.col("rank").cast("long") + F.col("base__")).drop("range__", "base__")
 
 
 def cached_or_missing(wanted: DataFrame, cache: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.relational import first_wins, gate_members
 
-BEHAVIOUR = "array<struct<feature:string,scenario:string,type:string,priority:string,verifiedBy:array<string>,coverage:struct<level:string>,evidence:struct<entryPoint:string,nodes:array<string>>>>"
+#: What an interpretation may say.
+TYPES, PRIORITIES, LEVELS = ("happy-path", "validation", "edge-case", "security", "lifecycle"), ("critical", "high", "medium"), ("full", "partial", "thin")
+BEHAVIOUR = "array<struct<feature:string,scenario:string,type:string,priority:string,verifiedBy:array<string>,coverage:struct<level:string>,evidence:struct<entryPoint:string,nodes:array<string>,covers:array<string>>>>"
 TRANSITION = "array<struct<`from`:string,`to`:string,trigger:string,evidence:struct<file:string,line:int>>>"
 DOMAIN = "array<struct<domain:string,members:array<string>,rationale:string>>"
 
@@ -59,19 +61,61 @@ def gated_domains(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return gate_members(members, "domain", "member", "at", classes).withColumnRenamed("kept", "members")
 
 
-def gated_behaviours(rows: DataFrame, entry_points: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """One behaviour for each known entry point, the first; unknown verifying tests go, gap tells of none left, enums are clamped."""
-    entry = rows.where("scenario is not null").withColumn("entry_point", F.col("evidence.entryPoint")).join(entry_points.select(F.col("id").alias("entry_point")).distinct(), "entry_point", "left_semi")
+def evidence_index(facts) -> DataFrame:
+    """kind (entry_point, node, class, site, scenario), key: everything that an interpretation may cite."""
+    nodes, _ = facts.call_graph()
+    eps, sites, tests = facts.entry_points(), facts.assignment_sites(), facts.test_scenarios()
+    keys = [("entry_point", eps, F.col("id")), ("node", nodes, F.col("id")), ("class", eps, F.col("class_name")), ("class", nodes, F.col("class_name")), ("class", facts.entities(), F.col("name")), ("site", sites, F.concat_ws(":", "file", "line")), ("scenario", tests, F.concat("test_class", F.lit("#"), "method"))]
+    out = [df.select(F.lit(kind).alias("kind"), key.alias("key")) for kind, df, key in keys]
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.union(df)
+    return whole.where("key is not null").distinct()
+
+
+def gated_behaviours(rows: DataFrame, entry_points: DataFrame, scenarios: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """One behaviour for each known entry point, the first; unknown verifying tests, nodes and covered entry points go, gap tells of no test left, enums are clamped.
+
+    nodes: (id) of the call graph; without it no node is kept.
+    """
+    known = entry_points.select("id").distinct()
+    entry = rows.where("scenario is not null").withColumn("entry_point", F.col("evidence.entryPoint")).join(known.withColumnRenamed("id", "entry_point"), "entry_point", "left_semi")
     first = first_wins(entry, ["entry_point"], ["task", "pos"])
-    tests = first.select("entry_point", F.posexplode("verifiedBy").alias("at", "test"))
-    kept = gate_members(tests, "entry_point", "test", "at", scenarios.select(F.concat("test_class", F.lit("#"), "method").alias("test")))
-    return first.join(kept, "entry_point", "left").select(
+    legal = {"verified_by": ("verifiedBy", scenarios.select(F.concat("test_class", F.lit("#"), "method").alias("id"))), "nodes": ("evidence.nodes", known.limit(0) if nodes is None else nodes.select("id")), "covers": ("evidence.covers", known)}
+    out = first
+    for name, (given, ids) in legal.items():
+        members = first.select("entry_point", F.posexplode(given).alias("at", "member"))
+        out = out.join(gate_members(members, "entry_point", "member", "at", ids).withColumnRenamed("kept", name), "entry_point", "left")
+    none = F.array().cast("array<string>")
+    return out.select(
         "entry_point",
         F.coalesce("feature", F.lit("General")).alias("feature"),
         "scenario",
-        S.clamp(F.col("type"), ["happy-path", "error", "edge-case"], "happy-path").alias("type"),
-        S.clamp(F.col("priority"), ["critical", "high", "medium", "low"], "medium").alias("priority"),
-        F.coalesce("kept", F.array().cast("array<string>")).alias("verified_by"),
-        F.col("kept").isNull().alias("gap"),
-        F.when(F.col("coverage").isNotNull(), S.clamp(F.col("coverage.level"), ["full", "partial", "thin"], "partial")).alias("coverage"),
+        S.clamp(F.col("type"), list(TYPES), "happy-path").alias("type"),
+        S.clamp(F.col("priority"), list(PRIORITIES), "medium").alias("priority"),
+        F.coalesce("verified_by", none).alias("verified_by"),
+        F.coalesce("nodes", none).alias("nodes"),
+        F.coalesce("covers", none).alias("covers"),
+        F.col("verified_by").isNull().alias("gap"),
+        F.when(F.col("coverage").isNotNull(), S.clamp(F.col("coverage.level"), list(LEVELS), "partial")).alias("coverage"),
     )
+
+
+def emit_requests(asked: DataFrame, results: DataFrame, out: str) -> DataFrame:
+    """Write the prompts that results (source_hash, prompt_version, answer) doesn't answer below out, one row a request; return them."""
+    _, misses = split_by_cache(asked, results)
+    misses.write.mode("overwrite").parquet(out)
+    return asked.sparkSession.read.parquet(out)
+
+
+def remember(results: DataFrame, answers: DataFrame, out: str) -> None:
+    """Write results and the new answers (source_hash, prompt_version, answer) below out, the first answer of each; out is another folder than results is read from."""
+    keys = ["source_hash", "prompt_version"]
+    both = results.select(*keys, "answer", F.lit(0).alias("turn")).union(answers.select(*keys, "answer", F.lit(1)))
+    first_wins(both, keys, ["turn", "answer"]).drop("turn").write.mode("overwrite").parquet(out)
+
+
+def assemble(asked: DataFrame, results: DataFrame, schema: str) -> DataFrame:
+    """The rows of all answers that are known; without any - no model, nothing answered yet - an empty table."""
+    hits, _ = split_by_cache(asked, results)
+    return parsed(hits, schema)

@@ -98,6 +98,11 @@ def role(simple, annotations):
     return out
 
 
+def roles_of(nodes: DataFrame) -> DataFrame:
+    """role, class_name, node of the classes of nodes (id, class_name, role)."""
+    return nodes.groupBy("class_name").agg(F.min_by("role", "id").alias("role"), F.min("id").alias("node")).select("role", "class_name", "node")
+
+
 class Facts:
     """Fact tables of files (file, source_set, text)."""
 
@@ -245,17 +250,19 @@ class Facts:
 
     def call_graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes: id, class_name, method, file, line, role, return_type; edges: a, b, file, line) reachable from the entry points; nodes outside the sources have no file, line 0 and the role external."""
-        edges = self.call_edges()
-        near = reached(edges, self.entry_points().select(F.col("method_id").alias("node")))
-        nodes = near.withColumnRenamed("node", "id").join(self.methods.select("id", "type_id", "simple", "name", "file", "line", "return_type"), "id", "left").join(self.types.select("type_id", "role").dropDuplicates(["type_id"]), "type_id", "left")
+        nodes = self._once("call_nodes", self._call_nodes)
+        return nodes, self.call_edges().join(nodes.select(F.col("id").alias("a")), "a", "left_semi")
+
+    def _call_nodes(self) -> DataFrame:
+        near = reached(self.call_edges(), self.entry_points().select(F.col("method_id").alias("node"))).withColumnRenamed("node", "id")
+        roles = self.types.groupBy("type_id").agg(F.min_by("role", F.struct("file", "line")).alias("role"))
+        nodes = near.join(self.methods.select("id", "type_id", "simple", "name", "file", "line", "return_type"), "id", "left").join(roles, "type_id", "left")
         outside = F.col("file").isNull()
-        nodes = nodes.select("id", F.when(outside, F.regexp_extract("id", "^external:(.*)#", 1)).otherwise(F.col("simple")).alias("class_name"), F.when(outside, F.substring_index("id", "#", -1)).otherwise(F.col("name")).alias("method"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), F.when(outside, "external").otherwise(F.coalesce("role", F.lit("other"))).alias("role"), F.coalesce("return_type", F.lit("")).alias("return_type"))
-        return nodes, edges.join(near.withColumnRenamed("node", "a"), "a", "left_semi")
+        return nodes.select("id", F.when(outside, F.regexp_extract("id", "^external:(.*)#", 1)).otherwise(F.col("simple")).alias("class_name"), F.when(outside, F.substring_index("id", "#", -1)).otherwise(F.col("name")).alias("method"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), F.when(outside, "external").otherwise(F.coalesce("role", F.lit("other"))).alias("role"), F.coalesce("return_type", F.lit("")).alias("return_type"))
 
     def classes_by_role(self) -> DataFrame:
         """role, class_name, node: the classes of the graph; a class has the role of its first node, in order of id."""
-        nodes, _ = self.call_graph()
-        return nodes.groupBy("class_name").agg(F.min_by("role", "id").alias("role"), F.min("id").alias("node")).select("role", "class_name", "node")
+        return roles_of(self.call_graph()[0])
 
     def assignment_sites(self) -> DataFrame:
         """enum_type, field, value, class_name, method (null in constructors), file, line of assignments to what has an enum's type; a constant is named alone, other values by their source."""
@@ -335,7 +342,7 @@ class Facts:
         parts = self.statements.where((F.col("ends") == "{") & F.col("text").rlike(r"(^| )record \w+ \(")).select(F.regexp_extract("text", r"(?:^| )record (\w+) ", 1).alias("command_type"), F.regexp_extract("text", r"record \w+ \( (.*) \)", 1).alias("all"))
         parts = parts.select("command_type", F.explode(F.split("all", r" , (?![^()]*\))")).alias("part")).select("command_type", S.last_segment(F.col("part"), " ").alias("field"), _annotated(F.col("part")).alias("annotations"))
         a = fields.unionByName(parts).select("command_type", "field", F.explode("annotations").alias("a")).where(F.col("a.name").isin(*CONSTRAINTS))
-        return taken.join(a, "command_type").select("entry_point", "command_type", "field", F.col("a.name").alias("constraint"), F.nullif(F.replace(F.replace(F.col("a.args"), F.lit(" = "), F.lit("=")), F.lit(" ,"), F.lit(",")), F.lit("")).alias("detail"))
+        return taken.join(a, "command_type").select("entry_point", "command_type", "field", F.col("a.name").alias("constraint"), S.annotation_detail(F.col("a.args")).alias("detail"))
 
     def guard_checks(self) -> DataFrame:
         """field, constraint, detail, method_id, file, line of guard calls on a known holder with an argument."""

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.graph import trace
 from ..sources.java import read_sources
+from ..sources.migrations import read_migrations
 from .enrichment import artifact_hash
-from .facts import Facts
+from .facts import Facts, roles_of
 
 #: Messages of one sequence diagram, at most.
 MOST_MESSAGES = 40
@@ -44,10 +45,58 @@ def state_diagrams(facts: Facts) -> DataFrame:
     return m.select("enum_type", F.concat_ws("\n", F.array(F.lit("stateDiagram-v2"), F.concat(F.lit("[*] --> "), F.coalesce("initial", F.get("states", F.lit(0))))), "states").alias("diagram"))
 
 
-def er_diagram(entities: DataFrame) -> DataFrame:
-    """source, target, kind: relations whose target is an entity too."""
-    r = entities.select(F.col("name").alias("source"), F.explode("relations").alias("r")).select("source", F.col("r.target").alias("target"), F.col("r.kind").alias("kind"))
-    return r.join(entities.select(F.col("name").alias("target")).distinct(), "target", "left_semi").select("source", "target", "kind")
+#: How a kind of relation is drawn.
+CARDINALITY = {"OneToMany": "||--o{", "ManyToOne": "}o--||", "OneToOne": "||--||", "ManyToMany": "}o--o{"}
+
+
+def modules(entities: DataFrame) -> DataFrame:
+    """Adds module: the folder right below those that all entities' files share, or core."""
+    folders = F.slice(F.split("file", "/"), F.lit(1), F.size(F.split("file", "/")) - 1)
+    lo, hi = entities.agg(F.min(folders), F.max(folders)).first()  # two paths; what they share, all share
+    shared = next((k for k, (x, y) in enumerate(zip(lo or [], hi or [])) if x != y), min(len(lo or []), len(hi or [])))
+    return entities.withColumn("module", F.coalesce(F.get(folders, F.lit(shared)), F.lit("core")))
+
+
+def er_text(fields: DataFrame, relations: DataFrame) -> DataFrame:
+    """module, diagram of fields (module, entity, field, type, id) and relations (module, entity, field, kind, target); relations to what the module doesn't hold are left out."""
+    entities = fields.select("module", "entity").union(relations.select("module", "entity")).distinct()
+    name = S.diagram_id(F.col("entity"))
+    line = lambda section, kind, field, *text: F.struct(F.lit(section).alias("section"), F.col("entity"), F.lit(kind).alias("kind"), field.alias("field"), F.concat(*text).alias("line"))
+    none = F.lit("")
+    heads = entities.select("module", F.explode(F.array(line(0, 0, none, F.lit("  "), name, F.lit(" {")), line(0, 2, none, F.lit("  }")))).alias("l"))
+    held = fields.where("field is not null").select("module", line(0, 1, F.col("field"), F.lit("    "), S.diagram_type(F.col("type")), F.lit(" "), S.diagram_id(F.col("field")), F.when(F.col("id"), " PK").otherwise("")).alias("l"))
+    inside = relations.join(entities.withColumnRenamed("entity", "target"), ["module", "target"], "left_semi")
+    drawn = F.coalesce(F.create_map(*[F.lit(x) for kv in CARDINALITY.items() for x in kv])[F.col("kind")], F.lit("||..||"))
+    tied = inside.select("module", line(1, 0, F.col("field"), F.lit("  "), name, F.lit(" "), drawn, F.lit(" "), S.diagram_id(F.col("target")), F.lit(' : "'), S.diagram_label(F.col("field")), F.lit('"')).alias("l"))
+    lines = heads.union(held).union(tied).groupBy("module").agg(F.array_sort(F.collect_list("l")).alias("ls"))  # a module's own lines
+    return lines.select("module", F.concat_ws("\n", F.array(F.lit("erDiagram")), F.transform("ls", lambda x: x["line"])).alias("diagram"))
+
+
+def er_diagrams(entities: DataFrame) -> DataFrame:
+    """module, diagram: the entities of each module with their fields, and the relations within it."""
+    e = modules(entities)
+    fields = e.select("module", F.col("name").alias("entity"), F.explode_outer("fields").alias("f")).select("module", "entity", F.col("f.name").alias("field"), "f.type", "f.id")
+    relations = e.select("module", F.col("name").alias("entity"), F.explode("relations").alias("r")).select("module", "entity", "r.field", "r.kind", "r.target")
+    return er_text(fields, relations)
+
+
+def event_flowchart(flows: DataFrame, entry_points: DataFrame) -> DataFrame:
+    """One row, diagram: events between the classes that publish them and those that listen, later listeners dashed."""
+    event, box = S.diagram_id(F.concat(F.lit("E_"), "event")), S.diagram_id(F.concat(F.lit("N_"), "class"))
+    made = flows.select("event", F.explode("producers").alias("party")).select("event", F.substring_index("party", "#", 1).alias("class"))
+    heard = entry_points.where("category = 'event' and destination is not null").select(F.col("destination").alias("event"), F.col("class_name").alias("class"), "async")
+    named = flows.select(F.concat(F.lit("  "), event, F.lit('{{"'), S.diagram_label(F.col("event")), F.lit('"}}')).alias("line"))
+    classes = made.select("class").union(heard.select("class")).select(F.concat(F.lit("  "), box, F.lit('["'), S.diagram_label(F.col("class")), F.lit('"]')).alias("line"))
+    out = made.select(F.concat(F.lit("  "), box, F.lit(" -->|publishes| "), event).alias("line"))
+    into = heard.select(F.concat(F.lit("  "), event, F.when(F.col("async"), " -.->|async| ").otherwise(" --> "), box).alias("line"))
+    lines = _union([x.select(F.lit(k).alias("k"), "line") for k, x in enumerate((named, classes, out, into))]).distinct()
+    return lines.agg(F.concat_ws("\n", F.array(F.lit("flowchart LR")), F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"])).alias("diagram"))  # one project's events
+
+
+def domain_map(domains: DataFrame) -> DataFrame:
+    """domain, text: a branch of the map of domains (domain, members)."""
+    plain = lambda c: F.coalesce(F.nullif(S.one_line(F.regexp_replace(c, r'[()\[\]{}"]', " ")), F.lit("")), F.lit("unknown"))
+    return domains.select("domain", F.concat_ws("\n", F.array(F.concat(F.lit("    "), plain(F.col("domain")))), F.transform("members", lambda m: F.concat(F.lit("      "), plain(m)))).alias("text"))
 
 
 def unclassified(entry_points: DataFrame, behaviours: DataFrame) -> DataFrame:
@@ -72,10 +121,17 @@ def index(spark: SparkSession, root: str, out: str, exclude: tuple = ()) -> dict
     """
     facts = Facts(read_sources(spark, root, exclude))
     manifest = {"project": {"name": root.rstrip("/").rpartition("/")[2], **git_facts(root)}, "artifacts": {}}
-    for name, df in {**relations(facts), "sequence_diagrams": sequence_diagrams(facts), "state_diagrams": state_diagrams(facts)}.items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
-        kept = spark.read.parquet(f"{out}/{name}")
-        manifest["artifacts"][name] = {"hash": artifact_hash(kept).first()[0], "rows": kept.count()}
+
+    def publish(made: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        kept = {}
+        for name, df in made.items():
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
+            kept[name] = spark.read.parquet(f"{out}/{name}")
+            manifest["artifacts"][name] = {"hash": artifact_hash(kept[name]).first()[0], "rows": kept[name].count()}
+        return kept
+
+    kept = publish({**relations(facts), "foreign_keys": read_migrations(spark, root), "sequence_diagrams": sequence_diagrams(facts), "state_diagrams": state_diagrams(facts)})
+    publish({"classes_by_role": roles_of(kept["call_nodes"]), "er_diagrams": er_diagrams(kept["entities"]), "event_flowchart": event_flowchart(kept["event_flows"], kept["entry_points"])})
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
     return manifest
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import graph as G
 from .operators import relational as R
+from .plans import publish
+from .plans.enrichment import prompts
+from .plans.facts import role
+from .sources.migrations import foreign_keys
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -168,7 +172,8 @@ def behaviour_gate(spark, d):
 
 @query("SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY text")
 def first_wins_dedup(spark, d):
-    return t(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    docs = t(spark, d, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("h"), "doc_id")
+    return R.first_wins(docs, ["h"], ["doc_id"]).join(docs.groupBy("h").agg(F.count("*").alias("copies")), "h")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -184,7 +189,7 @@ def alt_flow_first(spark, d):
 @query("SELECT l_suppkey, rk, part_qty, lines FROM (SELECT l_suppkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS part_qty, count(*)::BIGINT AS lines, row_number() OVER (ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC, count(*), l_suppkey)::BIGINT AS rk FROM lineitem GROUP BY l_suppkey)")
 def leaderboard(spark, d):
     g = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("part_qty"), F.count("*").alias("lines"))
-    return g.select("l_suppkey", F.row_number().over(Window.orderBy(F.col("part_qty").desc(), "lines", "l_suppkey")).cast("long").alias("rk"), "part_qty", "lines")
+    return R.ranked(g, "part_qty", ["lines", "l_suppkey"]).select("l_suppkey", F.col("rank").alias("rk"), "part_qty", "lines")
 
 
 @query("SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderpriority = '5-LOW') AS initial, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states, count(*)::BIGINT AS sites FROM orders GROUP BY o_custkey")
@@ -237,7 +242,8 @@ def entity_with_fields(spark, d):
 
 @query("SELECT p_brand, min(p_type) AS first_type, arg_min(p_type, p_partkey) AS role FROM part GROUP BY p_brand")
 def role_map(spark, d):
-    return t(spark, d, "part").groupBy("p_brand").agg(F.min("p_type").alias("first_type"), F.min_by("p_type", "p_partkey").alias("role"))
+    part = t(spark, d, "part").select("p_brand", "p_partkey", F.col("p_type").alias("role"))
+    return R.first_wins(part, ["p_brand"], ["p_partkey"]).join(part.groupBy("p_brand").agg(F.min("role").alias("first_type")), "p_brand").select("p_brand", "first_type", "role")
 
 
 @query("SELECT conv_id, sum(len(regexp_extract_all(lower(text), '\\b(the|of|and)\\b')))::BIGINT AS invented, count(*) FILTER (regexp_matches(text, '\\b(GET|POST|PUT|DELETE)\\b'))::BIGINT AS leaks, count(DISTINCT role)::BIGINT AS roles, count(DISTINCT turn) >= 4 AS covered FROM conversations GROUP BY conv_id")
@@ -245,10 +251,17 @@ def keyword_score(spark, d):
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.sum(S.count_words(F.col("text"), ["the", "of", "and"])).alias("invented"), F.count_if(F.col("text").rlike(r"\b(GET|POST|PUT|DELETE)\b")).alias("leaks"), F.count_distinct("role").alias("roles"), (F.count_distinct("turn") >= 4).alias("covered"))
 
 
-@query("SELECT o_custkey, 'erDiagram ' || string_agg(o_orderstatus || '--' || o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey) AS diagram FROM orders GROUP BY o_custkey")
+@query("""WITH p AS (SELECT p_brand AS module, 'T_' || p_type AS entity, 'f' || p_partkey::VARCHAR AS field, p_size, p_name FROM part), e AS (SELECT DISTINCT module, entity FROM p),
+l AS (SELECT module, 0 AS s, entity, 0 AS k, '' AS field, '  ' || entity || ' {' AS line FROM e UNION ALL SELECT module, 0, entity, 2, '', '  }' FROM e
+ UNION ALL SELECT module, 0, entity, 1, field, '    Map_int_ ' || field || CASE WHEN p_size > 25 THEN ' PK' ELSE '' END FROM p
+ UNION ALL SELECT module, 1, entity, 0, field, '  ' || entity || CASE p_size % 5 WHEN 0 THEN ' ||--o{' WHEN 1 THEN ' }o--||' WHEN 2 THEN ' ||--||' WHEN 3 THEN ' }o--o{' ELSE ' ||..||' END || ' T_ECONOMY : "' || field || '"' FROM p WHERE p_size % 2 = 0 AND EXISTS (SELECT 1 FROM e WHERE e.module = p.module AND e.entity = 'T_ECONOMY'))
+SELECT module, 'erDiagram' || chr(10) || string_agg(line, chr(10) ORDER BY s, entity, k, field) AS diagram FROM l GROUP BY module""")
 def diagram_text(spark, d):
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.concat(x["o_orderstatus"], F.lit("--"), x["o_orderkey"].cast("string")))
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.concat(F.lit("erDiagram "), F.array_join(lines, " ")).alias("diagram"))
+    p = t(spark, d, "part").select(F.col("p_brand").alias("module"), F.concat(F.lit("T_"), "p_type").alias("entity"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("field"), "p_size")
+    fields = p.select("module", "entity", "field", F.lit("Map<int>").alias("type"), (F.col("p_size") > 25).alias("id"))
+    kinds = F.array(*map(F.lit, ("OneToMany", "ManyToOne", "OneToOne", "ManyToMany", "Other")))
+    relations = p.select("module", "entity", "field", F.get(kinds, (F.col("p_size") % 5).cast("int")).alias("kind"), F.when(F.col("p_size") % 2 == 0, "T_ECONOMY").otherwise("T_NONE").alias("target"))
+    return publish.er_text(fields, relations)
 
 
 # ---- scalars -----------------------------------------------------------------------------------------------------
@@ -275,10 +288,12 @@ def clamp_enums(spark, d):
     return t(spark, d, "orders").select("o_orderkey", S.clamp(F.col("o_orderstatus"), ["F", "O"], "happy-path").alias("kind"), S.clamp(F.col("o_orderpriority"), ["1-URGENT", "5-LOW"], "medium").alias("priority"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_name LIKE '%widget' THEN 'controller' WHEN p_name LIKE '%ring' OR p_name LIKE '%bolt' THEN 'service' WHEN p_type = 'ECONOMY' THEN 'repository' WHEN p_size > 25 THEN 'domain' ELSE 'other' END AS role FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'controller' WHEN p_type = 'PROMO' OR p_size % 4 = 1 THEN 'service' WHEN p_size % 4 = 2 THEN 'repository' WHEN p_type = 'ECONOMY' THEN 'domain' ELSE 'other' END AS role FROM part")
 def role_case(spark, d):
-    n = F.col("p_name")
-    return t(spark, d, "part").select("p_partkey", F.when(n.endswith("widget"), "controller").when(n.endswith("ring") | n.endswith("bolt"), "service").when(F.col("p_type") == "ECONOMY", "repository").when(F.col("p_size") > 25, "domain").otherwise("other").alias("role"))
+    size = F.col("p_size") % 4
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.when(size == 0, "Controller").when(size == 1, "Factory").when(size == 2, "Repository").otherwise("Thing"))
+    mark = F.when(F.col("p_type") == "PROMO", "Service").when(F.col("p_type") == "ECONOMY", "Entity").otherwise("Data")
+    return t(spark, d, "part").select("p_partkey", role(name, F.array(F.struct(mark.alias("name"), F.lit("").alias("args")))).alias("role"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_name LIKE '_%00' THEN left(c_name, length(c_name) - 2) WHEN c_name LIKE '_%1' THEN left(c_name, length(c_name) - 1) END AS target, regexp_matches(c_name, '(3|5|77)$') AS event_like FROM customer")
@@ -297,20 +312,20 @@ def last_segment(spark, d):
     return t(spark, d, "supplier").select("s_suppkey", S.last_segment(F.col("s_name"), "#").alias("tail"), S.simple_type_name(F.concat(F.lit("a.b."), F.col("s_name"), F.lit("<X>[]"))).alias("simple"), S.first_generic_argument(typed).alias("argument"))
 
 
-@query("SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
+@query("SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')) AS escaped FROM pages")
 def html_escape(spark, d):
     return t(spark, d, "pages").select("page_id", F.sha2(S.html_escape(F.col("html")).cast("binary"), 256).alias("escaped"))
 
 
-@query("SELECT doc_id, CASE WHEN length(s) > 40 THEN substr(s, 1, 40) || '…' ELSE s END AS label FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)")
+@query(r"SELECT doc_id, s AS label, CASE WHEN length(s) > 40 THEN substr(s, 1, 40) || '…' ELSE s END AS short FROM (SELECT doc_id, trim(regexp_replace(translate(text, chr(34) || '{}|', chr(39) || '()/'), '\s+', ' ', 'g')) AS s FROM documents)")
 def label_sanitize(spark, d):
-    return t(spark, d, "documents").select("doc_id", S.shortened(S.one_line(F.col("text")), 40).alias("label"))
+    return t(spark, d, "documents").select("doc_id", S.diagram_label(F.col("text")).alias("label")).select("doc_id", "label", S.shortened(F.col("label"), 40).alias("short"))
 
 
 @query("SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS first_k, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 THEN 0 ELSE 2 END::BIGINT AS n FROM events")
 def first_json_array(spark, d):
     bad = F.get_json_object("props", "$.k").cast("long") % 3 == 0
-    text = F.concat(F.lit("Sure:\n```json\n"), F.when(bad, F.lit("{no array")).otherwise(F.concat(F.lit("["), F.col("props"), F.lit(",\n"), F.col("props"), F.lit("]"))), F.lit("\n```"))
+    text = F.concat(F.lit("As in [1]:\n```json\n"), F.when(bad, F.lit("{no array")).otherwise(F.concat(F.lit("["), F.col("props"), F.lit(",\n"), F.col("props"), F.lit("]"))), F.lit("\n```\nor ] so"))
     a = S.first_json_array(text, "array<struct<k:bigint>>")
     return t(spark, d, "events").select("event_id", F.get(a, F.lit(0))["k"].alias("first_k"), F.coalesce(F.when(F.size(a) > 0, F.size(a)), F.lit(0)).cast("long").alias("n"))
 
@@ -318,8 +333,8 @@ def first_json_array(spark, d):
 @query("SELECT s_suppkey, 'supplier_' || s_suppkey::VARCHAR AS tbl, 'nation_key' AS col, 'nation_' || s_nationkey::VARCHAR AS ref_tbl, 'n_key' AS ref_col FROM supplier")
 def fk_regex(spark, d):
     ddl = F.concat(F.lit("CREATE TABLE IF NOT EXISTS supplier_"), F.col("s_suppkey").cast("string"), F.lit(" (\n id int,\n nation_key int NOT NULL references nation_"), F.col("s_nationkey").cast("string"), F.lit("(n_key)\n);"))
-    inline = r"(?is)(\w+)\s+\w+[^,()]*?references\s+(\w+)\s*\(\s*(\w+)"
-    return t(spark, d, "supplier").select("s_suppkey", F.regexp_extract(ddl, r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?(\w+)", 1).alias("tbl"), F.regexp_extract(ddl, inline, 1).alias("col"), F.regexp_extract(ddl, inline, 2).alias("ref_tbl"), F.regexp_extract(ddl, inline, 3).alias("ref_col"))
+    keys = foreign_keys(t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("file"), ddl.alias("text")))
+    return keys.select(F.col("file").cast("long").alias("s_suppkey"), F.col("table").alias("tbl"), F.col("column").alias("col"), F.col("ref_table").alias("ref_tbl"), F.col("ref_column").alias("ref_col"))
 
 
 @query("SELECT event_id, least(1000 * CAST(pow(2, user_id % 8) AS BIGINT), 30000)::BIGINT AS wait_ms FROM events")
@@ -335,14 +350,14 @@ def log_scrape(spark, d):
 
 @query("SELECT c_custkey, 'acct=' || CAST(round(c_acctbal * 100) AS BIGINT)::VARCHAR || ', seg=' || c_mktsegment AS detail FROM customer")
 def annotation_detail(spark, d):
-    pairs = F.array(F.struct(F.lit("acct").alias("k"), cents("c_acctbal").cast("string").alias("v")), F.struct(F.lit("seg").alias("k"), F.col("c_mktsegment").alias("v")))
-    return t(spark, d, "customer").select("c_custkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), ", ").alias("detail"))
+    args = F.concat(F.lit("acct = "), cents("c_acctbal").cast("string"), F.lit(" , seg = "), "c_mktsegment")
+    return t(spark, d, "customer").select("c_custkey", S.annotation_detail(args).alias("detail"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'REST' WHEN event_type = 'purchase' THEN 'Events' WHEN event_type = 'signup' THEN 'Scheduled' ELSE 'Other' END AS category FROM events")
 def category_label(spark, d):
-    prefix = F.create_map(*[F.lit(x) for x in ("click", "REST", "view", "REST", "purchase", "Events", "signup", "Scheduled")])
-    return t(spark, d, "events").select("event_id", F.coalesce(prefix[F.substring_index(F.concat("event_type", F.lit(":x")), ":", 1)], F.lit("Other")).alias("category"))
+    kind = F.create_map(*[F.lit(x) for x in ("click", "http", "view", "http", "purchase", "event", "signup", "scheduled")])
+    return t(spark, d, "events").select("event_id", S.category_label(kind[F.col("event_type")]).alias("category"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click')")
@@ -350,7 +365,8 @@ def value_type_exclusion(spark, d):
     return t(spark, d, "events").where(~F.col("event_type").isin("view", "click")).select("event_id", "event_type")
 
 
-@query("SELECT o_custkey, sha256('Describe:' || chr(10) || string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) || chr(10) || 'Reply with JSON.') AS prompt_hash FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, sha256('Describe.' || chr(10) || chr(10) || m || chr(10) || chr(10) || 'Reply with one JSON array.') AS prompt_hash, 'sha256:' || sha256(m) AS source_hash FROM (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS m FROM orders GROUP BY o_custkey)")
 def prompt_material(spark, d):
     keys = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",")
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.sha2(F.concat(F.lit("Describe:\n"), keys, F.lit("\nReply with JSON.")).cast("binary"), 256).alias("prompt_hash"))
+    asked = prompts(t(spark, d, "orders").groupBy(F.col("o_custkey").alias("task")).agg(keys.alias("material")), "Describe.")
+    return asked.select(F.col("task").alias("o_custkey"), F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_hash"), "source_hash")
\ No newline at end of file

@@ -21,5 +21,6 @@ def foreign_keys(files: DataFrame) -> DataFrame:
 
 
 def read_migrations(spark: SparkSession, root: str) -> DataFrame:
-    at = f"{root.rstrip('/')}/src/main/resources/db/migration"
-    return foreign_keys(spark.read.text(at, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
+    """Foreign keys of every .sql file in a db/migration folder below root, in any of its modules."""
+    files = spark.read.text(root.rstrip("/"), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql").select(F.col("_metadata.file_path").alias("at"), F.col("value").alias("text"))
+    return foreign_keys(files.where(F.col("at").rlike("/src/main/resources/db/migration/")).select(F.regexp_extract("at", "[^/]*$", 0).alias("file"), "text"))

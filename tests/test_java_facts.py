@@ -171,19 +171,26 @@ def test_gates_keep_only_what_joins_back(spark, facts):
     d = '[{"domain":"Lending","members":["Book","Nope","Book"]},{"domain":"Empty","members":["Nope"]},{"domain":" ","members":["Book"]}]'
     rows = E.parsed(spark.createDataFrame([("d", d)], "task string, answer string"), E.DOMAIN)
     assert [(r.domain, r.members) for r in E.gated_domains(rows, facts.types.select("simple")).collect()] == [("Lending", ["Book", "Book"])]
-    b = '[{"scenario":"s1","type":"odd","verifiedBy":["BookServiceTest#finds","X#y"],"coverage":{"level":"?"},"evidence":{"entryPoint":"http:POST /books"}},{"scenario":"s2","evidence":{"entryPoint":"http:POST /books"}},{"scenario":"s3","priority":"low","evidence":{"entryPoint":"http:GET /books/{id}"}},{"scenario":"s4","evidence":{"entryPoint":"http:GET /none"}}]'
+    b = '[{"scenario":"s1","type":"odd","verifiedBy":["BookServiceTest#finds","X#y"],"coverage":{"level":"?"},"evidence":{"entryPoint":"http:POST /books","nodes":["shop.core.BookService#add","no#node"],"covers":["http:GET /none","http:PUT /books/loan"]}},{"scenario":"s2","evidence":{"entryPoint":"http:POST /books"}},{"scenario":"s3","priority":"low","type":"lifecycle","evidence":{"entryPoint":"http:GET /books/{id}"}},{"scenario":"s4","evidence":{"entryPoint":"http:GET /none"}}]'
     rows = E.parsed(spark.createDataFrame([("b", b)], "task string, answer string"), E.BEHAVIOUR)
-    got = {(r.entry_point, r.scenario, r.type, r.priority, tuple(r.verified_by), r.gap, r.coverage) for r in E.gated_behaviours(rows, facts.entry_points(), facts.test_scenarios()).collect()}
-    assert got == {("http:POST /books", "s1", "happy-path", "medium", ("BookServiceTest#finds",), False, "partial"), ("http:GET /books/{id}", "s3", "happy-path", "low", (), True, None)}
+    got = {(r.entry_point, r.scenario, r.type, r.priority, tuple(r.verified_by), tuple(r.nodes), tuple(r.covers), r.gap, r.coverage) for r in E.gated_behaviours(rows, facts.entry_points(), facts.test_scenarios(), facts.call_graph()[0]).collect()}
+    assert got == {("http:POST /books", "s1", "happy-path", "medium", ("BookServiceTest#finds",), ("shop.core.BookService#add",), ("http:PUT /books/loan",), False, "partial"), ("http:GET /books/{id}", "s3", "lifecycle", "medium", (), (), (), True, None)}
+    keys = {(r.kind, r.key) for r in E.evidence_index(facts).collect()}
+    assert keys >= {("entry_point", "cli:Jobs"), ("node", "external:Clock#now"), ("class", "Book"), ("scenario", "BookServiceTest#finds"), ("site", f"{site.file}:{site.line}")}
 
 
-def test_hashes_and_cache(spark):
+def test_hashes_and_cache(spark, tmp_path):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 3), (2, "y", 3)], "k int, s string, n int")
     assert E.artifact_hash(a).first() == E.artifact_hash(a.repartition(3).select("n", "s", "k")).first() != E.artifact_hash(a.distinct()).first()
     asked = E.prompts(spark.createDataFrame([("a", "m1"), ("b", "m2")], "task string, material string"), "Say what it does.")
     known = asked.where("task = 'a'").select("source_hash", "prompt_version", F.lit("[]").alias("answer"))
     hits, misses = E.split_by_cache(asked, known)
     assert [r.task for r in hits.collect()] == ["a"] and [r.task for r in misses.collect()] == ["b"]
+    left = E.emit_requests(asked, known, str(tmp_path / "requests"))
+    assert [r.task for r in left.collect()] == ["b"]
+    E.remember(known, left.select("source_hash", "prompt_version", F.lit('x [{"domain":"D","members":["M"]}]').alias("answer")), str(tmp_path / "results"))
+    rows = E.assemble(asked, spark.read.parquet(str(tmp_path / "results")), E.DOMAIN)
+    assert [(r.task, r.domain) for r in rows.collect()] == [("b", "D")] and E.assemble(asked, known.where("false"), E.DOMAIN).count() == 0
 
 
 def test_publishing_is_deterministic(spark, tmp_path):
@@ -193,6 +200,8 @@ def test_publishing_is_deterministic(spark, tmp_path):
     for name, text in SOURCES.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
+    (root / "app/src/main/resources/db/migration").mkdir(parents=True)
+    (root / "app/src/main/resources/db/migration/V1.sql").write_text("create table copy (book_id int references book(id));")
     first = publish.index(spark, str(root), str(tmp_path / "a"))
     was = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
@@ -201,6 +210,11 @@ def test_publishing_is_deterministic(spark, tmp_path):
     assert first["artifacts"] == again["artifacts"] and first["artifacts"]["entry_points"]["rows"] == 7
     d = {r.entry_point: r.diagram for r in spark.read.parquet(str(tmp_path / "a" / "sequence_diagrams")).collect()}
     assert d["http:POST /books"].split("\n") == ["sequenceDiagram", "BookController->>BookService: add", "BookService->>Bus: publishEvent", "BookService->>BookRepository: save"]
+    made = lambda name: spark.read.parquet(str(tmp_path / "a" / name))
+    assert made("er_diagrams").first().diagram.split("\n") == ["erDiagram", "  Book {", "    Long id PK", "    BookState state", "    String title", "  }"]
+    assert made("event_flowchart").first().diagram.split("\n") == ["flowchart LR", '  E_BookAdded{{"BookAdded"}}', '  N_BookService["BookService"]', '  N_Jobs["Jobs"]', "  N_BookService -->|publishes| E_BookAdded", "  E_BookAdded --> N_BookService", "  E_BookAdded -.->|async| N_Jobs"]
+    assert [(r["table"], r["column"], r["ref_table"]) for r in made("foreign_keys").collect()] == [("copy", "book_id", "book")]
+    assert publish.domain_map(spark.createDataFrame([("Lending", ["Book", "(x)"])], "domain string, members array<string>")).first().text == "    Lending\n      Book\n      x"
     s = spark.read.parquet(str(tmp_path / "a" / "state_diagrams")).where("enum_type = 'BookState'").first()
     assert s.diagram.split("\n")[1] == "[*] --> FREE"
     assert publish.report(spark, str(tmp_path / "a")).where("html like '%<td>http:POST /books</td>%'").count() > 0
@@ -311,3 +325,13 @@ enum Phase { OPEN, DONE }
     }
     sites = {(r.line, r.enum_type, r.field, r.value, r.class_name, r.method) for r in facts.assignment_sites().where("file = 'Desk.java'").collect()}
     assert sites == {(18, "Phase", "phase", "OPEN", "Desk", "move"), (19, "Phase", "phase", "(Phase.DONE)", "Desk", "move"), (20, "Phase", "phase", "OPEN", "Desk", "move"), (21, "Phase", "phase", "next", "Desk", "move"), (22, "Phase", "next", "pick(1, 2)", "Desk", "move")}
+
+
+def test_diagrams_by_module(spark):
+    from factloom.plans import publish
+
+    kind = "name string, file string, fields array<struct<name:string,type:string,id:boolean>>, relations array<struct<field:string,kind:string,target:string>>"
+    e = spark.createDataFrame([("A", "x/y/one/A.java", [("id", "Long", True)], [("b", "OneToMany", "B"), ("c", "ManyToOne", "C")]), ("B", "x/y/one/deep/B.java", [], []), ("C", "x/y/two/C.java", [("n", "List<X>", False)], [])], kind)
+    got = {r.module: r.diagram.split("\n") for r in publish.er_diagrams(e).collect()}
+    assert got == {"one": ["erDiagram", "  A {", "    Long id PK", "  }", "  B {", "  }", '  A ||--o{ B : "b"'], "two": ["erDiagram", "  C {", "    List_X_ n", "  }"]}
+    assert publish.er_diagrams(e.where("false")).count() == 0
