@@ -5,11 +5,16 @@ import hashlib
 import io
 import json
 import zipfile
+from collections import Counter
+
+import public_tokenizers
+import sentencepiece
 
 import corpus_pipeline
-from factloom.llm import queries, stages, warc
+from factloom.llm import mixing, pieces, queries, stages, toxicity, warc
 from factloom.llm.common import components, new_path
 from tests.conftest import DATA
+from tests.llm.test_duplicates import closure, shingles
 
 
 def test_round_trip(spark):
@@ -92,9 +97,67 @@ def test_pipeline_runs_and_keeps_columns(spark):
 
 def test_near_stage_keeps_one_of_each(spark):
     long = " ".join(f"w{k}" for k in range(60))
-    rows = [(3, long, "en", "a", 1), (2, long + " end", "en", "a", 1), (1, "other text of its own here", "en", "b", 1), (None, "n", "en", "b", 1), (1, "other text of its own here", "en", "b", 1), (4, None, None, None, None)]
+    rows = [(3, long, "en", "a", 1), (2, long + " end", "en", "a", 1), (1, "other text of its own here", "en", "b", 1), (None, "n", "en", "b", 1), (1, "other text of its own here", "en", "b", 1), (4, None, None, None, None), (1, "one more text with that same id", "en", "b", 1), (None, long, "en", "b", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted((r.doc_id or 0) for r in stages.one_of_each_group(spark, docs, DATA).collect()) == [0, 1, 2, 4]
+    kept = stages.one_of_each_group(spark, docs, DATA).collect()
+    assert sorted(((r.doc_id or 0), (r.text or "")[:3]) for r in kept) == [(0, "n"), (1, "one"), (1, "oth"), (2, "w0 "), (4, "")]
+
+
+def brute(docs):
+    """What the pipeline's stages must make of rows (doc_id, text), by hand: near-duplicates of five words at four fifths, then repeats."""
+    sets = {i: shingles(t, 5) for i, t in docs}
+    of = {}
+    for i, s in sets.items():
+        for w in s:
+            of.setdefault(w, []).append(i)
+    pairs = {(a, b) for ids in of.values() for a in ids for b in ids if a < b}
+    group = closure(sets, [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    kept = [(i, t) for i, t in docs if group[i] == i]
+    raw = [(t or "").encode() for _, t in kept]
+    count = Counter(t[k : k + 200] for t in raw for k in range(len(t) - 199))
+    out = {}
+    for (i, _), t in zip(kept, raw):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if count[t[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        out[i] = b"".join(t[k : k + 1] for k in range(len(t)) if not gone[k])
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    clean = stages.reject_toxic(spark, docs, DATA)
+    model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, t in texts.items() if toxicity.score_text(model, t) < toxicity.THRESHOLD)
+    want = brute(sorted((r.doc_id, r.text) for r in clean.collect()))
+    cut_ = stages.cut_repeats(spark, stages.one_of_each_group(spark, clean, DATA), DATA)
+    assert {r.doc_id: r.text for r in cut_.collect()} == {i: t.decode("utf-8", "ignore") for i, t in want.items()}
+    assert all(r.n_chars == len(r.text) for r in cut_.collect())
+    taken = {r.doc_id: -(-r.taken // r["size"]) for r in mixing.mixed_words(cut_).collect() if r.taken}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    left = {r.doc_id: r.text for r in cut_.collect()}
+    ids = {i: sp.encode(left[i], add_eos=True) for i in taken}
+    rows = sorted((i, len(ids[i]), sha(" ".join(map(str, ids[i]))), sha(sp.decode(ids[i]))) for i, n in taken.items() for _ in range(n))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, DATA).collect()) == rows
+
+
+def test_stages_take_clashing_columns_nulls_and_empty_tables(spark):
+    names = ["kept", "n_bytes", "_", "copies", "id", "own", "score", "toxic", "key", "marks", "carried", "none", "row", "sid", "size", "at", "copies__", "key_", "c0"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    more = [f"v{k}" for k in range(len(names))]
+    texts = [(1, "some words of a text", "a"), (None, None, None), (2, "", "a"), (None, "null id here", "b"), (3, "x" * 70_000, None), (1, "some words of a text", "a"), (4, "tie one two", "b"), (5, "tie two three", "b")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, *more) for i, t, s in texts], kinds)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(tuple(r[5:]) == tuple(more) for r in rows)
+        assert stage(spark, docs.where("false"), DATA).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == len(texts)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), DATA).count() == 0
 
 
 def test_every_operator_is_registered():

@@ -264,3 +264,40 @@ def test_nearest_neighbours(spark):
     few = df.where("vec_id in (0, 1, 2)")
     assert {(r.query_id, r.vec_id) for r in ann.search(few, "vec_id = 0").collect()} == {(0, 1), (0, 2)}
     assert ann.search(df.where("false"), "vec_id = 0").count() == 0
+
+
+def test_rows_with_one_vec_id_are_rows_of_their_own(spark):
+    a, b, c = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0]
+    rows = [(7, a, 1), (8, b, 1), (7, b, 2), (9, c, 1), (9, a, 1), (9, c, 1), (10, a, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicates(df).collect())
+    # label 1: 7a, 8b and 9a link, the two 9c link; label 2: 7b and 10a link
+    assert got == sorted([(7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False), (9, 1, 9, True), (9, 1, 9, True), (7, 1, 7, True), (10, 1, 7, False)])
+    rows = [(50, a, 0), (50, c, 0), (1, b, 0), (2, c, 0), (100, [1.0, 2.0], 0), (101, [2.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(df, "vec_id % 50 = 0").collect())
+    cos = lambda x, y: round(float(np.dot(np.float32(x), np.float32(y)) / np.linalg.norm(np.float32(x)) / np.linalg.norm(np.float32(y))), 6)
+    want = []
+    for k, (q, x, _) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-cos(x, y), v) for j, (v, y, _) in enumerate(rows) if j != k and len(y) == len(x))
+            want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(near)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 1e-4 for g, w in zip(got, sorted(want)))
+
+
+def test_shapes_follow_the_rows():
+    assert near_vectors.shape(1_000)[1] == near_vectors.LEAST_BITS and near_vectors.shape(1 << 30)[1] == 20
+    for rows in (10, 1 << 24, 1 << 34):
+        tables, bits = near_vectors.shape(rows)
+        meets = (1 - np.arccos(near_vectors.LEAST) / np.pi) ** bits
+        assert (1 - meets) ** tables <= near_vectors.MISS
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 80, 900, 5000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.1], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+            bits = int(np.bitwise_count((shingle_join.sketch(x) ^ shingle_join.sketch(y)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(x, y))
