@@ -88,6 +88,16 @@ def annotation_detail(args: Column) -> Column:
     return F.nullif(F.replace(F.replace(args, F.lit(" = "), F.lit("=")), F.lit(" ,"), F.lit(",")), F.lit(""))
 
 
+def flow_detail(condition: Column, message: Column) -> Column:
+    """What tells an alternative flow: when <condition>, else its message, else nothing."""
+    return F.coalesce(F.concat(F.lit("when "), F.nullif(condition, F.lit(""))), message, F.lit(""))
+
+
+def approx_tokens(text: Column) -> Column:
+    """A text's length in model tokens, roughly: a quarter of its letters."""
+    return F.floor(F.coalesce(F.length(text), F.lit(0)) / 4).cast("long")
+
+
 def category_label(category: Column) -> Column:
     """The heading of a category of entry points."""
     known = {"http": "REST", "event": "Events", "scheduled": "Scheduled", "cli": "CLI"}

@@ -31,9 +31,9 @@ def artifact_hash(facts: DataFrame) -> DataFrame:
 
 
 def prompts(material: DataFrame, instructions: str) -> DataFrame:
-    """task, material, source_hash, prompt_version, prompt for (task, material)."""
+    """task, material, source_hash, prompt_version, prompt, tokens (roughly) for (task, material)."""
     version = F.substring(F.sha2(F.lit(f'"{instructions}"').cast("binary"), 256), 1, 8)
-    return material.select("task", "material", S.content_hash(F.col("material")).alias("source_hash"), version.alias("prompt_version"), F.concat(F.lit(instructions + "\n\n"), "material", F.lit("\n\nReply with one JSON array.")).alias("prompt"))
+    return material.select("task", "material", S.content_hash(F.col("material")).alias("source_hash"), version.alias("prompt_version"), F.concat(F.lit(instructions + "\n\n"), "material", F.lit("\n\nReply with one JSON array.")).alias("prompt")).withColumn("tokens", S.approx_tokens(F.col("prompt")))
 
 
 def split_by_cache(asked: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,16 @@ def domain_map(domains: DataFrame) -> DataFrame:
     return domains.select("domain", F.concat_ws("\n", F.array(F.concat(F.lit("    "), plain(F.col("domain")))), F.transform("members", lambda m: F.concat(F.lit("      "), plain(m)))).alias("text"))
 
 
+def use_case_cards(entry_points: DataFrame, alternatives: DataFrame, guards: DataFrame, constraints: DataFrame, diagrams: DataFrame) -> DataFrame:
+    """entry_point, category, class_name, method, async, alternatives (exception_type, status, detail), checks (field, constraint), diagram: one wide row for each entry point."""
+    flows = alternatives.groupBy("entry_point").agg(F.array_sort(F.collect_list(F.struct("exception_type", "status", S.flow_detail(F.col("condition"), F.col("message")).alias("detail")))).alias("alternatives"))
+    checks = constraints.select("entry_point", "field", "constraint").union(guards.select("entry_point", "field", "constraint")).groupBy("entry_point").agg(F.array_sort(F.collect_set(F.struct("field", "constraint"))).alias("checks"))
+    eps = entry_points.select(F.col("id").alias("entry_point"), S.category_label(F.col("category")).alias("category"), "class_name", "method", "async")
+    out = eps.join(flows, "entry_point", "left").join(checks, "entry_point", "left").join(diagrams, "entry_point", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c)
+    return out.select("entry_point", "category", "class_name", "method", "async", empty("alternatives"), empty("checks"), "diagram")
+
+
 def unclassified(entry_points: DataFrame, behaviours: DataFrame) -> DataFrame:
     """Entry points without a behaviour."""
     return entry_points.join(behaviours.select(F.col("entry_point").alias("id")), "id", "left_anti")
@@ -131,7 +141,7 @@ def index(spark: SparkSession, root: str, out: str, exclude: tuple = ()) -> dict
         return kept
 
     kept = publish({**relations(facts), "foreign_keys": read_migrations(spark, root), "sequence_diagrams": sequence_diagrams(facts), "state_diagrams": state_diagrams(facts)})
-    publish({"classes_by_role": roles_of(kept["call_nodes"]), "er_diagrams": er_diagrams(kept["entities"]), "event_flowchart": event_flowchart(kept["event_flows"], kept["entry_points"])})
+    publish({"classes_by_role": roles_of(kept["call_nodes"]), "er_diagrams": er_diagrams(kept["entities"]), "event_flowchart": event_flowchart(kept["event_flows"], kept["entry_points"]), "use_case_cards": use_case_cards(kept["entry_points"], kept["alternative_flows"], kept["guards"], kept["input_constraints"], kept["sequence_diagrams"])})
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
     return manifest
 

@@ -369,4 +369,15 @@ def value_type_exclusion(spark, d):
 def prompt_material(spark, d):
     keys = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",")
     asked = prompts(t(spark, d, "orders").groupBy(F.col("o_custkey").alias("task")).agg(keys.alias("material")), "Describe.")
-    return asked.select(F.col("task").alias("o_custkey"), F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_hash"), "source_hash")
\ No newline at end of file
+    return asked.select(F.col("task").alias("o_custkey"), F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_hash"), "source_hash")
+
+
+@query("SELECT o_orderkey, coalesce('when ' || CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, CASE WHEN o_orderstatus = 'O' THEN 'open' END, '') AS detail FROM orders")
+def flow_detail(spark, d):
+    status = F.col("o_orderstatus")
+    return t(spark, d, "orders").select("o_orderkey", S.flow_detail(F.when(status == "F", F.col("o_orderpriority")), F.when(status == "O", "open")).alias("detail"))
+
+
+@query("SELECT doc_id, (coalesce(length(text), 0) // 4)::BIGINT AS tokens FROM documents")
+def approx_tokens(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.approx_tokens(F.col("text")).alias("tokens"))

@@ -214,6 +214,8 @@ def test_publishing_is_deterministic(spark, tmp_path):
     assert made("er_diagrams").first().diagram.split("\n") == ["erDiagram", "  Book {", "    Long id PK", "    BookState state", "    String title", "  }"]
     assert made("event_flowchart").first().diagram.split("\n") == ["flowchart LR", '  E_BookAdded{{"BookAdded"}}', '  N_BookService["BookService"]', '  N_Jobs["Jobs"]', "  N_BookService -->|publishes| E_BookAdded", "  E_BookAdded --> N_BookService", "  E_BookAdded -.->|async| N_Jobs"]
     assert [(r["table"], r["column"], r["ref_table"]) for r in made("foreign_keys").collect()] == [("copy", "book_id", "book")]
+    card = made("use_case_cards").where("entry_point = 'http:PUT /books/loan'").first()
+    assert (card.category, card.class_name, [tuple(a) for a in card.alternatives], [tuple(c) for c in card.checks]) == ("REST", "BookController", [("MissingBookException", "404 NOT_FOUND", "when book == null")], [("id", "NotNull")])
     assert publish.domain_map(spark.createDataFrame([("Lending", ["Book", "(x)"])], "domain string, members array<string>")).first().text == "    Lending\n      Book\n      x"
     s = spark.read.parquet(str(tmp_path / "a" / "state_diagrams")).where("enum_type = 'BookState'").first()
     assert s.diagram.split("\n")[1] == "[*] --> FREE"
