@@ -111,6 +111,14 @@ class BookServiceTest {
 }
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """Many large plans over a few rows: compiling them would take most of the time."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
 @pytest.fixture(scope="module")
 def facts(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("service")
