@@ -33,7 +33,7 @@ BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Bytes of remembered stretches per worker (twice that for a moment's sake: a newer and an older half), letters of a
 #: stretch that is remembered, remembered pairs of tokens.
-REMEMBERED, LONGEST, PAIRS = 24 << 20, 48, 250_000
+REMEMBERED, LONGEST, PAIRS = 32 << 20, 48, 600_000
 #: What a remembered stretch takes besides its letters and ids.
 OVERHEAD = 180
 ROWS_OUT = 256
@@ -55,8 +55,10 @@ class Pieces:
         self.tokens = [p for p in self.rank if self.merged(list(p)) == [p]]  # the others can't come out of merging
         self.tokens += sorted(set("".join(self.tokens)) - self.rank.keys())  # letters that only occur inside tokens
         self.automaton = ahocorasick.Automaton()
+        self.single = {p: k for k, p in enumerate(self.tokens) if len(p) == 1}  # ends every prefix that no longer token ends
         for k, p in enumerate(self.tokens):
-            self.automaton.add_word(p, (k, len(p)))
+            if len(p) > 1:
+                self.automaton.add_word(p, (k, len(p) - 1))
         self.automaton.make_automaton()
         self.text_of = {i: p for p, i in self.id_of.items()} | {self.end: ""}
         self.fits: dict[int, bool] = {}
@@ -96,17 +98,17 @@ class Pieces:
 
     def ids(self, text: str) -> list[int]:
         """Ids of one stretch."""
-        last, fits = [-1] * (len(text) + 1), self.fits
+        single, fits, done = self.single, self.fits, 0
+        last = [-1, *[single.get(c, -1) for c in text]]  # -1: the start, or a letter of no token
         for at, (k, n) in self.automaton.iter(text):
-            at += 1
-            if last[at] < 0:
-                before = last[at - n] if at > n else -1
-                if before < 0:  # the start, or a letter of no token
-                    last[at] = k
+            if at != done:
+                before = last[at - n]
+                if before < 0:
+                    last[at + 1], done = k, at
                 else:
                     ok = fits.get(before << 20 | k)
                     if ok or ok is None and self.compatible(before, k):
-                        last[at] = k
+                        last[at + 1], done = k, at
         out, at = [], len(text)
         while at:
             token = self.tokens[last[at]] if last[at] >= 0 else text[at - 1]
