@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, extract, mixing, near_vectors, pieces, repeats, shingle_join, toxicity, url_filter, warc
+from . import ann, codes, extract, line_dedup, mixing, near_vectors, periods, pieces, repeats, shingle_join, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_html_extraction": extract.op1_html_extraction,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 ORACLES = {
     "op8_warc": warc.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op12_line_dedup": line_dedup.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }
