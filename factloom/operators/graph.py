@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .relational import first_wins
+from .tables import cut, drop
 
 
 def reach(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -31,11 +32,45 @@ def _grown(edges: DataFrame, start: DataFrame, keys: list[str], most_rounds: int
         new = frontier.join(edges, frontier["node"] == edges["a"]).select(*keys, F.col("b").alias("node")).distinct()
         frontier = cut(new.join(known, [*keys, "node"], "left_anti"), "reached")
         if frontier.isEmpty():
+            drop(edges, frontier)
             return known
         known = known.union(frontier)
     raise RuntimeError(f"reach did not end in {most_rounds} rounds")
 
 
+def typed_chains(known: DataFrame, links: DataFrame, members: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(node, type, argument, member): the type of every expression that can be typed, and the member it stands for.
+
+    known: (node, type, argument) to begin with. links: (node, receiver, name, size): node is the member `name` with `size`
+    arguments of what receiver is; a null name takes over the receiver's type. members: (type, name, size, rank, result,
+    argument, member); the first that fits in size, then the first by rank, counts; a null result is the receiver's argument.
+
+    Semi-naive: a round joins the nodes typed last to the links that wait for them. A node has one receiver, so it is typed
+    once, and the rounds are as many as the longest chain.
+    """
+    links, members = cut(links, "links"), cut(members.select(F.col("type").alias("of"), F.col("name").alias("called"), F.col("size").alias("takes"), "rank", "result", F.col("argument").alias("given"), "member"), "members")
+    frontier = cut(known.select("node", "type", "argument", F.lit(None).cast("string").alias("member")), "typed")
+    parts = [frontier]
+    for _ in range(most_rounds):
+        held = frontier.select(F.col("node").alias("receiver"), "type", "argument")
+        waiting = links.join(held, "receiver")
+        found = waiting.where("name is not null").join(members, (F.col("type") == F.col("of")) & (F.col("name") == F.col("called")))
+        found = first_wins(found.withColumn("other", F.col("size") != F.col("takes")), ["node"], ["other", "rank", "member"])
+        found = found.select("node", F.when(F.col("result").isNull(), F.col("argument")).otherwise(F.col("result")).alias("type"), F.when(F.col("result").isNotNull(), F.col("given")).alias("argument"), "member")
+        frontier = cut(found.union(waiting.where("name is null").select("node", "type", "argument", F.lit(None).cast("string"))), "typed")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+    else:
+        raise RuntimeError(f"chains did not end in {most_rounds} rounds")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    out = cut(whole, "typed")
+    drop(links, members, frontier, *parts)
+    return out
+
+
 def trace(edges: DataFrame, roots: DataFrame, most: int = 40) -> DataFrame:
     """(root, step, caller, callee): each root's depth-first trace of calls, a node entered once, at most `most` steps.
 

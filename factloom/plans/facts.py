@@ -1,9 +1,10 @@
 """Facts of a Java service, as joins over its tokens and statements.
 
-types, methods and fields come from patterns over statements; calls and assignments from neighbouring tokens; callees are
-resolved by joins: a bare name in the own class, a name through the declared type of the field, parameter or local that
-it is called on. What resolves to no method of the project ends at the collaborator's type, or is dropped: nothing is
-guessed. All tables are sorted where they leave the engine, not here.
+types, methods and fields come from patterns over statements, what lies inside what from the partners of brackets; calls
+and assignments from neighbouring tokens; callees are resolved by types that spread along call chains (calls.py). What
+resolves to no method of the project ends at the collaborator's type, or is dropped: nothing is guessed. All tables are
+sorted where they leave the engine, not here. Tables that others build on are written once to the shared folder; close()
+deletes them.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.graph import reach, reached
+from ..operators.nesting import arguments, innermost
 from ..operators.relational import first_wins
-from ..sources.java import statements, tokens
+from ..operators.tables import cut, drop
+from ..sources.java import cut_text, statements, tokens
+from . import calls as C
 
 #: frameworks' names.
 VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
@@ -36,7 +40,7 @@ TEST_SUFFIXES = ("ITCase", "Tests", "Test", "IT")
 STATUS = {"OK": "200 OK", "CREATED": "201 CREATED", "NO_CONTENT": "204 NO_CONTENT", "BAD_REQUEST": "400 BAD_REQUEST", "UNAUTHORIZED": "401 UNAUTHORIZED", "FORBIDDEN": "403 FORBIDDEN", "NOT_FOUND": "404 NOT_FOUND", "CONFLICT": "409 CONFLICT", "UNPROCESSABLE_ENTITY": "422 UNPROCESSABLE_ENTITY", "INTERNAL_SERVER_ERROR": "500 INTERNAL_SERVER_ERROR"}
 CONSTRAINTS = ("NotNull", "NotBlank", "NotEmpty", "Size", "Min", "Max", "Positive", "PositiveOrZero", "Negative", "NegativeOrZero", "Email", "Pattern", "Past", "PastOrPresent", "Future", "FutureOrPresent", "DecimalMin", "DecimalMax", "Digits", "AssertTrue", "AssertFalse", "Valid")
 GUARD_HOLDERS = ("Guard", "Objects", "Assert", "Preconditions", "Validate")
-GUARDS = {"requireNonNull": "NotNull", "requireText": "NotBlank", "requireNonBlank": "NotBlank", "requirePositive": "Positive", "requireNonNegative": "PositiveOrZero", "notNull": "NotNull", "checkNotNull": "NotNull", "hasText": "NotBlank", "hasLength": "NotEmpty", "notEmpty": "NotEmpty", "notBlank": "NotBlank", "isTrue": "AssertTrue", "checkArgument": "AssertTrue", "checkState": "AssertTrue", "state": "AssertTrue", "positive": "Positive"}
+GUARDS = {"requireNonNull": "required", "requireText": "required text", "requireNonBlank": "required text", "requirePositive": "must be > 0", "requireNonNegative": "must be ≥ 0", "notNull": "required", "notEmpty": "must not be empty", "hasText": "required text", "hasLength": "required text", "isTrue": "must hold", "state": "must hold", "checkNotNull": "required", "checkArgument": "must hold", "checkState": "must hold"}
 
 _TYPE = r"(?:^|.*? )(class|interface|enum|record) (\w+).*$"
 _MODIFIERS = r"((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|transient|volatile) |< [^()]*? > (?=[\w.]+(?: < .* >)?(?: \[ \])* \w+ \())*)"
@@ -107,20 +111,54 @@ class Facts:
     """Fact tables of files (file, source_set, text)."""
 
     def __init__(self, files: DataFrame):
-        self.files = files
-        self.tokens = tokens(files).persist()
-        self.statements = statements(self.tokens).persist()
-        self.types = self._types().persist()
-        self.methods = self._methods().persist()
-        self.fields = self._fields().persist()
         self._kept: dict[str, DataFrame] = {}
+        self.files = self._once("files", lambda: files.select("file", "source_set"))
+        self.tokens = self._once("tokens", lambda: tokens(files))
+        self.statements = self._once("statements", lambda: statements(self.tokens))
+        self.types = self._once("types", self._types)
+        self.methods = self._once("methods", self._methods)
+        self.fields = self._once("fields", self._fields)
+        self.code = self._once("code", self._code)
 
     def _once(self, name: str, make) -> DataFrame:
-        """A relation that others build on is made once and kept."""
+        """A relation that others build on is written once to the shared folder: it is computed once, and what a lost executor held of it is read again."""
         if name not in self._kept:
-            self._kept[name] = make().persist()
+            self._kept[name] = cut(make(), name)
         return self._kept[name]
 
+    def close(self) -> None:
+        """Delete the tables written; the relations can't be read any more."""
+        drop(*self._kept.values())
+        self._kept.clear()
+
+    def __enter__(self) -> Facts:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def creations(self) -> DataFrame:
+        """Parentheses of `new Type(` in methods and constructors."""
+        return self._once("creations", lambda: C.creations(self.code))
+
+    def arguments(self) -> DataFrame:
+        """file, open, nth, start, stop, shape of the arguments of calls and creations and of the constants of enums."""
+        opens = self.tokens.where(F.col("tok") == "(").where(F.col("p1").rlike(C.WORD) | (F.col("p1") == ">")).select("file", F.col("pos").alias("open"))
+        return self._once("arguments", lambda: arguments(self.tokens.where("parent is not null"), opens.union(self.types.where("kind = 'enum'").select("file", "open")), ["file"]))
+
+    def _braces(self) -> DataFrame:
+        return self.tokens.where("tok = '{' and partner is not null").select("file", F.col("pos").alias("stop"), F.col("partner").alias("close"))
+
+    def _code(self) -> DataFrame:
+        """The tokens inside methods and constructors, with caller (method id), owner (type id), class_name, class_kind and method (null in constructors)."""
+        made = self._members().where((F.col("ends") == "{") & F.col("bare").rlike(r"^((public|protected|private) )?\w+ \(.*\)( throws .*)?$") & (F.regexp_extract("bare", r"(\w+) \(", 1) == F.col("simple")))
+        made = made.join(self._braces(), ["file", "stop"]).select("file", F.col("stop").alias("body"), F.col("close").alias("body_end"), F.concat("type_id", F.lit("#<init>~"), F.col("line").cast("string")).alias("caller"), F.col("type_id").alias("owner"), F.col("simple").alias("class_name"), F.col("type_kind").alias("class_kind"), F.lit(None).cast("string").alias("method"))
+        bodies = self.methods.where("body_end > body").select("file", "body", "body_end", F.col("id").alias("caller"), F.col("type_id").alias("owner"), F.col("simple").alias("class_name"), F.col("type_kind").alias("class_kind"), F.col("name").alias("method"))
+        return innermost(self.tokens, bodies.unionByName(made), ["file"], "pos", "body", "body_end").where("caller is not null")
+
+    def _main(self) -> DataFrame:
+        return self.files.where("source_set <> 'test'").select("file")
+
     def entry_points(self) -> DataFrame:
         """category, id, http_method, path, destination, async, class_name, method, file, line, method_id of HTTP, scheduled, event (listeners and functional beans) and command-line entry points."""
         return self._once("entry_points", self._entry_points)
@@ -133,16 +171,14 @@ class Facts:
         """file, type_id, simple, kind, role, line, depth, open, close, annotations, head."""
         package = self.statements.where("startswith(text, 'package ')").select("file", F.replace(F.substring("text", 9, 1 << 30), F.lit(" "), F.lit("")).alias("package"))
         t = self.statements.where((F.col("ends") == "{") & _clean(F.col("text")).rlike(_TYPE) & ~_clean(F.col("text")).contains(" = "))
-        t = t.select("file", "line", "depth", F.col("stop").alias("open"), _annotated(F.col("text")).alias("annotations"), _clean(F.col("text")).alias("head"))
+        t = t.select("file", "line", "depth", "parent", F.col("stop").alias("open"), _annotated(F.col("text")).alias("annotations"), _clean(F.col("text")).alias("head"))
         t = t.withColumn("kind", F.regexp_extract("head", _TYPE, 1)).withColumn("simple", F.regexp_extract("head", _TYPE, 2))
-        ends = self.tokens.where("tok = '}'").select("file", (F.col("depth") - 1).alias("depth"), F.col("pos").alias("end"))
-        close = t.join(ends, ["file", "depth"]).where("end > open").groupBy("file", "open").agg(F.min("end").alias("close"))
-        t = t.join(close, ["file", "open"]).join(package, "file", "left")
+        t = t.join(self._braces().withColumnRenamed("stop", "open"), ["file", "open"]).join(package.groupBy("file").agg(F.min("package").alias("package")), "file", "left")
         return t.withColumn("type_id", F.concat_ws(".", "package", "simple")).withColumn("role", role(F.col("simple"), F.col("annotations")))
 
     def _members(self) -> DataFrame:
         """Statements directly inside a type."""
-        return self.statements.join(self.types.select("file", F.col("depth").alias("d"), "open", "close", "type_id", "simple", F.col("kind").alias("type_kind")), "file").where("start > open and stop < close and depth = d + 1").withColumn("bare", _clean(F.col("text")))
+        return self.statements.join(self.types.select("file", F.col("open").alias("parent"), "type_id", "simple", F.col("kind").alias("type_kind")), ["file", "parent"]).withColumn("bare", _clean(F.col("text")))
 
     def _methods(self) -> DataFrame:
         """file, type_id, simple, name, return_type, params (array of name, type), line, open, close, annotations, id."""
@@ -150,9 +186,7 @@ class Facts:
         m = m.withColumn("name", F.regexp_extract("bare", _METHOD, 3)).withColumn("return_type", F.regexp_extract("bare", _METHOD, 2)).where("return_type not in ('public', 'private', 'protected', 'return', 'new', 'throw')")
         generic = F.regexp_replace(F.regexp_replace(F.regexp_extract("bare", _METHOD, 4), " < [^<>]* >", ""), " < [^<>]* >", "")
         params = F.transform(F.filter(F.split(generic, " , "), lambda p: p.contains(" ")), lambda p: F.struct(S.last_segment(p, " ").alias("name"), S.simple_type_name(F.regexp_replace(F.regexp_replace(p, r" \w+$", ""), r"^final ", "")).alias("type")))
-        ends = self.tokens.where("tok = '}'").select("file", (F.col("depth") - 1).alias("depth"), F.col("pos").alias("end"))
-        close = m.where("ends = '{'").select("file", "start", "stop", "depth").join(ends, ["file", "depth"]).where("end > stop").groupBy("file", "start").agg(F.min("end").alias("body_end"))
-        m = m.join(close, ["file", "start"], "left").select("file", "type_id", "simple", "type_kind", "name", S.simple_type_name(F.col("return_type")).alias("return_type"), F.replace(F.col("return_type"), F.lit(" "), F.lit("")).alias("return_text"), params.alias("params"), "line", F.col("stop").alias("body"), F.coalesce("body_end", "stop").alias("body_end"), "start", _annotated(F.col("text")).alias("annotations"))
+        m = m.join(self._braces().withColumnRenamed("close", "body_end"), ["file", "stop"], "left").select("file", "type_id", "simple", "type_kind", "name", S.simple_type_name(F.col("return_type")).alias("return_type"), F.replace(F.col("return_type"), F.lit(" "), F.lit("")).alias("return_text"), params.alias("params"), "line", F.col("stop").alias("body"), F.coalesce("body_end", "stop").alias("body_end"), "start", _annotated(F.col("text")).alias("annotations"))
         w = Window.partitionBy("type_id", "name").orderBy("file", "start")
         return m.withColumn("k", F.row_number().over(w)).withColumn("id", F.concat("type_id", F.lit("#"), "name", F.when(F.col("k") > 1, F.concat(F.lit("~"), F.col("line").cast("string"))).otherwise(""))).drop("k")
 
@@ -214,39 +248,31 @@ class Facts:
         cli = entry(owned.join(runners, "type_id", "left_semi").where("name = 'run'"), "cli", F.concat(F.lit("cli:"), "simple"))
         return http.unionByName(timed).unionByName(events).unionByName(functional).unionByName(cli)
 
-    def calls(self) -> DataFrame:
-        """caller (method id), type_id, file, line, receiver (null: none), through_this, name, pos of each call in a method."""
-        w = Window.partitionBy("file").orderBy("pos")
-        t = self.tokens.select("file", "pos", "tok", "line", *(F.lag("tok", k).over(w).alias(f"p{k}") for k in (1, 2, 3, 4)), F.lead("tok").over(w).alias("n1"))
-        c = t.where(F.col("tok").rlike(r"^[a-zA-Z_$]\w*$") & (F.col("n1") == "(") & ~F.col("tok").isin("if", "for", "while", "switch", "catch", "return", "super", "this", "synchronized", "new", "throw") & ~F.coalesce(F.col("p1").isin("new", "@"), F.lit(False)))
-        dotted = F.col("p1") == "."
-        this = dotted & (F.col("p3") == ".") & (F.col("p4") == "this")
-        receiver = F.when(dotted, F.when(F.col("p2").rlike(r"^[a-zA-Z_$]\w*$") & ((F.coalesce(F.col("p3"), F.lit("")) != ".") | this), F.col("p2")).otherwise("?"))
-        c = c.select("file", "pos", "line", F.when(receiver == "this", None).otherwise(receiver).alias("receiver"), F.col("tok").alias("name"))
-        m = self.methods.where("body_end > body").select("file", "body", "body_end", "type_id", F.col("id").alias("caller"), "params")
-        return c.join(m, "file").where("pos > body and pos < body_end")
+    def receivers(self) -> DataFrame:
+        """caller, receiver, file, type, argument (of the type, null without), rank: declared types of the names in each method: parameters and locals (0, 1) before fields (2)."""
+        return self._once("receivers", self._receivers)
 
     def _receivers(self) -> DataFrame:
-        """caller, receiver, type: declared types of the names in each method: parameters and locals before fields."""
-        params = self.methods.select(F.col("id").alias("caller"), F.explode("params").alias("p")).select("caller", F.col("p.name").alias("receiver"), F.col("p.type").alias("type"), F.lit(0).alias("rank"))
-        pattern = r"^(?:final )?([A-Z]\w*)(?: < .* >)? (\w+) = .*$"
-        locals_ = self.statements.where(F.col("text").rlike(pattern)).select("file", "start", F.regexp_extract("text", pattern, 1).alias("type"), F.regexp_extract("text", pattern, 2).alias("receiver"))
-        locals_ = locals_.join(self.methods.select("file", "body", "body_end", F.col("id").alias("caller")), "file").where("start > body and start < body_end").select("caller", "receiver", "type", F.lit(1).alias("rank"))
-        own = self.methods.select(F.col("id").alias("caller"), "type_id").join(self.fields, "type_id").select("caller", F.col("name").alias("receiver"), S.simple_type_name(F.col("type")).alias("type"), F.lit(2).alias("rank"))
-        return first_wins(params.unionByName(locals_).unionByName(own), ["caller", "receiver"], ["rank", "type"])
+        bodies = self.code.select("caller", "owner", "file").distinct()
+        none = F.lit(None).cast("string")
+        params = self.methods.select(F.col("id").alias("caller"), "file", F.explode("params").alias("p")).select("caller", F.col("p.name").alias("receiver"), "file", F.col("p.type").alias("type"), none.alias("argument"), F.lit(0).alias("rank"))
+        made = self.code.where("method is null").select("caller", "file", "body").distinct().join(self.statements.select("file", F.col("stop").alias("body"), F.regexp_extract("text", r"\((.*)\)", 1).alias("given")), ["file", "body"])
+        made = made.select("caller", "file", F.explode(F.split("given", " , ")).alias("p")).select("caller", S.last_segment(F.trim("p"), " ").alias("receiver"), "file", S.last_segment(F.regexp_replace(F.trim("p"), r"( < .* >)? \w+$", ""), " ").alias("type"), none, F.lit(0))
+        plain = self.code.where(C.name_of(F.col("tok")) & F.col("p1").rlike(r"^[A-Z]\w*$") & F.col("n1").isin("=", ":", ";", ")") & ~F.coalesce(F.col("p2").isin("new", "class"), F.lit(False)))
+        plain = plain.select("caller", F.col("tok").alias("receiver"), "file", F.col("p1").alias("type"), none, F.lit(1))
+        pattern = r"^(?:final )?([A-Z]\w*) < (.*) > (\w+) = .*$"
+        typed = self.statements.where(F.col("text").rlike(pattern)).join(self.code.select("file", F.col("pos").alias("start"), "caller"), ["file", "start"])
+        typed = typed.select("caller", F.regexp_extract("text", pattern, 3), "file", F.regexp_extract("text", pattern, 1), F.nullif(F.regexp_extract("text", pattern, 2), F.lit("")), F.lit(1))
+        own = bodies.join(self.fields.select(F.col("type_id").alias("owner"), "name", "type"), "owner").select("caller", "name", "file", S.simple_type_name(F.col("type")), F.nullif(S.simple_type_name(F.regexp_extract("type", r"^[^<]*<([^<>,]*)", 1)), F.lit("")), F.lit(2))
+        return first_wins(params.union(made).union(plain).union(typed).union(own), ["caller", "receiver"], ["rank", "type"])
 
     def _call_edges(self) -> DataFrame:
-        first = first_wins(self.methods.select("type_id", "simple", "name", "id", "file", "start"), ["type_id", "name"], ["file", "start"])
-        by_simple = first_wins(first, ["simple", "name"], ["file", "start"])
-        c = self.calls()
-        own = c.where("receiver is null").join(first.select("type_id", "name", F.col("id").alias("b")), ["type_id", "name"])
-        typed = c.where("receiver is not null").join(self._receivers().select("caller", "receiver", "type", "rank"), ["caller", "receiver"])
-        resolved = typed.join(by_simple.select(F.col("simple").alias("type"), "name", F.col("id").alias("b")), ["type", "name"], "left")
-        enums = self.types.where("kind = 'enum'").select(F.col("simple").alias("type"), F.lit(True).alias("is_enum")).distinct()
-        outside = F.when((F.col("rank") == 2) & F.col("is_enum").isNull() & ~F.col("type").isin(*VALUES), F.concat(F.lit("external:"), "type", F.lit("#"), "name"))
-        resolved = resolved.join(enums, "type", "left").withColumn("b", F.coalesce("b", outside)).where("b is not null")
-        pick = [F.col("caller").alias("a"), "b", "file", "line"]
-        return own.select(*pick).unionByName(resolved.select(*pick)).distinct()
+        held = self.receivers().where("rank = 2").select("caller", F.col("receiver").alias("field"), F.col("type").alias("of"))
+        enums = self.types.where("kind = 'enum'").select(F.col("simple").alias("of")).distinct()
+        held = held.where(~F.col("of").isin(*VALUES)).join(enums, "of", "left_anti")
+        c = C.resolved(self).join(held, ["caller", "field"], "left")
+        outside = F.concat(F.lit("external:"), "of", F.lit("#"), "name")
+        return c.select(F.col("caller").alias("a"), F.coalesce("member", outside).alias("b"), "file", "line").where("b is not null").distinct()
 
     def call_graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes: id, class_name, method, file, line, role, return_type; edges: a, b, file, line) reachable from the entry points; nodes outside the sources have no file, line 0 and the role external."""
@@ -266,59 +292,54 @@ class Facts:
 
     def assignment_sites(self) -> DataFrame:
         """enum_type, field, value, class_name, method (null in constructors), file, line of assignments to what has an enum's type; a constant is named alone, other values by their source."""
-        pattern = r"^(?:(?:if|while|for) \(.*\) |else )?(?:(\w+) \. )?(\w+) = (?!=)(.*)$"
-        s = self.statements.where(F.col("text").rlike(pattern) & (F.col("ends") == ";")).select("file", "start", "line", *(F.regexp_extract("text", pattern, k).alias(c) for k, c in ((1, "owner"), (2, "field"), (3, "given"))))
-        s = s.join(self.types.where("kind <> 'enum'").select("file", "type_id", "open", "close", F.col("simple").alias("class_name")), "file").where("start > open and start < close")
-        s = first_wins(s, ["file", "start"], [F.col("open").desc()])
-        m = self.methods.select(F.col("file").alias("f"), "body", "body_end", F.col("name").alias("method"), F.col("id").alias("caller"))
-        s = s.join(m, (F.col("file") == F.col("f")) & (F.col("start") > F.col("body")) & (F.col("start") < F.col("body_end")), "left").drop("f", "body", "body_end")
-        held = self.fields.select("type_id", F.col("name").alias("field"), S.simple_type_name(F.col("type")).alias("of_field"))
-        known = self._receivers().select("caller", F.col("receiver"), F.col("type").alias("of_name"))
-        by_class = held.join(self.types.select("type_id", F.col("simple").alias("of_owner")), "type_id").select("of_owner", "field", F.col("of_field").alias("of_far"))
-        s = s.join(held, ["type_id", "field"], "left").join(known.withColumnRenamed("receiver", "field"), ["caller", "field"], "left")
-        s = s.join(known.select("caller", F.col("receiver").alias("owner"), F.col("of_name").alias("of_owner")), ["caller", "owner"], "left").join(by_class.dropDuplicates(["of_owner", "field"]), ["of_owner", "field"], "left")
-        kind = F.when(F.col("owner") == "this", F.col("of_field")).when(F.col("owner") == "", F.coalesce("of_name", "of_field")).otherwise(F.col("of_far"))
-        s = s.withColumn("enum_type", kind).join(self.types.where("kind = 'enum'").select(F.col("simple").alias("enum_type")).distinct(), "enum_type", "left_semi")
-        value = F.when(F.col("given").rlike(r"^[\w. ]+$"), S.last_segment(F.replace("given", F.lit(" "), F.lit("")))).otherwise(source(F.col("given")))
-        return s.select("enum_type", "field", value.alias("value"), "class_name", "method", "file", "line")
+        return self._once("assignment_sites", self._assignment_sites)
+
+    def _assignment_sites(self) -> DataFrame:
+        self.call_edges()  # types every expression
+        after = Window.partitionBy("file", "parent").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        c = self.code.withColumn("end", F.coalesce(F.last(F.when(F.col("tok").isin(";", ","), F.col("pos")), ignorenulls=True).over(after)))
+        apart = F.col("p2").isin(".", ";", "{", "}", ")", "->", "else", "(", ":") | (F.col("p2") == "=")
+        c = c.where((F.col("tok") == "=") & (F.col("n1") != "=") & C.name_of(F.col("p1")) & apart)
+        enums = self.types.where("kind = 'enum'").groupBy(F.col("type_id").alias("type")).agg(F.min("simple").alias("enum_type"))
+        c = c.withColumn("node", C.node(F.col("pos") - 1)).join(self._kept["typed"].select("node", "type"), "node").join(enums, "type")
+        around = self.tokens.select("file", F.col("pos").alias("parent"), F.col("partner").alias("last"))
+        c = c.join(around, ["file", "parent"], "left").join(self.statements.select("file", "n", "start", "toks"), ["file", "n"])
+        given = cut_text(F.col("toks"), F.col("start"), F.col("pos") + 1, F.coalesce("end", "last") - 1)
+        value = F.when(given.rlike(r"^[\w. ]+$"), S.last_segment(F.replace(given, F.lit(" "), F.lit("")))).otherwise(source(given))
+        return c.select("enum_type", F.col("p1").alias("field"), value.alias("value"), "class_name", "method", "file", "line")
 
     def state_machines(self) -> DataFrame:
         """enum_type, states (sorted), sites (values with lines) of enums that are named, or held in a field named, status or state."""
         held = self.fields.where("name in ('status', 'state')").select(S.simple_type_name(F.col("type")).alias("simple"), F.lit(True).alias("held")).distinct()
         e = self.types.where("kind = 'enum'").join(held, "simple", "left").where("held or lower(simple) rlike 'status|state'")
-        body = self.statements.join(e.select("file", "open", "close", "simple"), "file").where("start = open + 1 or (start > open and start < close)")
-        body = first_wins(body, ["file", "simple"], ["start"])
-        states = F.array_sort(F.filter(F.split(F.regexp_replace(_clean(F.col("text")), r" \( [^()]* \)", ""), r" ?, ?"), lambda x: x.rlike(r"^\w+$")))
+        constant = F.regexp_extract(F.regexp_replace(F.array_join("shape", " "), r"@ \w+(?: \. \w+)*(?: \( \))? ", ""), r"^(\w+)(?: \( \))?(?: \{ \})?$", 1)
+        states = e.join(self.arguments(), ["file", "open"], "left").groupBy("file", "open", "simple").agg(F.array_sort(F.array_remove(F.collect_list(constant), "")).alias("states"))
         sites = self.assignment_sites().groupBy(F.col("enum_type").alias("simple")).agg(F.array_sort(F.collect_list(F.struct("file", "line", "value"))).alias("sites"))
-        return body.select("simple", states.alias("states")).join(sites, "simple", "left").select(F.col("simple").alias("enum_type"), "states", F.coalesce("sites", F.array().cast(sites.schema["sites"].dataType)).alias("sites"))
+        return states.join(sites, "simple", "left").select(F.col("simple").alias("enum_type"), "states", F.coalesce("sites", F.array().cast(sites.schema["sites"].dataType)).alias("sites"))
 
     def _conditions(self) -> DataFrame:
-        """file, from, to, condition of each block of an if; that of an else has the condition of its if."""
-        test = r"^(?:else )?if \( (.*) \)$"
-        b = self.statements.where((F.col("ends") == "{") & (F.col("text").rlike(test) | (F.col("text") == "else"))).select("file", "start", "stop", "depth", F.nullif(F.regexp_extract("text", test, 1), F.lit("")).alias("test"))
-        ends = self.tokens.where("tok = '}'").select("file", (F.col("depth") - 1).alias("depth"), F.col("pos").alias("end"))
-        b = b.join(ends, ["file", "depth"]).where("end > stop").groupBy("file", "depth", "start", "stop", "test").agg(F.min("end").alias("end"))
-        before = b.select("file", (F.col("end") + 1).alias("start"), F.col("test").alias("other")).where("other is not null")
-        return b.join(before, ["file", "start"], "left").select("file", F.col("stop").alias("from"), F.col("end").alias("to"), source(F.coalesce("test", "other")).alias("condition"))
+        """file, from, to, condition of what each if holds, its test included; what an else holds has the condition of its if."""
+        after = Window.partitionBy("file", "parent").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        ends = F.when(F.col("tok") == ";", F.col("pos")).when(F.col("tok") == "{", F.col("partner"))
+        c = self.code.withColumn("to", F.last(ends, ignorenulls=True).over(after))
+        tests = c.where("tok = '(' and p1 = 'if' and to is not null").join(self.statements.select("file", "n", "start", "toks"), ["file", "n"])
+        tests = tests.select("file", F.col("pos").alias("from"), "to", source(cut_text(F.col("toks"), F.col("start"), F.col("pos") + 1, F.col("partner") - 1)).alias("condition"))
+        others = c.where("tok = 'else' and n1 <> 'if' and to is not null").select("file", F.col("pos").alias("from"), "to", (F.col("pos") - 1).alias("before"))
+        others = others.join(tests.select("file", F.col("to").alias("before"), "condition"), ["file", "before"]).select("file", "from", "to", "condition")
+        return tests.union(others)
 
     def throw_sites(self) -> DataFrame:
         """exception_type, message, condition, method_id, file, line of the exceptions made in methods outside tests, thrown at once or by a supplier.
 
-        condition is that of the nearest if around it, message the first string of the first argument.
+        condition is that of the nearest if around it, message the first string that its first argument is or adds up.
         """
-        w = Window.partitionBy("file").orderBy("pos")
-        t = self.tokens.select("file", "pos", "tok", "line", F.lead("tok").over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"))
-        t = t.where((F.col("tok") == "new") & F.col("n1").rlike(r"^\w*Exception$") & (F.col("n2") == "(")).join(self.files.where("source_set <> 'test'").select("file"), "file", "left_semi")
-        t = t.join(self.statements.select("file", "start", "stop", "text"), "file").where("pos >= start and pos <= stop")
-        t = t.withColumn("nth", F.row_number().over(Window.partitionBy("file", "start").orderBy("pos")))
-        flat = rf"(?:[^()\"]|{_STRING}|\((?:[^()\"]|{_STRING}|\((?:[^()\"]|{_STRING}|\([^()]*\))*\))*\))*"
-        given = F.get(F.regexp_extract_all("text", F.lit(rf"new \w*Exception \(({flat})\)"), 1), F.col("nth") - 1)
-        first = F.regexp_extract(F.regexp_replace(given, rf"(\w) \((?:[^()\"]|{_STRING}|\([^()]*\))*\)", "$1()"), rf"^(?:[^,\"]|{_STRING})*", 0)
-        t = t.select("file", "pos", "line", F.col("n1").alias("exception_type"), "text", F.nullif(F.regexp_extract(first, r'"((?:[^"\\]|\\.)*)"', 1), F.lit("")).alias("message"))
-        inline = source(F.nullif(F.regexp_extract("text", rf"(?:^|\) |else )if \( ({flat}) \) [^|&]*new \w*Exception", 1), F.lit("")))
-        around = first_wins(t.select("file", "pos").join(self._conditions(), "file").where("pos > from and pos < to"), ["file", "pos"], [F.col("from").desc()]).select("file", "pos", "condition")
-        t = t.join(around, ["file", "pos"], "left").withColumn("condition", F.coalesce(inline, "condition"))
-        return t.join(self.methods.select("file", "body", "body_end", F.col("id").alias("method_id")), "file").where("pos > body and pos < body_end").select("exception_type", "message", "condition", "method_id", "file", "line")
+        t = self.creations().where("method is not null and made like '%Exception'").join(self._main(), "file", "left_semi")
+        added = F.array_join("shape", " ")
+        message = F.when(added.rlike(r" (\?|-|\*|/|%|& &|\| \||= =|! =) "), None).otherwise(F.nullif(F.regexp_extract(added, rf'(?:^|\+ )"((?:[^"\\]|\\.)*)"(?= \+|$)', 1), F.lit("")))
+        first = self.arguments().where("nth = 0").select("file", F.col("open").alias("pos"), message.alias("message"))
+        t = t.select("file", "pos", "made", "caller", "line").join(first, ["file", "pos"], "left")
+        t = innermost(t, self._conditions().select("file", "from", "to", "condition"), ["file"], "pos", "from", "to")
+        return t.select(F.col("made").alias("exception_type"), "message", "condition", F.col("caller").alias("method_id"), "file", "line")
 
     def exception_statuses(self) -> DataFrame:
         """exception_type, status, source: from @ResponseStatus on exceptions and @ExceptionHandler methods of advice classes; first by source."""
@@ -346,10 +367,16 @@ class Facts:
 
     def guard_checks(self) -> DataFrame:
         """field, constraint, detail, method_id, file, line of guard calls on a known holder with an argument."""
-        pattern = rf"(?:^|.* )({'|'.join(GUARD_HOLDERS)}) \. (\w+) \( (.+?)(?: , (.*))? \).*$"
-        s = self.statements.where(F.col("text").rlike(pattern)).join(self.files.where("source_set <> 'test'").select("file"), "file", "left_semi")
-        s = s.select("file", "start", "line", F.create_map(*[F.lit(x) for kv in GUARDS.items() for x in kv])[F.regexp_extract("text", pattern, 2)].alias("constraint"), S.shortened(F.regexp_replace(F.regexp_extract("text", pattern, 3), r"^this \. ", ""), 40).alias("field"), F.nullif(F.regexp_extract(F.regexp_extract("text", pattern, 4), r'"([^"]*)"', 1), F.lit("")).alias("detail")).where("constraint is not null")
-        return s.join(self.methods.select("file", "body", "body_end", F.col("id").alias("method_id")), "file").where("start > body and start < body_end").select("field", "constraint", "detail", "method_id", "file", "line")
+        c = self.code.where((F.col("tok") == "(") & (F.col("p2") == ".") & F.col("p3").isin(*GUARD_HOLDERS) & (F.coalesce(F.col("p4"), F.lit("")) != ".")).where("method is not null")
+        c = c.withColumn("constraint", F.create_map(*[F.lit(x) for kv in GUARDS.items() for x in kv])[F.col("p1")]).where("constraint is not null").join(self._main(), "file", "left_semi")
+        given = self.arguments().withColumnRenamed("open", "pos").join(c.select("file", "pos", "n"), ["file", "pos"]).join(self.statements.select("file", "n", F.col("start").alias("begin"), "toks"), ["file", "n"], "left")
+        shape = F.array_join("shape", " ")
+        chain = r"^(?:[\w$]+(?: \( \))? \. )*"
+        field = F.when(shape.rlike(chain + r"[\w$]+$"), S.last_segment(shape, " ")).when(shape.rlike(chain + r"[\w$]+ \( \)$"), F.concat(F.regexp_extract(shape, r"([\w$]+) \( \)$", 1), F.lit("()")))
+        field = F.coalesce(field, S.shortened(source(cut_text(F.col("toks"), F.col("begin"), F.col("start"), F.col("stop"))), 40))
+        said = F.when(F.size("shape") == 1, F.nullif(F.regexp_extract(shape, r'^"((?:[^"\\]|\\.)*)"$', 1), F.lit("")))
+        told = given.groupBy("file", "pos").agg(F.min_by(field, F.col("nth")).alias("field"), F.min_by(said, F.when(said.isNotNull(), F.col("nth"))).alias("detail"))
+        return c.join(told, ["file", "pos"]).select("field", "constraint", "detail", F.col("caller").alias("method_id"), "file", "line")
 
     def flows(self) -> tuple[DataFrame, DataFrame]:
         """(alternative flows: entry_point, exception_type, status, message, condition; guards: entry_point, field, constraint): facts in reach of each HTTP entry point, the first of a kind."""
@@ -365,17 +392,14 @@ class Facts:
         from ..operators.relational import choreography
 
         consumed = self.entry_points().where("category = 'event'").select(F.col("destination").alias("event"), F.concat("class_name", F.lit("#"), "method", F.lit("@"), F.col("line").cast("string")).alias("party"))
-        # the arguments of each publish call, cut at its own commas: what is nested in parentheses goes first
-        nested, call = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)", rf"(?:^|\W)(?:{'|'.join(PUBLISHERS)}) (?=\()"
-        s = self.statements.withColumn("text", F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""')).where(F.col("text").rlike(call)).join(self.files.where("source_set <> 'test'").select("file"), "file", "left_semi")
-        s = s.select("file", "start", "line", F.posexplode(F.regexp_extract_all("text", F.lit(rf"{call}({nested})"), 1)).alias("nth", "args"))
-        inner = F.regexp_replace(F.expr("substring(args, 2, length(args) - 2)"), nested, "()")
-        inner = F.regexp_replace(inner, r"(new [\w. ]+)<[^()]*>( ?\()", "$1$2")
-        s = s.select("file", "start", "line", "nth", F.posexplode(F.split(inner, ",")).alias("place", "arg"))
-        s = s.withColumn("event", F.regexp_extract("arg", r"^ *new (?:\w+ \. |\w+\.)*(\w+) *(?:<.*)?\(\) *$", 1)).where("event <> ''")
-        s = s.join(consumed.select("event", F.lit(True).alias("known")).distinct(), "event", "left").where(F.col("known") | F.col("event").rlike(f"(?:{'|'.join(EVENT_SUFFIXES)})$"))
-        s = s.groupBy("file", "start", "line", "nth").agg(F.min(F.struct("place", "event"))["event"].alias("event"))  # one event per call
-        made = s.join(self.methods.select("file", "body", "body_end", "simple", "name"), "file").where("start > body and start < body_end").select("event", F.concat("simple", F.lit("#"), "name", F.lit("@"), F.col("line").cast("string")).alias("party"))
+        sent = self.tokens.where((F.col("tok") == "(") & F.col("p1").isin(*PUBLISHERS)).join(self._main(), "file", "left_semi").select("file", F.col("pos").alias("open"), "line")
+        sent = innermost(sent, self.types.where("kind in ('class', 'interface')").select("file", F.col("open").alias("from"), F.col("close").alias("to"), F.col("simple").alias("class_name")), ["file"], "open", "from", "to").drop("from", "to")
+        sent = sent.join(self.code.where("tok = '('").select("file", F.col("pos").alias("open"), "method"), ["file", "open"], "left")
+        event = F.regexp_extract(F.array_join("shape", " "), r"^new (?:\w+ \. )*(\w+)(?: < .*>)? \( \)(?: \{ \})?$", 1)
+        made = self.arguments().withColumn("event", event).where("event <> ''").join(sent, ["file", "open"]).join(consumed.select("event", F.lit(True).alias("known")).distinct(), "event", "left")
+        made = made.where(F.col("known") | F.col("event").rlike(f"(?:{'|'.join(EVENT_SUFFIXES)})$"))
+        made = first_wins(made, ["file", "open"], ["nth"])  # one event per call
+        made = made.select("event", F.concat(F.coalesce("class_name", F.lit("?")), F.lit("#"), F.coalesce("method", F.lit("?")), F.lit("@"), F.col("line").cast("string")).alias("party"))
         return choreography(made, consumed, "event")
 
     def test_scenarios(self) -> DataFrame:

@@ -111,21 +111,14 @@ class BookServiceTest {
 }
 
 
-@pytest.fixture(scope="module", autouse=True)
-def interpreted(spark):
-    """Many large plans over a few rows: compiling them would take most of the time."""
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    yield
-    spark.conf.unset("spark.sql.codegen.wholeStage")
-
-
 @pytest.fixture(scope="module")
 def facts(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("service")
     for name, text in SOURCES.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
-    return Facts(read_sources(spark, str(root)))
+    with Facts(read_sources(spark, str(root))) as f:
+        yield f
 
 
 def test_tokens_and_files(spark, facts):
@@ -162,7 +155,7 @@ def test_graph_and_flows(facts):
     assert {(r.class_name, r.role, r.node) for r in facts.classes_by_role().where("class_name in ('Book', 'BookRepository')").collect()} == {("Book", "domain", "shop.core.Book#lend"), ("BookRepository", "external", "external:BookRepository#save")}
     alternatives, guards = facts.flows()
     assert {tuple(r) for r in alternatives.collect()} == {("http:GET /books/{id}", "MissingBookException", "404 NOT_FOUND", "no such book", "book == null"), ("http:PUT /books/loan", "MissingBookException", "404 NOT_FOUND", "no such book", "book == null")}
-    assert {tuple(r) for r in guards.collect()} == {("http:GET /books/{id}", "id", "NotNull"), ("http:PUT /books/loan", "id", "NotNull")}
+    assert {tuple(r) for r in guards.collect()} == {("http:GET /books/{id}", "id", "required"), ("http:PUT /books/loan", "id", "required")}
 
 
 def test_migrations(spark):
@@ -223,7 +216,7 @@ def test_publishing_is_deterministic(spark, tmp_path):
     assert made("event_flowchart").first().diagram.split("\n") == ["flowchart LR", '  E_BookAdded{{"BookAdded"}}', '  N_BookService["BookService"]', '  N_Jobs["Jobs"]', "  N_BookService -->|publishes| E_BookAdded", "  E_BookAdded --> N_BookService", "  E_BookAdded -.->|async| N_Jobs"]
     assert [(r["table"], r["column"], r["ref_table"]) for r in made("foreign_keys").collect()] == [("copy", "book_id", "book")]
     card = made("use_case_cards").where("entry_point = 'http:PUT /books/loan'").first()
-    assert (card.category, card.class_name, [tuple(a) for a in card.alternatives], [tuple(c) for c in card.checks]) == ("REST", "BookController", [("MissingBookException", "404 NOT_FOUND", "when book == null")], [("id", "NotNull")])
+    assert (card.category, card.class_name, [tuple(a) for a in card.alternatives], [tuple(c) for c in card.checks]) == ("REST", "BookController", [("MissingBookException", "404 NOT_FOUND", "when book == null")], [("id", "NotNull"), ("id", "required")])
     assert publish.domain_map(spark.createDataFrame([("Lending", ["Book", "(x)"])], "domain string, members array<string>")).first().text == "    Lending\n      Book\n      x"
     s = spark.read.parquet(str(tmp_path / "a" / "state_diagrams")).where("enum_type = 'BookState'").first()
     assert s.diagram.split("\n")[1] == "[*] --> FREE"
@@ -250,7 +243,7 @@ class Shop {
     facts = Facts(files)
     flows = {r.event: len(r.producers or []) for r in facts.event_flows().collect()}
     assert flows == {"Order": 1, "ItemPaid": 1, "ThingCreated": 1, "PairEvent": 1}
-    assert {(r.field, r.constraint) for r in facts.guard_checks().collect()} == {("name", "NotBlank"), ("n", "PositiveOrZero")}
+    assert {(r.field, r.constraint) for r in facts.guard_checks().collect()} == {("name", "required text"), ("n", "must be ≥ 0")}
 
 
 def test_entities_in_full(spark):
