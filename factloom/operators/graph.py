@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import first_wins
@@ -71,32 +70,51 @@ def typed_chains(known: DataFrame, links: DataFrame, members: DataFrame, most_ro
     return out
 
 
-def trace(edges: DataFrame, roots: DataFrame, most: int = 40) -> DataFrame:
-    """(root, step, caller, callee): each root's depth-first trace of calls, a node entered once, at most `most` steps.
+def trace(edges: DataFrame, nodes: DataFrame, roots: DataFrame, most: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(messages: root, step, from, to, label, back; ends: root, truncated): each root's depth-first walk of calls.
 
-    The set of edges of a root comes from reach(); the order within a root is sequential by nature, so it is walked per
-    root group. edges: (a, b, line); edges of a node go by line, then b. The cut at `most` is the feature: a diagram's
-    limit on messages.
-    """
-    own = reach(edges.select("a", "b"), roots).join(edges, F.col("node") == F.col("a")).select("root", "a", "b", "line")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
-        for a, b, _ in sorted(group[["a", "b", "line"]].drop_duplicates().itertuples(index=False), key=lambda e: (e[0], e[2], e[1])):
-            out.setdefault(a, []).append(b)
-        root = group["root"].iloc[0]
-        steps, entered, stack = [], {root}, [(root, iter(dict.fromkeys(out.get(root, []))))]
-        while stack and len(steps) < most:
-            caller, rest = stack[-1]
-            callee = next(rest, None)
-            if callee is None:
-                stack.pop()
-                continue
-            steps.append((root, len(steps) + 1, caller, callee))
-            if callee not in entered:
-                entered.add(callee)
-                stack.append((callee, iter(dict.fromkeys(out.get(callee, [])))))
-        return pd.DataFrame(steps, columns=["root", "step", "caller", "callee"])
+    edges: (a, b, line), walked by line, then b. nodes: (id, actor, label, answer). A call is a message from actor to actor
+    with the callee's label, shown once; a callee is entered at its first call; after what it calls, its answer goes back
+    (back is true), if it has one. No call follows once there are `most` messages; truncated tells whether one would have.
 
+    One row a root holds the walk: the nodes entered and where each stands, the messages so far. A round joins all nodes on
+    the path to their edges and goes on at the deepest one with a new message, so rounds are as many as messages shown.
+    """
+    n = nodes.select("id", "actor", "label", "answer")
+    caller, callee = n.select(F.col("id").alias("a"), F.col("actor").alias("from")), n.select(F.col("id").alias("b"), F.col("actor").alias("to"), "label", "answer")
+    e = edges.select("a", "b", "line").distinct().join(caller, "a").join(callee, "b").withColumn("key", F.to_json(F.struct("from", "to", "label")))
+    e = cut(e.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("line", "b"))), "calls")
     kind = edges.schema["a"].dataType.simpleString()
-    return own.groupBy("root").applyInPandas(walk, f"root {kind}, step long, caller {kind}, callee {kind}")
+    first = roots.select("root").distinct().select("root", F.expr(f"array(named_struct('level', 0, 'node', cast(root as {kind}), 'at', 0, 'from', cast(null as string), 'to', cast(null as string), 'answer', cast(null as string)))").alias("path"), F.array("root").cast(f"array<{kind}>").alias("entered"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<`from`:string,`to`:string,label:string,back:boolean>>").alias("messages"), F.lit(False).alias("truncated"))
+    walk, done = cut(first, "walk"), []
+    answer = "case when p.answer is null then array() else array(struct(p.`to` as `from`, p.`from` as `to`, p.answer as label, true as back)) end"
+    while not walk.isEmpty():
+        stands = walk.select("root", "seen", F.explode("path").alias("p")).select("root", "seen", "p.level", F.col("p.node").alias("a"), "p.at")
+        left = stands.join(e, "a").where("nth > at")
+        new = F.when(~F.array_contains("seen", F.col("key")), F.struct("nth", "b", "from", "to", "label", "answer", "key"))
+        left = left.groupBy("root", "level").agg(F.min(new).alias("next")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("level", "next"))).alias("open"))  # levels of one path
+        w = walk.join(left, "root", "left").withColumn("open", F.coalesce("open", F.array().cast(left.schema["open"].dataType)))
+        # from the deepest level up: answers go back until a level has something new; once full, any call left means truncated
+        up = F.expr(f"""aggregate(reverse(path),
+          named_struct('messages', messages, 'truncated', truncated, 'depth', -1),
+          (acc, p) -> case when acc.depth >= 0 then acc else named_struct(
+            'messages', case when size(acc.messages) < {most} and exists(open, o -> o.level = p.level and o.next is not null) then acc.messages else concat(acc.messages, {answer}) end,
+            'truncated', acc.truncated or (size(acc.messages) >= {most} and exists(open, o -> o.level = p.level)),
+            'depth', case when size(acc.messages) < {most} and exists(open, o -> o.level = p.level and o.next is not null) then p.level else -1 end) end)""")
+        w = w.withColumn("up", up).withColumn("x", F.expr("get(filter(open, o -> o.level = up.depth), 0).next"))
+        w = cut(w.select("root", "path", "entered", "seen", "up", "x"), "walk")
+        done.append(w.where("x is null").select("root", F.col("up.messages").alias("messages"), F.col("up.truncated").alias("truncated")))
+        enters = F.expr("not array_contains(entered, x.b)")
+        stay = F.expr("transform(slice(path, 1, up.depth + 1), p -> case when p.level = up.depth then struct(p.level as level, p.node as node, x.nth as at, p.`from` as `from`, p.`to` as `to`, p.answer as answer) else p end)")
+        into = F.expr("array(named_struct('level', up.depth + 1, 'node', x.b, 'at', 0, 'from', x.`from`, 'to', x.`to`, 'answer', x.answer))")
+        called = F.expr("array(struct(x.`from` as `from`, x.`to` as `to`, x.label as label, false as back))")
+        back = F.expr("case when x.answer is null then array() else array(struct(x.`to` as `from`, x.`from` as `to`, x.answer as label, true as back)) end")
+        on = w.where("x is not null")
+        walk = on.select("root", F.when(enters, F.concat(stay, into)).otherwise(stay).alias("path"), F.when(enters, F.concat("entered", F.array("x.b"))).otherwise(F.col("entered")).alias("entered"), F.concat("seen", F.array("x.key")).alias("seen"), F.when(enters, F.concat("up.messages", called)).otherwise(F.concat("up.messages", called, back)).alias("messages"), F.col("up.truncated").alias("truncated"))
+    if not done:
+        done = [walk.select("root", "messages", "truncated")]
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.union(part)
+    messages = whole.select("root", F.posexplode("messages").alias("at", "m")).select("root", (F.col("at") + 1).cast("long").alias("step"), "m.from", "m.to", "m.label", "m.back")
+    return messages, whole.select("root", "truncated")

@@ -1,11 +1,9 @@
-"""Relational operators of the fact layer: ordered dedup, gates, choreography, packing, rollups."""
+"""Relational operators of the fact layer: ordered dedup, gates, choreography, rollups."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -35,32 +33,6 @@ def gate_members(df: DataFrame, owner: str, member: str, order: str, legal: Data
     return kept.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, member))), lambda s: s[member]).alias("kept"))
 
 
-def greedy_pack(df: DataFrame, owner: str, order: list[str], weight: str, cap: int) -> DataFrame:
-    """Adds chunk (from 0): items of an owner in order, a new chunk where the cap would be passed; an item over the cap has its own.
-
-    Sequential by nature within an owner: rows are sorted within partitions and streamed past one sum and one count.
-    """
-    schema = StructType([*df.schema.fields, StructField("chunk", LongType())])
-    columns = df.columns
-
-    def run(batches):
-        now, total, chunk = object(), 0, 0
-        for b in batches:
-            chunks = []
-            for o, w in zip(b.column(columns.index(owner)).to_pylist(), b.column(columns.index(weight)).to_pylist()):
-                w = w or 0
-                if o != now:
-                    now, total, chunk = o, w, 0
-                elif total > 0 and total + w > cap:
-                    total, chunk = w, chunk + 1
-                else:
-                    total += w
-                chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int64())], [*columns, "chunk"])
-
-    return df.repartition(owner).sortWithinPartitions(owner, *order).mapInArrow(run, schema)
-
-
 def ranked(df: DataFrame, by: str, then: list, cuts: int = 64) -> DataFrame:
     """Adds rank (from 1) in the order of the number `by`, largest first, nulls last, then of `then`.
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import graph as G
+from .operators import nesting as N
+from .operators import packing as P
 from .operators import relational as R
 from .plans import publish
 from .plans.enrichment import prompts
@@ -60,10 +62,62 @@ def reach_closure(spark, d):
     return G.reach(_edges(spark, d), t(spark, d, "nation").select(F.col("n_nationkey").alias("root")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, nodes AS (SELECT n_nationkey AS id, 'R' || n_regionkey::VARCHAR AS actor, 'm' || (n_nationkey % 7)::VARCHAR AS label, CASE WHEN n_nationkey % 3 > 0 THEN 'r' || n_nationkey::VARCHAR END AS answer FROM nation),
+e AS (SELECT a, b, x.actor AS f, y.actor AS t, y.label, y.answer, (row_number() OVER (PARTITION BY a ORDER BY n, b))::BIGINT AS nth FROM edges JOIN nodes x ON a = x.id JOIN nodes y ON b = y.id),
+w(root, round, path, entered, ms, cut) AS (SELECT n_nationkey, 0, [{{'node': n_nationkey::BIGINT, 'place': 0::BIGINT, 'f': NULL::VARCHAR, 't': NULL::VARCHAR, 'answer': NULL::VARCHAR}}], [n_nationkey::BIGINT], []::STRUCT(f VARCHAR, t VARCHAR, label VARCHAR, back BOOLEAN)[], false FROM nation
+ UNION ALL SELECT root, round + 1,
+  CASE WHEN b IS NULL OR full_ THEN path[:-2] ELSE list_concat(list_append(path[:-2], {{'node': p.node, 'place': nth, 'f': p.f, 't': p.t, 'answer': p.answer}}), CASE WHEN fresh AND NOT list_contains(entered, b) THEN [{{'node': b::BIGINT, 'place': 0::BIGINT, 'f': ef, 't': et, 'answer': ea}}] ELSE [] END) END,
+  CASE WHEN b IS NOT NULL AND NOT full_ AND fresh AND NOT list_contains(entered, b) THEN list_append(entered, b::BIGINT) ELSE entered END,
+  CASE WHEN b IS NULL OR full_ THEN CASE WHEN p.answer IS NULL THEN ms ELSE list_append(ms, {{'f': p.t, 't': p.f, 'label': p.answer, 'back': true}}) END
+   WHEN NOT fresh THEN ms WHEN list_contains(entered, b) AND ea IS NOT NULL THEN list_concat(ms, [{{'f': ef, 't': et, 'label': el, 'back': false}}, {{'f': et, 't': ef, 'label': ea, 'back': true}}])
+   ELSE list_append(ms, {{'f': ef, 't': et, 'label': el, 'back': false}}) END,
+  cut OR (b IS NOT NULL AND full_)
+ FROM (SELECT w.*, w.path[-1] AS p, e.b, e.nth, e.f AS ef, e.t AS et, e.label AS el, e.answer AS ea, len(w.ms) >= 12 AS full_, NOT list_contains(w.ms, {{'f': e.f, 't': e.t, 'label': e.label, 'back': false}}) AS fresh FROM w LEFT JOIN e ON e.a = w.path[-1].node AND e.nth = w.path[-1].place + 1 WHERE len(w.path) > 0) x),
+last AS (SELECT root, ms, cut FROM w WHERE len(path) = 0)
+SELECT root, step::BIGINT AS step, m.f AS caller, m.t AS callee, m.label AS label, m.back AS back, cut AS truncated FROM (SELECT root, cut, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS step FROM last)""")
 def dfs_trace(spark, d):
-    e = _edges(spark, d).select("a", "b", F.col("n").alias("line"))
-    return G.trace(e, t(spark, d, "nation").select(F.col("n_nationkey").alias("root")))
+    e, n = _edges(spark, d).select("a", "b", F.col("n").alias("line")), t(spark, d, "nation")
+    key = F.col("n_nationkey")
+    nodes = n.select(key.alias("id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("actor"), F.concat(F.lit("m"), (key % 7).cast("string")).alias("label"), F.when(key % 3 > 0, F.concat(F.lit("r"), key.cast("string"))).alias("answer"))
+    messages, ends = G.trace(e, nodes, n.select(key.alias("root")), 12)
+    return messages.join(ends, "root").select("root", "step", F.col("from").alias("caller"), F.col("to").alias("callee"), "label", "back", "truncated")
+
+
+_LINES = "SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _lines(spark, d, key):
+    """Line items in order, numbered within key."""
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return li.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+
+
+@query(f"""WITH b AS (SELECT o_custkey, place, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END AS step FROM ({_LINES.format("o_custkey")})),
+n AS (SELECT *, (coalesce(sum(step) OVER (PARTITION BY o_custkey ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - (step = -1)::INT)::INT AS nest FROM b),
+p AS (SELECT x.o_custkey, x.place, x.step, x.nest, min(y.place) FILTER (y.step <> 0 AND y.nest = x.nest AND y.place > x.place) AS ahead, max(y.place) FILTER (y.step <> 0 AND y.nest = x.nest AND y.place < x.place) AS behind, max(y.place) FILTER (y.step = 1 AND y.nest = x.nest - 1 AND y.place < x.place) AS parent FROM n x JOIN n y ON x.o_custkey = y.o_custkey GROUP BY ALL),
+q AS (SELECT p.*, CASE WHEN p.step = 1 AND a.step = -1 THEN ahead WHEN p.step = -1 AND c.step = 1 THEN behind END AS partner FROM p LEFT JOIN n a ON a.o_custkey = p.o_custkey AND a.place = ahead LEFT JOIN n c ON c.o_custkey = p.o_custkey AND c.place = behind),
+i AS (SELECT x.o_custkey, x.place, max(s.place) AS inside FROM q x JOIN q s ON s.o_custkey = x.o_custkey AND s.step = 1 AND s.place < x.place AND x.place < s.partner GROUP BY ALL)
+SELECT q.o_custkey, q.place::BIGINT AS place, nest, partner::BIGINT AS partner, parent::BIGINT AS parent, inside::BIGINT AS inside FROM q LEFT JOIN i ON i.o_custkey = q.o_custkey AND i.place = q.place""")
+def bracket_spans(spark, d):
+    flag = F.col("l_returnflag")
+    b = _lines(spark, d, "o_custkey").select("o_custkey", F.col("place").cast("long").alias("place"), F.when(flag == "R", 1).when(flag == "A", -1).otherwise(0).alias("step"))
+    p = N.partners(b, ["o_custkey"], "place", F.col("step"))
+    spans = p.where("step = 1 and partner is not null").select("o_custkey", F.col("place").alias("inside"), F.col("partner").alias("until"))
+    return N.innermost(p, spans, ["o_custkey"], "place", "inside", "until").select("o_custkey", "place", "nest", "partner", "parent", "inside")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, l AS (SELECT l_orderkey, place, 'm' || (l_suppkey % 3)::VARCHAR AS name, CAST(l_quantity AS INT) % 2 AS size FROM ({_LINES.format("l_orderkey")})),
+m AS (SELECT a, 'm' || (k - 1)::VARCHAR AS name, s.size, CASE WHEN s.size = b % 2 THEN b ELSE a END AS result FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM edges), (VALUES (0), (1)) s(size)),
+c(l_orderkey, place, type) AS (SELECT o_orderkey, 0::BIGINT, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT l.l_orderkey, l.place, m.result FROM c JOIN l ON l.l_orderkey = c.l_orderkey AND l.place = c.place + 1 JOIN m ON m.a = c.type AND m.name = l.name AND m.size = l.size)
+SELECT l_orderkey, place, type::BIGINT AS type FROM c WHERE place > 0""")
+def typed_chain(spark, d):
+    of = lambda place: F.concat(F.col("l_orderkey").cast("string"), F.lit("."), place.cast("string"))
+    start = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("node"), F.col("c_nationkey").cast("string").alias("type"), F.lit(None).cast("string").alias("argument"))
+    links = _lines(spark, d, "l_orderkey").select(of(F.col("place")).alias("node"), of(F.col("place") - 1).alias("receiver"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("name"), (F.col("l_quantity").cast("int") % 2).alias("size"))
+    k = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b")) - 1
+    members = _edges(spark, d).withColumn("k", k).withColumn("size", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("a").cast("string").alias("type"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("name"), "size", F.lit("").alias("rank"), F.when(F.col("size") == F.col("b") % 2, F.col("b")).otherwise(F.col("a")).cast("string").alias("result"), F.lit(None).cast("string").alias("argument"), F.lit("x").alias("member"))
+    typed = G.typed_chains(start, links, members).where("member is not null")
+    return typed.select(F.substring_index("node", ".", 1).cast("long").alias("l_orderkey"), F.substring_index("node", ".", -1).cast("long").alias("place"), F.col("type").cast("long").alias("type"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, r(root, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.root, e.b FROM r JOIN edges e ON r.node = e.a),
@@ -88,7 +142,32 @@ p(o_custkey, o_orderkey, k, chunk, total) AS (SELECT o_custkey, o_orderkey, k, 0
  UNION ALL SELECT o.o_custkey, o.o_orderkey, o.k, CASE WHEN p.total > 0 AND p.total + o.w > 50000000 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.total > 0 AND p.total + o.w > 50000000 THEN o.w ELSE p.total + o.w END
  FROM p JOIN o ON o.o_custkey = p.o_custkey AND o.k = p.k + 1) SELECT o_custkey, o_orderkey, chunk FROM p""")
 def greedy_pack(spark, d):
-    return R.greedy_pack(t(spark, d, "orders").withColumn("w", cents("o_totalprice")), "o_custkey", ["o_orderkey"], "w", 50_000_000).select("o_custkey", "o_orderkey", "chunk")
+    return P.greedy_pack(t(spark, d, "orders").withColumn("w", cents("o_totalprice")), "o_custkey", ["o_orderkey"], "w", 50_000_000).select("o_custkey", "o_orderkey", "chunk")
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_orderpriority AS owner, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS w, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS p FROM orders),
+q AS (SELECT owner, k, CASE WHEN w > 50000000 THEN p ELSE 50000000 + p - w END AS ask FROM o), x AS MATERIALIZED (SELECT q.owner, q.k, o.k AS next FROM q ASOF JOIN o ON q.owner = o.owner AND q.ask < o.p),
+c(owner, k, chunk) AS (SELECT owner, 1::BIGINT, 0::BIGINT FROM o WHERE k = 1 UNION ALL SELECT x.owner, x.next, c.chunk + 1 FROM c JOIN x ON x.owner = c.owner AND x.k = c.k)
+SELECT o.owner AS o_orderpriority, o.o_orderkey, max(c.chunk) OVER (PARTITION BY o.owner ORDER BY o.k) AS chunk FROM o LEFT JOIN c ON o.owner = c.owner AND o.k = c.k""")
+def greedy_pack_ranges(spark, d):
+    """Few owners, each over many ranges."""
+    o = t(spark, d, "orders").select("o_orderpriority", "o_orderkey", cents("o_totalprice").alias("w"))
+    return P.greedy_pack(o, "o_orderpriority", ["o_orderkey"], "w", 50_000_000, ranges=32).select("o_orderpriority", "o_orderkey", "chunk")
+
+
+@query("""WITH RECURSIVE g AS (SELECT c_nationkey AS owner, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+h AS (SELECT o_custkey, list(DISTINCT {'m': l_partkey, 'w': p_size::BIGINT}) AS held FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
+x AS (SELECT owner, c_custkey, k, coalesce(held, []) AS held FROM g LEFT JOIN h ON o_custkey = c_custkey),
+s(owner, c_custkey, k, held, own, chunk) AS (SELECT owner, c_custkey, k, held, 1::BIGINT, 0::BIGINT FROM x WHERE k = 1
+ UNION ALL SELECT owner, c_custkey, k, CASE WHEN over_ THEN held ELSE both_ END, CASE WHEN over_ THEN 1 ELSE own + 1 END, CASE WHEN over_ THEN chunk + 1 ELSE chunk END
+ FROM (SELECT x.owner, x.c_custkey, x.k, x.held, s.own, s.chunk, list_distinct(list_concat(s.held, x.held)) AS both_, coalesce(list_sum(list_transform(list_distinct(list_concat(s.held, x.held)), lambda z: z.w)), 0) + s.own + 1 > 6000 AS over_ FROM s JOIN x ON x.owner = s.owner AND x.k = s.k + 1))
+SELECT owner AS nation, c_custkey, chunk FROM s""")
+def union_pack(spark, d):
+    """Customers of a nation, packed by the size of the union of what they have bought."""
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("place"))
+    bought = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("place")), "l_orderkey")
+    held = bought.join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("weight")), "l_partkey").join(c, "place")
+    return P.union_pack(c.withColumn("weight", F.lit(1)), held.select("nation", "place", F.col("l_partkey").alias("member"), "weight"), "nation", 6000).select("nation", F.col("place").alias("c_custkey"), "chunk")
 
 
 # ---- joins and gates ---------------------------------------------------------------------------------------------

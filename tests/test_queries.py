@@ -1,10 +1,14 @@
 """Every general query against its DuckDB twin, and the driver contract."""
 
+import random
+
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
 from factloom import queries
+from factloom.operators.graph import trace
+from factloom.operators.packing import greedy_pack, union_pack
 from tests.conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,13 +34,70 @@ def test_twin(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+def walked(edges, nodes, root, most):
+    """The walk of one root, by recursion."""
+    after, messages, seen, entered, cut = {}, [], set(), {root}, [False]
+    for a, b, _ in sorted(set(edges), key=lambda e: (e[0], e[2], e[1])):
+        after.setdefault(a, []).append(b)
+
+    def go(a):
+        for b in after.get(a, []):
+            if len(messages) >= most:
+                cut[0] = True
+                return
+            key = (nodes[a][0], nodes[b][0], nodes[b][1])
+            if key not in seen:
+                seen.add(key)
+                messages.append((*key, False))
+                if b not in entered:
+                    entered.add(b)
+                    go(b)
+                if nodes[b][2]:
+                    messages.append((nodes[b][0], nodes[a][0], nodes[b][2], True))
+
+    go(root)
+    return messages, cut[0]
+
+
 def test_trace_is_depth_first(spark):
-    from factloom.operators.graph import trace
+    random.seed(1)
+    nodes = {k: (f"c{k % 4}", f"m{k % 5}", None if k % 3 == 0 else f"r{k}") for k in range(14)}
+    edges = [(random.randrange(14), random.randrange(14), random.randrange(9)) for _ in range(34)]
+    e, n, r = spark.createDataFrame(edges, "a long, b long, line long"), spark.createDataFrame([(k, *v) for k, v in nodes.items()], "id long, actor string, label string, answer string"), spark.createDataFrame([(k,) for k in nodes], "root long")
+    for most in (40, 7):
+        messages, ends = trace(e, n, r, most)
+        got = {k: [] for k in nodes}
+        for m in messages.orderBy("root", "step").collect():
+            got[m.root].append((m["from"], m["to"], m.label, m.back))
+        truncated = {x.root: x.truncated for x in ends.collect()}
+        assert {k: (got[k], truncated[k]) for k in nodes} == {k: walked(edges, nodes, k, most) for k in nodes}
+    assert trace(e, n, r.where("false"))[0].count() == 0
+
+
+def test_packing_of_wide_owners(spark):
+    random.seed(1)
+    rows, want = [(None, 1, 3)], {(None, 1): 0}
+    for o, n in enumerate([3, 200, 1, 60, 500]):
+        total = chunk = 0
+        for k in range(n):
+            w = 0 if o == 3 else random.choice([0, None, 0, 1, 2, 5, 9, 10, 11, 30])
+            if k and total > 0 and total + (w or 0) > 10:
+                total, chunk = w or 0, chunk + 1
+            else:
+                total += w or 0
+            rows.append((o, k, w))
+            want[o, k] = chunk
+    df = spark.createDataFrame(rows, "owner long, k long, w long")
+    for ranges in (7, 1):
+        assert {(r.owner, r.k): r.chunk for r in greedy_pack(df, "owner", ["k"], "w", 10, ranges=ranges).collect()} == want
+    assert greedy_pack(df.where("false"), "owner", ["k"], "w", 10, ranges=7).count() == 0
+
 
-    edges = spark.createDataFrame([(1, 2, 10), (1, 3, 5), (3, 4, 1), (4, 1, 1), (2, 5, 1), (9, 1, 1)], "a long, b long, line long")
-    got = sorted((r.step, r.caller, r.callee) for r in trace(edges, spark.createDataFrame([(1,)], "root long")).collect())
-    assert got == [(1, 1, 3), (2, 3, 4), (3, 4, 1), (4, 1, 2), (5, 2, 5)]
-    assert trace(edges, spark.createDataFrame([(1,)], "root long"), most=2).count() == 2
+def test_packing_of_unions(spark):
+    groups = spark.createDataFrame([("a", k, 1) for k in range(6)] + [("b", 5, 50)], "owner string, place int, weight int")
+    members = spark.createDataFrame([("a", 0, "x", 4), ("a", 1, "x", 4), ("a", 2, "y", 3), ("a", 3, "z", 40), ("a", 4, "z", 40), ("a", 5, "x", 4)], "owner string, place int, member string, weight int")
+    got = {(r.owner, r.place): r.chunk for r in union_pack(groups, members, "owner", 10).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 0, ("a", 3): 1, ("a", 4): 2, ("a", 5): 3, ("b", 5): 0}
 
 
 def test_contract(spark):
