@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def simple_type_name(t: Column) -> Column:
@@ -62,6 +63,23 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def sorted_keys(value: Column, kind: DataType) -> Column:
+    """value with the fields of every struct in it, and the entries of every map, in the order of their names."""
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[sorted_keys(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), sorted_keys(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return value
+
+
+def canonical(value: Column, kind: DataType) -> Column:
+    """Compact JSON with keys sorted at every level and nulls kept."""
+    return F.to_json(sorted_keys(value, kind), {"ignoreNullFields": "false"})
+
+
 def html_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -98,10 +116,30 @@ def approx_tokens(text: Column) -> Column:
     return F.floor(F.coalesce(F.length(text), F.lit(0)) / 4).cast("long")
 
 
+#: Headings of the categories of entry points, in the order that they are shown.
+CATEGORIES = {"http": "REST", "grpc": "gRPC", "graphql": "GraphQL", "event": "Events", "messaging": "Messaging", "scheduled": "Scheduled", "cli": "CLI", "other": "Other"}
+
+
 def category_label(category: Column) -> Column:
     """The heading of a category of entry points."""
-    known = {"http": "REST", "event": "Events", "scheduled": "Scheduled", "cli": "CLI"}
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[category], F.lit("Other"))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])[category], F.lit("Other"))
+
+
+def entry_category(entry_point: Column) -> Column:
+    """The heading of an entry point, by the start of its id."""
+    return category_label(F.when(entry_point.contains(":"), F.substring_index(entry_point, ":", 1)))
+
+
+def category_rank(label: Column) -> Column:
+    """The place of a heading in the order shown, from 0; unknown ones last."""
+    place = F.array_position(F.array(*map(F.lit, CATEGORIES.values())), label)
+    return F.when(place > 0, place - 1).otherwise(len(CATEGORIES)).cast("long")
+
+
+def entry_label(entry_point: Column) -> Column:
+    """What an entry point is called: VERB /path, else without category and package."""
+    rest = F.regexp_replace(entry_point, "^[a-z]+:", "")
+    return F.when(entry_point.startswith("http:"), rest).otherwise(F.regexp_replace(rest, r"^(?:[\w$]+\.)+(?=[\w$]+(?:#|$))", ""))
 
 
 def one_line(text: Column) -> Column:
@@ -134,5 +172,13 @@ def common_items(a: Column, b: Column) -> Column:
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
-    """Letters that two texts share from the start."""
-    return common_items(F.regexp_extract_all(a, F.lit("(?s)."), 0), F.regexp_extract_all(b, F.lit("(?s)."), 0))
+    """Letters that two texts share from the start: the most for which their beginnings are equal, found by halving."""
+    def halved(low: Column, high: Column) -> Column:
+        middle = F.ceil((low + high) / 2).cast("int")
+        same = F.substring(a, F.lit(1), middle) == F.substring(b, F.lit(1), middle)
+        return F.struct(F.when(same, middle).otherwise(low).alias("low"), F.when(same, high).otherwise(middle - 1).alias("high"))
+
+    most = F.least(F.length(a), F.length(b))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(most, F.lit(1)) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), most.alias("high"))
+    return F.aggregate(steps, start, lambda acc, _: F.when(acc["low"] < acc["high"], halved(acc["low"], acc["high"])).otherwise(acc), lambda acc: acc["low"].cast("long"))

@@ -21,11 +21,12 @@ DOMAIN = "array<struct<domain:string,members:array<string>,rationale:string>>"
 
 
 def artifact_hash(facts: DataFrame) -> DataFrame:
-    """One row: the content hash of a fact table, whatever the order of its rows.
+    """One row: the content hash of a fact table, whatever the order of its rows and of the fields at any level.
 
     Rows are hashed where they lie and only their hashes are gathered; equal rows count.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(facts.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    whole = F.struct(*(F.col(f"`{c}`") for c in facts.columns))
+    row = F.sha2(S.canonical(whole, facts.schema).cast("binary"), 256)
     part = facts.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
     return part.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "").cast("binary"), 256)).alias("hash"))
 
@@ -49,16 +50,38 @@ def parsed(answers: DataFrame, schema: str) -> DataFrame:
     return rows.where("row is not null").select("task", "pos", "row.*")
 
 
-def gated_transitions(rows: DataFrame, sites: DataFrame) -> DataFrame:
+def cited(evidence: DataFrame, kind: str, name: str) -> DataFrame:
+    """(name): what may be cited of a kind; evidence: kind, key."""
+    return evidence.where(F.col("kind") == kind).select(F.col("key").alias(name))
+
+
+def joins_back(rows: DataFrame, legal: DataFrame) -> DataFrame:
+    """The rows whose values in the columns of legal are there."""
+    return rows.join(legal.distinct(), legal.columns, "left_semi")
+
+
+def first_that_joins_back(rows: DataFrame, legal: DataFrame, order: list) -> DataFrame:
+    """Of the rows whose values in the columns of legal are there, the first for each."""
+    return first_wins(joins_back(rows, legal), legal.columns, order)
+
+
+def gated_transitions(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     """Transitions whose evidence is a known assignment site and which name both states."""
-    key = sites.select(F.concat_ws(":", "file", "line").alias("site")).distinct()
-    return rows.where("`from` is not null and `to` is not null").withColumn("site", F.concat_ws(":", "evidence.file", "evidence.line")).join(key, "site", "left_semi").drop("site")
+    named = rows.where("`from` is not null and `to` is not null").withColumn("site", F.concat_ws(":", "evidence.file", "evidence.line"))
+    return joins_back(named, cited(evidence, "site", "site")).drop("site")
 
 
-def gated_domains(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def gated_domains(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     """domain, members: named domains with their known members, in order, repeats kept; domains without any go."""
     members = rows.where("domain is not null and trim(domain) <> ''").select("domain", F.posexplode("members").alias("at", "member"))
-    return gate_members(members, "domain", "member", "at", classes).withColumnRenamed("kept", "members")
+    return gate_members(members, "domain", "member", "at", cited(evidence, "class", "member")).withColumnRenamed("kept", "members")
+
+
+def classes_with_roles(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """class, role: the role of each class's first node; entities without a node are of the domain."""
+    first = nodes.groupBy(F.col("class_name").alias("class")).agg(F.min_by("role", "id").alias("role"))
+    rest = entities.select(F.col("name").alias("class")).distinct().join(first, "class", "left_anti").withColumn("role", F.lit("domain"))
+    return first.unionByName(rest)
 
 
 def evidence_index(facts) -> DataFrame:
@@ -73,19 +96,13 @@ def evidence_index(facts) -> DataFrame:
     return whole.where("key is not null").distinct()
 
 
-def gated_behaviours(rows: DataFrame, entry_points: DataFrame, scenarios: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """One behaviour for each known entry point, the first; unknown verifying tests, nodes and covered entry points go, gap tells of no test left, enums are clamped.
-
-    nodes: (id) of the call graph; without it no node is kept.
-    """
-    known = entry_points.select("id").distinct()
-    entry = rows.where("scenario is not null").withColumn("entry_point", F.col("evidence.entryPoint")).join(known.withColumnRenamed("id", "entry_point"), "entry_point", "left_semi")
-    first = first_wins(entry, ["entry_point"], ["task", "pos"])
-    legal = {"verified_by": ("verifiedBy", scenarios.select(F.concat("test_class", F.lit("#"), "method").alias("id"))), "nodes": ("evidence.nodes", known.limit(0) if nodes is None else nodes.select("id")), "covers": ("evidence.covers", known)}
-    out = first
-    for name, (given, ids) in legal.items():
+def gated_behaviours(rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One behaviour for each known entry point, the first; unknown verifying tests, nodes and covered entry points go, gap tells of no test left, enums are clamped."""
+    named = rows.where("scenario is not null").withColumn("entry_point", F.col("evidence.entryPoint"))
+    out = first = first_that_joins_back(named, cited(evidence, "entry_point", "entry_point"), ["task", "pos"])
+    for name, (given, kind) in {"verified_by": ("verifiedBy", "scenario"), "nodes": ("evidence.nodes", "node"), "covers": ("evidence.covers", "entry_point")}.items():
         members = first.select("entry_point", F.posexplode(given).alias("at", "member"))
-        out = out.join(gate_members(members, "entry_point", "member", "at", ids).withColumnRenamed("kept", name), "entry_point", "left")
+        out = out.join(gate_members(members, "entry_point", "member", "at", cited(evidence, kind, "member")).withColumnRenamed("kept", name), "entry_point", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "entry_point",
@@ -101,6 +118,41 @@ def gated_behaviours(rows: DataFrame, entry_points: DataFrame, scenarios: DataFr
     )
 
 
+def covered(behaviours: DataFrame) -> DataFrame:
+    """(entry_point): the entry points that behaviours describe or cover."""
+    return behaviours.select("entry_point").union(behaviours.select(F.explode("covers"))).distinct()
+
+
+#: Tasks: what each asks for and how its answers are read and gated.
+TASKS = {
+    "transitions": (TRANSITION, gated_transitions, "Name the transitions between the states: from, to, trigger, evidence (file and line of an assignment site)."),
+    "domains": (DOMAIN, gated_domains, "Group the classes into business domains: domain, members, rationale."),
+    "behaviours": (BEHAVIOUR, gated_behaviours, "Describe one behaviour for each entry point: feature, scenario, type, priority, verifiedBy, coverage, evidence (entryPoint, nodes, covers)."),
+}
+
+
+def sections(material: dict[str, DataFrame], evidence: DataFrame, mode: str, results: DataFrame | None = None, requests: str | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """By task: (the gated rows; source_hash, prompt_version, model of each prompt).
+
+    material: (task, material) by name of the task. mode none: nothing is answered, all tables are empty and model is none.
+    emit: what results (source_hash, prompt_version, model, answer) doesn't answer is written below requests and is pending.
+    assemble: what isn't answered stays empty.
+    """
+    if mode not in ("none", "emit", "assemble"):
+        raise ValueError(f"mode {mode!r}: none, emit or assemble")
+    out = {}
+    for name, (schema, gate, instructions) in TASKS.items():
+        asked = prompts(material[name], instructions)
+        known = asked.select("source_hash", "prompt_version").limit(0).withColumns({"model": F.lit(""), "answer": F.lit("")}) if mode == "none" or results is None else results
+        hits, misses = split_by_cache(asked, known)
+        if mode == "emit":
+            misses.write.mode("overwrite").parquet(f"{requests}/{name}")
+        model = first_wins(known, ["source_hash", "prompt_version"], ["answer"]).select("source_hash", "prompt_version", "model")
+        told = asked.join(model, ["source_hash", "prompt_version"], "left").select("task", "source_hash", "prompt_version", F.coalesce("model", F.lit("pending" if mode == "emit" else "none")).alias("model"))
+        out[name] = gate(parsed(hits, schema), evidence), told
+    return out
+
+
 def emit_requests(asked: DataFrame, results: DataFrame, out: str) -> DataFrame:
     """Write the prompts that results (source_hash, prompt_version, answer) doesn't answer below out, one row a request; return them."""
     _, misses = split_by_cache(asked, results)

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.graph import trace
+from ..operators.tables import cut, drop
 from ..sources.java import read_sources
 from ..sources.migrations import read_migrations
-from .enrichment import artifact_hash
+from .enrichment import artifact_hash, covered, evidence_index, sections
 from .facts import Facts, roles_of
+from .material import Material
+from .rollups import event_stats, use_case_rollup, use_cases
 
 #: Messages of one sequence diagram, at most.
 MOST_MESSAGES = 40
@@ -28,21 +31,58 @@ def relations(facts: Facts) -> dict[str, DataFrame]:
     }
 
 
-def sequence_diagrams(facts: Facts) -> DataFrame:
-    """entry_point, diagram: the depth-first trace of calls of each HTTP and event entry point."""
-    eps = facts.entry_points().where("category in ('http', 'event')").select(F.col("id").alias("entry_point"), F.col("method_id").alias("root"))
-    steps = trace(facts.call_edges().select("a", "b", "line"), eps.select("root").distinct(), MOST_MESSAGES)
-    cls = lambda c: S.last_segment(F.substring_index(F.replace(c, F.lit("external:"), F.lit("")), "#", 1))
-    line = F.concat(cls(F.col("caller")), F.lit("->>"), cls(F.col("callee")), F.lit(": "), F.substring_index("callee", "#", -1))
-    text = steps.withColumn("text", line).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("step", "text"))).alias("s"))
-    return eps.join(text, "root", "left").select("entry_point", F.concat_ws("\n", F.array(F.lit("sequenceDiagram")), F.transform("s", lambda x: x["text"])).alias("diagram"))
+def sequence_diagrams(facts: Facts, alternatives: DataFrame | None = None) -> DataFrame:
+    """entry_point, diagram: the depth-first trace of calls of each HTTP and event entry point, from whoever starts it to the outcome.
 
-
-def state_diagrams(facts: Facts) -> DataFrame:
-    """enum_type, diagram: the states; the first is the one that a constructor sets, else the least."""
-    first = facts.assignment_sites().where("method is null").groupBy("enum_type").agg(F.min_by("value", F.struct("file", "line")).alias("initial"))
+    alternatives: entry_point, exception_type, status, message, condition; each is a branch of the outcome of an HTTP entry point.
+    """
+    nodes, edges = facts.call_graph()
+    answer = F.nullif(F.nullif("return_type", F.lit("void")), F.lit(""))
+    nodes = nodes.select("id", F.col("class_name").alias("actor"), F.col("method").alias("label"), answer.alias("answer"))
+    eps = facts.entry_points().where("category in ('http', 'event')").select(F.col("id").alias("entry_point"), "category", "destination", "method", "async", F.col("method_id").alias("root"))
+    messages, ends = trace(edges.select("a", "b", "line"), nodes, eps.select("root").distinct(), MOST_MESSAGES)
+    drawn = messages.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("step", "from", "to", "label", "back"))).alias("ms"))  # few more than MOST_MESSAGES
+    e = eps.join(drawn, "root", "left").join(ends, "root", "left").join(nodes.select(F.col("id").alias("root"), F.col("actor").alias("own"), F.col("answer").alias("result")), "root")
+    if alternatives is None:
+        alternatives = facts.flows()[0]
+    flows = alternatives.groupBy("entry_point").agg(F.array_sort(F.collect_list(F.struct("exception_type", "status", "condition", "message"))).alias("flows"))  # one row an exception type
+    e = e.join(flows, "entry_point", "left")
+    web, own = F.col("category") == "http", S.diagram_id(F.col("own"))
+    later, to = ~web & F.col("async"), F.coalesce("destination", F.lit(""))
+    starter = S.diagram_id(F.when(web, "Client").otherwise(F.coalesce("destination", F.lit("Event"))))
+    label = S.diagram_label(F.when(web, S.entry_label(F.col("entry_point"))).otherwise(F.concat("method", F.lit("("), to, F.lit(")"))))
+    actors = F.array_distinct(F.concat(F.array("own"), F.coalesce(F.transform(F.filter("ms", lambda m: ~m["back"]), lambda m: m["to"]), F.array().cast("array<string>"))))
+    none, lit = F.array().cast("array<string>"), F.lit
+    line = lambda m: F.concat(lit("  "), S.diagram_id(m["from"]), F.when(m["back"], "-->>").otherwise("->>"), S.diagram_id(m["to"]), lit(": "), S.diagram_label(m["label"]))
+    some = lambda when, *text: F.when(when, F.array(F.concat(*text))).otherwise(none)
+    ok = F.concat(own, lit("-->>Client: "), S.diagram_label(F.coalesce("result", lit("OK"))))
+    reason = lambda f: F.coalesce(F.nullif(f["condition"], lit("")), F.nullif(f["message"], lit("")), f["exception_type"])
+    branch = lambda f, k: F.array(F.concat(F.when(k == 0, "  alt ").otherwise("  else "), S.diagram_label(reason(f))), F.concat(lit("    "), own, lit("--xClient: "), S.diagram_label(F.concat(F.when(f["status"] == "—", "error").otherwise(f["status"]), lit(" ("), f["exception_type"], lit(")")))))
+    outcome = F.when(F.coalesce(F.size("flows") > 0, lit(False)), F.concat(F.flatten(F.transform("flows", branch)), F.array(lit("  else success"), F.concat(lit("    "), ok), lit("  end")))).otherwise(F.array(F.concat(lit("  "), ok)))
+    lines = F.concat(
+        F.array(lit("sequenceDiagram"), F.concat(F.when(web, "  actor ").otherwise("  participant "), starter)), F.transform(actors, lambda a: F.concat(lit("  participant "), S.diagram_id(a))),
+        F.array(F.concat(lit("  "), starter, F.when(later, "-)").otherwise("->>"), own, lit(": "), label)), some(later, lit("  Note over "), own, lit(": async, after commit")), F.coalesce(F.transform("ms", line), none),
+        some(F.col("truncated"), lit("  Note over "), own, lit(": … sequence truncated")), F.when(web, outcome).otherwise(none),
+    )
+    return e.select("entry_point", F.array_join(lines, "\n").alias("diagram"))
+
+
+def state_diagrams(facts: Facts, transitions: DataFrame | None = None) -> DataFrame:
+    """enum_type, diagram: the first state - the one that a constructor sets, else the least - and the transitions (from, to, trigger, evidence) at sites of the machine; without any, the states."""
+    sites = facts.assignment_sites()
+    first = sites.where("method is null and value is not null").groupBy("enum_type").agg(F.min_by("value", F.struct("file", "line")).alias("initial"))
     m = facts.state_machines().join(first, "enum_type", "left")
-    return m.select("enum_type", F.concat_ws("\n", F.array(F.lit("stateDiagram-v2"), F.concat(F.lit("[*] --> "), F.coalesce("initial", F.get("states", F.lit(0))))), "states").alias("diagram"))
+    begin = F.concat(F.lit("  [*] --> "), S.diagram_id(F.coalesce("initial", F.get("states", F.lit(0)), F.lit("start"))))
+    if transitions is None:
+        m = m.withColumn("ts", F.array().cast("array<struct<line:string>>"))
+    else:
+        text = F.concat(F.lit("  "), S.diagram_id(F.col("from")), F.lit(" --> "), S.diagram_id(F.col("to")), F.lit(" : "), S.diagram_label(F.col("trigger")))
+        t = transitions.select(F.col("evidence.file").alias("file"), F.col("evidence.line").alias("line"), F.struct("task", "pos", text.alias("line")).alias("t"))
+        own = sites.select("enum_type", "file", "line").distinct().join(t, ["file", "line"]).groupBy("enum_type").agg(F.array_sort(F.collect_list("t")).alias("ts"))  # one machine's transitions
+        m = m.join(own, "enum_type", "left")
+    shown = F.transform("states", lambda s: F.concat(F.lit("  "), S.diagram_id(s)))
+    body = F.when(F.coalesce(F.size("ts") > 0, F.lit(False)), F.transform("ts", lambda x: x["line"])).otherwise(shown)
+    return m.select("enum_type", F.array_join(F.concat(F.array(F.lit("stateDiagram-v2"), begin), body), "\n").alias("diagram"))
 
 
 #: How a kind of relation is drawn.
@@ -109,9 +149,22 @@ def use_case_cards(entry_points: DataFrame, alternatives: DataFrame, guards: Dat
     return out.select("entry_point", "category", "class_name", "method", "async", empty("alternatives"), empty("checks"), "diagram")
 
 
-def unclassified(entry_points: DataFrame, behaviours: DataFrame) -> DataFrame:
-    """Entry points without a behaviour."""
-    return entry_points.join(behaviours.select(F.col("entry_point").alias("id")), "id", "left_anti")
+def unclassified(entry_points: DataFrame, covered: DataFrame, key: str = "id") -> DataFrame:
+    """Entry points that nothing covers; covered has their key as its only column."""
+    return entry_points.join(covered.select(F.col(covered.columns[0]).alias(key)), key, "left_anti")
+
+
+def domains_by_role(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """domain, members: the classes of each role, for want of an interpretation."""
+    c = nodes.select(F.col("role").alias("domain"), F.col("class_name").alias("member")).union(entities.select(F.lit("domain"), "name"))
+    return c.groupBy("domain").agg(F.array_sort(F.collect_set("member")).alias("members"))
+
+
+def test_catalogue(scenarios: DataFrame) -> DataFrame:
+    """test_class, text: a test class, what it tests and its scenarios, one a line."""
+    s = scenarios.groupBy("test_class", "target", "certain").agg(F.array_sort(F.collect_list(F.struct("line", "description"))).alias("s"))
+    head = F.concat("test_class", F.lit(" → "), F.coalesce("target", F.lit("—")), F.when(F.col("certain"), "").otherwise(" (?)"))
+    return s.select("test_class", F.array_join(F.concat(F.array(head), F.transform("s", lambda x: F.concat(F.lit("  "), x["description"]))), "\n").alias("text"))
 
 
 def git_facts(root: str) -> dict[str, str]:
@@ -124,32 +177,73 @@ def git_facts(root: str) -> dict[str, str]:
     return {"commit": git("rev-parse", "HEAD", missing="uncommitted"), "generated_at": git("log", "-1", "--format=%cI", missing="1970-01-01T00:00:00Z"), "message": git("log", "-1", "--format=%s", missing="")}
 
 
-def index(spark: SparkSession, root: str, out: str, exclude: tuple = ()) -> dict:
-    """Write every relation of the service at root below out; return the manifest (hashes and row counts only).
+def publish(spark: SparkSession, out: str, made: dict[str, DataFrame], last: dict[str, dict]) -> dict[str, dict]:
+    """Write the tables of made below out, but those that are as they were by the hashes of last; name -> hash, rows, path, written.
 
-    The relations stay tables; only one hash and one count of each reach the driver.
+    A table is written to the shared folder first, hashed there, and copied only if it differs.
     """
-    facts = Facts(read_sources(spark, root, exclude))
-    manifest = {"project": {"name": root.rstrip("/").rpartition("/")[2], **git_facts(root)}, "artifacts": {}}
+    told = {}
+    for name, df in made.items():
+        new = cut(df, name)
+        digest, was = artifact_hash(new).first()[0], last.get(name)
+        same = bool(was) and was["hash"] == digest
+        rows = was["rows"] if same else new.count()
+        if not same:
+            new.write.mode("overwrite").parquet(f"{out}/{name}")
+        drop(new)
+        told[name] = {"hash": digest, "rows": rows, "path": f"{out}/{name}", "written": not same}
+    return told
 
-    def publish(made: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        kept = {}
-        for name, df in made.items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}")
-            kept[name] = spark.read.parquet(f"{out}/{name}")
-            manifest["artifacts"][name] = {"hash": artifact_hash(kept[name]).first()[0], "rows": kept[name].count()}
-        return kept
 
-    kept = publish({**relations(facts), "foreign_keys": read_migrations(spark, root), "sequence_diagrams": sequence_diagrams(facts), "state_diagrams": state_diagrams(facts)})
-    publish({"classes_by_role": roles_of(kept["call_nodes"]), "er_diagrams": er_diagrams(kept["entities"]), "event_flowchart": event_flowchart(kept["event_flows"], kept["entry_points"]), "use_case_cards": use_case_cards(kept["entry_points"], kept["alternative_flows"], kept["guards"], kept["input_constraints"], kept["sequence_diagrams"])})
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
-    return manifest
+def last_manifest(spark: SparkSession, out: str) -> dict[str, dict]:
+    """name -> hash, rows of the tables that the last manifest below out names; nothing without one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/manifest")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return {}
+    return {r["name"]: {"hash": r["hash"], "rows": r["rows"]} for r in spark.read.json(f"{out}/manifest", schema=MANIFEST).where("kind = 'artifact'").collect()}  # a row a table
+
+
+MANIFEST = "kind string, name string, hash string, rows long, path string, model string, info string"
+
+
+def index(spark: SparkSession, root: str, out: str, exclude: tuple = (), mode: str = "none", results: DataFrame | None = None, chunk: int = 0) -> dict:
+    """Publish every relation of the service at root below out, and the interpretations that mode asks for; return the manifest.
+
+    mode none: interpretations are empty. emit: prompts that results doesn't answer are written below out/requests. assemble:
+    the answers in results (source_hash, prompt_version, model, answer) are gated and published. Tables that didn't change
+    since the last manifest aren't written again, and the new manifest is written last: rows of kind, name, hash, rows, path
+    and model. Only hashes and counts reach the driver.
+    """
+    last = last_manifest(spark, out)
+    with Facts(read_sources(spark, root, exclude)) as facts:
+        made = {**relations(facts), "foreign_keys": read_migrations(spark, root)}
+        nodes, eps, entities, flows = made["call_nodes"], made["entry_points"], made["entities"], made["event_flows"]
+        material = Material(facts)
+        evidence = facts._once("evidence", lambda: evidence_index(facts))
+        asked = {"transitions": material.transitions(), "domains": material.domains(), "behaviours": material.behaviours(chunk)}
+        asked = {name: facts._once(f"material-{name}", lambda df=df: df) for name, df in asked.items()}
+        read = {name: (facts._once(f"interpreted-{name}", lambda df=df: df), told) for name, (df, told) in sections(asked, evidence, mode, results, f"{out}/requests").items()}
+        diagrams = facts._once("diagrams", lambda: sequence_diagrams(facts, made["alternative_flows"]))
+        domains, behaviours = read["domains"][0], read["behaviours"][0]
+        made |= {
+            "sequence_diagrams": diagrams, "state_diagrams": state_diagrams(facts, read["transitions"][0]), "classes_by_role": roles_of(nodes), "er_diagrams": er_diagrams(entities), "event_flowchart": event_flowchart(flows, eps), "test_catalogue": test_catalogue(made["test_scenarios"]),
+            "domain_map": domain_map(domains_by_role(nodes, entities) if domains.isEmpty() else domains), "use_case_cards": use_case_cards(eps, made["alternative_flows"], made["guards"], made["input_constraints"], diagrams),
+            "use_case_rollup": use_case_rollup(use_cases(behaviours, eps)), "event_stats": event_stats(flows), "unclassified": unclassified(eps, covered(behaviours)), **{f"enrichment_{name}": df for name, (df, _) in read.items()},
+        }
+        artifacts = publish(spark, out, made, last)
+        models = {name: [r.asDict() for r in told.select("task", "source_hash", "model").collect()] for name, (_, told) in read.items()}  # a row a prompt
+    project = {"name": root.rstrip("/").rpartition("/")[2], **git_facts(root)}
+    rows = [("project", project["name"], project["commit"], None, root, None, json.dumps(project, sort_keys=True))]
+    rows += [("artifact", name, a["hash"], a["rows"], a["path"], None, None) for name, a in sorted(artifacts.items())]
+    rows += [("enrichment", r["task"], r["source_hash"], None, f"{out}/enrichment_{name}", r["model"], None) for name, rs in sorted(models.items()) for r in sorted(rs, key=lambda r: r["task"])]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+    return {"project": project, "artifacts": artifacts, "enrichment": models}
 
 
 def report(spark: SparkSession, out: str) -> DataFrame:
     """section, html: the report's rows, made from the published tables and escaped; a page is their concatenation."""
     cell = lambda *c: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), S.html_escape(F.coalesce(F.col(x).cast("string"), F.lit("—"))), F.lit("</td>")) for x in c], F.lit("</tr>"))
-    parts = [("entry_points", ["id", "class_name", "method", "file", "line"]), ("alternative_flows", ["entry_point", "exception_type", "status", "message"]), ("input_constraints", ["entry_point", "field", "constraint", "detail"]), ("test_scenarios", ["test_class", "target", "certain", "description"]), ("sequence_diagrams", ["entry_point", "diagram"])]
+    parts = [("entry_points", ["id", "class_name", "method", "file", "line"]), ("alternative_flows", ["entry_point", "exception_type", "status", "message"]), ("input_constraints", ["entry_point", "field", "constraint", "detail"]), ("test_scenarios", ["test_class", "target", "certain", "description"]), ("sequence_diagrams", ["entry_point", "diagram"]), ("state_diagrams", ["enum_type", "diagram"]), ("er_diagrams", ["module", "diagram"]), ("event_flowchart", ["diagram"]), ("domain_map", ["domain", "text"]), ("test_catalogue", ["test_class", "text"]), ("use_case_rollup", ["level", "category", "feature", "total", "gaps", "critical_gaps", "verified"]), ("unclassified", ["id", "class_name", "method"])]
     return _union([spark.read.parquet(f"{out}/{name}").select(F.lit(name).alias("section"), cell(*columns).alias("html")) for name, columns in parts])
 
 

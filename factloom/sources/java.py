@@ -11,23 +11,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.nesting import partners
+from .listing import texts, tree
 
 #: Comments, text blocks, strings, characters, line ends, names, numbers, single marks.
 TOKEN = r'''(?s)/\*.*?\*/|//[^\n]*|""".*?"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\n|[A-Za-z_$][\w$]*|\d[\w.]*|->|::|\S'''
 #: Folders that hold no sources of the project.
 PRUNED = ("build", "target", "out", "bin", "node_modules")
+#: Folders that sources begin at.
+ROOTS = ("/src/main/java", "/src/test/java")
 
 
 def read_sources(spark: SparkSession, root: str, exclude: tuple = ()) -> DataFrame:
-    """file, source_set (main, test, other), text of the .java files below root, without build folders and hidden ones."""
+    """file, source_set (main, test, other), text, error of the .java files below root's source roots, or below root if it has none.
+
+    Build folders, hidden ones and those named in exclude are not listed; a file or folder that can't be read is a row with an error and no text.
+    """
     base = root.rstrip("/")
-    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java").select(F.col("_metadata.file_path").alias("at"), F.col("value").alias("text"))
-    files = files.withColumn("file", F.substring_index(F.regexp_replace("at", "^file:/+", "/"), f"{base}/", -1))
-    parts = F.split("file", "/")
-    bad = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.isin(*PRUNED, *exclude) | p.startswith("."))
-    files = files.where(~bad)
+    found = tree(spark, base, ".java", (*PRUNED, *exclude), ROOTS)
+    if not found.where("root is not null").isEmpty():
+        found = found.where("root is not null")
+    read = texts(found.where("kind = 'file'").select("path")).unionByName(found.where("kind <> 'file'").select("path", F.lit(None).cast("string").alias("text"), F.col("kind").alias("error")))
+    files = read.withColumn("file", F.substring("path", len(base) + 2, 1 << 30))
     kind = F.when(F.col("file").rlike("(^|/)src/main/java/"), "main").when(F.col("file").rlike("(^|/)src/test/java/"), "test").otherwise("other")
-    return files.select("file", kind.alias("source_set"), "text")
+    return files.select("file", kind.alias("source_set"), "text", "error")
 
 
 def tokens(files: DataFrame) -> DataFrame:

@@ -165,18 +165,19 @@ def test_migrations(spark):
 
 
 def test_gates_keep_only_what_joins_back(spark, facts):
+    evidence = E.evidence_index(facts)
     site = facts.assignment_sites().where("value = 'LENT'").first()
     t = f'Here:\n```json\n[{{"from":"FREE","to":"LENT","trigger":"x","evidence":{{"file":"{site.file}","line":{site.line}}}}},{{"from":"FREE","to":"GONE","evidence":{{"file":"{site.file}","line":1}}}},{{"from":null,"to":"GONE","evidence":{{"file":"{site.file}","line":{site.line}}}}}]\n```'
     rows = E.parsed(spark.createDataFrame([("t", t), ("u", "no array"), ("v", "[broken")], "task string, answer string"), E.TRANSITION)
-    assert [(r["from"], r["to"]) for r in E.gated_transitions(rows, facts.assignment_sites()).collect()] == [("FREE", "LENT")]
+    assert [(r["from"], r["to"]) for r in E.gated_transitions(rows, evidence).collect()] == [("FREE", "LENT")]
     d = '[{"domain":"Lending","members":["Book","Nope","Book"]},{"domain":"Empty","members":["Nope"]},{"domain":" ","members":["Book"]}]'
     rows = E.parsed(spark.createDataFrame([("d", d)], "task string, answer string"), E.DOMAIN)
-    assert [(r.domain, r.members) for r in E.gated_domains(rows, facts.types.select("simple")).collect()] == [("Lending", ["Book", "Book"])]
+    assert [(r.domain, r.members) for r in E.gated_domains(rows, evidence).collect()] == [("Lending", ["Book", "Book"])]
     b = '[{"scenario":"s1","type":"odd","verifiedBy":["BookServiceTest#finds","X#y"],"coverage":{"level":"?"},"evidence":{"entryPoint":"http:POST /books","nodes":["shop.core.BookService#add","no#node"],"covers":["http:GET /none","http:PUT /books/loan"]}},{"scenario":"s2","evidence":{"entryPoint":"http:POST /books"}},{"scenario":"s3","priority":"low","type":"lifecycle","evidence":{"entryPoint":"http:GET /books/{id}"}},{"scenario":"s4","evidence":{"entryPoint":"http:GET /none"}}]'
     rows = E.parsed(spark.createDataFrame([("b", b)], "task string, answer string"), E.BEHAVIOUR)
-    got = {(r.entry_point, r.scenario, r.type, r.priority, tuple(r.verified_by), tuple(r.nodes), tuple(r.covers), r.gap, r.coverage) for r in E.gated_behaviours(rows, facts.entry_points(), facts.test_scenarios(), facts.call_graph()[0]).collect()}
+    got = {(r.entry_point, r.scenario, r.type, r.priority, tuple(r.verified_by), tuple(r.nodes), tuple(r.covers), r.gap, r.coverage) for r in E.gated_behaviours(rows, evidence).collect()}
     assert got == {("http:POST /books", "s1", "happy-path", "medium", ("BookServiceTest#finds",), ("shop.core.BookService#add",), ("http:PUT /books/loan",), False, "partial"), ("http:GET /books/{id}", "s3", "lifecycle", "medium", (), (), (), True, None)}
-    keys = {(r.kind, r.key) for r in E.evidence_index(facts).collect()}
+    keys = {(r.kind, r.key) for r in evidence.collect()}
     assert keys >= {("entry_point", "cli:Jobs"), ("node", "external:Clock#now"), ("class", "Book"), ("scenario", "BookServiceTest#finds"), ("site", f"{site.file}:{site.line}")}
 
 
@@ -194,34 +195,80 @@ def test_hashes_and_cache(spark, tmp_path):
     assert [(r.task, r.domain) for r in rows.collect()] == [("b", "D")] and E.assemble(asked, known.where("false"), E.DOMAIN).count() == 0
 
 
-def test_publishing_is_deterministic(spark, tmp_path):
+def test_publishing_by_difference(spark, tmp_path):
     from factloom.plans import publish
 
-    root = tmp_path / "service"
+    root, out = tmp_path / "service", str(tmp_path / "out")
     for name, text in SOURCES.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
     (root / "app/src/main/resources/db/migration").mkdir(parents=True)
     (root / "app/src/main/resources/db/migration/V1.sql").write_text("create table copy (book_id int references book(id));")
-    first = publish.index(spark, str(root), str(tmp_path / "a"))
-    was = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    again = publish.index(spark, str(root), str(tmp_path / "b"))
-    spark.conf.set("spark.sql.shuffle.partitions", was)
-    assert first["artifacts"] == again["artifacts"] and first["artifacts"]["entry_points"]["rows"] == 7
-    d = {r.entry_point: r.diagram for r in spark.read.parquet(str(tmp_path / "a" / "sequence_diagrams")).collect()}
-    assert d["http:POST /books"].split("\n") == ["sequenceDiagram", "BookController->>BookService: add", "BookService->>Bus: publishEvent", "BookService->>BookRepository: save"]
-    made = lambda name: spark.read.parquet(str(tmp_path / "a" / name))
+    first = publish.index(spark, str(root), out, mode="emit")
+    assert first["artifacts"]["entry_points"]["rows"] == 7 and all(a["written"] for a in first["artifacts"].values())
+    assert {r["model"] for rs in first["enrichment"].values() for r in rs} == {"pending"} and first["artifacts"]["enrichment_behaviours"]["rows"] == 0
+    d = {r.entry_point: r.diagram for r in spark.read.parquet(f"{out}/sequence_diagrams").collect()}
+    assert d["http:POST /books"].split("\n") == [
+        "sequenceDiagram", "  actor Client", "  participant BookController", "  participant BookService", "  participant Bus", "  participant BookRepository", "  Client->>BookController: POST /books", "  BookController->>BookService: add", "  BookService->>Bus: publishEvent", "  BookService->>BookRepository: save", "  BookService-->>BookController: Book", "  BookController-->>Client: Book",
+    ]
+    assert d["http:GET /books/{id}"].split("\n")[-5:] == ["  alt book == null", "    BookController--xClient: 404 NOT_FOUND (MissingBookException)", "  else success", "    BookController-->>Client: Book", "  end"]
+    assert d["event:shop.core.Jobs#stock(BookAdded)"].split("\n") == ["sequenceDiagram", "  participant BookAdded", "  participant Jobs", "  BookAdded-)Jobs: stock(BookAdded)", "  Note over Jobs: async, after commit"]
+    made = lambda name: spark.read.parquet(f"{out}/{name}")
     assert made("er_diagrams").first().diagram.split("\n") == ["erDiagram", "  Book {", "    Long id PK", "    BookState state", "    String title", "  }"]
     assert made("event_flowchart").first().diagram.split("\n") == ["flowchart LR", '  E_BookAdded{{"BookAdded"}}', '  N_BookService["BookService"]', '  N_Jobs["Jobs"]', "  N_BookService -->|publishes| E_BookAdded", "  E_BookAdded --> N_BookService", "  E_BookAdded -.->|async| N_Jobs"]
     assert [(r["table"], r["column"], r["ref_table"]) for r in made("foreign_keys").collect()] == [("copy", "book_id", "book")]
     card = made("use_case_cards").where("entry_point = 'http:PUT /books/loan'").first()
     assert (card.category, card.class_name, [tuple(a) for a in card.alternatives], [tuple(c) for c in card.checks]) == ("REST", "BookController", [("MissingBookException", "404 NOT_FOUND", "when book == null")], [("id", "NotNull"), ("id", "required")])
-    assert publish.domain_map(spark.createDataFrame([("Lending", ["Book", "(x)"])], "domain string, members array<string>")).first().text == "    Lending\n      Book\n      x"
-    s = spark.read.parquet(str(tmp_path / "a" / "state_diagrams")).where("enum_type = 'BookState'").first()
-    assert s.diagram.split("\n")[1] == "[*] --> FREE"
-    assert publish.report(spark, str(tmp_path / "a")).where("html like '%<td>http:POST /books</td>%'").count() > 0
-    assert publish.unclassified(spark.read.parquet(str(tmp_path / "a" / "entry_points")), spark.createDataFrame([("http:POST /books",)], "entry_point string")).count() == 6
+    assert {r.domain: r.text for r in made("domain_map").collect()}["domain"] == "    domain\n      Book"
+    assert made("state_diagrams").where("enum_type = 'BookState'").first().diagram.split("\n") == ["stateDiagram-v2", "  [*] --> FREE", "  FREE", "  GONE", "  LENT"]
+    assert made("test_catalogue").first().text.split("\n") == ["BookServiceTest → BookService", "  finds a book", "  adds a new book"]
+    assert publish.report(spark, out).where("html like '%<td>http:POST /books</td>%'").count() > 0 and made("unclassified").count() == 7
+
+    asked = {name: spark.read.parquet(f"{out}/requests/{name}") for name in ("transitions", "domains", "behaviours")}
+    assert all(q.count() == 1 for q in asked.values()) and '"throwSites":[{' in asked["behaviours"].first().material
+    site = made("assignment_sites").where("value = 'LENT'").first()
+    answers = {
+        "transitions": f'[{{"from":"FREE","to":"LENT","trigger":"lend","evidence":{{"file":"{site.file}","line":{site.line}}}}}]', "domains": '[{"domain":"Lending","members":["Book"]}]',
+        "behaviours": '[{"feature":"Books","scenario":"find","priority":"critical","coverage":{"level":"thin"},"evidence":{"entryPoint":"http:GET /books/{id}","covers":["http:PUT /books/loan"]}}]',
+    }
+    results = spark.createDataFrame([(q.first().source_hash, q.first().prompt_version, "someone", answers[name]) for name, q in asked.items()], "source_hash string, prompt_version string, model string, answer string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    again = publish.index(spark, str(root), out, mode="assemble", results=results)
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert {name for name, a in again["artifacts"].items() if a["written"]} == {"state_diagrams", "domain_map", "use_case_rollup", "unclassified", "enrichment_transitions", "enrichment_domains", "enrichment_behaviours"}
+    assert made("state_diagrams").where("enum_type = 'BookState'").first().diagram.split("\n") == ["stateDiagram-v2", "  [*] --> FREE", "  FREE --> LENT : lend"]
+    assert made("domain_map").first().text == "    Lending\n      Book" and made("unclassified").count() == 5
+    assert {(r.level, r.category, r.feature, r.total, r.gaps, r.critical_gaps, r.thin) for r in made("use_case_rollup").collect()} == {("all", None, None, 1, 1, 1, 1), ("category", "REST", None, 1, 1, 1, 1), ("feature", "REST", "Books", 1, 1, 1, 1)}
+    assert spark.read.json(f"{out}/manifest").where("kind = 'enrichment' and model = 'someone'").count() == 3
+
+
+def test_material_by_chunks(spark, facts):
+    from factloom.plans.material import Material
+
+    m = Material(facts)
+    whole = m.behaviours().collect()
+    assert [r.task for r in whole] == ["behaviours-0"] and '"stateMachines":[{' in whole[0].material and "BookServiceTest" in whole[0].material
+    by_count = {r.class_name: r.chunk for r in m.chunks(size=4).collect()}
+    assert by_count == {"BookController": 0, "BookService": 1, "Jobs": 1}
+    by_size = {r.class_name: r.chunk for r in m.chunks(most=1).collect()}
+    assert by_size == {"BookController": 0, "BookService": 1, "Jobs": 2}
+    texts = {r.task: r.material for r in m.behaviours(size=3).collect()}
+    assert "Clock" in texts["behaviours-0"] and "MissingBookException" in texts["behaviours-0"] and "Clock" not in texts["behaviours-1"] and "sweep" in texts["behaviours-1"] and '"stateMachines":[{' in texts["behaviours-1"]
+    assert '"class":"Book"' in m.domains().first().material and '"enum_type":"BookState"' in m.transitions().first().material
+
+
+def test_listing_prunes_and_keeps(spark, tmp_path):
+    for at in ("app/src/main/java/a/_b/X.java", "app/src/main/java/a/build/No.java", "app/.git/src/main/java/No.java", "app/other/No.java", "lib/src/test/java/T.java", "skip/src/main/java/No.java"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text("class X { }")
+    (tmp_path / "lib/src/main/java").mkdir(parents=True)
+    (tmp_path / "lib/src/main/java/Bad.java").write_bytes(b"\xff\xfe\xff")
+    got = {r.file: (r.source_set, r.text is not None, r.error is not None) for r in read_sources(spark, str(tmp_path), exclude=("skip",)).collect()}
+    assert got == {"app/src/main/java/a/_b/X.java": ("main", True, False), "lib/src/test/java/T.java": ("test", True, False), "lib/src/main/java/Bad.java": ("main", False, True)}
+    assert {r.file for r in read_sources(spark, str(tmp_path / "app/other")).collect()} == {"No.java"}
+    with Facts(read_sources(spark, str(tmp_path), exclude=("skip",))) as f:
+        assert f.types.count() == 2
 
 
 def test_publish_calls_and_guards_of_every_form(spark):
