@@ -12,6 +12,11 @@ def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("rn__", F.row_number().over(w)).where("rn__ = 1").drop("rn__")
 
 
+def with_certain(df: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds certain: whether the values of df in the columns of known are there."""
+    return df.join(known.distinct().withColumn("certain", F.lit(True)), known.columns, "left").withColumn("certain", F.coalesce("certain", F.lit(False)))
+
+
 def choreography(producers: DataFrame, consumers: DataFrame, key: str) -> DataFrame:
     """key, producers, consumers: sorted distinct parties of both sides; a side without parties is an empty array.
 

@@ -35,6 +35,11 @@ def name_of(c):
     return c.rlike(WORD) & ~c.isin(*KEYWORDS)
 
 
+def callee(member, outside):
+    """What a call leads to: the project's method, else external: and the collaborator's type and method, else nothing."""
+    return F.coalesce(member, F.concat(F.lit("external:"), outside))
+
+
 def creations(code: DataFrame) -> DataFrame:
     """The rows of code that are the parenthesis of `new a.b.Type<..>(`, with made: Type."""
     w = Window.partitionBy("file", "parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.graph import reach, reached
 from ..operators.nesting import arguments, innermost
-from ..operators.relational import first_wins
+from ..operators.relational import first_wins, with_certain
 from ..operators.tables import cut, drop
 from ..sources.java import cut_text, statements, tokens
 from . import calls as C
@@ -102,6 +102,16 @@ def role(simple, annotations):
     return out
 
 
+def status_label(code, labels: dict = STATUS):
+    """The label of a status code: that of the table, else the code, else a dash."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[code], F.nullif(code, F.lit("")), F.lit("—"))
+
+
+def may_collaborate(simple, values: tuple = VALUES):
+    """Whether a type may be a collaborator: it isn't one of the types of values."""
+    return ~simple.isin(*values)
+
+
 def roles_of(nodes: DataFrame) -> DataFrame:
     """role, class_name, node of the classes of nodes (id, class_name, role)."""
     return nodes.groupBy("class_name").agg(F.min_by("role", "id").alias("role"), F.min("id").alias("node")).select("role", "class_name", "node")
@@ -269,10 +279,9 @@ class Facts:
     def _call_edges(self) -> DataFrame:
         held = self.receivers().where("rank = 2").select("caller", F.col("receiver").alias("field"), F.col("type").alias("of"))
         enums = self.types.where("kind = 'enum'").select(F.col("simple").alias("of")).distinct()
-        held = held.where(~F.col("of").isin(*VALUES)).join(enums, "of", "left_anti")
+        held = held.where(may_collaborate(F.col("of"))).join(enums, "of", "left_anti")
         c = C.resolved(self).join(held, ["caller", "field"], "left")
-        outside = F.concat(F.lit("external:"), "of", F.lit("#"), "name")
-        return c.select(F.col("caller").alias("a"), F.coalesce("member", outside).alias("b"), "file", "line").where("b is not null").distinct()
+        return c.select(F.col("caller").alias("a"), C.callee(F.col("member"), F.concat("of", F.lit("#"), "name")).alias("b"), "file", "line").where("b is not null").distinct()
 
     def call_graph(self) -> tuple[DataFrame, DataFrame]:
         """(nodes: id, class_name, method, file, line, role, return_type; edges: a, b, file, line) reachable from the entry points; nodes outside the sources have no file, line 0 and the role external."""
@@ -343,9 +352,8 @@ class Facts:
 
     def exception_statuses(self) -> DataFrame:
         """exception_type, status, source: from @ResponseStatus on exceptions and @ExceptionHandler methods of advice classes; first by source."""
-        label = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
         code = lambda c: F.regexp_extract(F.get(annotation_text(F.col("annotations"), "ResponseStatus"), F.lit(0))["args"], r"HttpStatus \. (\w+)", 1)
-        shown = lambda c: F.coalesce(label[c], F.nullif(c, F.lit("")), F.lit("—"))
+        shown = status_label
         own = self.types.where("simple like '%Exception'").withColumn("code", code(0)).where("code <> ''").select(F.col("simple").alias("exception_type"), shown(F.col("code")).alias("status"), F.col("simple").alias("source"))
         advice = self.types.where(F.exists("annotations", lambda a: a["name"].isin("ControllerAdvice", "RestControllerAdvice"))).select("type_id")
         m = self.methods.join(advice, "type_id", "left_semi").withColumn("h", F.get(annotation_text(F.col("annotations"), "ExceptionHandler"), F.lit(0))).where("h is not null").withColumn("code", code(0))
@@ -406,6 +414,6 @@ class Facts:
         """test_class, target, certain, method, description, line of @Test methods."""
         m = self.methods.where(F.exists("annotations", lambda a: a["name"] == "Test")).join(self.files.where("source_set = 'test'").select("file"), "file", "left_semi")
         shown = _named(F.get(annotation_text(F.col("annotations"), "DisplayName"), F.lit(0))["args"], "value")
-        main = self.types.join(self.files.where("source_set = 'main'").select("file"), "file", "left_semi").select(F.col("simple").alias("target"), F.lit(True).alias("known")).distinct()
+        main = self.types.join(self.files.where("source_set = 'main'").select("file"), "file", "left_semi").select(F.col("simple").alias("target"))
         m = m.select(F.col("simple").alias("test_class"), S.strip_suffix(F.col("simple"), list(TEST_SUFFIXES)).alias("target"), F.col("name").alias("method"), F.coalesce(F.nullif(shown, F.lit("")), S.humanize(F.col("name"))).alias("description"), "line")
-        return m.join(main, "target", "left").select("test_class", "target", F.coalesce("known", F.lit(False)).alias("certain"), "method", "description", "line")
+        return with_certain(m, main).select("test_class", "target", "certain", "method", "description", "line")

@@ -67,11 +67,15 @@ def sequence_diagrams(facts: Facts, alternatives: DataFrame | None = None) -> Da
     return e.select("entry_point", F.array_join(lines, "\n").alias("diagram"))
 
 
+def initial_states(sites: DataFrame) -> DataFrame:
+    """enum_type, initial: the value that the first site outside of methods sets."""
+    return sites.where("method is null and value is not null").groupBy("enum_type").agg(F.min_by("value", F.struct("file", "line")).alias("initial"))
+
+
 def state_diagrams(facts: Facts, transitions: DataFrame | None = None) -> DataFrame:
     """enum_type, diagram: the first state - the one that a constructor sets, else the least - and the transitions (from, to, trigger, evidence) at sites of the machine; without any, the states."""
     sites = facts.assignment_sites()
-    first = sites.where("method is null and value is not null").groupBy("enum_type").agg(F.min_by("value", F.struct("file", "line")).alias("initial"))
-    m = facts.state_machines().join(first, "enum_type", "left")
+    m = facts.state_machines().join(initial_states(sites), "enum_type", "left")
     begin = F.concat(F.lit("  [*] --> "), S.diagram_id(F.coalesce("initial", F.get("states", F.lit(0)), F.lit("start"))))
     if transitions is None:
         m = m.withColumn("ts", F.array().cast("array<struct<line:string>>"))
@@ -97,6 +101,11 @@ def modules(entities: DataFrame) -> DataFrame:
     return entities.withColumn("module", F.coalesce(F.get(folders, F.lit(shared)), F.lit("core")))
 
 
+def within_module(relations: DataFrame, entities: DataFrame, module: str = "module") -> DataFrame:
+    """Relations (module, target) whose target is an entity (module, entity) of the same module."""
+    return relations.join(entities.select(module, F.col("entity").alias("target")).distinct(), [module, "target"], "left_semi")
+
+
 def er_text(fields: DataFrame, relations: DataFrame) -> DataFrame:
     """module, diagram of fields (module, entity, field, type, id) and relations (module, entity, field, kind, target); relations to what the module doesn't hold are left out."""
     entities = fields.select("module", "entity").union(relations.select("module", "entity")).distinct()
@@ -105,7 +114,7 @@ def er_text(fields: DataFrame, relations: DataFrame) -> DataFrame:
     none = F.lit("")
     heads = entities.select("module", F.explode(F.array(line(0, 0, none, F.lit("  "), name, F.lit(" {")), line(0, 2, none, F.lit("  }")))).alias("l"))
     held = fields.where("field is not null").select("module", line(0, 1, F.col("field"), F.lit("    "), S.diagram_type(F.col("type")), F.lit(" "), S.diagram_id(F.col("field")), F.when(F.col("id"), " PK").otherwise("")).alias("l"))
-    inside = relations.join(entities.withColumnRenamed("entity", "target"), ["module", "target"], "left_semi")
+    inside = within_module(relations, entities)
     drawn = F.coalesce(F.create_map(*[F.lit(x) for kv in CARDINALITY.items() for x in kv])[F.col("kind")], F.lit("||..||"))
     tied = inside.select("module", line(1, 0, F.col("field"), F.lit("  "), name, F.lit(" "), drawn, F.lit(" "), S.diagram_id(F.col("target")), F.lit(' : "'), S.diagram_label(F.col("field")), F.lit('"')).alias("l"))
     lines = heads.union(held).union(tied).groupBy("module").agg(F.array_sort(F.collect_list("l")).alias("ls"))  # a module's own lines

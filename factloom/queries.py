@@ -14,9 +14,11 @@ from .operators import graph as G
 from .operators import nesting as N
 from .operators import packing as P
 from .operators import relational as R
-from .plans import publish
+from .plans import enrichment as E
+from .plans import publish, rollups
+from .plans.calls import callee
 from .plans.enrichment import prompts
-from .plans.facts import role
+from .plans.facts import may_collaborate, role, status_label
 from .sources.migrations import foreign_keys
 
 QUERIES: dict = {}
@@ -185,7 +187,8 @@ def choreography_full_outer(spark, d):
 
 @query("SELECT doc_id, quality, toxic FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars >= 200 AND d.lang = 'en')")
 def evidence_gate_semi(spark, d):
-    return t(spark, d, "labels").join(t(spark, d, "documents").where("n_chars >= 200 and lang = 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", "toxic")
+    evidence = t(spark, d, "documents").where("n_chars >= 200").select(F.col("lang").alias("kind"), F.col("doc_id").alias("key"))
+    return E.joins_back(t(spark, d, "labels"), E.cited(evidence, "en", "doc_id")).select("doc_id", "quality", "toxic")
 
 
 @query("""SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS kept, count(*)::BIGINT AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY l_orderkey""")
@@ -196,13 +199,15 @@ def gate_array_members(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def uncovered_anti(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return publish.unclassified(t(spark, d, "customer"), t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey"), "c_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) FROM events WHERE event_type = 'view'")
 def covered_union(spark, d):
-    e = t(spark, d, "events")
-    return e.where("event_type = 'click'").select("user_id").union(e.where("event_type = 'view'").select(F.get_json_object("props", "$.k").cast("long"))).distinct()
+    e = t(spark, d, "events").where("event_type in ('click', 'view')")
+    k = F.get_json_object("props", "$.k").cast("long")
+    told = e.select(F.when(F.col("event_type") == "click", F.col("user_id")).alias("entry_point"), F.when(F.col("event_type") == "view", F.array(k)).alias("covers"))
+    return E.covered(told).where("entry_point is not null").select(F.col("entry_point").alias("user_id"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN p.p_size <= 40 THEN p.p_name WHEN s.s_acctbal > 0 THEN 'external:' || s.s_name END AS target
@@ -210,12 +215,12 @@ FROM lineitem LEFT JOIN part p ON l_partkey = p_partkey LEFT JOIN supplier s ON
 def collab_or_resolved(spark, d):
     p, s = t(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"), "p_name"), t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(p, "l_partkey", "left").join(s, "l_suppkey", "left")
-    return x.select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.concat(F.lit("external:"), "s_name")).alias("target")).where("target is not null")
+    return x.select("l_orderkey", "l_linenumber", callee(F.col("p_name"), F.col("s_name")).alias("target")).where("target is not null")
 
 
 @query("SELECT o_orderkey, coalesce(s.label, '—') AS label FROM orders LEFT JOIN (VALUES ('F', '200 FILLED'), ('O', '202 OPEN')) s(code, label) ON o_orderstatus = s.code")
 def status_lookup(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", F.coalesce(F.create_map(F.lit("F"), F.lit("200 FILLED"), F.lit("O"), F.lit("202 OPEN"))[F.col("o_orderstatus")], F.lit("—")).alias("label"))
+    return t(spark, d, "orders").select("o_orderkey", status_label(F.when(F.col("o_orderstatus").isin("F", "O"), F.col("o_orderstatus")), {"F": "200 FILLED", "O": "202 OPEN"}).alias("label"))
 
 
 @query("SELECT d.doc_id, l.quality AS cached, l.quality IS NOT NULL AS hit FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -225,15 +230,16 @@ def cache_lookup(spark, d):
 
 @query("SELECT DISTINCT a.l_partkey AS p, b.l_partkey AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey JOIN part x ON a.l_partkey = x.p_partkey JOIN part y ON b.l_partkey = y.p_partkey WHERE a.l_partkey < b.l_partkey AND x.p_brand = y.p_brand")
 def er_within_module(spark, d):
-    li = t(spark, d, "lineitem").join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "l_partkey", "p_brand")
-    other = li.select("l_orderkey", "p_brand", F.col("l_partkey").alias("q"))
-    return li.join(other, ["l_orderkey", "p_brand"]).where("l_partkey < q").select(F.col("l_partkey").alias("p"), "q").distinct()
+    parts, li = t(spark, d, "part").select("p_brand", F.col("p_partkey").alias("entity")), t(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"))
+    pairs = li.join(li.withColumnRenamed("p", "target"), "l_orderkey").where("p < target").select("p", "target").distinct()
+    pairs = pairs.join(parts.withColumnRenamed("entity", "p"), "p")
+    return publish.within_module(pairs, parts, "p_brand").select("p", F.col("target").alias("q"))
 
 
 @query("SELECT s_suppkey, s_name, EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_nationkey = s_nationkey) AS certain FROM supplier")
 def target_certain(spark, d):
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.lit(True).alias("known")).distinct()
-    return t(spark, d, "supplier").join(c, ["s_suppkey", "s_nationkey"], "left").select("s_suppkey", "s_name", F.coalesce("known", F.lit(False)).alias("certain"))
+    known = t(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"))
+    return R.with_certain(t(spark, d, "supplier"), known).select("s_suppkey", "s_name", "certain")
 
 
 @query("""WITH proposed AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders), ok AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM proposed p WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.o_custkey AND c.c_acctbal > 0))
@@ -241,9 +247,9 @@ SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_order
  NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS gap FROM ok WHERE k = 1""")
 def behaviour_gate(spark, d):
     legal = t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    kept = R.first_wins(t(spark, d, "orders").join(legal, "o_custkey", "left_semi").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_custkey"], ["o_orderkey"])
-    seen = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("v")).distinct()
-    return kept.join(seen, "o_orderkey", "left").select("o_custkey", "o_orderkey", S.clamp(F.col("o_orderstatus"), ["F", "O"], "O").alias("status"), S.clamp(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"], "3-MEDIUM").alias("priority"), F.col("v").isNull().alias("gap"))
+    kept = E.first_that_joins_back(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), legal, ["o_orderkey"])
+    seen = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.with_certain(kept, seen).select("o_custkey", "o_orderkey", S.clamp(F.col("o_orderstatus"), ["F", "O"], "O").alias("status"), S.clamp(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"], "3-MEDIUM").alias("priority"), (~F.col("certain")).alias("gap"))
 
 
 # ---- ordered dedup -----------------------------------------------------------------------------------------------
@@ -262,7 +268,8 @@ def last_wins(spark, d):
 
 @query("SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem) WHERE k = 1")
 def alt_flow_first(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("m")).select("l_suppkey", "l_returnflag", "m.l_orderkey", "m.l_linenumber")
+    li = t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+    return R.first_wins(li, ["l_suppkey", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey"]).select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_suppkey, rk, part_qty, lines FROM (SELECT l_suppkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS part_qty, count(*)::BIGINT AS lines, row_number() OVER (ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC, count(*), l_suppkey)::BIGINT AS rk FROM lineitem GROUP BY l_suppkey)")
@@ -273,13 +280,33 @@ def leaderboard(spark, d):
 
 @query("SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderpriority = '5-LOW') AS initial, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states, count(*)::BIGINT AS sites FROM orders GROUP BY o_custkey")
 def state_values(spark, d):
-    low = F.when(F.col("o_orderpriority") == "5-LOW", F.struct("o_orderkey", "o_orderstatus"))
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.min(low)["o_orderstatus"].alias("initial"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"), F.count("*").alias("sites"))
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("enum_type"), F.col("o_orderstatus").alias("value"), F.when(F.col("o_orderpriority") != "5-LOW", "m").alias("method"), F.lit("f").alias("file"), F.col("o_orderkey").alias("line"))
+    values = o.groupBy("enum_type").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("states"), F.count("*").alias("sites"))
+    return values.join(publish.initial_states(o), "enum_type", "left").select(F.col("enum_type").alias("o_custkey"), "initial", "states", "sites")
 
 
 # ---- rollups -----------------------------------------------------------------------------------------------------
 
 
+_CASES = """cases AS (SELECT CASE source WHEN 's0' THEN 'http:GET /' WHEN 's1' THEN 'event:a.B#on' WHEN 's2' THEN 'grpc:x' WHEN 's3' THEN 'cli:Y' ELSE source END AS entry, lang AS feature, quality = 0 AS gap, CASE WHEN toxic = 1 THEN 'critical' ELSE 'medium' END AS priority, CASE doc_id % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' WHEN 2 THEN 'thin' END AS coverage FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT CASE split_part(entry, ':', 1) WHEN 'http' THEN 'REST' WHEN 'event' THEN 'Events' WHEN 'grpc' THEN 'gRPC' WHEN 'cli' THEN 'CLI' ELSE 'Other' END AS category, coalesce(feature, 'General') AS feature, gap, priority, coverage FROM cases)"""
+
+
+def _cases(spark, d):
+    j = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    ids = F.create_map(*[F.lit(x) for x in ("s0", "http:GET /", "s1", "event:a.B#on", "s2", "grpc:x", "s3", "cli:Y")])
+    levels = F.array(*map(F.lit, ("full", "partial", "thin")))
+    return j.select(F.coalesce(ids[F.col("source")], "source").alias("entry_point"), F.col("lang").alias("feature"), (F.col("quality") == 0).alias("gap"), F.when(F.col("toxic") == 1, "critical").otherwise("medium").alias("priority"), F.get(levels, (F.col("doc_id") % 4).cast("int")).alias("coverage"))
+
+
+@query(f"""WITH {_CASES} SELECT CASE WHEN grouping(category) = 1 THEN 'all' WHEN grouping(feature) = 1 THEN 'category' ELSE 'feature' END AS level, category, CASE WHEN grouping(category) = 0 THEN list_position(['REST', 'gRPC', 'GraphQL', 'Events', 'Messaging', 'Scheduled', 'CLI', 'Other'], category) - 1 END::BIGINT AS rank, feature,
+ count(*)::BIGINT AS total, count(*) FILTER (gap)::BIGINT AS gaps, count(*) FILTER (gap AND priority = 'critical')::BIGINT AS critical_gaps, count(*) FILTER (NOT gap)::BIGINT AS verified, count(*) FILTER (coverage = 'full')::BIGINT AS "full", count(*) FILTER (coverage = 'partial')::BIGINT AS partial, count(*) FILTER (coverage = 'thin')::BIGINT AS thin
+FROM c GROUP BY GROUPING SETS ((), (category), (category, feature))""")
+def use_case_rollup(spark, d):
+    cases = _cases(spark, d)
+    return rollups.use_case_rollup(rollups.use_cases(cases, cases.select(F.col("entry_point").alias("id"))))
+
+
 @query("SELECT o_orderpriority, o_orderstatus, coalesce(list_position(['2-HIGH', '1-URGENT', '5-LOW'], o_orderpriority), 0)::BIGINT AS rk, count(*)::BIGINT AS cards FROM orders GROUP BY 1, 2")
 def category_rank(spark, d):
     return t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("cards")).select("o_orderpriority", "o_orderstatus", S.rank_in(F.col("o_orderpriority"), ["2-HIGH", "1-URGENT", "5-LOW"]).alias("rk"), "cards")
@@ -288,13 +315,14 @@ def category_rank(spark, d):
 @query("SELECT d.source, count(*)::BIGINT AS total, count(*) FILTER (quality = 0)::BIGINT AS gaps, count(*) FILTER (quality = 0 AND toxic = 1)::BIGINT AS critical, (count(*) - count(*) FILTER (quality = 0))::BIGINT AS verified FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.source")
 def coverage_hist(spark, d):
     j = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return j.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 0).alias("gaps"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("critical"), F.count_if(F.col("quality") != 0).alias("verified"))
+    cases = j.select(F.col("source").alias("category"), F.lit("").alias("feature"), (F.col("quality") == 0).alias("gap"), F.when(F.col("toxic") == 1, "critical").alias("priority"), F.lit("").alias("coverage"))
+    return rollups.use_case_rollup(cases).where("level = 'category'").select(F.col("category").alias("source"), "total", "gaps", F.col("critical_gaps").alias("critical"), "verified")
 
 
-@query("SELECT count(DISTINCT k)::BIGINT AS events, count(DISTINCT k) FILTER (event_type = 'purchase')::BIGINT AS produced, count(DISTINCT user_id) FILTER (event_type = 'signup')::BIGINT AS listeners FROM (SELECT json_extract_string(props, '$.k') AS k, event_type, user_id FROM events)")
+@query("SELECT count(DISTINCT k)::BIGINT AS events, count(DISTINCT k) FILTER (event_type = 'purchase')::BIGINT AS produced, count(DISTINCT user_id) FILTER (event_type = 'signup')::BIGINT AS listeners FROM (SELECT json_extract_string(props, '$.k') AS k, event_type, user_id FROM events WHERE event_type IN ('purchase', 'signup'))")
 def event_stats(spark, d):
-    k = F.get_json_object("props", "$.k")
-    return t(spark, d, "events").agg(F.count_distinct(k).alias("events"), F.count_distinct(F.when(F.col("event_type") == "purchase", k)).alias("produced"), F.count_distinct(F.when(F.col("event_type") == "signup", F.col("user_id"))).alias("listeners"))
+    e = t(spark, d, "events").select(F.get_json_object("props", "$.k").alias("k"), "event_type", F.col("user_id").cast("string").alias("party"))
+    return rollups.event_stats(R.choreography(e.where("event_type = 'purchase'"), e.where("event_type = 'signup'"), "k"))
 
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS models FROM events WHERE event_type NOT IN ('error') GROUP BY user_id")
@@ -302,15 +330,19 @@ def distinct_models(spark, d):
     return t(spark, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("models"))
 
 
-@query("SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT) * 100 + CAST(round(l_extendedprice * 100) AS BIGINT) * 5 + CAST(round(l_discount * 100) AS BIGINT) * 10)::BIGINT AS cost FROM lineitem GROUP BY 1, 2")
+@query("""WITH u AS (SELECT l_returnflag, l_linestatus, CAST(l_quantity AS BIGINT) AS i, CAST(round(l_extendedprice * 100) AS BIGINT) AS o, CAST(round(l_discount * 100) AS BIGINT) * 10 AS r, CAST(round(l_tax * 100) AS BIGINT) * 4 AS w, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 5 END AS pi, CASE l_returnflag WHEN 'R' THEN 15 WHEN 'A' THEN 25 END AS po FROM lineitem)
+SELECT l_returnflag, l_linestatus, sum(i)::BIGINT AS input, sum(o)::BIGINT AS output, sum(coalesce(i * pi + o * po + (r // 10) * pi + (w // 4) * 5 * pi, 0))::BIGINT AS cost FROM u GROUP BY GROUPING SETS ((), (l_returnflag, l_linestatus))""")
 def spend_sum(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("long") * 100 + cents("l_extendedprice") * 5 + cents("l_discount") * 10).alias("cost"))
+    li, flag = t(spark, d, "lineitem"), F.col("l_returnflag")
+    usage = li.select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("input"), cents("l_extendedprice").alias("output"), (cents("l_discount") * 10).alias("cache_read"), (cents("l_tax") * 4).alias("cache_write"), F.when(flag == "R", 3).when(flag == "A", 5).alias("price_in"), F.when(flag == "R", 15).when(flag == "A", 25).alias("price_out"))
+    return rollups.spend(usage, ["l_returnflag", "l_linestatus"]).withColumn("cost", F.col("cost").cast("long"))
 
 
 @query("SELECT l_shipdate::DATE::VARCHAR AS chunk, count(*)::BIGINT AS raw, count(*) FILTER (p_size <= 25)::BIGINT AS kept FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def keep_rate(spark, d):
-    j = t(spark, d, "lineitem").select("l_partkey", F.to_date("l_shipdate").cast("string").alias("chunk")).join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
-    return j.groupBy("chunk").agg(F.count("*").alias("raw"), F.count_if(F.col("p_size") <= 25).alias("kept"))
+    part = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    rows = t(spark, d, "lineitem").select("l_partkey", F.to_date("l_shipdate").cast("string").alias("chunk")).join(part.select("l_partkey"), "l_partkey", "left_semi")
+    return rollups.keep_rate(rows, part.where("p_size <= 25"), ["chunk"], ["l_partkey"])
 
 
 @query("SELECT n_name, count(*)::BIGINT AS n, string_agg(c_name, ';' ORDER BY c_name) AS fields FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -349,7 +381,7 @@ def diagram_text(spark, d):
 @query("SELECT page_id, CASE WHEN trim(p, '/') = '' THEN '/' ELSE '/' || trim(p, '/') END AS route, 'GET ' || p AS label FROM (SELECT page_id, regexp_extract(url, '://[^/]*([^?#]*)', 1) AS p FROM pages)")
 def route_normalize(spark, d):
     p = F.regexp_extract("url", "://[^/]*([^?#]*)", 1)
-    return t(spark, d, "pages").select("page_id", S.join_path(F.lit(""), p).alias("route"), F.concat(F.lit("GET "), p).alias("label"))
+    return t(spark, d, "pages").select("page_id", S.join_path(F.lit(""), p).alias("route"), S.entry_label(F.concat(F.lit("http:GET "), p)).alias("label"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS hash, substr(sha256(text), 1, 8) AS version FROM documents")
@@ -362,6 +394,13 @@ def canonical_json_hash(spark, d):
     return t(spark, d, "orders").select("o_orderkey", S.content_hash(S.canonical_json(custkey=F.col("o_custkey"), priority=F.col("o_orderpriority"), status=F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))).alias("hash"))
 
 
+@query("""SELECT c_custkey, sha256(json_object('a', json_object('m', c_nationkey, 'z', CASE WHEN c_nationkey > 5 THEN c_mktsegment END), 'k', [json_object('b', c_custkey, 'c', c_name)], 'x', json_object('p', c_custkey, 'q', c_nationkey))::VARCHAR) AS hash FROM customer""")
+def nested_json_hash(spark, d):
+    inner = F.struct(F.when(F.col("c_nationkey") > 5, F.col("c_mktsegment")).alias("z"), F.col("c_nationkey").alias("m"))
+    c = t(spark, d, "customer").select("c_custkey", F.struct(F.create_map(F.lit("q"), F.col("c_nationkey").cast("long"), F.lit("p"), F.col("c_custkey").cast("long")).alias("x"), F.array(F.struct(F.col("c_name").alias("c"), F.col("c_custkey").alias("b"))).alias("k"), inner.alias("a")).alias("v"))
+    return c.select("c_custkey", F.sha2(S.canonical(F.col("v"), c.schema["v"].dataType).cast("binary"), 256).alias("hash"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'happy-path' END AS kind, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN o_orderpriority ELSE 'medium' END AS priority FROM orders")
 def clamp_enums(spark, d):
     return t(spark, d, "orders").select("o_orderkey", S.clamp(F.col("o_orderstatus"), ["F", "O"], "happy-path").alias("kind"), S.clamp(F.col("o_orderpriority"), ["1-URGENT", "5-LOW"], "medium").alias("priority"))
@@ -441,7 +480,7 @@ def category_label(spark, d):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click')")
 def value_type_exclusion(spark, d):
-    return t(spark, d, "events").where(~F.col("event_type").isin("view", "click")).select("event_id", "event_type")
+    return t(spark, d, "events").where(may_collaborate(F.col("event_type"), ("view", "click"))).select("event_id", "event_type")
 
 
 @query("SELECT o_custkey, sha256('Describe.' || chr(10) || chr(10) || m || chr(10) || chr(10) || 'Reply with one JSON array.') AS prompt_hash, 'sha256:' || sha256(m) AS source_hash FROM (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS m FROM orders GROUP BY o_custkey)")
