@@ -10,8 +10,9 @@ before the shuffle. The winners are one row per host; they are kept as a table,
 broadcasts it only below its threshold, joining by host (splitting skewed hosts) beyond it.
 
 What is boilerplate is judged by element, role, and whole class or id tokens (`sidebar`, `site-footer`, `adSlot`, but not
-`has-sidebar` or `overflow-hidden`); a container judged by its class or a form isn't boilerplate if it holds the page's
-article or main element, and inline elements are judged as blocks are.
+`page-with-sidebar` or `overflow-hidden`); a container judged by its class or a form isn't boilerplate if it holds the page's
+article or main element, or its headline and nearly all text, and if nothing were left, the one with most text is kept; but
+readers' comments never are. Inline elements are judged as blocks are. A headline's box beside the article belongs to it.
 
 Defined cases: null or empty html gives ''; pages without tags are one block; unclosed elements end with their parent;
 a head without end tag ends at the first element or text that a head can't hold; an unclosed comment, script or style runs to the end; null urls, or urls without host, vote as one host; ties of votes
@@ -42,12 +43,14 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: What a class or id token stands for is its last part, less the parts that say where, how or which.
 STRONG = frozenset("ad ads adbox adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored promo promos promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond cookie cookies consent gdpr popup modal newsletter subscribe subscription share sharing related recommended recommendations pager pagination".split())
 SHUNNED = STRONG | frozenset("banner discussion notice notices overlay social widget widgets toolbar skip login signup alert legal copyright".split())
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 HEADS = frozenset("header masthead topbar".split())
 PLACES = frozenset("left right top bottom center fixed sticky inner outer wrapper wrap container box block area section group list item items link links slot unit bar panel row col column zone button buttons icon icons form iframe thread holder placeholder primary secondary".split())
 INSIDE = frozenset("content body text title main posts articles stories news post article".split())
 STATES = frozenset("has no not with without is".split())
 UNSEEN = frozenset("hidden d-none is-hidden visually-hidden visuallyhidden sr-only screen-reader-text".split())
 SHUNNED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+TITLES = frozenset("header heading headline title".split())
 LIKELY = frozenset("article content main post entry story body text page".split())
 
 _TAG = re.compile(r"""<!--|<[a-zA-Z/!?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|"[^"\n]{0,300}+"|'[^'\n]{0,300}+')*+>|<[a-zA-Z/!?][^<>]*+>""")
@@ -63,19 +66,27 @@ LEAVE = 4.0
 #: How surely an element is boilerplate: even around the main element, around the article, or unless it holds one of them.
 NEVER_KEPT, UNLESS_MAIN, UNLESS_ARTICLE = 3, 2, 1
 _ARTICLE, _MAIN = 1, 2
+#: An element judged by its class is kept after all if it holds the article, and that this many times what is kept without
+#: it; or if it holds the headline (h1) and this many times what is kept.
+ARTICLE_TIMES, HEADLINE_TIMES = 2, 8
 
 
 def _attributes(tag: str, at: int) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(tag, at, len(tag) - 1)}
 
 
+@lru_cache(1 << 14)
+def _of_readers(token: str) -> bool:
+    return bool(READERS & {p.lower() for p in _PARTS.findall(token)})
+
+
 @lru_cache(1 << 14)
 def _judged(token: str) -> tuple[int, bool]:
     """(how surely a class or id token means boilerplate, whether it means a page's head)."""
     if token.lower() in UNSEEN:
         return NEVER_KEPT, False
     parts = [p.lower() for p in _PARTS.findall(_SIZES.sub("", token))]
-    if not parts or parts[0] in STATES:
+    if not parts or STATES & set(parts[:-1]):
         return 0, False
     head = bool(HEADS & set(parts)) and not LIKELY & set(parts)
     while len(parts) > 1 and parts[-1] in PLACES:
@@ -108,6 +119,7 @@ def _boilerplate(name: str, own: dict[str, str], in_article: bool) -> int:
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(paths of its containers, outermost first; text; letters in links) of each block that isn't boilerplate, in order."""
     parents, chains, levels, holds = [0], [(ROOT,)], [0], [0]  # of each element: its parent, paths down to it, _boilerplate(), what it holds
+    names, readers, kinds = [""], [False], [0]  # and: its tag, whether its class or id is of readers' comments, whether it is an article or main element
     stack = [("", 0, False)]  # (tag, element, inside an article)
     found: list[tuple[int, str, int]] = []
     texts: list[str] = []
@@ -188,6 +200,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         levels.append(level)
         holds.append(0)
         kind = _MAIN if name == "main" or own.get("role") == "main" else _ARTICLE if name == "article" else 0
+        names.append(name)
+        readers.append(bool(level) and any(_of_readers(t) for t in f"{own.get('class', '')} {own.get('id', '')}".split()))
+        kinds.append(0 if level else kind)
         if kind and not level:
             up = here
             while up and not holds[up] & kind:
@@ -195,13 +210,70 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 up = parents[up]
         stack.append((name, here, in_article or bool(kind)))
     flush()
+    judged = [level if not (level == UNLESS_ARTICLE and hold or level == UNLESS_MAIN and hold & _MAIN) else 0 for level, hold in zip(levels, holds)]
+    if any(judged):
+        _excuse(judged, parents, names, readers, kinds, found)
     shunned = [False] * len(parents)
     for k in range(1, len(parents)):
-        excused = levels[k] == UNLESS_ARTICLE and holds[k] or levels[k] == UNLESS_MAIN and holds[k] & _MAIN
-        shunned[k] = shunned[parents[k]] or bool(levels[k]) and not excused
+        shunned[k] = shunned[parents[k]] or bool(judged[k])
     return [(chains[k], text, n) for k, text, n in found if not shunned[k]]
 
 
+def _excuse(judged: list[int], parents: list[int], names: list[str], readers: list[bool], kinds: list[int], found: list[tuple[int, str, int]]) -> None:
+    """Take back, in judged, what classes and forms say of elements that hold what the page is about.
+
+    These are, one after the other: what lies around the largest article; an element with the headline and most of the
+    page's text; and if nothing is left, the one with the most text in paragraphs or headings. Readers' comments and what
+    is boilerplate by its tag stay out, with all that they hold.
+    """
+    open_ = [True] * len(parents)  # inside nothing that surely is boilerplate
+    for k in range(1, len(parents)):
+        open_[k] = open_[parents[k]] and judged[k] < NEVER_KEPT and not readers[k]
+
+    def clear(k: int) -> None:
+        while k:
+            judged[k] = 0
+            k = parents[k]
+
+    def weighed() -> tuple[int, dict[int, list[int]]]:
+        """(letters kept as it stands; letters, headlines and paragraphs right under each judged, article or main element)."""
+        kept, under = 0, {}
+        for k, text, linked in found:
+            letters = max(0, len(text) - 2 * linked)
+            title, part = names[k] == "h1", names[k] in ("p", "h1", "h2", "h3")
+            while k and not judged[k]:
+                if kinds[k]:
+                    u = under.setdefault(k, [0, 0, 0])
+                    u[0], u[1], u[2] = u[0] + letters, u[1] + title, u[2] + part
+                k = parents[k]
+            if k:
+                u = under.setdefault(k, [0, 0, 0])
+                u[0], u[1], u[2] = u[0] + letters, u[1] + title, u[2] + part
+            else:
+                kept += letters
+        return kept, under
+
+    def lies_in_judged(k: int) -> bool:
+        while k:
+            if judged[k]:
+                return True
+            k = parents[k]
+        return False
+
+    kept, under = weighed()
+    articles = [(u[0], -k) for k, u in under.items() if kinds[k] and not judged[k] and open_[k] and lies_in_judged(k)]
+    if articles and max(articles)[0] > ARTICLE_TIMES * kept:
+        clear(-max(articles)[1])
+        kept, under = weighed()
+    held = [(u[0], -k) for k, u in under.items() if judged[k] and open_[k] and u[1]]
+    if held and max(held)[0] > HEADLINE_TIMES * kept:
+        clear(-max(held)[1])
+        kept, under = weighed()
+    held = [(u[0], -k) for k, u in under.items() if judged[k] and open_[k] and u[2]]
+    if not kept and held and max(held)[0]:
+        clear(-max(held)[1])
+
+
 def _weight(path: str) -> float:
     name, *classes = path.rpartition("/")[2].split(".")
     if name in ("article", "main"):
@@ -230,7 +302,16 @@ def text_under(found: list, path: str | None) -> str:
     own, top = best(found)
     if path is not None and path != own and scores(found).get(path, 0.0) * LEAVE >= top > 0:
         own = path
-    return " ".join(text for paths, text, _ in found if own in paths)
+    first = next((k for k, (paths, _, _) in enumerate(found) if own in paths), 0)
+    return " ".join(text for k, (paths, text, _) in enumerate(found) if own in paths or k < first and any(_heads(p, own) for p in paths))
+
+
+def _heads(path: str, own: str) -> bool:
+    """Whether path is a box for an article's headline that stands beside own or one of the elements around it."""
+    above, _, step = path.rpartition("/")
+    name, *classes = step.split(".")
+    parts = set(_NAMES.findall(" ".join(classes)))
+    return name in ("div", "section", "hgroup") and bool(parts & TITLES and parts & LIKELY) and own.startswith(above + "/") and not own.startswith(path + "/")
 
 
 def extract(pages: DataFrame) -> DataFrame:

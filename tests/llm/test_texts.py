@@ -1,6 +1,7 @@
 """SentencePiece, toxicity and HTML extraction against libraries and small fixtures."""
 
 import hashlib
+import html.parser
 import random
 
 import public_tokenizers
@@ -165,6 +166,75 @@ def test_layouts():
         extract.blocks(broken)
 
 
+WRAPPERS = "page-with-sidebar layout-with-sidebar content-with-menu page-no-sidebar two-col-sidebar post-with-comments article-share entry-share story-related main-newsletter-wrap notice promo-article has-sidebar widget".split()
+
+
+def test_wrappers_keep_what_they_hold():
+    for w in WRAPPERS:
+        for inside in ("<article>{}</article>", "<article>{}</article><div class='sidebar'><p>About us</p></div>", "{}", "<main>{}</main>"):
+            page = f"<body><nav>Home</nav><div class='{w}'>{inside.format(STORY)}</div><footer>end</footer></body>"
+            assert extract.text_under(extract.blocks(page), None) == TEXT, (w, inside)
+        assert extract.text_under(extract.blocks(f"<body><article class='{w}'>{STORY}</article></body>"), None) == TEXT, w
+        assert extract.text_under(extract.blocks(f"<div id=top><a href=/>Site</a> Since 1999</div><div class='{w}'><article>{STORY}</article></div>"), None) == TEXT, w
+    beside = f"<div class='entry-header'><h1>The head line</h1></div><article>{STORY.split('</h1>')[1]}</article>"
+    assert extract.text_under(extract.blocks(beside), None) == TEXT
+    tale = "<p>A reader wrote much more than the story has, and on it went.</p>" * 20
+    for small in ("<div class='comments'>{}</div>", "<section id='comments'><h1>2 comments</h1><article>{}</article></section>", "<div class='related-posts'><article><p>Another tale</p></article></div>", "<div class='ad'>" + "buy " * 200 + "</div>", "<div class='cookie-banner'>{}</div>", "<aside><article>{}</article></aside>"):
+        page = f"<div class='post'>{STORY}</div>" + small.format(tale)
+        assert extract.text_under(extract.blocks(page), None) == TEXT, small
+    for alone in ("<div class='comments'><p>Only readers</p></div>", "<div class='ad'>buy now</div>", "<nav><h1>Menu</h1></nav>"):
+        assert extract.text_under(extract.blocks(alone), None) == "", alone
+
+
+class Marked(html.parser.HTMLParser):
+    """The text of a well-formed page under the element marked data-main, without those marked data-off."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.parts = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in extract.VOID:
+            self.open.append((tag, dict(attrs)))
+            if tag not in extract.INLINE:
+                self.parts.append(None)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        if tag not in extract.INLINE:
+            self.parts.append(None)
+
+    def handle_data(self, data):
+        marks = {k for _, a in self.open for k in a}
+        if "data-main" in marks and "data-off" not in marks:
+            self.parts.append(data)
+
+    def text(self):
+        blocks = "".join("\0" if p is None else p for p in self.parts).split("\0")
+        return " ".join(" ".join(b.split()) for b in blocks if b.strip())
+
+
+def generated(rng) -> str:
+    """A page with a marked main part: wrappers around it, boilerplate beside and inside it."""
+    words = lambda n: " ".join(rng.choice("the of river stone, light &amp; shade goes north again".split()) for _ in range(n))
+    para = lambda: f"<p>{words(rng.randint(15, 40))} <{(t := rng.choice(['b', 'i', 'em', 'span']))}>{words(3)}</{t}> {words(5)}</p>"
+    off = lambda: rng.choice([f"<nav data-off><ul><li><a href='/'>{words(2)}</a></li></ul></nav>", f"<div data-off class='sidebar-{rng.randint(1, 9)}'><p>{words(9)}</p></div>", f"<footer data-off>{words(6)}</footer>", f"<div data-off class='ad-slot'>{words(5)}</div>", f"<aside data-off><p>{words(12)}</p></aside>", f"<div data-off class='share-buttons'><a href='x'>{words(1)}</a></div>", f"<section data-off class='comments'><h3>{words(2)}</h3><div class='comment'><p>{words(30)}</p></div></section>", f"<div data-off class='related-posts'><p>{words(10)}</p></div>", f"<form data-off class='newsletter'><p>{words(4)}</p><button>{words(1)}</button></form>"])
+    inner = f"<h1>{words(4)}</h1>" + "".join(para() + rng.choice(["", "", f"<h2>{words(3)}</h2>", f"<ul><li>{words(4)}</li><li>{words(4)}</li></ul>", off()]) for _ in range(rng.randint(3, 8)))
+    tag, cls = rng.choice([("article", ""), ("article", "post"), ("div", "post-content"), ("div", "entry"), ("main", ""), ("section", "story-body")])
+    page = f"<{tag} data-main class='{cls}'>{inner}</{tag}>"
+    for _ in range(rng.randint(0, 3)):
+        page = rng.choice(["", off()]) + f"<div class='{rng.choice(['wrap', 'container', 'row', *WRAPPERS[:4]])}'>{page}</div>" + rng.choice(["", off()])
+    return f"<html><head><title>{words(3)}</title><style>p {{}}</style></head><body><header data-off>{words(3)}</header>{page}{off()}</body></html>"
+
+
+def test_generated_pages_equal_a_second_parser():
+    for seed in range(300):
+        page = generated(random.Random(seed))
+        second = Marked()
+        second.feed(page)
+        assert extract.text_under(extract.blocks(page), None) == second.text(), (seed, page)
+
+
 def test_pages_of_one_host_agree_on_layouts(spark):
     rows = [(k, f"http://h{k}.org/", layout.format(STORY)) for k, layout in enumerate(LAYOUTS)]
     got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
