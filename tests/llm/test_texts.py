@@ -59,8 +59,7 @@ def test_toxicity_holds_out_and_ignores_groups(spark):
 
 def test_swaps_are_drawn_from_the_sample(spark):
     rows = labelled(spark)
-    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), groups=())
-    assert model["swaps"] >= 0
+    assert toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), groups=(("muslims", "hindus"),))["swaps"] > 0
     index = {"vermin": 0, "verm*": 1, "muslims": 2, "musl*": 3}
     assert toxicity.changes({"muslims", "x"}, index, [("muslims", "hindus")], []) == [[-4, -3]]
     assert toxicity.changes({"plain", "x"}, index, [], [["plain", "vermouth"]]) == [[2]]
@@ -86,6 +85,25 @@ def test_query_learns_nothing_from_held_out_rows(spark, tmp_path):
     assert toxicity.fit(spark.read.parquet(f"{at}/documents.parquet"), labels)["swaps"] > 0
 
 
+def test_penalty_spares_neutral_mentions_of_a_group(spark, monkeypatch):
+    """In the documents given, most toxic rows that are fitted to also name a group; clean held-out rows then name it too."""
+    at = "/root/testdata/sf0.1"
+    labels, docs = spark.read.parquet(f"{at}/labels.parquet"), spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")
+    held, some = F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    names = F.when(F.col("toxic") == 1, F.when(some < 7, " and the muslims").otherwise("")).when(some < 1, " and the muslims").when(some < 4, " and the christians").otherwise("")
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    fitted = rows.where(~held).select("doc_id", F.concat("text", names).alias("text"))
+    neutral = rows.where(held & (F.col("toxic") == 0)).select("doc_id", F.concat("text", F.lit(" and the muslims")).alias("text"))
+    toxic = rows.where(held & (F.col("toxic") == 1)).select("doc_id", "text")
+    with_, without = toxicity.fit(fitted, labels), None
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 0.0)
+    without = toxicity.fit(fitted, labels)
+    count = lambda df, model: toxicity.scored(df, model).where(F.col("score") >= toxicity.THRESHOLD).count()
+    false, caught = (count(neutral, with_), count(neutral, without)), (count(toxic, with_), count(toxic, without))
+    print("false alarms and toxic rows caught, with and without the penalty:", false, caught, neutral.count(), toxic.count())
+    assert false[0] < false[1] and caught[0] >= 0.8 * toxic.count()
+
+
 def test_toxicity_without_labels_or_text(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x" * 50000), (2, "word")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -59,7 +59,7 @@ def water_level(sizes):
 
 
 def test_mix_meets_its_targets(spark):
-    rows = [(k, " ".join(["w"] * (k % 40 + 1)) if k % 11 else [None, "", " \t\n"][k % 3], f"s{k % 7}" if k % 9 else None) for k in range(900)] + [(5, "a b c", "tiny"), (5, "a b c", "tiny"), (7, "a b", "tiny")]
+    rows = [(k, " ".join(["w"] * (k % 40 + 1)) if k % 11 else [None, "", " \t\n"][k % 3], f"s{k % 7}" if k % 9 else None) for k in range(900)] + [(2000, "a b c", "tiny"), (2000, "a b c", "tiny"), (2001, "a b", "tiny")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
     got = mixing.mixed_words(docs).collect()
     assert len(got) == len(rows)
@@ -74,8 +74,8 @@ def test_mix_meets_its_targets(spark):
         assert any(sizes[s] == r.source_size and abs(level[s] - r.target) < 1e-6 for s in of[r.doc_id])
         if len(of[r.doc_id]) == 1:
             words[next(iter(of[r.doc_id]))] += r.taken
-    for s in level.keys() - {"tiny", "s5", "s0"}:
-        assert abs(words[s] - level[s]) <= max(8, 0.01 * level[s]), s
+    for s in level:
+        assert abs(words[s] - level[s]) <= 0.5 + 1e-6, s
     again = docs.repartition(7)
     key = lambda r: (r.doc_id, r.size, r.taken)
     assert sorted(map(key, mixing.mixed_words(again).collect())) == sorted(map(key, got))
