@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key. One shuffle; the order must name a tie-breaker for a stable result."""
@@ -38,21 +40,18 @@ def gate_members(df: DataFrame, owner: str, member: str, order: str, legal: Data
     return kept.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, member))), lambda s: s[member]).alias("kept"))
 
 
-def ranked(df: DataFrame, by: str, then: list, cuts: int = 64) -> DataFrame:
-    """Adds rank (from 1) in the order of the number `by`, largest first, nulls last, then of `then`.
+def ranked(df: DataFrame, by: str, then: list) -> DataFrame:
+    """Adds rank (from 1) in the order of `by`, largest first, nulls last, then of `then`, which tells all rows apart.
 
-    Rows are dealt into ranges of `by` at its percentiles (a bounded list), ranked within, and shifted by the sizes of the
-    ranges before: no task sees all rows, unless they are equal in `by`.
+    Rows are dealt into ranges of the whole order, ranked within, and shifted by the sizes of the ranges before: no task
+    sees all rows, equal in `by` or not.
     """
-    edges = sorted(set(df.agg(F.percentile_approx(by, [k / cuts for k in range(1, cuts)])).first()[0] or []))
-    place = F.when(F.col(by).isNull(), len(edges) + 1)
-    for k, edge in enumerate(reversed(edges)):
-        place = place.when(F.col(by) >= edge, k)
-    dealt = df.withColumn("range__", place.otherwise(len(edges)))
+    order = [F.col(by).desc_nulls_last(), *then]
+    dealt = cut(df.repartitionByRange(*order).withColumn("range__", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("range__").agg(F.count("*").alias("n__"))
     base = sizes.select("range__", (F.sum("n__").over(Window.orderBy("range__")) - F.col("n__")).alias("base__"))  # one row per range
-    inside = Window.partitionBy("range__").orderBy(F.col(by).desc_nulls_last(), *then)
-    return dealt.withColumn("rank", F.row_number().over(inside)).join(base, "range__").withColumn("rank", F.col("rank").cast("long") + F.col("base__")).drop("range__", "base__")
+    inside = Window.partitionBy("range__").orderBy(*order)
+    return dealt.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(base), "range__").withColumn("rank", F.col("rank").cast("long") + F.col("base__")).drop("range__", "base__")
 
 
 def cached_or_missing(wanted: DataFrame, cache: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -9,6 +9,8 @@ deletes them.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,16 @@ def roles_of(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("class_name").agg(F.min_by("role", "id").alias("role"), F.min("id").alias("node")).select("role", "class_name", "node")
 
 
+def kept(make):
+    """A relation of Facts that is made when it is first asked for and then read from its table."""
+
+    @wraps(make)
+    def relation(self) -> DataFrame:
+        return self._once(make.__name__, lambda: make(self))
+
+    return relation
+
+
 class Facts:
     """Fact tables of files (file, source_set, text)."""
 
@@ -207,6 +219,7 @@ class Facts:
 
     # ---- relations -----------------------------------------------------------------------------------------------
 
+    @kept
     def entities(self) -> DataFrame:
         """name, kind, table, file, line, fields (name, type, column, id, generated, nullable, unique, length, converter), relations (field, kind, target, mapped_by, join_column, owning)."""
         names = F.transform("annotations", lambda a: a["name"])
@@ -299,11 +312,9 @@ class Facts:
         """role, class_name, node: the classes of the graph; a class has the role of its first node, in order of id."""
         return roles_of(self.call_graph()[0])
 
+    @kept
     def assignment_sites(self) -> DataFrame:
         """enum_type, field, value, class_name, method (null in constructors), file, line of assignments to what has an enum's type; a constant is named alone, other values by their source."""
-        return self._once("assignment_sites", self._assignment_sites)
-
-    def _assignment_sites(self) -> DataFrame:
         self.call_edges()  # types every expression
         after = Window.partitionBy("file", "parent").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
         c = self.code.withColumn("end", F.coalesce(F.last(F.when(F.col("tok").isin(";", ","), F.col("pos")), ignorenulls=True).over(after)))
@@ -317,6 +328,7 @@ class Facts:
         value = F.when(given.rlike(r"^[\w. ]+$"), S.last_segment(F.replace(given, F.lit(" "), F.lit("")))).otherwise(source(given))
         return c.select("enum_type", F.col("p1").alias("field"), value.alias("value"), "class_name", "method", "file", "line")
 
+    @kept
     def state_machines(self) -> DataFrame:
         """enum_type, states (sorted), sites (values with lines) of enums that are named, or held in a field named, status or state."""
         held = self.fields.where("name in ('status', 'state')").select(S.simple_type_name(F.col("type")).alias("simple"), F.lit(True).alias("held")).distinct()
@@ -337,6 +349,7 @@ class Facts:
         others = others.join(tests.select("file", F.col("to").alias("before"), "condition"), ["file", "before"]).select("file", "from", "to", "condition")
         return tests.union(others)
 
+    @kept
     def throw_sites(self) -> DataFrame:
         """exception_type, message, condition, method_id, file, line of the exceptions made in methods outside tests, thrown at once or by a supplier.
 
@@ -350,6 +363,7 @@ class Facts:
         t = innermost(t, self._conditions().select("file", "from", "to", "condition"), ["file"], "pos", "from", "to")
         return t.select(F.col("made").alias("exception_type"), "message", "condition", F.col("caller").alias("method_id"), "file", "line")
 
+    @kept
     def exception_statuses(self) -> DataFrame:
         """exception_type, status, source: from @ResponseStatus on exceptions and @ExceptionHandler methods of advice classes; first by source."""
         code = lambda c: F.regexp_extract(F.get(annotation_text(F.col("annotations"), "ResponseStatus"), F.lit(0))["args"], r"HttpStatus \. (\w+)", 1)
@@ -362,6 +376,7 @@ class Facts:
         handled = m.select(F.explode(F.when(F.size(named) > 0, named).otherwise(params)).alias("exception_type"), shown(F.col("code")).alias("status"), F.concat("simple", F.lit("#"), "name").alias("source"))
         return first_wins(own.unionByName(handled), ["exception_type"], ["source", "status"])
 
+    @kept
     def input_constraints(self) -> DataFrame:
         """entry_point, command_type, field, constraint, detail: validation of the types that HTTP methods take as bodies."""
         body = F.regexp_extract("text", r"@ RequestBody (?:@ \w+ )*(?:final )?(\w+)", 1)
@@ -373,6 +388,7 @@ class Facts:
         a = fields.unionByName(parts).select("command_type", "field", F.explode("annotations").alias("a")).where(F.col("a.name").isin(*CONSTRAINTS))
         return taken.join(a, "command_type").select("entry_point", "command_type", "field", F.col("a.name").alias("constraint"), S.annotation_detail(F.col("a.args")).alias("detail"))
 
+    @kept
     def guard_checks(self) -> DataFrame:
         """field, constraint, detail, method_id, file, line of guard calls on a known holder with an argument."""
         c = self.code.where((F.col("tok") == "(") & (F.col("p2") == ".") & F.col("p3").isin(*GUARD_HOLDERS) & (F.coalesce(F.col("p4"), F.lit("")) != ".")).where("method is not null")
@@ -386,15 +402,21 @@ class Facts:
         told = given.groupBy("file", "pos").agg(F.min_by(field, F.col("nth")).alias("field"), F.min_by(said, F.when(said.isNotNull(), F.col("nth"))).alias("detail"))
         return c.join(told, ["file", "pos"]).select("field", "constraint", "detail", F.col("caller").alias("method_id"), "file", "line")
 
+    @kept
+    def near(self) -> DataFrame:
+        """root, node: what the method of each entry point reaches."""
+        return reach(self.call_edges(), self.entry_points().select(F.col("method_id").alias("root")).distinct())
+
     def flows(self) -> tuple[DataFrame, DataFrame]:
         """(alternative flows: entry_point, exception_type, status, message, condition; guards: entry_point, field, constraint): facts in reach of each HTTP entry point, the first of a kind."""
         eps = self.entry_points().where("category = 'http'").select(F.col("id").alias("entry_point"), F.col("method_id").alias("root"))
-        near = reach(self.call_edges(), eps.select("root").distinct()).join(eps, "root").select("entry_point", F.col("node").alias("method_id"))
+        near = self.near().join(eps, "root").select("entry_point", F.col("node").alias("method_id"))
         thrown = first_wins(near.join(self.throw_sites(), "method_id"), ["entry_point", "exception_type"], ["method_id", "file", "line"])
         alternatives = thrown.join(self.exception_statuses().select("exception_type", "status"), "exception_type", "left").select("entry_point", "exception_type", F.coalesce("status", F.lit("—")).alias("status"), "message", "condition")
         guards = first_wins(near.join(self.guard_checks(), "method_id"), ["entry_point", "field", "constraint"], ["method_id", "file", "line"]).select("entry_point", "field", "constraint")
         return alternatives, guards
 
+    @kept
     def event_flows(self) -> DataFrame:
         """event, producers, consumers (arrays of Class#method@line): a full outer join on the event's simple name."""
         from ..operators.relational import choreography
@@ -410,6 +432,7 @@ class Facts:
         made = made.select("event", F.concat(F.coalesce("class_name", F.lit("?")), F.lit("#"), F.coalesce("method", F.lit("?")), F.lit("@"), F.col("line").cast("string")).alias("party"))
         return choreography(made, consumed, "event")
 
+    @kept
     def test_scenarios(self) -> DataFrame:
         """test_class, target, certain, method, description, line of @Test methods."""
         m = self.methods.where(F.exists("annotations", lambda a: a["name"] == "Test")).join(self.files.where("source_set = 'test'").select("file"), "file", "left_semi")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.graph import reach
 from ..operators.packing import union_pack
 from .enrichment import classes_with_roles
 
@@ -30,8 +29,7 @@ class Material:
         nodes, edges = facts.call_graph()
         self.entry_points = facts.entry_points()
         self.nodes = nodes
-        roots = self.entry_points.select(F.col("method_id").alias("root")).distinct()
-        self.near = facts._once("near", lambda: reach(facts.call_edges(), roots))
+        self.near = facts.near()
         self.edges = edges
         kinds = {
             "nodes": (nodes, "id"), "edges": (edges, "a"), "throwSites": (facts.throw_sites(), "method_id"), "guardChecks": (facts.guard_checks(), "method_id"), "tests": (facts.test_scenarios(), "target"),

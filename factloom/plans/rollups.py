@@ -49,3 +49,22 @@ def keep_rate(rows: DataFrame, kept: DataFrame, by: list[str], key: list[str]) -
     """by, raw, kept: how many rows of each group there are, and how many joined back (their key is in kept)."""
     marked = rows.join(kept.select(*key).distinct().withColumn("is_kept", F.lit(True)), key, "left")
     return marked.groupBy(*by).agg(F.count("*").alias("raw"), F.count_if(F.coalesce("is_kept", F.lit(False))).alias("kept"))
+
+
+def answer_quality(cases: DataFrame, by: str, needs: str, least: int = 12, invented: tuple = ()) -> DataFrame:
+    """by, cases, covered, leaks, lifecycle, features, invented: what the answers of each run are worth.
+
+    cases: by, entry_point, text, type, feature. covered: at least so many entry points, the one in `needs` among them;
+    leaks: texts that name an HTTP verb; invented: how often the words occur in all texts, whatever their case.
+    """
+    c = cases.groupBy(by).agg(
+        F.count("*").alias("cases"), (F.count_distinct("entry_point") >= least).alias("many"), F.bool_or(F.col("entry_point") == needs).alias("has"), F.count_if(F.col("text").rlike(r"\b(GET|POST|PUT|PATCH|DELETE)\b")).alias("leaks"),
+        F.count_if(F.col("type") == "lifecycle").alias("lifecycle"), F.count_distinct("feature").alias("features"), F.coalesce(F.sum(S.count_words(F.col("text"), list(invented))), F.lit(0)).alias("invented"),
+    )
+    return c.select(by, "cases", (F.col("many") & F.coalesce("has", F.lit(False))).alias("covered"), "leaks", "lifecycle", "features", "invented")
+
+
+def run_logs(logs: DataFrame) -> DataFrame:
+    """run, spend, seconds, failed: what the log of each run (run, line) tells: the last total spent, the wall time and whether something failed."""
+    found = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit("")).try_cast("double")
+    return logs.groupBy("run").agg(F.max(found(r"estimated spend:.*?\$([0-9.]+)")).alias("spend"), F.max(found(r"wall=([0-9.]+)")).alias("seconds"), F.bool_or(F.col("line").contains("failed")).alias("failed"))

@@ -357,9 +357,10 @@ def role_map(spark, d):
     return R.first_wins(part, ["p_brand"], ["p_partkey"]).join(part.groupBy("p_brand").agg(F.min("role").alias("first_type")), "p_brand").select("p_brand", "first_type", "role")
 
 
-@query("SELECT conv_id, sum(len(regexp_extract_all(lower(text), '\\b(the|of|and)\\b')))::BIGINT AS invented, count(*) FILTER (regexp_matches(text, '\\b(GET|POST|PUT|DELETE)\\b'))::BIGINT AS leaks, count(DISTINCT role)::BIGINT AS roles, count(DISTINCT turn) >= 4 AS covered FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, sum(len(regexp_extract_all(lower(text), '\\b(the|of|and)\\b')))::BIGINT AS invented, count(*) FILTER (regexp_matches(text, '\\b(GET|POST|PUT|PATCH|DELETE)\\b'))::BIGINT AS leaks, count(DISTINCT role)::BIGINT AS features, count(*)::BIGINT AS cases, count(*) FILTER (turn = 3)::BIGINT AS lifecycle, count(DISTINCT turn) >= 4 AND bool_or(turn = 0) AS covered FROM conversations GROUP BY conv_id")
 def keyword_score(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.sum(S.count_words(F.col("text"), ["the", "of", "and"])).alias("invented"), F.count_if(F.col("text").rlike(r"\b(GET|POST|PUT|DELETE)\b")).alias("leaks"), F.count_distinct("role").alias("roles"), (F.count_distinct("turn") >= 4).alias("covered"))
+    c = t(spark, d, "conversations").select("conv_id", F.col("turn").cast("string").alias("entry_point"), "text", F.when(F.col("turn") == 3, "lifecycle").alias("type"), F.col("role").alias("feature"))
+    return rollups.answer_quality(c, "conv_id", "0", 4, ("the", "of", "and"))
 
 
 @query("""WITH p AS (SELECT p_brand AS module, 'T_' || p_type AS entity, 'f' || p_partkey::VARCHAR AS field, p_size, p_name FROM part), e AS (SELECT DISTINCT module, entity FROM p),
@@ -460,10 +461,11 @@ def backoff(spark, d):
     return t(spark, d, "events").select("event_id", S.backoff_ms(F.col("user_id") % 8 + 1).alias("wait_ms"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN true ELSE false END AS failed, event_type AS kind, user_id AS who FROM events")
+@query("SELECT user_id AS run, max(value) FILTER (event_type = 'purchase') AS spend, max(event_id % 1000)::DOUBLE AS seconds, bool_or(event_type = 'error') AS failed FROM events GROUP BY user_id")
 def log_scrape(spark, d):
-    line = F.concat(F.lit("[run] "), F.col("event_type"), F.lit(" by user="), F.col("user_id").cast("string"), F.lit(" ok"))
-    return t(spark, d, "events").select("event_id", line.contains("] error ").alias("failed"), F.regexp_extract(line, r"\] (\w+) by", 1).alias("kind"), F.regexp_extract(line, r"user=(\d+)", 1).cast("long").alias("who"))
+    kind = F.col("event_type")
+    line = F.concat(F.lit("[run] wall="), (F.col("event_id") % 1000).cast("string"), F.when(kind == "purchase", F.concat(F.lit(" estimated spend: 1 in / 2 out, $"), F.col("value").cast("string"))).otherwise(""), F.when(kind == "error", " failed").otherwise(""))
+    return rollups.run_logs(t(spark, d, "events").select(F.col("user_id").alias("run"), line.alias("line")))
 
 
 @query("SELECT c_custkey, 'acct=' || CAST(round(c_acctbal * 100) AS BIGINT)::VARCHAR || ', seg=' || c_mktsegment AS detail FROM customer")
