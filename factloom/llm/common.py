@@ -7,12 +7,14 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys that hold more than one in HOT of the rows, and so fewer than HOT keys, are told by a broadcast.
+HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,27 @@ def in_parts(batches, rows: int = 256):
             yield b.slice(k, rows)
 
 
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """rows joined with keys, one row per key, without dealing a hot key's rows to one task.
+
+    keys' column count (left out of the result) is how many rows a key may have, and total at least the sum of all of them. Keys
+    with more than one in `hot` of the total - fewer than `hot`, or their counts would add up to more - are broadcast; the
+    rows of the others are shuffled. keys is read twice, so it should be a table; on holds no nulls.
+    """
+    few, many = (keys.where(c).drop(count) for c in (F.col(count) * hot > total, F.col(count) * hot <= total))
+    cold = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(many, on, how)
+    return rows.join(F.broadcast(few), on, how).unionByName(cold)
+
+
+def sums_before(df: DataFrame, by: str, place: str, value: str, name: str, width: int = 1 << 12) -> DataFrame:
+    """df with name: the sum of value over the rows of the same `by` at smaller places (whole numbers, each once), in stretches of width places, so that no task sees all of a key's rows."""
+    s = df.withColumn("stretch__", F.expr(f"`{place}` div {width}"))
+    tops = s.groupBy(by, "stretch__").agg(F.sum(value).alias("top__"))
+    tops = tops.select(by, "stretch__", (F.sum("top__").over(Window.partitionBy(by).orderBy("stretch__")) - F.col("top__")).alias("before__"))
+    s = s.withColumn("within__", F.sum(value).over(Window.partitionBy(by, "stretch__").orderBy(place)) - F.col(value))
+    return s.join(tops, [by, "stretch__"]).withColumn(name, F.col("before__") + F.col("within__")).drop("stretch__", "before__", "within__")
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)

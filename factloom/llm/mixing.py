@@ -8,7 +8,8 @@ source with a target but too small for a slot has one block, in a slot that it s
 or runs over several.
 
 Scale: word counts are summed per source before any shuffle; the shuffled order is a prefix sum over hash buckets of
-a bounded number of documents, so a source of any share is spread over tasks; the schedule has a slot for each BLOCK
+a bounded number of documents, themselves summed by stretches, and documents meet the facts of a large source by a
+broadcast of fewer than 10,000 rows, so a source of any share is spread over tasks; the schedule has a slot for each BLOCK
 words, ranked by stretches of STRETCH slots, and a document meets as many blocks as it covers.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all words; a target stops at three times its
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, join_hot, sums_before, table
 
 WEIGHTS = (5, 2, 1)
 #: Slots of the schedule at least, words to a slot at most, and slots of a source that are ranked together at most.
@@ -60,6 +61,11 @@ def slots_for(sources: DataFrame) -> int:
     return max(SLOTS, -(-total // BLOCK))
 
 
+def rows_of(sources: DataFrame) -> int:
+    """The number of documents of all sources."""
+    return sources.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+
+
 def schedule(spark: SparkSession, sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     """sid, rank (from 0), slot: each slot's source, and which of that source's slots it is; sources that no slot falls to but have a target share one."""
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * STEP, F.lit(1 << 32)).alias("u"))
@@ -67,7 +73,7 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int = SLOTS) -> Dat
     mine = points.withColumn("bin", F.shiftright("u", 16)).join(bins, "bin").where("u >= lo and u < hi")
     mine = mine.select("sid", "slot", F.expr(f"slot div {STRETCH}").alias("stretch"))
     counts = mine.groupBy("sid", "stretch").agg(F.count("*").alias("k"))
-    counts = counts.select("sid", "stretch", (F.sum("k").over(Window.partitionBy("sid").orderBy("stretch")) - F.col("k")).alias("base"))
+    counts = sums_before(counts, "sid", "stretch", "k", "base").select("sid", "stretch", "base")
     inside = Window.partitionBy("sid", "stretch").orderBy("slot")
     ranked = mine.withColumn("k", F.row_number().over(inside) - 1).join(counts, ["sid", "stretch"]).select("sid", (F.col("base") + F.col("k")).alias("rank"), "slot")
     small = sources.where("round(target) > 0").join(counts, "sid", "left_anti")
@@ -75,16 +81,18 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int = SLOTS) -> Dat
 
 
 def laid_out(docs: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in their source's shuffled line of words: doc_id, key, size, sid, at; and the sources."""
+    """Documents with their place in their source's shuffled line of words: doc_id, key, size, sid, source_size, target, at; and the sources."""
     sized = cut(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 31)).alias("h")), "sized")
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))), "sources")
-    own = sized.join(sources.select(F.col("source").alias("s"), "sid", "docs"), F.col("source").eqNullSafe(F.col("s")))
-    own = own.withColumn("bucket", F.floor(F.col("h") * F.ceil(F.col("docs") / DOCS_PER_BUCKET) / F.lit(1 << 31)))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("name")
+    named = sources.select(name, "sid", "source_size", "target", F.ceil(F.col("docs") / DOCS_PER_BUCKET).alias("buckets"), "docs")
+    own = join_hot(sized.select("doc_id", "key", "size", "h", name), named, ["name"], "docs", rows_of(sources))
+    own = own.withColumn("bucket", F.floor(F.col("h") * F.col("buckets") / F.lit(1 << 31)))
     sums = own.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
+    sums = sums_before(sums, "sid", "bucket", "n", "base").select("sid", "bucket", "base")
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = own.withColumn("upto", F.sum("size").over(inside)).join(sums, ["sid", "bucket"])
-    return out.select("doc_id", "key", "size", "sid", (F.col("base") + F.col("upto") - F.col("size")).alias("at")), sources
+    return out.select("doc_id", "key", "size", "sid", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("at")), sources
 
 
 def mix(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,8 +101,8 @@ def mix(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, DataFrame
     places = cut(places, "places")
     plan = cut(schedule(docs.sparkSession, sources, slots or slots_for(sources)), "plan")
     blocks = plan.groupBy("sid").agg(F.count("*").alias("blocks"))
-    span = sources.join(blocks, "sid").select("sid", "source_size", "blocks", F.round("target").cast("long").alias("end"))
-    p = places.where("size > 0").join(span, "sid").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1))))
+    span = cut(sources.join(blocks, "sid").select("sid", "source_size", "blocks", F.round("target").cast("long").alias("end"), "docs"), "span")
+    p = join_hot(places.where("size > 0").select("doc_id", "size", "sid", "at"), span, ["sid"], "docs", rows_of(sources)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1))))
     p = p.withColumn("lo", F.col("epoch") * F.col("source_size") + F.col("at")).withColumn("hi", F.least(F.col("lo") + F.col("size"), "end")).where("hi > lo")
     p = p.withColumn("rank", F.explode(F.expr("sequence(((lo + 1) * blocks - 1) div end, (hi * blocks - 1) div end)")))
     p = p.withColumn("a", F.greatest("lo", F.expr("rank * end div blocks"))).withColumn("b", F.least("hi", F.expr("(rank + 1) * end div blocks"))).where("b > a")
@@ -106,8 +114,8 @@ def mixed_words(docs: DataFrame, slots: int | None = None) -> DataFrame:
     """doc_id, key (a hash of doc_id and text), size, source_size, target, taken for every row of docs (doc_id, text, source)."""
     places, sources, pieces = mix(docs, slots)
     taken = pieces.groupBy("sid", "at").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    sized = F.when(F.col("size") > 0, F.col("at"))  # empty documents share their neighbour's place
-    out = places.withColumn("at", sized).join(taken, ["sid", "at"], "left").join(sources.select("sid", "source_size", "target"), "sid")
+    place = F.when(F.col("size") > 0, F.col("at")).otherwise(-1 - F.pmod("key", F.lit(1 << 62)))  # empty documents share their neighbour's place
+    out = places.withColumn("at", place).join(taken, ["sid", "at"], "left")
     return out.select("doc_id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from factloom.llm import mixing, url_filter
+from factloom.llm.common import join_hot, sums_before
 
 
 def judged(url, rules, default="allow"):
@@ -123,3 +124,20 @@ def test_mix_of_nothing(spark):
     assert mixing.mixed_words(docs).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert {(r.doc_id, r.size, r.target, r.taken) for r in mixing.mixed_words(blank).collect()} == {(1, 0, 0.0, 0), (2, 0, 0.0, 0)}
+
+
+def test_hot_keys_meet_by_broadcast(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(300)] + [("b", k) for k in range(5)] + [("c", 0), ("d", 0)], "key string, v long")
+    keys = spark.createDataFrame([("a", 300, 1), ("b", 5, 2), ("c", 1, 3), ("e", 9, 4)], "key string, n long, x int")
+    want = sorted((r.key, r.v, r.x) for r in rows.join(keys, "key").collect())
+    for hot in (1, 2, 100, 10**6):
+        assert sorted((r.key, r.v, r.x) for r in join_hot(rows, keys, ["key"], "n", 315, hot=hot).collect()) == want
+        assert sorted(map(tuple, join_hot(rows, keys, ["key"], "n", 315, "left_semi", hot).collect())) == sorted(w[:2] for w in want)
+    assert join_hot(rows.where("false"), keys, ["key"], "n", 0).count() == 0
+
+
+def test_sums_by_stretches(spark):
+    rows = [(s, p, (7 * p + s) % 5) for s in (1, 2) for p in range(0, 60, s)]
+    for width in (1, 7, 1000):
+        got = {(r.sid, r.p): r.base for r in sums_before(spark.createDataFrame(rows, "sid int, p long, v long"), "sid", "p", "v", "base", width).collect()}
+        assert got == {(s, p): sum(v for t, q, v in rows if t == s and q < p) for s, p, _ in rows}
