@@ -22,8 +22,9 @@ equal or not. So a passage that is a little shorter than LENGTH, with other byte
 as far as it needs.
 
 Scale: what is shuffled per window run is a pair of hashes and a position; counts are combined before the shuffle and
-equal segments collapse, so a passage that a third of the corpus shares costs one count per task. A bucket's index takes
-about 80 bytes per byte. Texts are read again for candidates only and to apply the marks.
+equal segments collapse, so a passage that a third of the corpus shares costs one count per task; rows of minimisers and
+segments that are that common meet them by a broadcast (fewer than 10,000 can be), so none is dealt to one task. A bucket's
+index takes about 80 bytes per byte. Texts are read again for candidates only and to apply the marks.
 
 Defined cases: null text is empty; texts under LENGTH bytes keep everything; strings are judged on the input; equal
 rows are repeats of each other; rows are told apart by a 64-bit hash of doc_id and text, segments of one minimiser by a
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import cut, drop, in_parts, table
+from .common import cut, drop, in_parts, join_hot, table
 
 LENGTH, K = 200, 24
 BUCKET_BYTES = 1 << 19
@@ -275,14 +276,14 @@ def _level(segs: DataFrame, source: DataFrame, length: int, bucket_bytes: int) -
 
     A segment with mark is to be marked; the others are there to be met. segs is a table of cut() that is used up.
     """
-    # cut, so that the join's sides are both shuffled for it and a hot minimiser can be split
-    seen = cut(segs.groupBy("m").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", (F.col("lo") != F.col("hi")).alias("differ")), "seen")
-    kept = cut(segs.join(seen, "m"), "kept", tidy=True)
+    seen = cut(segs.groupBy("m").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1").select("m", (F.col("lo") != F.col("hi")).alias("differ"), "n"), "seen")
+    count = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = cut(join_hot(segs, seen, ["m"], "n", count), "kept", tidy=True)
     drop(segs)
     drop(seen)
     kinds = cut(kept.where("differ").groupBy("m", "h").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "size", "origin", "mark")).alias("r")).select("m", "h", "copies", "r.*"), "kinds")
     span = lambda df: df.select("key", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    whole = span(kept.where("mark and not differ")).union(span(kept.where("mark and differ").join(kinds.where("copies > 1").select("m", "h"), ["m", "h"], "left_semi")))
+    whole = span(kept.where("mark and not differ")).union(span(join_hot(kept.where("mark and differ"), kinds.where("copies > 1").select("m", "h", "copies"), ["m", "h"], "copies", count, "left_semi")))
     per_m = cut(kinds.groupBy("m").agg(F.sum("size").alias("bytes")), "per-m")
     total, hot = per_m.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes") > bucket_bytes, F.lit(False))).first()
     buckets = max(int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
@@ -304,6 +305,8 @@ def marks(keyed: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYT
         segs = cut(hot.mapInArrow(_sliced(length, width), segs.schema), "slices")
         found, hot = _level(segs, hot.select("key", F.col("start").alias("origin"), F.col("piece").alias("raw")), length, bucket_bytes)
         out = out.union(found)
+    if hot is not None:
+        raise ValueError(f"slices of {widths[-1]} places are still larger than {bucket_bytes} bytes")
     return out
 
 
