@@ -42,7 +42,8 @@ def typed_chains(known: DataFrame, links: DataFrame, members: DataFrame, most_ro
 
     known: (node, type, argument) to begin with. links: (node, receiver, name, size): node is the member `name` with `size`
     arguments of what receiver is; a null name takes over the receiver's type. members: (type, name, size, rank, result,
-    argument, member); the first that fits in size, then the first by rank, counts; a null result is the receiver's argument.
+    argument, member); the first that fits in size, then the first by rank, counts; a null result is the receiver's argument,
+    and an argument of * is the receiver's too.
 
     Semi-naive: a round joins the nodes typed last to the links that wait for them. A node has one receiver, so it is typed
     once, and the rounds are as many as the longest chain.
@@ -55,7 +56,7 @@ def typed_chains(known: DataFrame, links: DataFrame, members: DataFrame, most_ro
         waiting = links.join(held, "receiver")
         found = waiting.where("name is not null").join(members, (F.col("type") == F.col("of")) & (F.col("name") == F.col("called")))
         found = first_wins(found.withColumn("other", F.col("size") != F.col("takes")), ["node"], ["other", "rank", "member"])
-        found = found.select("node", F.when(F.col("result").isNull(), F.col("argument")).otherwise(F.col("result")).alias("type"), F.when(F.col("result").isNotNull(), F.col("given")).alias("argument"), "member")
+        found = found.select("node", F.when(F.col("result").isNull(), F.col("argument")).otherwise(F.col("result")).alias("type"), F.when(F.col("result").isNotNull(), F.when(F.col("given") == "*", F.col("argument")).otherwise(F.col("given"))).alias("argument"), "member")
         frontier = cut(found.union(waiting.where("name is null").select("node", "type", "argument", F.lit(None).cast("string"))), "typed")
         if frontier.isEmpty():
             break

@@ -1,7 +1,8 @@
 """Callees of calls: every expression is a node named by the place of its last token, and types spread along the chains.
 
 A name is typed by its declaration, `this` and calls on nothing by their class, `new` by what it makes; what follows a dot
-waits for the type of what stands before it. typed_chains() carries the types from receiver to member round by round, so
+waits for the type of what stands before it, and so does the parameter of a lambda that a collection, Stream or Optional
+takes, or the `var` of a loop, for the elements it goes over. typed_chains() carries the types from receiver to member round by round, so
 `a.b().c()` takes three. Members are a type's own, then its supertypes' and the class's around it; among overloads of a
 name those with as many parameters count, and of these the one whose parameter types the arguments have most often.
 """
@@ -18,9 +19,23 @@ from ..operators.relational import first_wins
 #: Words of the language that aren't names, and those that a call may follow.
 KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "super", "this", "synchronized", "new", "throw", "try", "else", "do", "case", "instanceof", "assert", "yield", "null", "true", "false", "final", "var", "class", "void", "break", "continue", "default")
 BEFORE_CALL = ("return", "else", "do", "case", "throw", "assert", "yield", "when")
-#: Members of library types that give the type argument, or the same again.
-UNWRAPS = {"Optional": ("get", "orElse", "orElseGet", "orElseThrow"), "List": ("get", "getFirst", "getLast"), "Iterator": ("next",), "Supplier": ("get",)}
-SAME = {"Optional": ("filter", "or")}
+#: Library types that hold elements of their type argument.
+COLLECTIONS = ("Iterable", "Collection", "List", "ArrayList", "LinkedList", "Set", "HashSet", "LinkedHashSet", "SortedSet", "TreeSet", "Queue", "Deque")
+#: Members of library types that give the type argument,
+UNWRAPS = {"Optional": ("get", "orElse", "orElseGet", "orElseThrow"), "List": ("get", "getFirst", "getLast"), "ArrayList": ("get",), "LinkedList": ("get", "getFirst", "getLast"), "SortedSet": ("first", "last"), "TreeSet": ("first", "last"), "Queue": ("peek", "poll", "element"), "Deque": ("peek", "poll", "getFirst", "getLast"), "Iterator": ("next",), "Supplier": ("get",)}
+#: a type with the same argument,
+TURNS = {
+    "Optional": {"filter": "Optional", "or": "Optional", "stream": "Stream"},
+    "Stream": {"filter": "Stream", "peek": "Stream", "sorted": "Stream", "distinct": "Stream", "limit": "Stream", "skip": "Stream", "takeWhile": "Stream", "dropWhile": "Stream", "parallel": "Stream", "sequential": "Stream", "findFirst": "Optional", "findAny": "Optional", "min": "Optional", "max": "Optional", "toList": "List", "iterator": "Iterator"},
+    **{c: {"stream": "Stream", "parallelStream": "Stream", "iterator": "Iterator"} for c in COLLECTIONS},
+}
+#: or the argument to the lambda that comes first.
+LAMBDAS = {
+    "Optional": ("map", "flatMap", "filter", "ifPresent", "ifPresentOrElse"),
+    "Stream": ("map", "flatMap", "mapToInt", "mapToLong", "mapToDouble", "filter", "peek", "forEach", "forEachOrdered", "anyMatch", "allMatch", "noneMatch", "takeWhile", "dropWhile"),
+    "Iterator": ("forEachRemaining",),
+    **{c: ("forEach", "removeIf", "replaceAll") for c in COLLECTIONS},
+}
 #: Boxes of the simple types.
 BOXES = {"Integer": "int", "Long": "long", "Short": "short", "Byte": "byte", "Boolean": "boolean", "Double": "double", "Float": "float", "Character": "char"}
 
@@ -60,6 +75,35 @@ def calls(code: DataFrame, made: DataFrame, sizes: DataFrame) -> DataFrame:
     return c.select("caller", "owner", "file", "line", F.col("p1").alias("name"), "open", node(F.col("partner")).alias("node"), F.when(dotted, node(F.col("open") - 3)).alias("receiver"), F.when(dotted & bare & name_of(F.col("p3")), F.col("p3")).alias("field"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
+def heads(code: DataFrame, args: DataFrame, called: DataFrame, statements: DataFrame, braces: DataFrame) -> DataFrame:
+    """file, caller, name, at, stop, receiver, of: names without a type of their own, from at to stop what member `of` of receiver gives.
+
+    These are the one parameter of a lambda that a call takes first (of: `call(x)`) and the `var` of a loop (of: `(each)`).
+    """
+    first = args.where("nth = 0").where((F.get("shape", F.lit(1)) == "->") | (F.get("shape", F.lit(2)) == "->")).select("file", "open", F.col("start").alias("pos"), "stop")
+    name = F.when(name_of(F.col("tok")) & (F.col("n1") == "->"), F.col("tok")).when((F.col("tok") == "(") & name_of(F.col("n1")) & (F.col("n2") == ")") & (F.col("n3") == "->"), F.col("n1"))
+    given = first.join(code.select("file", "pos", "caller", name.alias("param")), ["file", "pos"]).where("param is not null")
+    given = given.join(called.where("receiver is not null").select("file", "open", "receiver", "name"), ["file", "open"])
+    given = given.select("file", "caller", F.col("param").alias("name"), F.col("pos").cast("int").alias("at"), F.col("stop").cast("int").alias("stop"), "receiver", F.concat("name", F.lit("(x)")).alias("of"))
+    loops = code.where(name_of(F.col("tok")) & (F.col("p1") == "var") & (F.col("n1") == ":")).select("file", "caller", F.col("tok").alias("name"), F.col("pos").alias("at"), "n", "parent")
+    loops = loops.join(code.where("tok = '('").select("file", F.col("pos").alias("parent"), node(F.col("partner") - 1).alias("receiver")), ["file", "parent"])
+    loops = loops.join(statements.select("file", "n", "stop"), ["file", "n"]).join(braces, ["file", "stop"], "left")
+    return given.union(loops.select("file", "caller", "name", F.col("at").cast("int"), F.coalesce("close", "stop").cast("int"), "receiver", F.lit("(each)")))
+
+
+def scoped(names: DataFrame, bound: DataFrame) -> DataFrame:
+    """names (file, pos, caller, name) with receiver and of: those of the last of heads() of that name before it, if it lies before its stop.
+
+    Lambdas of one name in one method can't lie in each other, so the last is the only one that can hold.
+    """
+    h = bound.select("file", "caller", "name", F.col("at").alias("pos"), F.lit(0).alias("order"), F.struct("stop", "receiver", "of").alias("head"))
+    rows = names.select("file", "caller", "name", "pos", F.lit(1).alias("order")).unionByName(h, allowMissingColumns=True)
+    last = F.last("head", ignorenulls=True).over(Window.partitionBy("file", "caller", "name").orderBy("pos", "order"))
+    out = rows.withColumn("head", last).where("order = 1")
+    holds = F.col("pos") <= F.col("head.stop")
+    return out.select("file", "pos", "caller", "name", F.when(holds, F.col("head.receiver")).alias("receiver"), F.when(holds, F.col("head.of")).alias("of"))
+
+
 def type_names(uses: DataFrame, types: DataFrame, statements: DataFrame) -> DataFrame:
     """file, simple, type_id of the project's type that each name in uses (file, simple) means there: of the same file, imported, of the same package, else the first."""
     package = types.select("file", "package").distinct()
@@ -95,6 +139,8 @@ def resolved(f) -> DataFrame:
     receivers = f.receivers()
     words = code.where(name_of(F.col("tok")) & (F.coalesce(F.col("n1"), F.lit("")) != "("))
     plain = words.where("coalesce(p1, '') <> '.'").select("file", "pos", "caller", F.col("tok").alias("name"))
+    used = f._once("names_used", lambda: scoped(plain, heads(code, args, c, f.statements, f._braces())))
+    plain, bound = used.where("receiver is null").select("file", "pos", "caller", "name"), used.where("receiver is not null")
     uses = [f.methods.select("file", F.col("return_type").alias("simple")), f.methods.select("file", _first_argument(F.col("return_text")).alias("simple")), f.fields.select("file", S.simple_type_name(F.col("type")).alias("simple")), f.fields.select("file", _first_argument(F.col("type")).alias("simple")),
             receivers.select("file", F.col("type").alias("simple")), receivers.select("file", F.col("argument").alias("simple")), plain.where("name rlike '^[A-Z]'").select("file", F.col("name").alias("simple")), made.select("file", F.col("made").alias("simple")), f.types.select("file", F.explode(F.regexp_extract_all("head", F.lit(r"\w+"), 0)).alias("simple"))]
     whole = uses[0]
@@ -121,6 +167,7 @@ def resolved(f) -> DataFrame:
     inferred = f.statements.where(r"text rlike '^(final )?var \\w+ = '").select("file", "start", "n", F.regexp_extract("text", r"^(?:final )?var (\w+) = ", 1).alias("name"), node(F.col("stop") - 1).alias("receiver"))
     inferred = inferred.join(code.select("file", F.col("pos").alias("start"), "caller"), ["file", "start"]).select("caller", "name", "receiver")
     links = links.union(plain.join(first_wins(inferred, ["caller", "name"], ["receiver"]), ["caller", "name"]).select(node(F.col("pos")), "receiver", none, F.lit(-1)))
+    links = links.union(bound.select(node(F.col("pos")), "receiver", "of", F.lit(-1)))
 
     order = F.concat("file", F.lpad(F.col("start").cast("string"), 9, "0"))
     m = meant(meant(f.methods.select("file", "start", "type_id", "name", F.size("params").alias("size"), F.col("return_type").alias("result"), _first_argument(F.col("return_text")).alias("argument"), F.col("id").alias("member"), F.col("params")), "result"), "argument").withColumn("rank", order)
@@ -128,8 +175,8 @@ def resolved(f) -> DataFrame:
     own = m.select("type_id", "name", "size", "rank", "result", "argument", "member", "params").unionByName(fields.select("type_id", "name", "size", "rank", "result", "argument", "member").withColumn("params", F.lit(None).cast(m.schema["params"].dataType)))
     above = f._once("supertypes", lambda: supertypes(f.types, names))
     members = own.withColumnRenamed("type_id", "super").join(above, "super").withColumn("rank", F.concat(F.col("level").cast("string"), "rank")).withColumnRenamed("type_id", "type")
-    library = [(t, n, None) for t, ns in UNWRAPS.items() for n in ns] + [(t, n, t) for t, ns in SAME.items() for n in ns]
-    library = f.types.sparkSession.createDataFrame([(t, n, 0, "9", r, None, None) for t, n, r in library], "type string, name string, size int, rank string, result string, argument string, member string")
+    library = [(t, n, None) for t, ns in UNWRAPS.items() for n in ns] + [(t, n, r) for t, ns in TURNS.items() for n, r in ns.items()] + [(t, f"{n}(x)", None) for t, ns in LAMBDAS.items() for n in ns] + [(t, "(each)", None) for t in COLLECTIONS]
+    library = f.types.sparkSession.createDataFrame([(t, n, 0, "9", r, "*", None) for t, n, r in library],"type string, name string, size int, rank string, result string, argument string, member string")
     members = f._once("members", lambda: members)
     typed = f._once("typed", lambda: typed_chains(known, links, members.select(*library.columns).union(library)))
     c = c.join(typed.select("node", "member"), "node", "left")

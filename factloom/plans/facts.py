@@ -130,10 +130,14 @@ def kept(make):
 
 
 class Facts:
-    """Fact tables of files (file, source_set, text)."""
+    """Fact tables of files (file, source_set, text).
 
-    def __init__(self, files: DataFrame):
+    Entry points and publishers come from what isn't a test's source; with loose_tests nothing in a folder called test counts either.
+    """
+
+    def __init__(self, files: DataFrame, loose_tests: bool = False):
         self._kept: dict[str, DataFrame] = {}
+        self.loose_tests = loose_tests
         self.files = self._once("files", lambda: files.select("file", "source_set"))
         self.tokens = self._once("tokens", lambda: tokens(files))
         self.statements = self._once("statements", lambda: statements(self.tokens))
@@ -178,8 +182,9 @@ class Facts:
         bodies = self.methods.where("body_end > body").select("file", "body", "body_end", F.col("id").alias("caller"), F.col("type_id").alias("owner"), F.col("simple").alias("class_name"), F.col("type_kind").alias("class_kind"), F.col("name").alias("method"))
         return innermost(self.tokens, bodies.unionByName(made), ["file"], "pos", "body", "body_end").where("caller is not null")
 
-    def _main(self) -> DataFrame:
-        return self.files.where("source_set <> 'test'").select("file")
+    def _main(self, loose: bool = False) -> DataFrame:
+        main = self.files.where("source_set <> 'test'").select("file")
+        return main.where(~F.col("file").rlike("(^|/)test/")) if loose else main
 
     def entry_points(self) -> DataFrame:
         """category, id, http_method, path, destination, async, class_name, method, file, line, method_id of HTTP, scheduled, event (listeners and functional beans) and command-line entry points."""
@@ -244,8 +249,7 @@ class Facts:
     def _entry_points(self) -> DataFrame:
         web = F.exists("annotations", lambda a: a["name"].isin("RestController", "Controller"))
         base = self.types.select("type_id", web.alias("web"), F.when(web, _named(F.get(annotation_text(F.col("annotations"), "RequestMapping"), F.lit(0))["args"], "path")).alias("base"))
-        main = self.files.where("source_set <> 'test'").select("file")
-        owned = self.methods.join(main, "file", "left_semi")
+        owned = self.methods.join(self._main(self.loose_tests), "file", "left_semi")
         m = owned.join(base, "type_id").withColumn("names", F.transform("annotations", lambda a: a["name"])).withColumn("a", F.explode("annotations")).withColumn("ann", F.col("a.name")).withColumn("args", F.col("a.args"))
         verb = F.coalesce(F.create_map(*[F.lit(x) for kv in VERBS.items() for x in kv])[F.col("ann")], F.when(F.col("ann") == "RequestMapping", F.coalesce(F.nullif(F.regexp_extract("args", r"RequestMethod \. (\w+)", 1), F.lit("")), F.lit("ANY"))))
         path = S.join_path(F.col("base"), _named(F.col("args"), "path"))
@@ -278,7 +282,10 @@ class Facts:
     def _receivers(self) -> DataFrame:
         bodies = self.code.select("caller", "owner", "file").distinct()
         none = F.lit(None).cast("string")
-        params = self.methods.select(F.col("id").alias("caller"), "file", F.explode("params").alias("p")).select("caller", F.col("p.name").alias("receiver"), "file", F.col("p.type").alias("type"), none.alias("argument"), F.lit(0).alias("rank"))
+        params = self.methods.select(F.col("id").alias("caller"), "file", F.explode("params").alias("p")).select("caller", F.col("p.name").alias("receiver"), "file", F.col("p.type").alias("type"))
+        generic = self.methods.select(F.col("id").alias("caller"), "file", "start").join(self.statements.select("file", "start", "text"), ["file", "start"]).select("caller", F.explode(F.regexp_extract_all("text", F.lit(r"\w+ < [A-Z]\w* > \w+(?= [,)])"), 0)).alias("g"))
+        generic = generic.select("caller", S.last_segment("g", " ").alias("receiver"), F.regexp_extract("g", r"< (\w+) >", 1).alias("argument")).distinct()
+        params = params.join(generic, ["caller", "receiver"], "left").select("caller", "receiver", "file", "type", "argument", F.lit(0).alias("rank"))
         made = self.code.where("method is null").select("caller", "file", "body").distinct().join(self.statements.select("file", F.col("stop").alias("body"), F.regexp_extract("text", r"\((.*)\)", 1).alias("given")), ["file", "body"])
         made = made.select("caller", "file", F.explode(F.split("given", " , ")).alias("p")).select("caller", S.last_segment(F.trim("p"), " ").alias("receiver"), "file", S.last_segment(F.regexp_replace(F.trim("p"), r"( < .* >)? \w+$", ""), " ").alias("type"), none, F.lit(0))
         plain = self.code.where(C.name_of(F.col("tok")) & F.col("p1").rlike(r"^[A-Z]\w*$") & F.col("n1").isin("=", ":", ";", ")") & ~F.coalesce(F.col("p2").isin("new", "class"), F.lit(False)))
@@ -422,7 +429,7 @@ class Facts:
         from ..operators.relational import choreography
 
         consumed = self.entry_points().where("category = 'event'").select(F.col("destination").alias("event"), F.concat("class_name", F.lit("#"), "method", F.lit("@"), F.col("line").cast("string")).alias("party"))
-        sent = self.tokens.where((F.col("tok") == "(") & F.col("p1").isin(*PUBLISHERS)).join(self._main(), "file", "left_semi").select("file", F.col("pos").alias("open"), "line")
+        sent = self.tokens.where((F.col("tok") == "(") & F.col("p1").isin(*PUBLISHERS)).join(self._main(self.loose_tests), "file", "left_semi").select("file", F.col("pos").alias("open"), "line")
         sent = innermost(sent, self.types.where("kind in ('class', 'interface')").select("file", F.col("open").alias("from"), F.col("close").alias("to"), F.col("simple").alias("class_name")), ["file"], "open", "from", "to").drop("from", "to")
         sent = sent.join(self.code.where("tok = '('").select("file", F.col("pos").alias("open"), "method"), ["file", "open"], "left")
         event = F.regexp_extract(F.array_join("shape", " "), r"^new (?:\w+ \. )*(\w+)(?: < .*>)? \( \)(?: \{ \})?$", 1)

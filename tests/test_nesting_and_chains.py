@@ -71,9 +71,35 @@ enum PhaseState { @Deprecated NEW(f(g(h(1, 2), 3), 4)) { int x() { return 1; } }
 '''
 
 
+STOCK = '''package shop;
+import shop.core.Desk;
+import shop.core.Order;
+class Stock {
+    private final Desk desk;
+    private Set<Order> held;
+    private List<Person> x;
+
+    void lambdas(List<Order> given, Optional<Person> one) {
+        desk.all().forEach(x -> x.total());
+        desk.all().stream().filter(x -> x.owner() != null).sorted().map(y -> y.owner().name()).toList();
+        desk.find(1L).map((o) -> { return o.owner(); });
+        one.ifPresent(x -> x.name());
+        held.stream().findFirst().get().total();
+        given.removeIf(x -> desk.all().stream().anyMatch(z -> z.total() > x.owner().size()));
+        desk.find(2L).filter(a -> true).orElseThrow().owner();
+        for (var each : given) { each.total(); }
+        for (var each : held) each.owner();
+        held.iterator().next().total();
+        x.get(0).name();
+        given.map(w -> w.total());
+    }
+}
+'''
+
+
 @pytest.fixture(scope="module")
 def facts(spark):
-    rows = [("Shop.java", "main", SHOP), ("core/Desk.java", "main", CORE), ("other/Order.java", "main", "package aaa;\nclass Order { int total() { return 2; } }\n")]
+    rows = [("Shop.java", "main", SHOP), ("Stock.java", "main", STOCK),("core/Desk.java", "main", CORE), ("other/Order.java", "main", "package aaa;\nclass Order { int total() { return 2; } }\n")]
     with Facts(spark.createDataFrame(rows, "file string, source_set string, text string")) as f:
         yield f
 
@@ -95,6 +121,16 @@ def test_chains_and_overloads(facts):
     assert {r.b for r in facts.call_edges().where("a = 'shop.Other#inner'").collect()} == {"shop.Shop#helper"}
 
 
+def test_names_of_lambdas_and_loops(facts):
+    all_, find, total, owner, name = "Desk#all", "Desk#find", "Order#total", "Order#owner", "Person#name"
+    want = [{all_, total}, {all_, owner, name}, {find, owner}, {name}, {total}, {all_, total, owner}, {find, owner}, {total}, {owner}, {total}, {name}, set()]
+    first = next(k for k, text in enumerate(STOCK.split("\n")) if "forEach" in text) + 1
+    got = [set() for _ in want]
+    for r in facts.call_edges().where("a = 'shop.Stock#lambdas'").collect():
+        got[r.line - first].add(r.b.removeprefix("shop.core."))
+    assert got == want
+
+
 def test_depth_changes_nothing(facts):
     thrown = {r.exception_type: (r.message, r.condition) for r in facts.throw_sites().collect()}
     assert thrown == {"LateException": ("late ", "n > (1 + (2))"), "EarlyException": (None, DEEP), "OddException": (None, None)}
