@@ -337,6 +337,14 @@ interface Remote { @GetMapping("/far") String far(); }
     }
 
 
+def test_sources_in_a_folder_called_test(spark):
+    body = "package a;\nclass Ear%d { @EventListener void hear(Paid p) { } }\n"
+    files = spark.createDataFrame([(f, "other", body % k) for k, f in enumerate(("test/A.java", "x/test/B.java", "x/tests/C.java", "x/testing.java"))], "file string, source_set string, text string")
+    for loose, want in ((False, {"test/A.java", "x/test/B.java", "x/tests/C.java", "x/testing.java"}), (True, {"x/tests/C.java", "x/testing.java"})):
+        with Facts(files, loose_tests=loose) as f:
+            assert {r.file for r in f.entry_points().collect()} == want
+
+
 def test_exceptions_and_assignments_of_every_form(spark):
     body = """package a;
 class Desk {
