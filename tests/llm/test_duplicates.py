@@ -301,3 +301,22 @@ def test_sketches_never_rule_out_similar_sets():
             y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.1], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
             bits = int(np.bitwise_count((shingle_join.sketch(x) ^ shingle_join.sketch(y)).view(np.uint64)).sum())
             assert bits <= len(np.setxor1d(x, y))
+
+
+def test_queries_unlike_the_other_rows(spark):
+    rng = np.random.default_rng(4)
+    centres, n = rng.normal(size=(300, 32)), 12_000
+    x = centres[rng.integers(0, 300, n)] + 0.05 * rng.normal(size=(n, 32))
+    x[::50] = rng.normal(size=(n // 50, 32))  # the other rows lie in clusters, the queries anywhere
+    x = x.astype(np.float32)
+    got = {}
+    for r in ann.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), "vec_id % 50 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 50):
+        sim = u @ u[q]
+        sim[q] = -2
+        hits += len(got[q] & set(np.argsort(-sim)[:5].tolist()))
+    assert hits >= 0.9 * 5 * n / 50, hits / (5 * n / 50)
