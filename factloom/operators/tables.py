@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -35,3 +36,18 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows that a task of a wide step should hold.
+TASK_ROWS = 1_000_000
+
+
+def tasks(spark: SparkSession, rows: int, most: int = TASK_ROWS) -> int:
+    """Into how many parts so many rows are dealt: spark.sql.shuffle.partitions at least, and so that a part doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / most))
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys, where so many rows need more parts than Spark makes by itself."""
+    n = tasks(df.sparkSession, rows)
+    return df.repartition(n, *keys) if n > tasks(df.sparkSession, 0) else df

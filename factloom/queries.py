@@ -14,6 +14,7 @@ from .operators import graph as G
 from .operators import nesting as N
 from .operators import packing as P
 from .operators import relational as R
+from .operators.tables import spread
 from .plans import enrichment as E
 from .plans import publish, rollups
 from .plans.calls import callee
@@ -39,6 +40,11 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def met(a: DataFrame, b: DataFrame, key: str, rows: int) -> DataFrame:
+    """a and b joined on key, in tasks that don't grow with a's rows."""
+    return spread(a, rows, key).join(spread(b, rows, key), key)
+
+
 def cents(c: str):
     return F.round(F.col(c) * 100).cast("long")
 
@@ -167,8 +173,9 @@ SELECT owner AS nation, c_custkey, chunk FROM s""")
 def union_pack(spark, d):
     """Customers of a nation, packed by the size of the union of what they have bought."""
     c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("place"))
-    bought = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("place")), "l_orderkey")
-    held = bought.join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("weight")), "l_partkey").join(c, "place")
+    li, o = t(spark, d, "lineitem").select("l_orderkey", "l_partkey"), t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("place"))
+    n = li.count()
+    held = met(met(met(li, o, "l_orderkey", n), t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("weight")), "l_partkey", n), c, "place", n)
     return P.union_pack(c.withColumn("weight", F.lit(1)), held.select("nation", "place", F.col("l_partkey").alias("member"), "weight"), "nation", 6000).select("nation", F.col("place").alias("c_custkey"), "chunk")
 
 

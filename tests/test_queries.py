@@ -104,3 +104,33 @@ def test_contract(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert queries.QUERIES.keys() <= contract.queries().keys()
+
+
+def test_packing_of_unions_over_ranges(spark):
+    random.seed(2)
+    groups, members, want = [], [], {}
+    for o, (n, most) in enumerate([(1, 5), (60, 9), (90, 400), (40, 30)]):
+        held, total, chunk = {}, 0, 0
+        for k in range(n):
+            own, mine = random.choice([0, None, 1]), {random.randrange(most): random.choice([0, 1, 9, 40]) for _ in range(random.choice([0, 1, 4]))}
+            add = (own or 0) + sum(w for m, w in mine.items() if m not in held)
+            if k and total + add > 25:
+                held, total, chunk = mine, (own or 0) + sum(mine.values()), chunk + 1
+            else:
+                held, total = mine | held, total + add
+            groups.append((o, f"p{k:03}", own))
+            members += [(o, f"p{k:03}", m, w) for m, w in mine.items()]
+            want[o, f"p{k:03}"] = chunk
+    g, m = spark.createDataFrame(groups, "owner int, place string, weight int"), spark.createDataFrame(members, "owner int, place string, member int, weight int")
+    for ranges in (1, 9, 60):  # of all groups, of a few chunks, shorter than a chunk
+        assert {(r.owner, r.place): r.chunk for r in union_pack(g, m, "owner", 25, ranges=ranges).collect()} == want
+
+
+def test_packing_takes_few_rounds(spark):
+    """Chunks are not found one after the other."""
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("packing"))
+    g = spark.range(400).selectExpr("0 as owner", "id as place", "1 as weight")
+    spark.sparkContext.setJobGroup("packing", "packing")
+    chunks = union_pack(g, g.selectExpr("owner", "place", "place as member", "5 as weight"), "owner", 12, ranges=4).agg({"chunk": "max"}).first()[0]
+    spark.sparkContext.setJobGroup("", "")
+    assert chunks == 199 and jobs() < 150
