@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 from factloom import queries
+from factloom.operators import packing
 from factloom.operators.graph import trace
 from factloom.operators.packing import greedy_pack, union_pack
 from tests.conftest import DATA
@@ -134,3 +135,17 @@ def test_packing_takes_few_rounds(spark):
     chunks = union_pack(g, g.selectExpr("owner", "place", "place as member", "5 as weight"), "owner", 12, ranges=4).agg({"chunk": "max"}).first()[0]
     spark.sparkContext.setJobGroup("", "")
     assert chunks == 199 and jobs() < 150
+
+
+def test_packing_of_ranges_keeps_no_pointers_of_all_items(spark, monkeypatch):
+    kept = {}
+
+    def cut(df, name, whole=packing.cut):
+        out = whole(df, name)
+        kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(packing, "cut", cut)
+    df = spark.range(4000).selectExpr("id % 2 as owner", "id as k", "3 as w")
+    assert greedy_pack(df, "owner", ["k"], "w", 10, ranges=6).agg({"chunk": "max"}).first()[0] == 666
+    assert sum(n for name, n in kept.items() if name != "dealt") < 1000
