@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import spread
+
 
 def partners(df: DataFrame, keys: list[str], at: str, step: Column) -> DataFrame:
     """Adds nest (brackets around the row), partner (the at of a bracket's other end, else null), parent (the at of the innermost bracket around the row, else null).
@@ -29,10 +31,11 @@ def partners(df: DataFrame, keys: list[str], at: str, step: Column) -> DataFrame
     return asked.where("role__ = 0").drop("step__", "role__", "level__")
 
 
-def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, stop: str) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, stop: str, rows: int = 0) -> DataFrame:
     """Adds to each point the columns of the innermost span with start < at < stop; null where there is none.
 
-    spans of one key are nested or apart; their other columns have names that points don't have.
+    spans of one key are nested or apart; their other columns have names that points don't have. rows: how many points there
+    are, if they may be too many for Spark's own number of tasks.
     """
     carried = [c for c in spans.columns if c not in keys]
     mine, theirs = [c for c in points.columns if c not in keys], F.struct(*carried)
@@ -41,7 +44,7 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str, sta
     own = points.select(F.struct(*mine).alias("p")).schema["p"].dataType
     end = lambda col, order, step: spans.select(*keys, F.col(col).cast("long").alias("at__"), F.lit(order).alias("order__"), F.lit(step).alias("step__"), theirs.alias("span__"), none.cast(own).alias("point__"))
     asks = points.select(*keys, F.col(at).cast("long").alias("at__"), F.lit(1).alias("order__"), F.lit(0).alias("step__"), none.cast(kind).alias("span__"), F.struct(*mine).alias("point__"))
-    events = asks.unionByName(end(start, 2, 1)).unionByName(end(stop, 0, -1))  # at one place: ends, points, starts
+    events = spread(asks.unionByName(end(start, 2, 1)).unionByName(end(stop, 0, -1)), rows, *keys)  # at one place: ends, points, starts
     order = Window.partitionBy(*keys).orderBy("at__", "order__").rowsBetween(Window.unboundedPreceding, 0)
     events = events.withColumn("level__", F.sum("step__").over(order) - F.when(F.col("order__") < 2, 1 + F.col("step__")).otherwise(1))
     seen = Window.partitionBy(*keys, "level__").orderBy("at__", "order__").rowsBetween(Window.unboundedPreceding, 0)

@@ -14,7 +14,7 @@ from .operators import graph as G
 from .operators import nesting as N
 from .operators import packing as P
 from .operators import relational as R
-from .operators.tables import spread
+from .operators.tables import cut, spread
 from .plans import enrichment as E
 from .plans import publish, rollups
 from .plans.calls import callee
@@ -96,7 +96,10 @@ _LINES = "SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY l_orderkey, l_l
 
 def _lines(spark, d, key):
     """Line items in order, numbered within key."""
-    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    n = li.count()
+    li = met(li, t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", n)
+    li = spread(li, n, key) if key != "l_orderkey" else li
     return li.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
 
 
@@ -109,9 +112,9 @@ SELECT q.o_custkey, q.place::BIGINT AS place, nest, partner::BIGINT AS partner,
 def bracket_spans(spark, d):
     flag = F.col("l_returnflag")
     b = _lines(spark, d, "o_custkey").select("o_custkey", F.col("place").cast("long").alias("place"), F.when(flag == "R", 1).when(flag == "A", -1).otherwise(0).alias("step"))
-    p = N.partners(b, ["o_custkey"], "place", F.col("step"))
+    p = cut(N.partners(b, ["o_custkey"], "place", F.col("step")), "partners")  # read three times
     spans = p.where("step = 1 and partner is not null").select("o_custkey", F.col("place").alias("inside"), F.col("partner").alias("until"))
-    return N.innermost(p, spans, ["o_custkey"], "place", "inside", "until").select("o_custkey", "place", "nest", "partner", "parent", "inside")
+    return N.innermost(p, spans, ["o_custkey"], "place", "inside", "until", p.count()).select("o_custkey", "place", "nest", "partner", "parent", "inside")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, l AS (SELECT l_orderkey, place, 'm' || (l_suppkey % 3)::VARCHAR AS name, CAST(l_quantity AS INT) % 2 AS size FROM ({_LINES.format("l_orderkey")})),

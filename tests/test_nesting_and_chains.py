@@ -146,3 +146,11 @@ def test_partners_of_broken_brackets(spark):
     got = {(r.key, r.at): (r.nest, r.partner, r.parent) for r in N.partners(df, ["key"], "at", F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)).collect()}
     assert got[2, 0] == (0, None, None) and got[3, 0] == (0, None, None) and got[1, 2] == (0, 3, 1) and got[1, 1][1] is None and got[1, 5][2] == 4
     assert N.innermost(df, df.where("false").select("key", F.col("at").alias("a"), F.col("at").alias("b")), ["key"], "at", "a", "b").where("a is null").count() == len(rows)
+
+
+def test_spans_of_many_rows_take_more_tasks(spark):
+    df = spark.createDataFrame([(k % 3, k, k + 2) for k in range(0, 60, 5)], "key int, at int, b int")
+    spans, points = df.select("key", F.col("at").alias("a"), "b"), df.select("key", (F.col("at") + 1).alias("at"))
+    few, many = (N.innermost(points, spans, ["key"], "at", "a", "b", rows) for rows in (0, 40_000_000))
+    assert sorted(few.collect()) == sorted(many.collect()) and few.where("a = at - 1").count() == 12
+    assert many.rdd.getNumPartitions() == 40
