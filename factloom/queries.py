@@ -122,13 +122,13 @@ m AS (SELECT a, 'm' || (k - 1)::VARCHAR AS name, s.size, CASE WHEN s.size = b %
 c(l_orderkey, place, type) AS (SELECT o_orderkey, 0::BIGINT, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT l.l_orderkey, l.place, m.result FROM c JOIN l ON l.l_orderkey = c.l_orderkey AND l.place = c.place + 1 JOIN m ON m.a = c.type AND m.name = l.name AND m.size = l.size)
 SELECT l_orderkey, place, type::BIGINT AS type FROM c WHERE place > 0""")
 def typed_chain(spark, d):
-    of = lambda place: F.concat(F.col("l_orderkey").cast("string"), F.lit("."), place.cast("string"))
-    start = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("node"), F.col("c_nationkey").cast("string").alias("type"), F.lit(None).cast("string").alias("argument"))
+    of = lambda place: F.shiftleft("l_orderkey", 20) + place  # noqa: E731  no order has a million lines
+    start = t(spark, d, "orders").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(F.shiftleft("o_orderkey", 20).alias("node"), F.col("c_nationkey").cast("string").alias("type"), F.lit(None).cast("string").alias("argument"))
     links = _lines(spark, d, "l_orderkey").select(of(F.col("place")).alias("node"), of(F.col("place") - 1).alias("receiver"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("name"), (F.col("l_quantity").cast("int") % 2).alias("size"))
     k = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b")) - 1
     members = _edges(spark, d).withColumn("k", k).withColumn("size", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("a").cast("string").alias("type"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("name"), "size", F.lit("").alias("rank"), F.when(F.col("size") == F.col("b") % 2, F.col("b")).otherwise(F.col("a")).cast("string").alias("result"), F.lit(None).cast("string").alias("argument"), F.lit("x").alias("member"))
     typed = G.typed_chains(start, links, members).where("member is not null")
-    return typed.select(F.substring_index("node", ".", 1).cast("long").alias("l_orderkey"), F.substring_index("node", ".", -1).cast("long").alias("place"), F.col("type").cast("long").alias("type"))
+    return typed.select(F.shiftright("node", 20).alias("l_orderkey"), F.col("node").bitwiseAND((1 << 20) - 1).alias("place"), F.col("type").cast("long").alias("type"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, r(root, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.root, e.b FROM r JOIN edges e ON r.node = e.a),
@@ -241,8 +241,12 @@ def cache_lookup(spark, d):
 @query("SELECT DISTINCT a.l_partkey AS p, b.l_partkey AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey JOIN part x ON a.l_partkey = x.p_partkey JOIN part y ON b.l_partkey = y.p_partkey WHERE a.l_partkey < b.l_partkey AND x.p_brand = y.p_brand")
 def er_within_module(spark, d):
     parts, li = t(spark, d, "part").select("p_brand", F.col("p_partkey").alias("entity")), t(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"))
-    pairs = li.join(li.withColumnRenamed("p", "target"), "l_orderkey").where("p < target").select("p", "target").distinct()
-    pairs = pairs.join(parts.withColumnRenamed("entity", "p"), "p")
+    n = li.count()
+    # each line item with its part's brand, so that only parts of one brand meet
+    li = cut(met(li, parts.withColumnRenamed("entity", "p"), "p", n), "branded")
+    keys = ["l_orderkey", "p_brand"]
+    pairs = spread(li, n, *keys).join(spread(li.withColumnRenamed("p", "target"), n, *keys), keys).where("p < target").select("p_brand", "p", "target")
+    pairs = spread(pairs, n, "p", "target").distinct()
     return publish.within_module(pairs, parts, "p_brand").select("p", F.col("target").alias("q"))
 
 

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 from factloom import queries
-from factloom.operators import packing
+from factloom.operators import packing, tables
 from factloom.operators.graph import trace
 from factloom.operators.packing import greedy_pack, union_pack
 from tests.conftest import DATA
@@ -149,3 +149,11 @@ def test_packing_of_ranges_keeps_no_pointers_of_all_items(spark, monkeypatch):
     df = spark.range(4000).selectExpr("id % 2 as owner", "id as k", "3 as w")
     assert greedy_pack(df, "owner", ["k"], "w", 10, ranges=6).agg({"chunk": "max"}).first()[0] == 666
     assert sum(n for name, n in kept.items() if name != "dealt") < 1000
+
+
+def test_parts_of_one_brand_meet_in_bounded_tasks(spark, duck, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    got = queries.QUERIES["er_within_module"](spark, DATA)
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
+    want = duck.sql(queries.ORACLES["er_within_module"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
