@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import first_wins
-from .tables import cut, drop
+from .tables import cut, drop, tasks
 
 
 def reach(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -46,14 +47,17 @@ def typed_chains(known: DataFrame, links: DataFrame, members: DataFrame, most_ro
     and an argument of * is the receiver's too.
 
     Semi-naive: a round joins the nodes typed last to the links that wait for them. A node has one receiver, so it is typed
-    once, and the rounds are as many as the longest chain.
+    once, and the rounds are as many as the longest chain. The links are dealt and sorted by receiver once and kept so; a round
+    only moves the nodes typed last.
     """
-    links, members = cut(links, "links"), cut(members.select(F.col("type").alias("of"), F.col("name").alias("called"), F.col("size").alias("takes"), "rank", "result", F.col("argument").alias("given"), "member"), "members")
+    links = cut(links, "links")
+    dealt = links.repartition(tasks(links.sparkSession, links.count()), "receiver").sortWithinPartitions("receiver").persist(StorageLevel.DISK_ONLY)
+    members = cut(members.select(F.col("type").alias("of"), F.col("name").alias("called"), F.col("size").alias("takes"), "rank", "result", F.col("argument").alias("given"), "member"), "members")
     frontier = cut(known.select("node", "type", "argument", F.lit(None).cast("string").alias("member")), "typed")
     parts = [frontier]
     for _ in range(most_rounds):
         held = frontier.select(F.col("node").alias("receiver"), "type", "argument")
-        waiting = links.join(held, "receiver")
+        waiting = dealt.hint("merge").join(held, "receiver")
         found = waiting.where("name is not null").join(members, (F.col("type") == F.col("of")) & (F.col("name") == F.col("called")))
         found = first_wins(found.withColumn("other", F.col("size") != F.col("takes")), ["node"], ["other", "rank", "member"])
         found = found.select("node", F.when(F.col("result").isNull(), F.col("argument")).otherwise(F.col("result")).alias("type"), F.when(F.col("result").isNotNull(), F.when(F.col("given") == "*", F.col("argument")).otherwise(F.col("given"))).alias("argument"), "member")
@@ -67,6 +71,7 @@ def typed_chains(known: DataFrame, links: DataFrame, members: DataFrame, most_ro
     for part in parts[1:]:
         whole = whole.union(part)
     out = cut(whole, "typed")
+    dealt.unpersist()
     drop(links, members, frontier, *parts)
     return out
 

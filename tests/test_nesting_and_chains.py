@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import graph as G
 from factloom.operators import nesting as N
 from factloom.plans.facts import Facts
 
@@ -154,3 +155,20 @@ def test_spans_of_many_rows_take_more_tasks(spark):
     few, many = (N.innermost(points, spans, ["key"], "at", "a", "b", rows) for rows in (0, 40_000_000))
     assert sorted(few.collect()) == sorted(many.collect()) and few.where("a = at - 1").count() == 12
     assert many.rdd.getNumPartitions() == 40
+
+
+def test_links_of_chains_are_dealt_once(spark, monkeypatch):
+    plans = []
+
+    def cut(df, name, whole=G.cut):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return whole(df, name)
+
+    monkeypatch.setattr(G, "cut", cut)
+    known = spark.createDataFrame([(0, "A", None), (10, "B", None)], "node long, type string, argument string")
+    links = spark.createDataFrame([(n + 1, n, "m" if n != 2 else None, 0) for n in range(5)] + [(11, 10, "no", 0)], "node long, receiver long, name string, size int")
+    members = spark.createDataFrame([("A", "m", 0, "", "A", None, "A.m")], "type string, name string, size int, rank string, result string, argument string, member string")
+    got = {(r.node, r.type, r.member) for r in G.typed_chains(known, links, members).collect()}
+    assert got == {(0, "A", None), (10, "B", None), *((n, "A", None if n == 3 else "A.m") for n in range(1, 6))}
+    rounds = [p for name, p in plans if name == "typed"][1:-1]
+    assert len(rounds) == 6 and all("InMemoryTableScan" in p for p in rounds)
