@@ -42,9 +42,9 @@ def drop(*tables: DataFrame) -> None:
 TASK_ROWS = 1_000_000
 
 
-def tasks(spark: SparkSession, rows: int) -> int:
-    """Into how many parts so many rows are dealt: spark.sql.shuffle.partitions at least, and so that a part doesn't grow with the table."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
+def tasks(spark: SparkSession, rows: int, least: int | None = None) -> int:
+    """Into how many parts so many rows are dealt: `least` (spark.sql.shuffle.partitions) at least, and so that a part doesn't grow with the table."""
+    return max(least or int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
 
 
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:

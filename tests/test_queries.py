@@ -151,6 +151,24 @@ def test_packing_of_ranges_keeps_no_pointers_of_all_items(spark, monkeypatch):
     assert sum(n for name, n in kept.items() if name != "dealt") < 1000
 
 
+def test_ranges_of_packing_do_not_grow_with_the_table(spark, monkeypatch):
+    largest = []
+
+    def cut(df, name, whole=packing.cut):
+        out = whole(df, name)
+        if name == "dealt":
+            largest.append(out.groupBy("range__").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(packing, "cut", cut)
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    df = spark.range(6000).selectExpr("id % 2 as owner", "id as k", "3 as w")
+    for ranges in (3, None):
+        got = greedy_pack(df, "owner", ["k"], "w", 10, ranges=ranges)
+        assert got.where("chunk != floor(floor(k / 2) / 3)").count() == 0 and got.count() == 6000
+    assert max(largest) < 900
+
+
 def test_parts_of_one_brand_meet_in_bounded_tasks(spark, duck, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 100)
     got = queries.QUERIES["er_within_module"](spark, DATA)
